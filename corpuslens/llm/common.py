@@ -72,19 +72,20 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-def hot_join(left: DataFrame, right: DataFrame, on: str, count: str, total: int, how: str = "left", share: int = 1000) -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, on, count: str, total: int, how: str = "left", share: int = 1000) -> DataFrame:
     """Joins left with right (one row a key) although a key may hold a third of left.
 
     right's column `count` says how many rows of left have the key. Keys with
     more than total/share rows, at most `share` of them, are broadcast; the
-    others, none of which is large, are shuffled.
+    others, none of which is large, are shuffled. Give a written right side: it
+    is read twice.
     """
+    keys = [on] if isinstance(on, str) else list(on)
     most = max(1, total // share)
-    hot = F.broadcast(right.where(F.col(count) > most))
-    flag = hot.select(on).withColumn("_hot", F.lit(True))
-    tagged = left.join(F.broadcast(flag), on, "left")
-    a = tagged.where("_hot").drop("_hot").join(hot, on, how)
-    b = tagged.where("_hot is null").drop("_hot").join(right.where(F.col(count) <= most), on, how)
+    hot = right.where(F.col(count) > most)
+    tagged = left.join(F.broadcast(hot.select(*keys, F.lit(True).alias("_hot"))), keys, "left")
+    a = tagged.where("_hot").drop("_hot").join(F.broadcast(hot), keys, how)
+    b = tagged.where("_hot is null").drop("_hot").join(right.where(F.col(count) <= most), keys, how)
     return a.unionByName(b)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, topk, warc
+from . import decontaminate, html, linededup, quality, topk, warc
 from .common import Store
 
 
@@ -42,5 +42,55 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op2_exact_topk": op2_exact_topk, "op5_warc": op5_warc, "op6_html": op6_html}
-SQL = {"op2_exact_topk": OP2_SQL}
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents and the benchmark items that they contain."""
+    return decontaminate.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+_DUCK_WORDS = r"list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+OP8_SQL = f"""
+WITH dw AS (SELECT doc_id, {_DUCK_WORDS} AS w FROM documents), iw AS (SELECT item_id, {_DUCK_WORDS} AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, CASE WHEN len(w) > 0 THEN 2 ELSE 1 END)), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM dw),
+its AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 3, CASE WHEN len(w) > 0 THEN 2 ELSE 1 END)), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM iw),
+q AS (SELECT item_id, count(*) AS n_item FROM its GROUP BY item_id),
+c AS (SELECT doc_id, item_id, count(*) AS n_common FROM ds JOIN its USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_item, n_common, round(n_common / n_item, 6) AS containment FROM c JOIN q USING (item_id) WHERE n_common * 100 >= n_item * 80
+"""
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document keeps when later copies of repeated line runs go."""
+    out = linededup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_deleted", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE doc_id IS NOT NULL),
+p AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS line2, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS i2 FROM l),
+w AS (SELECT doc_id, i, min(struct_pack(d := doc_id, i := i)) OVER (PARTITION BY line, line2) AS first FROM p
+      WHERE i2 IS NOT NULL AND (regexp_matches(line, '[^ 	-]') OR regexp_matches(line2, '[^ 	-]'))),
+g AS (SELECT doc_id, i, min(struct_pack(d := doc_id, i := i)) OVER (PARTITION BY line) AS first FROM l WHERE len(regexp_extract_all(line, '[^ 	-]+')) >= 50),
+gone AS (SELECT doc_id, i FROM w WHERE struct_pack(d := doc_id, i := i) > first UNION SELECT doc_id, i + 1 FROM w WHERE struct_pack(d := doc_id, i := i) > first
+         UNION SELECT doc_id, i FROM g WHERE struct_pack(d := doc_id, i := i) > first),
+f AS (SELECT l.*, gone.i IS NOT NULL AS dead FROM l LEFT JOIN gone USING (doc_id, i)),
+r AS (SELECT *, dead AND NOT coalesce(lag(dead) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM f)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(dead::INT) AS BIGINT) AS n_deleted, CAST(sum(opens::INT) AS BIGINT) AS n_runs,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dead), '')) AS kept_sha256
+FROM r GROUP BY doc_id
+"""
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every document, learnt from the labels outside the held-out part."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    out = quality.score(docs, trees)
+    return out.select("doc_id", (quality.split_of(F.col("doc_id")) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {
+    "op2_exact_topk": op2_exact_topk, "op5_warc": op5_warc, "op6_html": op6_html, "op8_decontaminate": op8_decontaminate,
+    "op9_line_dedup": op9_line_dedup, "op10_quality": op10_quality,
+}
+SQL = {"op2_exact_topk": OP2_SQL, "op8_decontaminate": OP8_SQL, "op9_line_dedup": OP9_SQL}
