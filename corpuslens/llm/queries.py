@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, linededup, quality, topk, warc
+from . import decontaminate, html, linededup, lsm, quality, suffixes, topk, warc
 from .common import Store
 
 
@@ -29,6 +29,31 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document keeps without 400-byte strings that occur elsewhere."""
+    out = suffixes.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document keeps without 20-word windows that start earlier."""
+    out = lsm.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 18, 1))) AS i, w FROM w),
+k AS (SELECT doc_id, i, array_to_string(w[i:i+19], ' ') AS t FROM s),
+g AS (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS r FROM k),
+gone AS (SELECT DISTINCT doc_id, i + unnest(range(0, 20)) AS i FROM g WHERE r > 1),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM w),
+a AS (SELECT x.doc_id, count(*) AS n_words, count(gone.i) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY x.i) FILTER (gone.i IS NULL), '') AS kept
+      FROM x LEFT JOIN gone ON x.doc_id = gone.doc_id AND x.i = gone.i GROUP BY x.doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN a USING (doc_id)
+"""
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the pages as archives with revisit records and reads them back."""
     pages = _table(spark, sf_dir, "pages")
@@ -69,8 +94,11 @@ OP9_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE doc_id IS NOT NULL),
 p AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS line2, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS i2 FROM l),
 w AS (SELECT doc_id, i, min(struct_pack(d := doc_id, i := i)) OVER (PARTITION BY line, line2) AS first FROM p
-      WHERE i2 IS NOT NULL AND (regexp_matches(line, '[^ 	-]') OR regexp_matches(line2, '[^ 	-]'))),
-g AS (SELECT doc_id, i, min(struct_pack(d := doc_id, i := i)) OVER (PARTITION BY line) AS first FROM l WHERE len(regexp_extract_all(line, '[^ 	-]+')) >= 50),
+      WHERE i2 IS NOT NULL AND (regexp_matches(line, '[^ 	-
+]') OR regexp_matches(line2, '[^ 	-
+]'))),
+g AS (SELECT doc_id, i, min(struct_pack(d := doc_id, i := i)) OVER (PARTITION BY line) AS first FROM l WHERE len(regexp_extract_all(line, '[^ 	-
+]+')) >= 50),
 gone AS (SELECT doc_id, i FROM w WHERE struct_pack(d := doc_id, i := i) > first UNION SELECT doc_id, i + 1 FROM w WHERE struct_pack(d := doc_id, i := i) > first
          UNION SELECT doc_id, i FROM g WHERE struct_pack(d := doc_id, i := i) > first),
 f AS (SELECT l.*, gone.i IS NOT NULL AS dead FROM l LEFT JOIN gone USING (doc_id, i)),
@@ -90,7 +118,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op2_exact_topk": op2_exact_topk, "op5_warc": op5_warc, "op6_html": op6_html, "op8_decontaminate": op8_decontaminate,
+    "op2_exact_topk": op2_exact_topk, "op3_suffix_dedup": op3_suffix_dedup, "op4_substring_dedup": op4_substring_dedup, "op5_warc": op5_warc, "op6_html": op6_html, "op8_decontaminate": op8_decontaminate,
     "op9_line_dedup": op9_line_dedup, "op10_quality": op10_quality,
 }
-SQL = {"op2_exact_topk": OP2_SQL, "op8_decontaminate": OP8_SQL, "op9_line_dedup": OP9_SQL}
+SQL = {"op2_exact_topk": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op8_decontaminate": OP8_SQL, "op9_line_dedup": OP9_SQL}
