@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, Store, hot_join
 
+#: Most documents with deletions whose runs are broadcast to the texts; beyond it the join is shuffled.
+BROADCAST_ROWS = 200_000
 BEFORE = (Window.unboundedPreceding, -1)
 
 
@@ -108,7 +110,9 @@ def dedup(docs: DataFrame, min_lines: int = 2, long_words: int = 50) -> DataFram
 
     A null text has 0 lines and stays null; an empty one has one empty line.
     """
-    runs = repeated_runs(docs.select("doc_id", "text"), min_lines, long_words).withColumnRenamed("runs", "_runs")
+    store = Store(docs.sparkSession)
+    runs = store.put(repeated_runs(docs.select("doc_id", "text"), min_lines, long_words).withColumnRenamed("runs", "_runs"), "runs")
+    runs = F.broadcast(runs) if runs.count() <= BROADCAST_ROWS else runs
     lines = F.split(F.col("text").cast("string"), "\n")
     gone = lambda x, i: F.exists("_runs", lambda r: (r["a"] <= i) & (i <= r["b"]))
     out = docs.join(runs, "doc_id", "left")
