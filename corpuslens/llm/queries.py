@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, linededup, lsm, quality, suffixes, topk, warc
+from . import decontaminate, html, jaccard, linededup, lsm, quality, suffixes, topk, warc
 from .common import Store
 
 
@@ -67,6 +67,11 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's component of near duplicates."""
+    return jaccard.linked(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents and the benchmark items that they contain."""
     return decontaminate.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -118,7 +123,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op2_exact_topk": op2_exact_topk, "op3_suffix_dedup": op3_suffix_dedup, "op4_substring_dedup": op4_substring_dedup, "op5_warc": op5_warc, "op6_html": op6_html, "op8_decontaminate": op8_decontaminate,
+    "op2_exact_topk": op2_exact_topk, "op3_suffix_dedup": op3_suffix_dedup, "op4_substring_dedup": op4_substring_dedup, "op5_warc": op5_warc, "op6_html": op6_html, "op7_jaccard_join": op7_jaccard_join, "op8_decontaminate": op8_decontaminate,
     "op9_line_dedup": op9_line_dedup, "op10_quality": op10_quality,
 }
 SQL = {"op2_exact_topk": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op8_decontaminate": OP8_SQL, "op9_line_dedup": OP9_SQL}
