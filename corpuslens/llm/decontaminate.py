@@ -65,7 +65,7 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float =
     n_pairs = pairs.count()
     wanted = pairs.select("doc_id").distinct()
     there = base.join(_sized(wanted, n_pairs), "doc_id", "left_semi")
-    there = there.select("doc_id", F.explode(texts(words(F.col("text")), k)).alias("s"))
+    there = there.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(texts(F.col("w"), k)).alias("s"))
     n_items = it.count()
     common = (
         there.join(_sized(it.select("item_id", "s"), n_items), "s").groupBy("doc_id", "item_id").agg(F.count_distinct("s").alias("n_common"))
