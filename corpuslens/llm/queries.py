@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, jaccard, linededup, lsm, quality, suffixes, topk, warc
+from . import decontaminate, html, jaccard, linededup, lsm, pieces, quality, suffixes, topk, warc
 from .common import Store
 
 
@@ -13,6 +13,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two distinct sampled segmentations of every text, with inclusion scores and the decoding's verdict."""
+    out = pieces.sample(_table(spark, sf_dir, "documents"), k=2)
+    return out.select("doc_id", "sample", F.size("ids").alias("n_pieces"), F.round("log_prob", 3).alias("log_prob"), F.round("inclusion", 6).alias("inclusion"), "exact", F.xxhash64("ids").alias("ids_hash"))
+
+
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each 20th vector's 20 highest inner products over all other vectors."""
     v = topk.quantised(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
@@ -123,7 +129,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op2_exact_topk": op2_exact_topk, "op3_suffix_dedup": op3_suffix_dedup, "op4_substring_dedup": op4_substring_dedup, "op5_warc": op5_warc, "op6_html": op6_html, "op7_jaccard_join": op7_jaccard_join, "op8_decontaminate": op8_decontaminate,
+    "op1_sentencepiece": op1_sentencepiece, "op2_exact_topk": op2_exact_topk, "op3_suffix_dedup": op3_suffix_dedup, "op4_substring_dedup": op4_substring_dedup, "op5_warc": op5_warc, "op6_html": op6_html, "op7_jaccard_join": op7_jaccard_join, "op8_decontaminate": op8_decontaminate,
     "op9_line_dedup": op9_line_dedup, "op10_quality": op10_quality,
 }
 SQL = {"op2_exact_topk": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op8_decontaminate": OP8_SQL, "op9_line_dedup": OP9_SQL}
