@@ -244,9 +244,9 @@ def _walk(lat: Lattices, unit: np.ndarray, occ: np.ndarray, pos: np.ndarray, ste
 
 
 def sample_batch(texts: list, keys: np.ndarray, k: int, lat: Lattices, seed: int) -> list:
-    """For each sample number: (text index, ids, ends of each text's ids, log-probability, inclusion).
+    """For each sample number: (text index, ids, ends of each text's ids, log-probability, log-inclusion).
 
-    A text with fewer segmentations than k gives all of them, with inclusion 1.
+    A text with fewer segmentations than k gives all of them, with inclusion 1 (logarithm 0).
     """
     codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
     full = np.flatnonzero([len(c) > 0 for c in codes])
@@ -330,7 +330,8 @@ def sample_batch(texts: list, keys: np.ndarray, k: int, lat: Lattices, seed: int
     results = []
     for live, w, at, total in out:
         with np.errstate(over="ignore", under="ignore"):
-            score = -np.expm1(-np.exp(np.minimum(total - best[live], 700.0))) if len(live) else total
+            x = total - best[live]
+            score = np.where(x < -30, x, np.log(-np.expm1(-np.exp(np.clip(x, -30, 700)))))
         order = np.lexsort((-w.step, w.occ))
         ids, counts = _ids(lat, w.c[order], w.length[order])
         ends = np.concatenate(([0], np.cumsum(counts)))[at[1:]]
@@ -360,7 +361,7 @@ def _ids(lat: Lattices, c: np.ndarray, length: np.ndarray) -> tuple[np.ndarray,
 
 
 def sample(docs: DataFrame, k: int = 2, theta: float = 1e-3, seed: int = 1, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, sample, ids, log_prob, inclusion, exact): up to k distinct segmentations of every text.
+    """(id, sample, ids, log_prob, log_inclusion, exact): up to k distinct segmentations of every text.
 
     Samples are numbered from 1 by falling perturbed value. exact says that the
     ids decode to the text. A null or empty text has one sample without ids, of
@@ -379,7 +380,7 @@ def sample(docs: DataFrame, k: int = 2, theta: float = 1e-3, seed: int = 1, mode
                 texts = [t or "" for t in piece.column("text").to_pylist()]
                 none = np.flatnonzero([not t for t in texts])
                 if len(none):
-                    yield batch(piece, none, 1, np.zeros(0, np.int32), np.zeros(len(none) + 1, np.int64), np.zeros(len(none)), np.ones(len(none)), np.ones(len(none), bool))
+                    yield batch(piece, none, 1, np.zeros(0, np.int32), np.zeros(len(none) + 1, np.int64), np.zeros(len(none)), np.zeros(len(none)), np.ones(len(none), bool))
                 for number, (live, ids, ends, logp, score) in enumerate(sample_batch(texts, piece.column("_key").to_numpy(zero_copy_only=False), k, lattices, seed), 1):
                     if not len(live):
                         continue
@@ -393,9 +394,9 @@ def sample(docs: DataFrame, k: int = 2, theta: float = 1e-3, seed: int = 1, mode
             piece.column("_id").take(pa.array(rows)), pa.array(np.full(len(rows), number, np.int32)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32())),
             pa.array(logp, pa.float64()), pa.array(score, pa.float64()), pa.array(exact, pa.bool_()),
         ]
-        return pa.RecordBatch.from_arrays(arrays, names=["_id", "sample", "ids", "log_prob", "inclusion", "exact"])
+        return pa.RecordBatch.from_arrays(arrays, names=["_id", "sample", "ids", "log_prob", "log_inclusion", "exact"])
 
-    out = src.mapInArrow(run, f"_id {kind}, sample int, ids array<int>, log_prob double, inclusion double, exact boolean")
+    out = src.mapInArrow(run, f"_id {kind}, sample int, ids array<int>, log_prob double, log_inclusion double, exact boolean")
     return out.withColumnRenamed("_id", id_col)
 
 

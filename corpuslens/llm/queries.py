@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two distinct sampled segmentations of every text, with inclusion scores and the decoding's verdict."""
     out = pieces.sample(_table(spark, sf_dir, "documents"), k=2)
-    return out.select("doc_id", "sample", F.size("ids").alias("n_pieces"), F.round("log_prob", 3).alias("log_prob"), F.round("inclusion", 6).alias("inclusion"), "exact", F.xxhash64("ids").alias("ids_hash"))
+    return out.select("doc_id", "sample", F.size("ids").alias("n_pieces"), F.round("log_prob", 3).alias("log_prob"), F.round("log_inclusion", 3).alias("log_inclusion"), "exact", F.xxhash64("ids").alias("ids_hash"))
 
 
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
