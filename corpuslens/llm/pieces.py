@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import mix, powers, range_hash
 from .quality import _slices as slices
@@ -29,6 +30,7 @@ from .quality import _slices as slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = 0x2581
 SLICE = 1 << 20
+CACHE = 1_200_000
 NO_PIECE = 0xFFFF
 
 
@@ -56,13 +58,15 @@ class Vocabulary:
         key = range_hash(flat, np.concatenate(([0], ends[:-1])), ends)
         order = np.argsort(key)
         self.key, self.id, self.score = key[order], np.array(ids, np.int32)[order], np.array(scores)[order]
-        self.longest = max(len(t) for t in texts)
+        self.longest = -(-max(len(t) for t in texts) // 8) * 8
         slot = (self.key >> np.uint64(44)).astype(np.int64)
         self.slot = np.full(1 << 20, -1, np.int32)  # keys with the same leading bits are neighbours: the first, and
         self.slot[slot[::-1]] = np.arange(len(slot))[::-1]
         self.crowd = int(np.bincount(slot).max())  # how many there can be
-        #: A character without a piece is spelt in bytes, at this score.
-        self.spelt = float(self.score.min()) - 10
+        #: A character without a piece is spelt in bytes, at this score. Pieces that a
+        #: model bars by a score like -1e9, the lone blank among them, get it too.
+        self.spelt = float(self.score[self.score > -1e8].min()) - 10
+        self.score = np.maximum(self.score, self.spelt)
         sizes = np.array([len(s) for s in self.surface])
         self.bytes, self.at = np.frombuffer(b"".join(self.surface), np.uint8), np.concatenate(([0], np.cumsum(sizes)))
 
@@ -82,9 +86,11 @@ class Vocabulary:
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes that pieces stand for, blanks as spaces; the first is the dummy prefix."""
-        size = self.at[ids + 1] - self.at[ids]
-        total = int(size.sum())
-        place = np.arange(total) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.at[ids], size)
+        begin = self.at[ids]
+        size = self.at[ids + 1] - begin
+        ends = np.cumsum(size, dtype=np.int32)
+        place = np.repeat((begin - ends + size).astype(np.int32), size)
+        place += np.arange(len(place), dtype=np.int32)
         return self.bytes[place]
 
 
@@ -94,7 +100,7 @@ class Lattices:
     At most `most` characters are kept; when more come, those of the present batch stay.
     """
 
-    def __init__(self, vocabulary: Vocabulary, theta: float, most: int = 1 << 20):
+    def __init__(self, vocabulary: Vocabulary, theta: float, most: int = CACHE):
         self.vocabulary, self.theta, self.most = vocabulary, theta, most
         self._reset(1 << 16)
 
@@ -123,7 +129,7 @@ class Lattices:
     def _add(self, chars, start, end, extra, key) -> None:
         size = end - start
         if self.size + extra > len(self.chars):
-            room = max(2 * len(self.chars), self.size + extra)
+            room = max(min(2 * len(self.chars), self.most), self.size + extra)
             for name in ("chars", "piece", "log", "cum"):
                 old = getattr(self, name)
                 grown = np.empty((room, *old.shape[1:]), old.dtype)
@@ -166,25 +172,31 @@ class Lattices:
         for step, count in enumerate(active.tolist(), 1):
             c = start[by[:count]] + step - 1
             reach = min(step, width)
-            a = log[c, :reach].astype(np.float64)
-            for length in range(1, min(step - 1, width) + 1):
-                a[:, length - 1] += total[c - length]
-            top = a.max(1)
+            a = log.take(c, 0)[:, :reach]
+            near = total[c - 1] if step > 1 else np.zeros(count)
+            for length in range(2, min(step - 1, width) + 1):  # sums relative to the last character's keep their precision
+                a[:, length - 1] += total[c - length] - near
+            if step <= width:
+                a[:, step - 1] -= near
+            top = a[:, 0].copy()
+            for length in range(1, reach):
+                np.maximum(top, a[:, length], out=top)
             a -= top[:, None]
-            sums = np.cumsum(np.exp(a.astype(np.float32)), 1)
-            z = np.log(np.exp(a).sum(1) if reach == 1 else sums[:, -1].astype(np.float64))
-            total[c] = z + top
+            e = np.ones((count, width), np.float32)
+            np.exp(a, out=e[:, :reach])
+            for length in range(1, reach):
+                e[:, length] += e[:, length - 1]
+            z = np.log(e[:, reach - 1])
+            total[c] = near + top + z
             log[c, :reach] = a - z[:, None]
-            sums /= sums[:, -1:]
-            cum[c, :reach] = sums
-            cum[c, reach:] = 1
+            e[:, :reach] /= e[:, reach - 1:reach].copy()
+            cum[c] = e
 
 
-def _uniform(key: np.ndarray, *parts) -> np.ndarray:
+def _uniform(key: np.ndarray, stream: int, step) -> np.ndarray:
+    """A number in (0, 1) for each key and step of a stream."""
     with np.errstate(over="ignore"):
-        x = key
-        for part in parts:
-            x = mix(x + np.asarray(part, np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+        x = mix(key + (np.asarray(step, np.int64).astype(np.uint64) + np.uint64(stream << 40)) * np.uint64(0x9E3779B97F4A7C15))
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
@@ -204,6 +216,15 @@ class Walk:
     def take(self, index) -> Walk:
         return Walk(*(getattr(self, x)[index] for x in self.__slots__))
 
+    def scatter(self, place) -> Walk:
+        out = []
+        for x in self.__slots__:
+            column = getattr(self, x)
+            moved = np.empty_like(column)
+            moved[place] = column
+            out.append(moved)
+        return Walk(*out)
+
     @staticmethod
     def merge(walks: list) -> Walk:
         return Walk(*(np.concatenate([getattr(w, x) for w in walks]) for x in Walk.__slots__))
@@ -213,7 +234,7 @@ def _walk(lat: Lattices, unit: np.ndarray, occ: np.ndarray, pos: np.ndarray, ste
     """Draws each occurrence's pieces from position pos down to its start; mask bars lengths at the first step."""
     width = lat.log.shape[1]
     bit = np.uint32(1) << np.arange(width, dtype=np.uint32)
-    out, barred, base = [], mask.any(), lat.start[unit]
+    out, barred, base, first_occ, first_step = [], mask.any(), lat.start[unit].astype(np.int32), occ, step
     while len(occ):
         c = base[occ] + pos - 1
         draw = _uniform(key[occ], sample, step)
@@ -225,7 +246,7 @@ def _walk(lat: Lattices, unit: np.ndarray, occ: np.ndarray, pos: np.ndarray, ste
             part = np.cumsum(p, 1)
             cum[few] = part / part[:, -1:]
         draw = np.minimum(draw.astype(np.float32), np.float32(1 - 2.0**-24))  # below 1, where every row of cum ends
-        length = (cum <= draw[:, None]).sum(1)
+        length = np.bitwise_count((cum <= draw[:, None]).view(np.uint64)).sum(1, dtype=np.int32)  # a row's flags are whole words
         logp = lat.log[c, length].astype(np.float64)
         rest = -np.expm1(logp)
         if barred:
@@ -240,7 +261,11 @@ def _walk(lat: Lattices, unit: np.ndarray, occ: np.ndarray, pos: np.ndarray, ste
         e = np.zeros(0, np.int64)
         return Walk(e, e, e, e, e, e.astype(float), e.astype(float), e.astype(np.uint32))
     w = Walk.merge(out)
-    return w.take(np.lexsort((w.step, w.occ)))
+    # By occurrence and step: an occurrence's steps are consecutive, so places are counted, not sorted.
+    count = np.bincount(w.occ, minlength=len(unit))
+    at = np.cumsum(count) - count
+    at[first_occ] -= first_step
+    return w.scatter(at[w.occ] + w.step)
 
 
 def sample_batch(texts: list, keys: np.ndarray, k: int, lat: Lattices, seed: int) -> list:
@@ -267,8 +292,9 @@ def sample_batch(texts: list, keys: np.ndarray, k: int, lat: Lattices, seed: int
         inner = np.arange(len(unit)) - np.searchsorted(u_text, np.arange(n))[u_text]
         key = mix(row_key[u_text] + inner.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     value = _gumbel(_uniform(row_key, 0, 0))
-    occ = np.arange(len(unit))
-    whole = _walk(lat, unit, occ, length.astype(np.int64), np.zeros(len(occ), np.int64), np.zeros(len(occ), np.uint32), key, 1)
+    length = length.astype(np.int32)
+    occ = np.arange(len(unit), dtype=np.int32)
+    whole = _walk(lat, unit, occ, length, np.zeros(len(occ), np.int32), np.zeros(len(occ), np.uint32), key, 1)
     paths, out, alive = [], [], np.arange(n)
     branch = np.zeros(n, np.int64)  # each text's first new decision
     for number in range(1, k + 1):
@@ -277,43 +303,43 @@ def sample_batch(texts: list, keys: np.ndarray, k: int, lat: Lattices, seed: int
         done = np.cumsum(whole.logp)
         base = np.where(at[:-1] > 0, done[at[:-1] - 1], 0.0)
         before = done - whole.logp - base[text]
+        # Of a path's sets the one with the greatest free value has the greatest truncated value too.
         with np.errstate(divide="ignore"):
-            place = before + np.log(whole.rest)
-        g = place + _gumbel(_uniform(key[whole.occ], 1000 + number, whole.step))
-        with np.errstate(over="ignore"):
-            entry = -np.logaddexp(-value[text], -g)
-        entry[(np.arange(len(text)) - at[text] < branch[text]) | (whole.rest <= 0)] = -np.inf
+            entry = before + np.log(np.maximum(whole.rest, 0)) + _gumbel(_uniform(key[whole.occ], 1000 + number, whole.step))
+        entry[np.arange(len(text)) - at[text] < branch[text]] = -np.inf
         total = np.where(at[1:] > at[:-1], done[np.maximum(at[1:] - 1, 0)] - base, 0.0)
-        paths.append((whole, at, entry))
+        paths.append((whole, at, entry, value))
         out.append([alive, whole, at, total[alive]])
         # The agenda's best entry of each text.
-        best, source, spot = np.full(n, -np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for j, (_, a, e) in enumerate(paths):
+        best, source, free = np.full(n, -np.inf), np.zeros(n, np.int64), np.full(n, -np.inf)
+        for j, (_, a, e, bound) in enumerate(paths):
             has = np.flatnonzero(a[1:] > a[:-1])
             if not len(has):
                 continue
+            g = np.full(n, -np.inf)
+            g[has] = np.maximum.reduceat(e, a[:-1][has])
+            some = np.flatnonzero(np.isfinite(g))
             top = np.full(n, -np.inf)
-            top[has] = np.maximum.reduceat(e, a[:-1][has])
+            top[some] = -np.logaddexp(-bound[some], -g[some])
             better = top > best
-            best[better], source[better] = top[better], j
+            best[better], source[better], free[better] = top[better], j, g[better]
         alive = np.flatnonzero(np.isfinite(best))
         if number == k or not len(alive):
             break
         parts, again = [], []
         branch = np.zeros(n, np.int64)
-        for j, (w, a, e) in enumerate(paths):
+        for j, (w, a, e, _) in enumerate(paths):
             mine = alive[source[alive] == j]
             if not len(mine):
                 continue
             many = a[mine + 1] - a[mine]
             owner = np.repeat(mine, many)
             rows = np.arange(int(many.sum())) + np.repeat(a[mine] - (np.cumsum(many) - many), many)
-            hit = rows[e[rows] == best[owner]]
+            hit = rows[e[rows] == free[owner]]
             _, only = np.unique(u_text[w.occ[hit]], return_index=True)
             hit = hit[only]
-            spot[mine] = hit
             branch[mine] = hit - a[mine]
-            parts.append(w.take(rows[rows < spot[owner]]))
+            parts.append(w.take(rows[rows < np.repeat(hit, many)]))
             again.append((w.occ[hit], w.pos[hit], w.step[hit], w.mask[hit] | (np.uint32(1) << (w.length[hit] - 1).astype(np.uint32))))
             e[hit] = -np.inf
         value = best
@@ -322,17 +348,28 @@ def sample_batch(texts: list, keys: np.ndarray, k: int, lat: Lattices, seed: int
         b_of[u_text[b_occ]] = b_occ
         later = np.flatnonzero(occ > b_of[u_text])
         fresh = _walk(
-            lat, unit, np.concatenate((b_occ, later)), np.concatenate((b_pos, length[later])), np.concatenate((b_step, np.zeros(len(later), np.int64))),
+            lat, unit, np.concatenate((b_occ, later)), np.concatenate((b_pos, length[later])), np.concatenate((b_step, np.zeros(len(later), np.int32))),
             np.concatenate((b_mask, np.zeros(len(later), np.uint32))), key, number + 1,
         )
-        whole = Walk.merge([*parts, fresh])
-        whole = whole.take(np.lexsort((whole.step, whole.occ)))
+        # A path is what it shares with an earlier one, then its own decisions.
+        parts = Walk.merge(parts)
+        shared, own = u_text[parts.occ], u_text[fresh.occ]
+        n_shared, n_own = np.bincount(shared, minlength=n), np.bincount(own, minlength=n)
+        offset = np.cumsum(n_shared + n_own) - (n_shared + n_own)
+        by = np.argsort(shared, kind="stable")  # parts come from several earlier paths, each by text
+        rank = np.empty(len(shared), np.int64)
+        rank[by] = np.arange(len(shared))
+        place = np.concatenate((offset[shared] + rank - (np.cumsum(n_shared) - n_shared)[shared], offset[own] + n_shared[own] + np.arange(len(own)) - (np.cumsum(n_own) - n_own)[own]))
+        whole = Walk.merge([parts, fresh]).scatter(place)
     results = []
     for live, w, at, total in out:
         with np.errstate(over="ignore", under="ignore"):
             x = total - best[live]
             score = np.where(x < -30, x, np.log(-np.expm1(-np.exp(np.clip(x, -30, 700)))))
-        order = np.lexsort((-w.step, w.occ))
+        # Decisions of a unit run from its end to its start; the ids run forwards.
+        size = np.bincount(w.occ, minlength=len(unit))
+        last = np.cumsum(size) - 1
+        order = (2 * last - size + 1)[w.occ] - np.arange(len(w.occ))
         ids, counts = _ids(lat, w.c[order], w.length[order])
         ends = np.concatenate(([0], np.cumsum(counts)))[at[1:]]
         results.append((full[live], ids, np.concatenate(([0], ends[live])), total, score))
@@ -360,22 +397,25 @@ def _ids(lat: Lattices, c: np.ndarray, length: np.ndarray) -> tuple[np.ndarray,
     return out, counts
 
 
-def sample(docs: DataFrame, k: int = 2, theta: float = 1e-3, seed: int = 1, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sample(
+    docs: DataFrame, k: int = 2, theta: float = 1e-3, seed: int = 1, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE, slice_bytes: int = SLICE
+) -> DataFrame:
     """(id, sample, ids, log_prob, log_inclusion, exact): up to k distinct segmentations of every text.
 
     Samples are numbered from 1 by falling perturbed value. exact says that the
     ids decode to the text. A null or empty text has one sample without ids, of
     probability and inclusion 1. Rows with the same id, null included, and the
-    same text get the same samples.
+    same text get the same samples. cache (characters of lattices kept, 160 bytes
+    each) and slice_bytes bound a task's memory; they don't change results.
     """
     vocabulary = Vocabulary(model)
     src = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col).cast("string")).alias("_key"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["_id"].dataType.simpleString()
 
     def run(batches):
-        lattices = Lattices(vocabulary, theta)
+        lattices = Lattices(vocabulary, theta, cache)
         for b in batches:
-            for part in slices(b.column("text"), SLICE):
+            for part in slices(b.column("text"), slice_bytes):
                 piece = b.slice(*part)
                 texts = [t or "" for t in piece.column("text").to_pylist()]
                 none = np.flatnonzero([not t for t in texts])
@@ -410,4 +450,4 @@ def decode(df: DataFrame, ids_col: str = "ids", to: str = "text", model: str = M
             texts = [None if x is None else vocabulary.decode(np.array(x, np.int64)).tobytes()[1:].decode("utf-8", "replace") for x in lists]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, to])
 
-    return df.mapInArrow(run, df.schema.add(to, "string"))
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(to, StringType())]))
