@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import joined, range_hash, words_of
 from .html import STOP_WORDS
@@ -218,15 +219,16 @@ def _slices(column, most: int = 1 << 20):
 
 
 def score(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
-    """docs with a column score; a null or empty text is scored like any other."""
-    src = docs.withColumn("_text", F.col(text_col).cast("string"))
-    schema = docs.schema.add("score", "double")
+    """docs with a column score, in place of one of that name; a null or empty text is scored like any other."""
+    docs = docs.drop("score")
+    src = docs.withColumn("_scored_text", F.col(text_col).cast("string"))
+    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
 
     def run(batches):
         for b in batches:
-            for part in _slices(b.column("_text")):
+            for part in _slices(b.column("_scored_text")):
                 piece = b.slice(*part)
-                s = trees.score(features(piece.column("_text").to_pylist()))
+                s = trees.score(features(piece.column("_scored_text").to_pylist()))
                 yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(s, pa.float64())], names=[*b.schema.names[:-1], "score"])
 
     return src.mapInArrow(run, schema)
