@@ -106,10 +106,11 @@ def repeated_runs(docs: DataFrame, min_lines: int = 2, long_words: int = 50) ->
 
 
 def dedup(docs: DataFrame, min_lines: int = 2, long_words: int = 50) -> DataFrame:
-    """docs with text without later copies, and n_lines, n_deleted, n_runs.
+    """docs with text without later copies, and n_lines, n_deleted, n_runs in place of columns so named.
 
     A null text has 0 lines and stays null; an empty one has one empty line.
     """
+    docs = docs.drop("n_lines", "n_deleted", "n_runs", "_runs")
     store = Store(docs.sparkSession)
     runs = store.put(repeated_runs(docs.select("doc_id", "text"), min_lines, long_words).withColumnRenamed("runs", "_runs"), "runs")
     runs = F.broadcast(runs) if runs.count() <= BROADCAST_ROWS else runs
