@@ -53,7 +53,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two distinct sampled segmentations of each document: doc_id, sample, ids, log_prob, log_inclusion, exact."""
-    return pieces.sample(docs, k=2)
+    # The executors' heaps are grown by the stages before; small slices leave them room.
+    return pieces.sample(docs, k=2, cache=400_000, slice_bytes=1 << 19)
 
 
 STAGES = [
