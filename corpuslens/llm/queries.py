@@ -68,6 +68,14 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, at).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), d AS (SELECT *, sha1(html) AS sha FROM p),
+b AS (SELECT page_id, strlen(html) AS payload_bytes, max(page_id) OVER (PARTITION BY html) AS last,
+      array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(sha, (i // 4) * 5 + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1 AS INTEGER), 1)), '') AS payload_digest FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to FROM b
+"""
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return html.extract(_table(spark, sf_dir, "pages"))
@@ -78,6 +86,16 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
+OP7_SQL = """
+WITH RECURSIVE dw AS (SELECT doc_id, {words} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 2, CASE WHEN len(w) > 0 THEN 2 ELSE 1 END)), lambda i: array_to_string(w[i:i+3], ' '))) AS s FROM dw),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), j AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+e AS (SELECT j.a, j.b FROM j JOIN n p ON p.doc_id = j.a JOIN n q ON q.doc_id = j.b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+r(id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id)
+SELECT r.id AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.id GROUP BY r.id
+"""
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents and the benchmark items that they contain."""
     return decontaminate.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -85,6 +103,8 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _DUCK_WORDS = r"list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
+OP7_SQL = OP7_SQL.replace("{words}", _DUCK_WORDS)
+
 OP8_SQL = f"""
 WITH dw AS (SELECT doc_id, {_DUCK_WORDS} AS w FROM documents), iw AS (SELECT item_id, {_DUCK_WORDS} AS w FROM benchmark),
 ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, CASE WHEN len(w) > 0 THEN 2 ELSE 1 END)), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM dw),
@@ -132,4 +152,4 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece, "op2_exact_topk": op2_exact_topk, "op3_suffix_dedup": op3_suffix_dedup, "op4_substring_dedup": op4_substring_dedup, "op5_warc": op5_warc, "op6_html": op6_html, "op7_jaccard_join": op7_jaccard_join, "op8_decontaminate": op8_decontaminate,
     "op9_line_dedup": op9_line_dedup, "op10_quality": op10_quality,
 }
-SQL = {"op2_exact_topk": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op8_decontaminate": OP8_SQL, "op9_line_dedup": OP9_SQL}
+SQL = {"op2_exact_topk": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op5_warc": OP5_SQL, "op7_jaccard_join": OP7_SQL, "op8_decontaminate": OP8_SQL, "op9_line_dedup": OP9_SQL}
