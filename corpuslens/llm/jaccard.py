@@ -145,23 +145,54 @@ def _neighbours(df: DataFrame, key: str, pct: int) -> DataFrame:
     return block.select(F.least("x", "node").alias("x"), F.greatest("x", "node").alias("y")).distinct()
 
 
-def _apart(lists: DataFrame, pct: int) -> DataFrame:
-    """Distinct pairs (x, y) of list members of different components that size and position allow."""
+def _apart(lists: DataFrame, pct: int, nearest: bool) -> DataFrame:
+    """Distinct pairs (x, y) of list members of different components that size, position and bitmaps allow.
 
-    def pairs(t, node, n, i, comp):
-        order = np.argsort(n, kind="stable")
-        node, n, i, comp = node[order], n[order], i[order], comp[order]
+    With nearest, only each member's pair of least bitmap distance in a list.
+
+    Pairs are tried within the task; a member leaves it with the array of those
+    that pass all filters, and a member's arrays are merged before pairs are rows.
+    """
+
+    def pairs(t, node, n, i, comp, bits):
+        order = np.lexsort((node, n))
+        node, n, i, comp, bits = node[order], n[order], i[order], comp[order], bits[order]
+        width = np.array([len(x) for x in bits])
+        tables, row = {}, np.zeros(len(bits), np.int64)
+        for w in np.unique(width).tolist():
+            own = np.flatnonzero(width == w)
+            row[own] = np.arange(len(own))
+            tables[w] = np.frombuffer(b"".join(bits[own]), np.uint8).reshape(len(own), w)
+        folded = {}
         end = np.searchsorted(n * pct, 100 * n, side="right")  # partners z > j with pct * n[z] <= 100 * n[j]
         for j in range(len(node) - 1):
-            z = slice(j + 1, end[j])
-            if z.start >= z.stop:
+            z = np.arange(j + 1, end[j])
+            z = z[comp[z] != comp[j]]
+            if not len(z):
                 continue
             need = least_overlap(n[j], n[z], pct)
-            rest = 1 + np.minimum(n[j] - i[j] - 1, n[z] - i[z] - 1)
-            ok = (comp[z] != comp[j]) & (rest >= need)
-            if ok.any():
-                other = node[z][ok]
-                yield np.minimum(other, node[j]), np.maximum(other, node[j])
+            fit = 1 + np.minimum(n[j] - i[j] - 1, n[z] - i[z] - 1) >= need
+            z, need = z[fit], need[fit]
+            mine = tables[int(width[j])][row[j]]
+            keep, far = [], []
+            for w in np.unique(width[z]).tolist():
+                if (w, len(mine)) not in folded:
+                    folded[w, len(mine)] = _fold(tables[w].T, len(mine)).T if w >= len(mine) else None
+                there = width[z] == w
+                table = folded[w, len(mine)]
+                if table is None:  # a larger set never has a smaller bitmap
+                    keep.append(z[there])
+                    far.append(np.zeros(len(keep[-1]), np.int64))
+                    continue
+                apart = np.bitwise_count(table[row[z[there]]] ^ mine).sum(1)
+                near = apart <= n[j] + n[z[there]] - 2 * need[there]
+                keep.append(z[there][near])
+                far.append(apart[near])
+            z = np.concatenate(keep) if keep else z
+            if nearest and len(z):
+                z = z[[np.concatenate(far).argmin()]]
+            if len(z):
+                yield node[j], node[z]
 
     def run(batches):
         held: list = []
@@ -170,32 +201,35 @@ def _apart(lists: DataFrame, pct: int) -> DataFrame:
             nonlocal held
             if not held:
                 return
-            cols = [np.concatenate([h[c] for h in held]) for c in range(5)]
+            cols = [np.concatenate([h[c] for h in held]) for c in range(6)]
             cut = np.flatnonzero(np.diff(cols[0])) + 1
             edges = np.concatenate(([0], cut, [len(cols[0])]))
             last = len(edges) - 1 if final else len(edges) - 2
-            xs, ys = [], []
+            xs, ys, many = [], [], 0
             for a, b in zip(edges[:last], edges[1:last + 1]):
                 for x, y in pairs(*(c[a:b] for c in cols)):
                     xs.append(x), ys.append(y)
-                    if len(xs) > 200_000:
-                        yield pair_batch(xs, ys)
-                        xs, ys = [], []
+                    many += len(y)
+                    if many > 500_000:
+                        yield batch_of(xs, ys)
+                        xs, ys, many = [], [], 0
             held = [] if final else [[c[edges[last]:] for c in cols]]
             if xs:
-                yield pair_batch(xs, ys)
+                yield batch_of(xs, ys)
 
-        def pair_batch(xs, ys):
-            p = np.unique(np.stack((np.concatenate(xs), np.concatenate(ys))), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], names=["x", "y"])
+        def batch_of(xs, ys):
+            offsets = np.concatenate(([0], np.cumsum([len(y) for y in ys]))).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ys)))], names=["x", "ys"])
 
         for b in batches:
-            held.append([b.column(c).to_numpy(zero_copy_only=False) for c in ("t", "node", "n", "i", "comp")])
-            if sum(len(h[0]) for h in held) > 200_000:
+            held.append([b.column(c).to_numpy(zero_copy_only=False) for c in ("t", "node", "n", "i", "comp", "bits")])
+            if sum(len(h[0]) for h in held) > 100_000:
                 yield from flush(False)
         yield from flush(True)
 
-    return lists.select("t", "node", "n", "i", "comp").mapInArrow(run, "x long, y long").distinct()
+    merged = lists.select("t", "node", "n", "i", "comp", "bits").mapInArrow(run, "x long, ys array<long>").groupBy("x").agg(F.array_distinct(F.flatten(F.collect_list("ys"))).alias("ys"))
+    pairs_of = merged.select("x", F.explode("ys").alias("y"))
+    return pairs_of.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, pct: int, store: Store) -> DataFrame:
@@ -277,14 +311,18 @@ def linked(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
         return store.put(_scan(text, make, "node long, set binary", "node", "d1").dropDuplicates(["node"]), "sets")
 
     links = _verified(first, side, sets, pct, store)
-    comp = components(links, store)
-    # What is still apart: lists whose members lie in several components.
-    marked = entries.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_ = marked.groupBy("t").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("t")
-    lists = marked.join(open_, "t", "left_semi").repartition(parallelism(spark), "t").sortWithinPartitions("t")
-    rest = store.put(_apart(lists, pct).join(first, ["x", "y"], "left_anti"), "rest")
-    links = store.put(links.unionByName(_verified(rest, side, sets, pct, store)), "all_links")
-    comp = components(links, store)
+    tried, comp = first, components(links, store)
+    # Lists whose members lie in several components: first the nearest pairs, which join
+    # what is dense, then all that are still apart.
+    for nearest in (True, False):
+        store.free()
+        marked = entries.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        open_ = marked.groupBy("t").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("t")
+        lists = marked.join(open_, "t", "left_semi").join(nodes.select("node", "bits"), "node").repartition(parallelism(spark), "t").sortWithinPartitions("t")
+        rest = store.put(_apart(lists, pct, nearest).distinct().join(tried, ["x", "y"], "left_anti"), "rest")
+        links = store.put(links.unionByName(_verified(rest, side, sets, pct, store)), "all_links")
+        tried = store.put(tried.unionByName(rest), "tried")
+        comp = components(links, store)
     n_links = links.select(F.col("x").alias("node")).unionByName(links.select(F.col("y").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     of = same.join(comp, "node", "left").join(n_links, "node", "left").select("d1", "d2", "n", "copies", F.coalesce("comp", "node").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     of = store.put(of, "set_components")
