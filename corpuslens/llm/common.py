@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -32,13 +34,16 @@ class Store:
     """Written intermediate tables in the shared folder, dropped when not needed.
 
     A written table cuts lineage, so a lost executor costs a read rather than a
-    recomputation.
+    recomputation. What is left of them goes when the application ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/corpuslens/{uuid.uuid4().hex}"
-        self.n = 0
+        self.n, self.kept = 0, False
+
+    def _files(self, at: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(at).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -47,6 +52,8 @@ class Store:
     def put(self, df: DataFrame, name: str) -> DataFrame:
         at = self.path(name)
         df.write.option("compression", "zstd").parquet(at)
+        if not self.kept:
+            self.kept = self._files(self.root).deleteOnExit(self.spark._jvm.org.apache.hadoop.fs.Path(self.root))
         out = self.spark.read.schema(df.schema).parquet(at)
         out._corpuslens_path = at
         return out
@@ -55,16 +62,17 @@ class Store:
         """Deletes written tables (DataFrames from put(), or paths)."""
         for x in tables:
             at = x if isinstance(x, str) else x._corpuslens_path
-            jvm = self.spark._jvm
-            path = jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._files(at).delete(self.spark._jvm.org.apache.hadoop.fs.Path(at), True)
 
     def free(self) -> None:
-        """Lets Spark remove the shuffle files of plans that are no longer referenced."""
-        import gc
+        """Lets Spark remove the shuffle files of plans that are no longer referenced.
 
+        Python's handles of them are let go in the background, and so are the files.
+        """
         gc.collect()
+        time.sleep(0.3)
         self.spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def parallelism(spark: SparkSession) -> int:
