@@ -184,8 +184,8 @@ def _cut(n: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, n: int = 20, batches: int = 4, fan_in: int = 3) -> DataFrame:
-    """(doc_id, k1, copy, gone): for each text the starts of the n-word windows that also start earlier.
+def repeated_windows(docs: DataFrame, n: int = 20, batches: int = 4, fan_in: int = 3) -> tuple[DataFrame, DataFrame]:
+    """The texts with their keys, and (doc_id, k1, copy, gone): for each text the starts of the n-word windows that also start earlier.
 
     Earlier means a smaller doc_id, or the same document and a smaller start.
     copy marks documents whose whole text has a smaller doc_id too; their windows
@@ -195,8 +195,8 @@ def repeated_windows(docs: DataFrame, n: int = 20, batches: int = 4, fan_in: int
     """
     spark = docs.sparkSession
     store = Store(spark)
-    texts = first_texts(store, docs).where("doc_id is not null")
-    keyed = with_keys(docs)
+    texts, repeats = first_texts(store, docs)
+    texts, keyed = texts.where("doc_id is not null"), with_keys(docs, repeats)
     cuts = texts.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000).alias("c")).first()["c"] or []
     lows = [None, *sorted(set(cuts))]
     index, hits = FingerprintIndex(spark, fan_in), []
@@ -212,6 +212,7 @@ def repeated_windows(docs: DataFrame, n: int = 20, batches: int = 4, fan_in: int
     places = reduce(DataFrame.unionByName, hits).join(copies, ["doc_id", "k1"], "left_anti")
     places = store.put(places.groupBy("doc_id", "k1").agg(F.collect_set("pos").alias("at")), "places")
     store.drop(*hits)
+    store.free()
     windows = _windows(keyed.join(places, ["doc_id", "k1"]), n)
     spread = F.when(F.col("again"), F.xxhash64("doc_id", "s")).otherwise(0)
     rank = F.rank().over(Window.partitionBy("w1", "w2", spread).orderBy("doc_id", "k1", "s"))
@@ -219,7 +220,7 @@ def repeated_windows(docs: DataFrame, n: int = 20, batches: int = 4, fan_in: int
     gone = store.put(texts.select("doc_id", "k1", (F.col("doc_id") > F.col("first")).alias("copy")).distinct().join(gone, ["doc_id", "k1"], "left"), "gone")
     store.drop(places)
     store.free()
-    return gone
+    return keyed, gone
 
 
 def dedup(docs: DataFrame, n: int = 20, batches: int = 4) -> DataFrame:
@@ -227,8 +228,8 @@ def dedup(docs: DataFrame, n: int = 20, batches: int = 4) -> DataFrame:
 
     Kept words are joined by one space. A null text has no words.
     """
-    gone = repeated_windows(docs, n, batches)
-    rows = with_keys(docs).join(gone, ["doc_id", "k1"], "left")
+    keyed, gone = repeated_windows(docs, n, batches)
+    rows = keyed.join(gone, ["doc_id", "k1"], "left")
     rows = rows.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_cut(n), f"doc_id {kind}, text string, n_words long, n_removed long")

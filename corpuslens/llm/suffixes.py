@@ -241,16 +241,17 @@ def _cut(min_bytes: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, n: int = 400, k: int = GRAM) -> DataFrame:
-    """(doc_id, k1, copy, spans array<struct<a,b>>): bytes [a, b) covered by n-byte strings that occur elsewhere too.
+def repeated_spans(docs: DataFrame, n: int = 400, k: int = GRAM) -> tuple[DataFrame, DataFrame]:
+    """The texts with their keys, and (doc_id, k1, copy, spans array<struct<a,b>>): bytes [a, b) covered by n-byte strings that occur elsewhere too.
 
     copy marks texts that several rows have: all their bytes repeat if there are
     n of them. Rows without doc_id are texts like any other, but only whole
     copies are found among them. Rows that repeat a doc_id are documents of their own.
     """
     store = Store(docs.sparkSession)
-    texts = first_texts(store, docs).where("doc_id is not null")
-    keyed = with_keys(docs).where("doc_id is not null")
+    texts, repeats = first_texts(store, docs)
+    texts, rows = texts.where("doc_id is not null"), with_keys(docs, repeats)
+    keyed = rows.where("doc_id is not null")
     prints = store.put(fingerprints(keyed, n, k), "prints")
     often = prints.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp")
     later = texts.where("doc_id <> first").select("doc_id", "k1")
@@ -277,13 +278,13 @@ def repeated_spans(docs: DataFrame, n: int = 400, k: int = GRAM) -> DataFrame:
     out = store.put(out, "spans")
     store.drop(pieces, runs)
     store.free()
-    return out
+    return rows, out
 
 
 def dedup(docs: DataFrame, n: int = 400, k: int = GRAM) -> DataFrame:
     """(doc_id, kept binary, n_bytes, n_removed, n_spans) of every row; a null text has no bytes."""
-    spans = repeated_spans(docs, n, k)
-    rows = with_keys(docs).join(spans, ["doc_id", "k1"], "left")
+    keyed, spans = repeated_spans(docs, n, k)
+    rows = keyed.join(spans, ["doc_id", "k1"], "left")
     rows = rows.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), F.coalesce("spans", F.array().cast("array<struct<a:int,b:int>>")).alias("spans"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_cut(n), f"doc_id {kind}, kept binary, n_bytes long, n_removed long, n_spans long")
