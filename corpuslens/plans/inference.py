@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -15,10 +17,10 @@ _H = "md5(concat_ws(':', '42', rep::VARCHAR, {u}::VARCHAR))"
 
 
 def _cut(spark):
-    """Cuts lineage by a reliable checkpoint where the session names a folder for them."""
-    if spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
-        return lambda df: df.checkpoint()
-    return lambda df: df
+    """Cuts lineage by reliable checkpoints; a temporary folder is set only where the session names none."""
+    if not (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpuslens-"))
+    return lambda df: df.checkpoint()
 
 
 _PW = f"""WITH e AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS place FROM events),
