@@ -245,8 +245,8 @@ def repeated_spans(docs: DataFrame, n: int = 400, k: int = GRAM) -> tuple[DataFr
     """The texts with their keys, and (doc_id, k1, copy, spans array<struct<a,b>>): bytes [a, b) covered by n-byte strings that occur elsewhere too.
 
     copy marks texts that several rows have: all their bytes repeat if there are
-    n of them. Rows without doc_id are texts like any other, but only whole
-    copies are found among them. Rows that repeat a doc_id are documents of their own.
+    n of them. Rows without doc_id match nothing and are left out. Rows that
+    repeat a doc_id are documents of their own.
     """
     store = Store(docs.sparkSession)
     texts, repeats = first_texts(store, docs)
