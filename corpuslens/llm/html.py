@@ -33,6 +33,8 @@ NAMES = re.compile(
     r"masthead|menus?|modal|nav|navbar|navigation|navigator|newsletter|notices?|pagination|pager|popups?|promo|promoted|promotions?|recommended|related|replies|respond|search|share|sharing|"
     r"sidebars?|signup|social|sponsored|sponsors?|subscribe|subscription|toolbar|topbar|widgets?|complementary|contentinfo|alert|toc|login|author-bio|tags)(?![a-z])"
 )
+#: Words that name furniture only outside an article.
+OUTER_NAMES = re.compile(r"(?<![a-z])(header|top|bottom|legal)(?![a-z])")
 #: Frequent function words of the supported languages.
 STOP_WORDS = frozenset(
     "a an and are as at be but by for from had has have he her his i in is it its not of on or she that the their they this to was we were which with you "
@@ -56,7 +58,7 @@ def _furniture(tag: str, attrs: str, in_article: bool) -> bool:
         key, value = key.lower(), (a or b or c).lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             return True
-        if key in ("class", "id", "role", "aria-label") and NAMES.search(value):
+        if key in ("class", "id", "role", "aria-label") and (NAMES.search(value) or not in_article and OUTER_NAMES.search(value)):
             return True
     return False
 

@@ -219,6 +219,11 @@ def test_html_keeps_the_article_only():
     assert html.main_text("<p>cut <b") == html.main_text("<p>cut <b")  # broken markup is no error
 
 
+def test_html_furniture_by_name():
+    page = "<body><div class='site-header'><p>Brand</p></div><main><div class='article-header'><h1>Title</h1></div><p>Text &nbsp; here<br>and there</p><div id=newsletter><p>Sign up</p></div><p hidden>no</p><ul><li>point</ul><table><tr><td>a<td>b</table></main></body>"
+    assert html.main_text(page) == "Title\nText here and there\npoint\na\nb"
+
+
 def test_html_two_passes_without_an_article():
     long = "The people of the town were in the street and it was not for them to say that this was the end of what they had. " * 3
     page = f"<body><div><a href='/'>Home</a> <a href='/x'>News</a></div><p>Short.</p><p>{long}</p><p>Between.</p><p>{long}</p><ul><li><a href=1>one</a><li><a href=2>two</a></ul></body>"
