@@ -1 +1 @@
-
+"""No operator is streaming: events are bounded tables here, ordered by time within a user."""
