@@ -214,7 +214,7 @@ class Walk:
             setattr(self, name, column)
 
     def take(self, index) -> Walk:
-        return Walk(*(getattr(self, x)[index] for x in self.__slots__))
+        return Walk(*(getattr(self, x).take(index) if index.dtype != bool else getattr(self, x)[index] for x in self.__slots__))
 
     def scatter(self, place) -> Walk:
         out = []
@@ -234,11 +234,12 @@ def _walk(lat: Lattices, unit: np.ndarray, occ: np.ndarray, pos: np.ndarray, ste
     """Draws each occurrence's pieces from position pos down to its start; mask bars lengths at the first step."""
     width = lat.log.shape[1]
     bit = np.uint32(1) << np.arange(width, dtype=np.uint32)
+    flat = lat.log.reshape(-1)
     out, barred, base, first_occ, first_step = [], mask.any(), lat.start[unit].astype(np.int32), occ, step
     while len(occ):
-        c = base[occ] + pos - 1
-        draw = _uniform(key[occ], sample, step)
-        cum = lat.cum[c]
+        c = base.take(occ) + pos - 1
+        draw = _uniform(key.take(occ), sample, step)
+        cum = lat.cum.take(c, 0)
         if barred:  # only a few: the decisions at which paths leave earlier ones
             few = np.flatnonzero(mask)
             p = np.exp(lat.log[c[few]].astype(np.float64))
@@ -246,8 +247,11 @@ def _walk(lat: Lattices, unit: np.ndarray, occ: np.ndarray, pos: np.ndarray, ste
             part = np.cumsum(p, 1)
             cum[few] = part / part[:, -1:]
         draw = np.minimum(draw.astype(np.float32), np.float32(1 - 2.0**-24))  # below 1, where every row of cum ends
-        length = np.bitwise_count((cum <= draw[:, None]).view(np.uint64)).sum(1, dtype=np.int32)  # a row's flags are whole words
-        logp = lat.log[c, length].astype(np.float64)
+        words = np.bitwise_count((cum <= draw[:, None]).view(np.uint64))  # a row's flags are whole words
+        length = words[:, 0].astype(np.int32)
+        for j in range(1, words.shape[1]):
+            length += words[:, j]
+        logp = flat.take(c.astype(np.int64) * width + length).astype(np.float64)
         rest = -np.expm1(logp)
         if barred:
             p[np.arange(len(few)), length[few]] = 0
@@ -298,14 +302,14 @@ def sample_batch(texts: list, keys: np.ndarray, k: int, lat: Lattices, seed: int
     paths, out, alive = [], [], np.arange(n)
     branch = np.zeros(n, np.int64)  # each text's first new decision
     for number in range(1, k + 1):
-        text = u_text[whole.occ]
+        text = u_text.take(whole.occ)
         at = np.searchsorted(text, np.arange(n + 1))
         done = np.cumsum(whole.logp)
         base = np.where(at[:-1] > 0, done[at[:-1] - 1], 0.0)
         before = done - whole.logp - base[text]
         # Of a path's sets the one with the greatest free value has the greatest truncated value too.
         with np.errstate(divide="ignore"):
-            entry = before + np.log(np.maximum(whole.rest, 0)) + _gumbel(_uniform(key[whole.occ], 1000 + number, whole.step))
+            entry = before + np.log(np.maximum(whole.rest, 0)) + _gumbel(_uniform(key.take(whole.occ), 1000 + number, whole.step))
         entry[np.arange(len(text)) - at[text] < branch[text]] = -np.inf
         total = np.where(at[1:] > at[:-1], done[np.maximum(at[1:] - 1, 0)] - base, 0.0)
         paths.append((whole, at, entry, value))
@@ -378,7 +382,7 @@ def sample_batch(texts: list, keys: np.ndarray, k: int, lat: Lattices, seed: int
 
 def _ids(lat: Lattices, c: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of decisions, spelt characters as bytes, and how many ids each has."""
-    ids = lat.piece[c, length - 1].astype(np.int32)
+    ids = lat.piece.reshape(-1).take(c.astype(np.int64) * lat.piece.shape[1] + length - 1).astype(np.int32)
     spelt = np.flatnonzero(ids == NO_PIECE)
     counts = np.ones(len(ids), np.int64)
     if not len(spelt):
