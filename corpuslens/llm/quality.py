@@ -19,6 +19,8 @@ from .html import STOP_WORDS
 
 #: The most labelled rows that are fetched to the driver for fitting.
 FIT_ROWS = 20_000
+#: Bytes of text whose statistics are computed at once; workers keep what this takes.
+SLICE = 1 << 18
 
 FEATURES = (
     "log_bytes", "log_words", "mean_word", "sd_word", "long_words", "short_words", "upper", "digits", "symbols", "punctuation", "other_marks", "non_ascii",
@@ -195,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, **how) -> Tree
 
     def stats(batches):
         for b in batches:
-            for part in _slices(b.column("text")):
+            for part in _slices(b.column("text"), SLICE):
                 yield pa.RecordBatch.from_arrays(
                     [b.column("_id").slice(*part), b.column("_y").slice(*part), pa.array([r.tobytes() for r in features(b.column("text").slice(*part).to_pylist())], pa.binary())],
                     names=["_id", "_y", "x"],
@@ -226,7 +228,7 @@ def score(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for part in _slices(b.column("_scored_text")):
+            for part in _slices(b.column("_scored_text"), SLICE):
                 piece = b.slice(*part)
                 s = trees.score(features(piece.column("_scored_text").to_pylist()))
                 yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(s, pa.float64())], names=[*b.schema.names[:-1], "score"])
