@@ -146,12 +146,12 @@ def _neighbours(df: DataFrame, key: str, pct: int) -> DataFrame:
 
 
 def _apart(lists: DataFrame, pct: int, nearest: bool) -> DataFrame:
-    """Distinct pairs (x, y) of list members of different components that size, position and bitmaps allow.
+    """(t, x, ys): for list members the members of other components that size, position and bitmaps allow.
 
     With nearest, only each member's pair of least bitmap distance in a list.
 
     Pairs are tried within the task; a member leaves it with the array of those
-    that pass all filters, and a member's arrays are merged before pairs are rows.
+    that pass all filters.
     """
 
     def pairs(t, node, n, i, comp, bits):
@@ -192,7 +192,7 @@ def _apart(lists: DataFrame, pct: int, nearest: bool) -> DataFrame:
             if nearest and len(z):
                 z = z[[np.concatenate(far).argmin()]]
             if len(z):
-                yield node[j], node[z]
+                yield t[0], node[j], node[z]
 
     def run(batches):
         held: list = []
@@ -205,21 +205,21 @@ def _apart(lists: DataFrame, pct: int, nearest: bool) -> DataFrame:
             cut = np.flatnonzero(np.diff(cols[0])) + 1
             edges = np.concatenate(([0], cut, [len(cols[0])]))
             last = len(edges) - 1 if final else len(edges) - 2
-            xs, ys, many = [], [], 0
+            ts, xs, ys, many = [], [], [], 0
             for a, b in zip(edges[:last], edges[1:last + 1]):
-                for x, y in pairs(*(c[a:b] for c in cols)):
-                    xs.append(x), ys.append(y)
+                for t, x, y in pairs(*(c[a:b] for c in cols)):
+                    ts.append(t), xs.append(x), ys.append(y)
                     many += len(y)
                     if many > 500_000:
-                        yield batch_of(xs, ys)
-                        xs, ys, many = [], [], 0
+                        yield batch_of(ts, xs, ys)
+                        ts, xs, ys, many = [], [], [], 0
             held = [] if final else [[c[edges[last]:] for c in cols]]
             if xs:
-                yield batch_of(xs, ys)
+                yield batch_of(ts, xs, ys)
 
-        def batch_of(xs, ys):
+        def batch_of(ts, xs, ys):
             offsets = np.concatenate(([0], np.cumsum([len(y) for y in ys]))).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ys)))], names=["x", "ys"])
+            return pa.RecordBatch.from_arrays([pa.array(ts, pa.int64()), pa.array(xs, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ys)))], names=["t", "x", "ys"])
 
         for b in batches:
             held.append([b.column(c).to_numpy(zero_copy_only=False) for c in ("t", "node", "n", "i", "comp", "bits")])
@@ -227,9 +227,14 @@ def _apart(lists: DataFrame, pct: int, nearest: bool) -> DataFrame:
                 yield from flush(False)
         yield from flush(True)
 
-    merged = lists.select("t", "node", "n", "i", "comp", "bits").mapInArrow(run, "x long, ys array<long>").groupBy("x").agg(F.array_distinct(F.flatten(F.collect_list("ys"))).alias("ys"))
-    pairs_of = merged.select("x", F.explode("ys").alias("y"))
-    return pairs_of.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    return lists.select("t", "node", "n", "i", "comp", "bits").mapInArrow(run, "t long, x long, ys array<long>")
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    """Distinct pairs (x, y), x < y; a member's arrays are merged before pairs are rows."""
+    merged = found.groupBy("x").agg(F.array_distinct(F.flatten(F.collect_list("ys"))).alias("ys"))
+    pairs = merged.select("x", F.explode("ys").alias("y"))
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, pct: int, store: Store) -> DataFrame:
@@ -313,13 +318,18 @@ def linked(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
     links = _verified(first, side, sets, pct, store)
     tried, comp = first, components(links, store)
     # Lists whose members lie in several components: first the nearest pairs, which join
-    # what is dense, then all that are still apart.
+    # what is dense, then all that are still apart. A list without any pair that passes
+    # the filters at first has none later, as components only grow.
+    hopeful = None
     for nearest in (True, False):
         store.free()
         marked = entries.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         open_ = marked.groupBy("t").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("t")
+        open_ = open_ if hopeful is None else open_.join(hopeful, "t", "left_semi")
         lists = marked.join(open_, "t", "left_semi").join(nodes.select("node", "bits"), "node").repartition(parallelism(spark), "t").sortWithinPartitions("t")
-        rest = store.put(_apart(lists, pct, nearest).distinct().join(tried, ["x", "y"], "left_anti"), "rest")
+        found = store.put(_apart(lists, pct, nearest), "found")
+        hopeful = found.select("t").distinct()
+        rest = store.put(_pairs(found).join(tried, ["x", "y"], "left_anti"), "rest")
         links = store.put(links.unionByName(_verified(rest, side, sets, pct, store)), "all_links")
         tried = store.put(tried.unionByName(rest), "tried")
         comp = components(links, store)
