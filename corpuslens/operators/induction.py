@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .morphology import splits
+from .nulls import repeated
 
 
 def mdl_suffixes(types: DataFrame, most: int = 8, stem: int = 3, longest: int = 4) -> DataFrame:
@@ -40,33 +42,52 @@ def mdl_suffixes(types: DataFrame, most: int = 8, stem: int = 3, longest: int =
     return spark.createDataFrame(chosen, "step int, suffix string, gain_bits double, n_types long")
 
 
-def markov_sequences(spark: SparkSession, bigrams: pd.DataFrame, lengths: pd.DataFrame, r: int, seed: int) -> DataFrame:
-    """(rep, seq, i, w): sequences drawn from bigram counts (a, b, c), one a row of lengths (seq, n), for each replicate.
+def markov_sequences(histories: DataFrame, bigrams: pd.DataFrame, r: int, seed: int) -> DataFrame:
+    """(rep, seq, i, w): for each replicate a sequence of n symbols for every row of histories (seq, n), drawn from bigram counts (a, b, c).
 
-    The model is types squared, a small table that travels with the task; the
-    first symbol is drawn from all left sides. A replicate is one row of work.
+    The model holds each distinct pair once and travels with the task; the first
+    symbol, and one after a symbol without a follower, is drawn from all left
+    sides. Rows of (rep, seq) are dealt over the tasks, and a draw depends on
+    seed, replicate, sequence and place alone.
     """
-    names = sorted(set(bigrams["a"]) | set(bigrams["b"]))
-    place = {x: i for i, x in enumerate(names)}
-    m = np.zeros((len(names), len(names)))
-    for a, b, c in bigrams[["a", "b", "c"]].itertuples(index=False):
-        m[place[a], place[b]] += c
-    start = m.sum(1) / max(1.0, m.sum())
-    step = np.where(m.sum(1, keepdims=True) > 0, m / np.maximum(m.sum(1, keepdims=True), 1), start).cumsum(1)
-    first = start.cumsum()
-    seqs, sizes = lengths["seq"].to_numpy(), lengths["n"].to_numpy()
+    spark = histories.sparkSession
+    names, code = np.unique(np.concatenate((bigrams["a"].to_numpy(object), bigrams["b"].to_numpy(object))).astype(str), return_inverse=True)
+    left, right, c = code[: len(bigrams)], code[len(bigrams):], bigrams["c"].to_numpy(np.int64)
+    order = np.lexsort((right, left))
+    left, right, upto = left[order], right[order], c[order].cumsum()
+    total = np.zeros(len(names), np.int64)
+    np.add.at(total, left, c[order])
+    first = total.cumsum()
 
-    def run(frames):
-        for pdf in frames:
-            for rep in pdf["rep"]:
-                rng = np.random.default_rng((seed, int(rep)))
-                rows = []
-                for s, n in zip(seqs, sizes):
-                    u = rng.random(n)
-                    w = int(np.searchsorted(first, u[0] * first[-1]))
-                    for i in range(n):
-                        w = w if i == 0 else int(np.searchsorted(step[w], u[i] * step[w][-1]))
-                        rows.append((int(rep), int(s), i, names[min(w, len(names) - 1)]))
-                yield pd.DataFrame(rows, columns=["rep", "seq", "i", "w"])
+    def mixed(x):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
 
-    return spark.range(1, r + 1, 1, min(r, 64)).select(F.col("id").alias("rep")).mapInPandas(run, "rep long, seq long, i int, w string")
+    def run(batches):
+        words = pa.array(names.tolist(), pa.string())
+        for b in batches:
+            n = b.column("n").to_numpy()
+            by = np.argsort(-n, kind="stable")
+            n, key = n[by], mixed(b.column("key").to_numpy()[by].view(np.uint64))
+            w, places, own, many = np.zeros(len(n), np.int64), [], [], 0
+            for i in range(int(n[0]) if len(n) else 0):
+                live = int(np.searchsorted(-n, -i, side="left"))  # n > i
+                u = (mixed(key[:live] + np.uint64((i + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(11)) / 2.0**53
+                stay = total[w[:live]] if i else np.zeros(live, np.int64)
+                start = np.searchsorted(first, (u * first[-1]).astype(np.int64), side="right")
+                step = np.searchsorted(upto, first[w[:live]] - stay + (u * stay).astype(np.int64), side="right")
+                w[:live] = np.where(stay > 0, right[np.minimum(step, len(right) - 1)], start)
+                places.append(w[:live].copy())
+                own.append(np.full(live, i, np.int32))
+                many += live
+                if many > 200_000 or i + 1 == n[0]:
+                    at = pa.array(np.concatenate([by[: len(x)] for x in places]))
+                    drawn = words.take(pa.array(np.concatenate(places)))
+                    yield pa.RecordBatch.from_arrays([b.column("rep").take(at), b.column("seq").take(at), pa.array(np.concatenate(own)), drawn], names=["rep", "seq", "i", "w"])
+                    places, own, many = [], [], 0
+
+    work = repeated(histories.select("seq", F.col("n").cast("long").alias("n")), r)
+    work = work.select("rep", F.col("seq").cast("long").alias("seq"), "n", F.xxhash64(F.lit(seed), "rep", "seq").alias("key"))
+    work = work.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rep", "seq")
+    return work.where("n > 0").mapInArrow(run, "rep long, seq long, i int, w string") if len(names) else work.select("rep", "seq", F.lit(0).alias("i"), F.lit("").alias("w")).limit(0)

@@ -481,9 +481,9 @@ def max_stat_fwer(spark, sf):
 def markov_null(spark, sf):
     """Opening counts of event types in synthetic histories from a bigram model."""
     e = load(spark, sf, "events")
-    pairs = sequences.adjacent(e, "user_id", ["ts", "event_id"], "event_type").groupBy("a", "b").agg(F.count("*").alias("c")).limit(10_000).toPandas()
-    lengths = e.groupBy(F.col("user_id").alias("seq")).agg(F.count("*").alias("n")).groupBy("n").agg(F.min("seq").alias("seq"), F.count("*").alias("k")).orderBy("n").limit(10_000).toPandas()
-    syn = induction.markov_sequences(spark, pairs, lengths, R, SEED)
+    pairs = sequences.adjacent(e, "user_id", ["ts", "event_id"], "event_type").groupBy("a", "b").agg(F.count("*").alias("c")).toPandas()  # types squared at most
+    histories = e.groupBy(F.col("user_id").alias("seq")).agg(F.count("*").alias("n"))
+    syn = induction.markov_sequences(histories, pairs, R, SEED)
     return syn.groupBy("rep", F.col("w").alias("event_type")).agg(F.count("*").alias("n"), F.sum((F.col("i") == 0).cast("long")).alias("n_initial"))
 
 

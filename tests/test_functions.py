@@ -2,11 +2,12 @@
 
 import math
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from corpuslens.functions import stats, text
-from corpuslens.operators import association, graphs, matching, models, morphology, nulls, sequences, tokens
+from corpuslens.operators import association, graphs, induction, matching, models, morphology, nulls, sequences, tokens
 
 
 def one(spark, col, **values):
@@ -143,3 +144,29 @@ def test_longest_suffix_and_paradigms(spark):
 def test_alignment(spark):
     df = spark.createDataFrame([("p", [["a", "b"], ["c"], ["d"]], [["a", "b"], ["d"]])], "pair string, a array<array<string>>, b array<array<string>>")
     assert [(r["i"], r["j"]) for r in matching.align(df).orderBy("i").collect()] == [(0, 0), (2, 1)]
+
+
+def test_markov_sequences_draw_one_history_per_history(spark):
+    pairs = pd.DataFrame({"a": ["x", "x", "y"], "b": ["y", "z", "x"], "c": [3, 1, 2]})  # z has no follower
+    histories = spark.createDataFrame([(i, 4) for i in range(300)] + [(None, 7)], "seq long, n long")
+    got = induction.markov_sequences(histories, pairs, 2, 42).toPandas()
+    assert len(got) == 2 * (300 * 4 + 7) and got["seq"].isna().sum() == 2 * 7
+    assert (got[got["seq"].notna()].groupby(["rep", "seq"])["i"].apply(sorted).map(tuple) == (0, 1, 2, 3)).all()
+    first = got[got["i"] == 0]["w"].value_counts(normalize=True)
+    assert abs(first["x"] - 4 / 6) < 0.08 and "z" not in first
+    runs = got[got["seq"].notna()].sort_values(["rep", "seq", "i"])
+    after = runs["w"].shift(-1)[(runs["w"] == "x") & (runs["i"] < 3)].value_counts(normalize=True)
+    assert abs(after["y"] - 3 / 4) < 0.06 and set(after.index) == {"y", "z"}
+    again = induction.markov_sequences(histories.repartition(3), pairs, 2, 42).toPandas()
+    key = ["rep", "seq", "i", "w"]
+    assert got.sort_values(key)[key].reset_index(drop=True).equals(again.sort_values(key)[key].reset_index(drop=True))
+
+
+def test_markov_null_simulates_every_event(spark):
+    from corpuslens.plans import inference
+
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/events.parquet").count()
+    got = inference.markov_null(spark, sf).groupBy("rep").agg(F.sum("n").alias("n"), F.sum("n_initial").alias("k")).collect()
+    users = spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().count()
+    assert len(got) == inference.R and {(r["n"], r["k"]) for r in got} == {(n, users)}
