@@ -356,6 +356,18 @@ def jaccard_families(spark, sf):
     return graphs.components(matching.jaccard_pairs(sets, "doc_id", "w", 0.5).select("a", "b"), _cut(spark))
 
 
+@query()
+def jaccard_families_all(spark, sf):
+    """The same families over records of any length; equal word sets meet once."""
+    ws = F.array_sort(F.array_distinct(text.words(F.col("text"))))
+    rec = load(spark, sf, "documents").select("doc_id", ws.alias("ws")).where(F.size("ws") > 0).withColumn("k", F.sha2(F.array_join("ws", " "), 256))
+    cut = _cut(spark)
+    first = rec.groupBy("k").agg(F.min("doc_id").alias("a"))
+    copies = rec.select("doc_id", "k").join(first, "k").where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
+    sets = cut(rec.join(first.select(F.col("a").alias("doc_id"), "k"), ["doc_id", "k"], "left_semi").select("doc_id", F.explode("ws").alias("w")))
+    return graphs.components(matching.jaccard_pairs(sets, "doc_id", "w", 0.5).select("a", "b").unionByName(copies), cut)
+
+
 @query(f"""WITH {TYPES}, p AS (SELECT DISTINCT unnest({WORDS.replace("text", "p_name")}) AS probe FROM part), f AS (SELECT w AS form FROM types WHERE freq >= 20)
 SELECT probe, form, round(1 - levenshtein(probe, form) / greatest(len(probe), len(form)), 6) AS sim FROM p, f WHERE abs(len(probe) - len(form)) <= 2 AND len(probe) >= 3 AND 1 - levenshtein(probe, form) / greatest(len(probe), len(form)) >= 0.7 - 1e-12""")
 def fuzzy_probe(spark, sf):

@@ -170,3 +170,37 @@ def test_markov_null_simulates_every_event(spark):
     got = inference.markov_null(spark, sf).groupBy("rep").agg(F.sum("n").alias("n"), F.sum("n_initial").alias("k")).collect()
     users = spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().count()
     assert len(got) == inference.R and {(r["n"], r["k"]) for r in got} == {(n, users)}
+
+
+def test_families_of_all_records_equal_brute_force(spark):
+    from corpuslens.plans import inference
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", text.words(F.col("text")).alias("ws")).collect()
+    sets = {r["doc_id"]: set(r["ws"]) for r in docs if r["ws"]}
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    linked = set()
+    for a in sorted(sets):
+        for b in (b for b in sets if b > a and 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+            linked |= {a, b}
+    assert any(len(r["ws"]) > 40 for r in docs if r["doc_id"] in linked)
+    assert {(r["id"], r["comp"]) for r in inference.jaccard_families_all(spark, sf).collect()} == {(d, find(d)) for d in linked}
+
+
+@pytest.mark.parametrize("threshold", [0.08, 0.5, 0.8])
+def test_jaccard_pairs_equal_brute_force(spark, threshold):
+    import random
+
+    rng = random.Random(3)
+    sets = {i: set(rng.choices("abcdefghijklmnop", k=rng.randint(1, 20))) for i in range(60)}
+    df = spark.createDataFrame([(i, w) for i, ws in sets.items() for w in ws], "k long, w string")
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold}
+    assert {(r["a"], r["b"]) for r in matching.jaccard_pairs(df, "k", "w", threshold).collect()} == want
