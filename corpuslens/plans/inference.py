@@ -372,9 +372,18 @@ def jaccard_families_all(spark, sf):
 SELECT probe, form, round(1 - levenshtein(probe, form) / greatest(len(probe), len(form)), 6) AS sim FROM p, f WHERE abs(len(probe) - len(form)) <= 2 AND len(probe) >= 3 AND 1 - levenshtein(probe, form) / greatest(len(probe), len(form)) >= 0.7 - 1e-12""")
 def fuzzy_probe(spark, sf):
     """Frequent words close to words of part names."""
-    forms = tokens.vocabulary(tokens.tokens(load(spark, sf, "documents"))).where("freq >= 20").select(F.col("w").alias("form"))
+    return _fuzzy(spark, sf, tokens.vocabulary(tokens.tokens(load(spark, sf, "documents"))).where("freq >= 20"))
+
+
+@query()
+def fuzzy_probe_all(spark, sf):
+    """All words, rare ones included, close to words of part names."""
+    return _fuzzy(spark, sf, tokens.vocabulary(tokens.tokens(load(spark, sf, "documents"))))
+
+
+def _fuzzy(spark, sf, types):
     probes = load(spark, sf, "part").select(F.explode(text.words(F.col("p_name"))).alias("probe")).where(F.length("probe") >= 3).distinct()
-    return matching.fuzzy(probes, forms, "probe", "form", 0.7).withColumn("sim", F.round("sim", 6))
+    return matching.fuzzy(probes, types.select(F.col("w").alias("form")), "probe", "form", 0.7).withColumn("sim", F.round("sim", 6))
 
 
 @query(f"""WITH b AS (SELECT item_id, unnest({WORDS}) AS w FROM benchmark), x AS (SELECT w, count(*) AS n_left FROM b GROUP BY w), {TYPES}

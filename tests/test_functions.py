@@ -204,3 +204,14 @@ def test_jaccard_pairs_equal_brute_force(spark, threshold):
     df = spark.createDataFrame([(i, w) for i, ws in sets.items() for w in ws], "k long, w string")
     want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold}
     assert {(r["a"], r["b"]) for r in matching.jaccard_pairs(df, "k", "w", threshold).collect()} == want
+
+
+def test_fuzzy_probe_all_finds_rare_words(spark):
+    from corpuslens.plans import inference
+
+    sf = "/root/testdata/sf0.001"
+    types = tokens.vocabulary(tokens.tokens(spark.read.parquet(f"{sf}/documents.parquet"))).select(F.col("w").alias("form"), "freq")
+    probes = spark.read.parquet(f"{sf}/part.parquet").select(F.explode(text.words(F.col("p_name"))).alias("probe")).where(F.length("probe") >= 3).distinct()
+    near = probes.crossJoin(types).where(text.similarity(F.col("probe"), F.col("form")) >= 0.7 - 1e-12).collect()
+    assert {(r["probe"], r["form"]) for r in inference.fuzzy_probe_all(spark, sf).collect()} == {(r["probe"], r["form"]) for r in near}
+    assert any(r["freq"] < 20 for r in near)
