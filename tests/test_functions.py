@@ -215,3 +215,14 @@ def test_fuzzy_probe_all_finds_rare_words(spark):
     near = probes.crossJoin(types).where(text.similarity(F.col("probe"), F.col("form")) >= 0.7 - 1e-12).collect()
     assert {(r["probe"], r["form"]) for r in inference.fuzzy_probe_all(spark, sf).collect()} == {(r["probe"], r["form"]) for r in near}
     assert any(r["freq"] < 20 for r in near)
+
+
+def test_null_models_have_the_replicates_of_their_name(spark):
+    from corpuslens.plans import registry
+
+    sf, of = "/root/testdata/sf0.001", registry.QUERIES
+    for name in ("perm_block", "letter_scramble", "max_stat_fwer"):
+        p = [r[-1] for r in of[f"{name}_r200"](spark, sf).collect()]
+        assert all(abs(x * 201 - round(x * 201)) < 1e-3 and 1 <= round(x * 201) <= 201 for x in p)
+    many = "perm_within_record perm_label perm_strata perm_cluster perm_block swap_null suffix_set_null bootstrap_cluster letter_scramble max_stat_fwer".split()
+    assert all(f"{name}_r200" in of and f"{name}_r200" not in registry.SQL for name in many)
