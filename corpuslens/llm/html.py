@@ -3,7 +3,8 @@
 The markup is cut into blocks of text. The first pass decides each block from
 its own length, link density and stop-word density, and from the containers it
 lies in; short blocks without a sign either way stay open. The second pass gives
-open blocks the label of their nearest decided neighbours.
+open blocks the label of the nearest decided neighbour, headings that of the
+following one; between two as near, both must be main text.
 """
 
 from __future__ import annotations
@@ -46,6 +47,7 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z]
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden|aria-label)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
 SPACE = re.compile(r"\s+")
 RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "noscript", "iframe", "title")}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 IMPLIED = frozenset("p li dt dd tr td th option".split())
 
 
@@ -64,10 +66,10 @@ def _furniture(tag: str, attrs: str, in_article: bool) -> bool:
 
 
 class Block:
-    __slots__ = ("text", "linked", "inside", "article", "label")
+    __slots__ = ("text", "linked", "inside", "article", "heading", "label")
 
-    def __init__(self, text, linked, inside, article):
-        self.text, self.linked, self.inside, self.article, self.label = text, linked, inside, article, None
+    def __init__(self, text, linked, inside, article, heading):
+        self.text, self.linked, self.inside, self.article, self.heading, self.label = text, linked, inside, article, heading, None
 
 
 def blocks(page: str) -> list:
@@ -82,7 +84,7 @@ def blocks(page: str) -> list:
         if parts:
             text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
-                out.append(Block(text, linked, bad > 0, article > 0))
+                out.append(Block(text, linked, bad > 0, article > 0, any(x[0] in HEADINGS for x in stack)))
         parts, linked = [], 0
 
     def pop():
@@ -141,7 +143,7 @@ def blocks(page: str) -> list:
 
 def decide(found: list, long_block: int = 200, short_block: int = 70, links: float = 0.33, stop_high: float = 0.32, stop_low: float = 0.30) -> None:
     """Labels every block True (main text) or False, in two passes."""
-    marked = any(b.article for b in found)
+    marked = any(b.article and not b.inside for b in found)
     for b in found:
         size = len(b.text)
         density = b.linked / max(1, size)
@@ -163,16 +165,21 @@ def decide(found: list, long_block: int = 200, short_block: int = 70, links: flo
             else:
                 b.label = None if size > 3 * long_block else False
     before, last = [], None
-    for b in found:
-        last = b.label if b.label is not None else last
+    for i, b in enumerate(found):
+        last = i if b.label is not None else last
         before.append(last)
-    last = None
-    for b, left in zip(reversed(found), reversed(before)):
-        decided = b.label
-        if decided is None:
-            b.label = bool(left) if last is None else bool(last) if left is None else bool(left and last)
+    labels, last = [b.label for b in found], None
+    for i in range(len(found) - 1, -1, -1):
+        left, b = before[i], found[i]
+        if labels[i] is not None:
+            last = i
+        elif left is None or last is None:
+            known = left if last is None else last
+            b.label = known is not None and labels[known]
+        elif b.heading or last - i < i - left:
+            b.label = labels[last]
         else:
-            last = decided
+            b.label = labels[left] if i - left < last - i else labels[left] and labels[last]
 
 
 def main_text(page: str | None) -> str:

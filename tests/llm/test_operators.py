@@ -230,6 +230,18 @@ def test_html_two_passes_without_an_article():
     assert html.main_text(page) == "\n".join(["Between." if x == "b" else long.strip() for x in ("l", "b", "l")])
 
 
+def test_html_comments_that_are_articles_do_not_mark_the_page():
+    long = "The people of the town were in the street and it was not for them to say that this was the end of what they had. " * 3
+    page = f'<body><ul><li><a href=1>one</a><li><a href=2>two</a></ul><h1>Head</h1><p>{long}</p><p>Last.</p><ol class="comment-list"><li class="comment"><article class="comment-body"><p>Nice, and thanks for it.</p></article></ol></body>'
+    assert html.main_text(page).split("\n")[:2] == ["Head", long.strip()] and "Nice" not in html.main_text(page)
+
+
+def test_html_open_blocks_take_the_nearest_label():
+    long = "The people of the town were in the street and it was not for them to say that this was the end of what they had. " * 3
+    page = f"<body><div><a href='/'>Home</a></div><h2>Head</h2><p>Far.</p><p>First.</p><p>{long}</p><p>Last.</p><p>Off.</p><p>Off.</p><ul><li><a href=1>one</a></ul></body>"
+    assert html.main_text(page).split("\n") == ["Head", "First.", long.strip(), "Last."]
+
+
 def test_html_operator(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (None, "u", "")], "page_id long, url string, html string")
     rows = {r["page_id"]: r for r in html.extract(df).collect()}
