@@ -12,13 +12,14 @@ from .morphology import splits
 from .nulls import repeated
 
 
-def mdl_suffixes(types: DataFrame, most: int = 8, stem: int = 3, longest: int = 4) -> DataFrame:
+def mdl_suffixes(types: DataFrame, stem: int = 3, longest: int = 4) -> DataFrame:
     """(step, suffix, gain_bits, n_types): endings added greedily while they shorten lexicon and text.
 
     A type costs its letters and an end mark unless it is split into a stem that
     is a type and an added ending; a token of an ending costs the negative log of
-    the ending's share of its candidates. Every step scores all candidates in one
-    aggregation and takes the best; types once split stay split.
+    the ending's share of its candidates. Types once split stay split. Types with
+    the same candidate endings are one row of the driver's table, which so grows
+    with the distinct endings; a step takes the rows of the best ending out.
     """
     spark = types.sparkSession
     letters = types.select(F.explode(F.filter(F.split("w", ""), lambda c: c != "")).alias("c")).distinct().count()
@@ -26,19 +27,31 @@ def mdl_suffixes(types: DataFrame, most: int = 8, stem: int = 3, longest: int =
     total = float(types.agg(F.sum("freq")).first()[0] or 0)
     known = types.select(F.col("w").alias("stem"))
     cut = splits(types, longest, stem).join(known, "stem", "left_semi").join(types, "w")
+    per = cut.groupBy("w").agg(F.sort_array(F.collect_list("suffix")).alias("ends"), F.first("freq").alias("freq"))
+    rows = [(r["ends"], r["n"], r["f"]) for r in per.groupBy("ends").agg(F.count("*").alias("n"), F.sum("freq").alias("f")).collect()]
+    names = sorted({x for ends, _, _ in rows for x in ends})
+    place = {x: i for i, x in enumerate(names)}
+    size, n, f = np.array([len(x) for x in names]), np.zeros(len(names)), np.zeros(len(names))
+    having: list = [[] for _ in names]
+    for k, (ends, count, tokens) in enumerate(rows):
+        for x in ends:
+            having[place[x]].append(k)
+            n[place[x]] += count
+            f[place[x]] += tokens
     chosen: list = []
-    for step in range(1, most + 1):
-        taken = [c[1] for c in chosen]
-        open_ = cut
-        if taken:  # a type ends in at most one of the endings before it is split, so a filter on the list is enough
-            done = cut.where(F.col("suffix").isin(taken)).select("w").distinct()
-            open_ = cut.join(done, "w", "left_anti")
-        per = open_.groupBy("suffix").agg(F.count("*").alias("n_types"), F.sum("freq").alias("f"), F.sum((F.length("suffix")) * bits).alias("saved"))
-        gain = F.col("saved") - (F.length("suffix") + 1) * bits - F.col("n_types") * F.log2(F.lit(total) / F.col("f"))
-        best = per.withColumn("gain", gain).orderBy(F.desc("gain"), "suffix").limit(1).collect()
-        if not best or best[0]["gain"] <= 1e-6:
+    done = np.zeros(len(rows), bool)
+    while names:
+        gain = np.where(n > 0, n * size * bits - (size + 1) * bits - n * np.log2(total / np.maximum(f, 1)), -np.inf)
+        best = int(gain.argmax())  # ties to the smaller ending
+        if gain[best] <= 1e-6:
             break
-        chosen.append((step, best[0]["suffix"], round(float(best[0]["gain"]), 6), int(best[0]["n_types"])))
+        chosen.append((len(chosen) + 1, names[best], round(float(gain[best]), 6), int(n[best])))
+        for k in having[best]:
+            if not done[k]:
+                done[k] = True
+                for x in rows[k][0]:
+                    n[place[x]] -= rows[k][1]
+                    f[place[x]] -= rows[k][2]
     return spark.createDataFrame(chosen, "step int, suffix string, gain_bits double, n_types long")
 
 

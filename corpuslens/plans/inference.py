@@ -315,7 +315,7 @@ def label_propagation(spark, sf):
     v = models.unit_vectors(e, "vec_id", "embedding")
     edges = graphs.symmetric(cut(graphs.knn(v, "vec_id", 10)))
     seeds = e.where(models.fold_of(F.col("vec_id"), SEED) == 0).select(F.col("vec_id").alias("id"), F.col("label").cast("int").alias("y"))
-    f = graphs.propagate(edges, seeds, "y", rounds=12, cut=cut)
+    f = graphs.propagate(edges, seeds, "y", cut=cut)
     best = models.decide(f.select("id", "y", F.round("f", 9).alias("score")), "id", "y")
     rest = e.select(F.col("vec_id").alias("id"), F.col("label").alias("truth")).join(seeds, "id", "left_anti")
     return models.confusion(rest.join(best, "id"), "truth", "predicted")
