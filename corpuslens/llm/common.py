@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,11 +22,13 @@ MASK = (1 << 64) - 1
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (spark.checkpoint.dir).
 
-    Where the session names none, as in tests on one machine, a temporary
-    folder is set for the session.
+    Where the session names none, a temporary folder serves a session on one
+    machine, as in tests; on a cluster there must be one.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="corpuslens-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -97,6 +101,25 @@ def hot_join(left: DataFrame, right: DataFrame, on, count: str, total: int, how:
     return a.unionByName(b)
 
 
+def tidy(run):
+    """run, a function of batches, giving freed memory back to the system at its end.
+
+    Python workers outlive their tasks; without this an idle one keeps the
+    largest heap it ever had, beside the tasks of the next stage.
+    """
+
+    def then(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return then
+
+
 # ---- vectorised hashing of texts -------------------------------------------------
 
 _B = 0x9E3779B97F4A7C15 | 1

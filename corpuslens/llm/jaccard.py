@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Store, hot_join, parallelism, range_hash, words_of
+from .common import Store, hot_join, parallelism, range_hash, tidy, words_of
 from .components import components
 from .quality import _slices as slices
 
@@ -58,7 +58,7 @@ def _scan(docs: DataFrame, make, schema: str, *cols: str) -> DataFrame:
             for part in slices(b.column("text")):
                 yield from make(b.slice(*part))
 
-    return docs.select(*cols, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(*cols, F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), schema)
 
 
 def frequent(docs: DataFrame, k: int) -> np.ndarray:
@@ -227,7 +227,7 @@ def _apart(lists: DataFrame, pct: int, nearest: bool) -> DataFrame:
                 yield from flush(False)
         yield from flush(True)
 
-    return lists.select("t", "node", "n", "i", "comp", "bits").mapInArrow(run, "t long, x long, ys array<long>")
+    return lists.select("t", "node", "n", "i", "comp", "bits").mapInArrow(tidy(run), "t long, x long, ys array<long>")
 
 
 def _pairs(found: DataFrame) -> DataFrame:
@@ -254,7 +254,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, pct: int, sto
         return run
 
     near = with_both(pairs, nodes, ["n", "bits"])
-    near = near.mapInArrow(filtered(lambda a, b, na, nb: may_reach(a, b, na, nb, pct), ["bits_x", "bits_y", "n_x", "n_y"]), "x long, y long")
+    near = near.mapInArrow(tidy(filtered(lambda a, b, na, nb: may_reach(a, b, na, nb, pct), ["bits_x", "bits_y", "n_x", "n_y"])), "x long, y long")
     near = store.put(near, "near")
 
     def reach(a, b):
@@ -262,7 +262,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, pct: int, sto
         common = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
         return 100 * common >= pct * (len(x) + len(y) - common)
 
-    links = with_both(near, sets(near), ["set"]).mapInArrow(filtered(reach, ["set_x", "set_y"]), "x long, y long")
+    links = with_both(near, sets(near), ["set"]).mapInArrow(tidy(filtered(reach, ["set_x", "set_y"])), "x long, y long")
     return store.put(links, "links")
 
 

@@ -6,14 +6,21 @@ its old rank plus the number of suffixes of the same old rank whose rank half a
 prefix further is smaller. Each refinement is a count by (rank, second rank),
 combined before the shuffle, and two running sums: over buckets of second ranks
 and within a bucket, so a line that makes up a third of the corpus is spread over
-many tasks. Suffixes with a rank of their own are done. Positions of equal rank
-at depth `min_lines` are an interval of the suffix array whose longest common
-prefixes are at least min_lines; all its members but the first in corpus order
-are later copies. DataFrame functions only.
+many tasks. Rounds go on until every suffix has a rank of its own or shares it
+with suffixes that are equal up to their documents' ends; documents without open
+suffixes leave.
+
+Suffixes of equal rank at a depth are an interval of the suffix array whose
+common prefixes reach that depth. Each member but the first in corpus order is a
+later copy of that many lines. A repeated run of any length is the union of the
+members' prefixes at their greatest depths, so these, merged, are the maximal
+runs, and they are deleted. DataFrame functions only.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,12 +31,21 @@ BROADCAST_ROWS = 200_000
 BEFORE = (Window.unboundedPreceding, -1)
 
 
+KEY = ["doc_id", "k1"]
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs with k1, which tells rows apart that repeat a doc_id with another text; and whether any doc_id repeats."""
+    repeats = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
+    return docs.withColumn("k1", F.xxhash64(F.col("text").cast("string")) if repeats else F.lit(0).cast("long")), repeats
+
+
 def lines_of(docs: DataFrame, long_words: int) -> DataFrame:
-    """(doc_id, i, s1, s2, long, blank): every line with two hashes of its content."""
-    out = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("i", "line"))
+    """(doc_id, k1, i, s1, s2, long, blank): every line with two hashes of its content."""
+    out = docs.where("doc_id is not null and text is not null").select(*KEY, F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("i", "line"))
     n_words = F.when(F.length("line") >= 2 * long_words - 1, F.regexp_count("line", F.lit(WORD))).otherwise(0)
     return out.select(
-        "doc_id", "i", F.xxhash64("line").alias("s1"), F.xxhash64(F.lit("second"), F.reverse("line")).alias("s2"),
+        *KEY, "i", F.xxhash64("line").alias("s1"), F.xxhash64(F.lit("second"), F.reverse("line")).alias("s2"),
         (n_words >= long_words).alias("long"), (~F.rlike("line", F.lit(WORD))).alias("blank"),
     )
 
@@ -52,71 +68,100 @@ def _refine(store: Store, df: DataFrame, bucket: Column, name: str) -> DataFrame
     return out
 
 
-def suffix_ranks(docs: DataFrame, depth: int, long_words: int, store: Store) -> tuple[DataFrame, DataFrame]:
-    """Ranks of all suffixes by their first line, and by their first `depth` lines.
+def intervals(lines: DataFrame, depth: int, store: Store):
+    """Yields (d, members): the suffixes (doc_id, k1, i, rank, c) that agree in their first d lines with another.
 
-    The second table has (doc_id, i, rank, c): suffixes of fewer lines are left
-    out, and c is the size of the suffix-array interval that agrees in depth lines.
+    c is the size of the interval of the suffix array, rank the place of its
+    first suffix. d is 1, then `depth` and its doublings. From `depth` on,
+    suffixes whose first `depth` lines are blank or fewer are left out, and runs
+    end before them. A table is gone when the next is asked for.
     """
-    base = store.put(lines_of(docs, long_words), "lines")
-    n = max(1, base.count())
-    one = _refine(store, base.withColumn("rank", F.lit(0).cast("long")), F.shiftright("s1", 52), "rank_1")
-    store.drop(base)
-    have, now = 1, one.drop("long", "blank")
-    while have < depth:
-        step = min(have, depth - have)
-        # A suffix whose rank is its own at this depth stays alone at every greater one.
-        follow = now.select("doc_id", (F.col("i") - step).alias("i"), F.col("rank").alias("s1"))
-        still = now.where("c > 1").select("doc_id", "i", "rank").join(follow, ["doc_id", "i"]).withColumn("s2", F.lit(0).cast("long"))
-        told = _refine(store, store.put(still, "open"), F.floor(F.col("s1") * 4096 / n), f"rank_{have + step}")
+    n = max(1, lines.count())
+    one = _refine(store, lines.withColumn("rank", F.lit(0).cast("long")), F.shiftright("s1", 52), "rank_1")
+    yield 1, one
+    hollow = one.where("blank").select(*KEY, F.explode(F.sequence(F.col("i") - depth + 1, "i")).alias("i")).groupBy(*KEY, "i").agg(F.count("*").alias("m"))
+    hollow = store.put(hollow.where(F.col("m") == depth).drop("m"), "hollow")
+    have, now, kept = 1, (one if depth > 1 else one.where("not blank")).select(*KEY, "i", "rank", "c"), [one]
+    bucket = F.floor(F.col("s1") * 4096 / n)
+    while True:
+        step = min(have, depth - have) if have < depth else have
+        follow = now.select(*KEY, (F.col("i") - step).alias("i"), F.col("rank").alias("s1"))
+        still = now.where("c > 1").select(*KEY, "i", "rank").join(follow, [*KEY, "i"]).withColumn("s2", F.lit(0).cast("long"))
+        still = store.put(still, "open")
+        told = _refine(store, still, bucket, f"rank_{have + step}")
+        store.drop(still)
         have += step
-        alone = now.where("c = 1")
-        now = told.unionByName(alone) if have == depth else store.put(told.unionByName(alone), "ranks")
-    return one, now
-
-
-def _later(store: Store, at: DataFrame, length: int) -> DataFrame:
-    """(doc_id, a, b): lines a..b of the members of each interval but its first."""
+        shared = told.where("c > 1")
+        if have == depth:
+            shared = store.put(shared.join(hollow, [*KEY, "i"], "left_anti"), "shared")
+            kept += [shared, hollow]
+        if have >= depth:
+            yield have, shared
+        # A suffix whose rank is its own at a depth stays alone at every greater one.
+        # Of documents with open suffixes all ranks are needed, as what follows them.
+        ranks = shared.unionByName(told.where("c = 1")).unionByName(now.where("c = 1"))
+        following = store.put(ranks.join(shared.select(*KEY).distinct(), KEY, "left_semi"), "ranks")
+        store.drop(told, *kept)
+        now, kept = following, [following]
+        if have >= depth and not now.where("c > 1").limit(1).count():
+            store.drop(now)
+            return
+
+
+def _later(at: DataFrame, length: int, store: Store) -> DataFrame:
+    """(doc_id, k1, a, b), written: lines a..b of the members of each interval but its first."""
     at = at.where("c > 1")
-    first = store.put(at.groupBy("rank").agg(F.min(F.struct("doc_id", "i")).alias("first"), F.count("*").alias("m")), "first")
-    out = hot_join(at, first, "rank", "m", at.count(), "inner").where(F.struct("doc_id", "i") > F.col("first"))
-    return out.select("doc_id", F.col("i").alias("a"), (F.col("i") + length - 1).alias("b"))
+    first = store.put(at.groupBy("rank").agg(F.min(F.struct(*KEY, "i")).alias("first"), F.count("*").alias("m")), "first")
+    out = hot_join(at, first, "rank", "m", at.count(), "inner").where(F.struct(*KEY, "i") > F.col("first"))
+    out = store.put(out.select(*KEY, F.col("i").alias("a"), (F.col("i") + length - 1).alias("b")), f"later_{length}")
+    store.drop(first)
+    return out
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = 2, long_words: int = 50) -> DataFrame:
-    """(doc_id, runs): the maximal runs of lines to delete, array<struct<a,b>>, ordered.
+    """(doc_id, k1, runs): the maximal runs of lines to delete, array<struct<a,b>>, ordered.
 
-    A line is deleted if it lies in a run of min_lines lines that also starts
-    earlier (smaller doc_id, or the same document and an earlier line), or if it
-    has long_words words and occurs earlier. Lines are compared whole and
-    unchanged, runs of blank lines alone are left, and matches never cross
-    documents. Null texts and rows without doc_id have no lines.
+    docs: doc_id, k1, text. A line is deleted if it lies in a run of min_lines lines
+    that also starts earlier (smaller doc_id, or the same document and an earlier
+    line), or if it has long_words words and occurs earlier. Lines are compared
+    whole and unchanged, runs of blank lines alone are left, and matches never
+    cross documents. Null texts and rows without doc_id have no lines.
     """
     store = Store(docs.sparkSession)
-    one, deep = suffix_ranks(docs, min_lines, long_words, store)
-    filled = one.where("not blank").select("doc_id", F.explode(F.sequence(F.col("i") - min_lines + 1, "i")).alias("i")).distinct()
-    spans = _later(store, deep, min_lines).join(filled.withColumnRenamed("i", "a"), ["doc_id", "a"], "left_semi")
-    spans = spans.unionByName(_later(store, one.where("long").drop("long", "blank"), 1))
+    lines = store.put(lines_of(docs, long_words), "lines")
+    spans = []
+    for depth, members in intervals(lines, min_lines, store):
+        if depth == 1:
+            store.drop(lines)
+            members = members.where("long") if min_lines > 1 else members.where("long or not blank")
+        spans.append(_later(members.select(*KEY, "i", "rank", "c"), depth, store))
+    spans = reduce(DataFrame.unionByName, spans)
     # Spans of a document that overlap or touch are one run.
-    by = Window.partitionBy("doc_id").orderBy("a", "b")
+    by = Window.partitionBy(*KEY).orderBy("a", "b")
     reach = F.max("b").over(by.rowsBetween(*BEFORE))
     spans = spans.withColumn("new", F.when(F.col("a") <= reach + 1, 0).otherwise(1)).withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = spans.groupBy("doc_id", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-    return runs.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("runs"))
+    runs = spans.groupBy(*KEY, "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return runs.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("runs"))
 
 
 def dedup(docs: DataFrame, min_lines: int = 2, long_words: int = 50) -> DataFrame:
     """docs with text without later copies, and n_lines, n_deleted, n_runs in place of columns so named.
 
     A null text has 0 lines and stays null; an empty one has one empty line.
+    Rows without doc_id stay as they are. Rows that repeat a doc_id with another
+    text are documents of their own, in the order of their texts' hashes; rows
+    equal in both are one document, and each keeps what it keeps.
     """
-    docs = docs.drop("n_lines", "n_deleted", "n_runs", "_runs")
+    docs = docs.drop("n_lines", "n_deleted", "n_runs", "_runs", "_k1")
     store = Store(docs.sparkSession)
-    runs = store.put(repeated_runs(docs.select("doc_id", "text"), min_lines, long_words).withColumnRenamed("runs", "_runs"), "runs")
-    runs = F.broadcast(runs) if runs.count() <= BROADCAST_ROWS else runs
+    rows, repeats = _keyed(docs.select("doc_id", "text"))
+    runs = repeated_runs(rows.dropDuplicates(KEY) if repeats else rows, min_lines, long_words)
+    runs = store.put(runs.select("doc_id", F.col("k1").alias("_k1"), F.col("runs").alias("_runs")), "runs")
+    few = runs.count() <= BROADCAST_ROWS and (runs.agg(F.sum(F.size("_runs"))).first()[0] or 0) <= 4 * BROADCAST_ROWS
     lines = F.split(F.col("text").cast("string"), "\n")
     gone = lambda x, i: F.exists("_runs", lambda r: (r["a"] <= i) & (i <= r["b"]))
-    out = docs.join(runs, "doc_id", "left")
+    keyed = docs.withColumn("_k1", F.xxhash64(F.col("text").cast("string")) if repeats else F.lit(0).cast("long"))
+    out = keyed.join(F.broadcast(runs) if few else runs, ["doc_id", "_k1"], "left")
     kept = F.array_join(F.filter(lines, lambda x, i: ~gone(x, i)), "\n")
     n_deleted = F.aggregate("_runs", F.lit(0).cast("long"), lambda n, r: n + r["b"] - r["a"] + 1)
     return out.select(

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Store, parallelism, range_hash, words_of
+from .common import Store, parallelism, range_hash, tidy, words_of
 from .quality import _slices as slices
 from .winnow import anchors, first_texts, with_keys
 
@@ -96,7 +96,7 @@ def fingerprints(docs: DataFrame, n: int) -> DataFrame:
                     names=["fp", "doc_id", "k1", "pos"],
                 )
 
-    return docs.select("doc_id", "k1", "text").mapInArrow(run, "fp long, doc_id long, k1 long, pos int")
+    return docs.select("doc_id", "k1", "text").mapInArrow(tidy(run), "fp long, doc_id long, k1 long, pos int")
 
 
 def _windows(docs: DataFrame, n: int) -> DataFrame:
@@ -128,7 +128,7 @@ def _windows(docs: DataFrame, n: int) -> DataFrame:
                     names=["w1", "w2", "doc_id", "k1", "s", "again"],
                 )
 
-    return docs.select("doc_id", "k1", "text", "at").mapInArrow(run, "w1 long, w2 int, doc_id long, k1 long, s int, again boolean")
+    return docs.select("doc_id", "k1", "text", "at").mapInArrow(tidy(run), "w1 long, w2 int, doc_id long, k1 long, s int, again boolean")
 
 
 def _later(w1, w2, ids, k1, s) -> np.ndarray:
@@ -232,4 +232,4 @@ def dedup(docs: DataFrame, n: int = 20, batches: int = 4) -> DataFrame:
     rows = keyed.join(gone, ["doc_id", "k1"], "left")
     rows = rows.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_cut(n), f"doc_id {kind}, text string, n_words long, n_removed long")
+    return rows.mapInArrow(tidy(_cut(n)), f"doc_id {kind}, text string, n_words long, n_removed long")

@@ -24,14 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import mix, powers, range_hash
+from .common import mix, powers, range_hash, tidy
 from .quality import _slices as slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = 0x2581
 SLICE = 1 << 20
-CACHE = 1_200_000
-NO_PIECE = 0xFFFF
+CACHE = 1_000_000
+NO_PIECE = -1
+#: Lengths that a decision bars are kept as bits of a 64-bit word.
+WIDEST = 64
 
 
 class Vocabulary:
@@ -59,6 +61,8 @@ class Vocabulary:
         order = np.argsort(key)
         self.key, self.id, self.score = key[order], np.array(ids, np.int32)[order], np.array(scores)[order]
         self.longest = -(-max(len(t) for t in texts) // 8) * 8
+        if self.longest > WIDEST:
+            raise ValueError(f"{path} has a piece of more than {WIDEST} characters")
         slot = (self.key >> np.uint64(44)).astype(np.int64)
         self.slot = np.full(1 << 20, -1, np.int32)  # keys with the same leading bits are neighbours: the first, and
         self.slot[slot[::-1]] = np.arange(len(slot))[::-1]
@@ -97,7 +101,10 @@ class Vocabulary:
 class Lattices:
     """Lattices of distinct units, kept from batch to batch: for each last character and length, piece and conditional probability.
 
-    At most `most` characters are kept; when more come, those of the present batch stay.
+    The units of a batch lie side by side, longest first: all first characters,
+    then all second ones, and so on, so a step of all units is one stretch of
+    memory. At most `most` characters are kept; when more come, those of the
+    present batch stay.
     """
 
     def __init__(self, vocabulary: Vocabulary, theta: float, most: int = CACHE):
@@ -107,9 +114,13 @@ class Lattices:
     def _reset(self, room: int) -> None:
         width = self.vocabulary.longest
         self.size, self.known, self.unit = 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.steps, self.first, self.rank = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.chars = np.zeros(room, np.uint32)
-        self.piece, self.log, self.cum = np.zeros((room, width), np.uint16), np.zeros((room, width), np.float32), np.zeros((room, width), np.float32)
+        self.piece, self.log, self.cum = np.zeros((room, width), np.int32), np.zeros((room, width), np.float32), np.zeros((room, width), np.float32)
+
+    def place(self, unit: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        """Where the pos-th character (from 1) of each unit lies."""
+        return self.steps.take(self.first.take(unit) + (pos - 1)) + self.rank.take(unit)
 
     def units(self, chars: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The number of the lattice of each unit chars[start:end]."""
@@ -127,7 +138,6 @@ class Lattices:
         return self.unit[at][which]
 
     def _add(self, chars, start, end, extra, key) -> None:
-        size = end - start
         if self.size + extra > len(self.chars):
             room = max(min(2 * len(self.chars), self.most), self.size + extra)
             for name in ("chars", "piece", "log", "cum"):
@@ -135,62 +145,67 @@ class Lattices:
                 grown = np.empty((room, *old.shape[1:]), old.dtype)
                 grown[: self.size] = old[: self.size]
                 setattr(self, name, grown)
+        size = end - start
+        by = np.argsort(-size, kind="stable")
+        start, size, key = start[by], size[by], key[by]
+        active = np.searchsorted(-size, -np.arange(1, int(size.max(initial=0)) + 1), side="right")
+        at = np.concatenate(([0], np.cumsum(active)))
         ends = np.cumsum(size)
-        place = np.arange(extra) - np.repeat(ends - size, size) + np.repeat(start, size)
+        inner = np.arange(extra) - np.repeat(ends - size, size)
+        flat = chars[inner + np.repeat(start, size)]
+        there = at[inner] + np.repeat(np.arange(len(size)), size)  # from text order to this order
         part = slice(self.size, self.size + extra)
-        self.chars[part] = chars[place]
-        self._build(self.chars[part], ends - size, ends, self.piece[part], self.log[part], self.cum[part])
-        number = len(self.start) + np.arange(len(size))
-        self.start, self.length = np.concatenate((self.start, self.size + ends - size)), np.concatenate((self.length, size))
+        self.chars[part][there] = flat
+        self._build(flat, np.repeat(ends, size), there, at, self.piece[part], self.log[part], self.cum[part])
+        number = len(self.first) + np.arange(len(size))
+        self.first = np.concatenate((self.first, np.full(len(size), len(self.steps))))
+        self.rank = np.concatenate((self.rank, np.arange(len(size))))
+        self.steps = np.concatenate((self.steps, self.size + at[:-1]))
         self.size += extra
-        spot = np.searchsorted(self.known, key)
-        self.known, self.unit = np.insert(self.known, spot, key), np.insert(self.unit, spot, number)
+        order = np.argsort(key)
+        spot = np.searchsorted(self.known, key[order])
+        self.known, self.unit = np.insert(self.known, spot, key[order]), np.insert(self.unit, spot, number[order])
 
-    def _build(self, chars, start, end, piece, log, cum) -> None:
+    def _build(self, chars, limit, there, at, piece, log, cum) -> None:
         v, n = self.vocabulary, len(chars)
         width = v.longest
-        piece[:], log[:] = NO_PIECE, -np.inf
-        limit = np.repeat(end, end - start)
+        piece[:] = NO_PIECE
+        logs = np.full((width, n), -np.inf, np.float32)
         p, q = powers(n + 1)
         with np.errstate(over="ignore"):
             h = np.zeros(n + 1, np.uint64)
             np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * p[:n], out=h[1:])
-            s = np.arange(n)
+            s, room = np.arange(n), limit - np.arange(n)
             for length in range(1, width + 1):
-                s = s[s + length <= limit[s]]
+                on = np.flatnonzero(room >= length)
+                s, room = s[on], room[on]
                 if not len(s):
                     break
                 key = mix((h[s + length] - h[s]) * q[s] + np.uint64((length * 0xD6E8FEB86659FD93) & (2**64 - 1)))
-                where, at = v.find(key)
-                where = s[where] + length - 1
-                piece[where, length - 1], log[where, length - 1] = v.id[at], self.theta * v.score[at]
-        log[piece[:, 0] == NO_PIECE, 0] = self.theta * v.spelt
+                where, index = v.find(key)
+                where = there[s[where] + (length - 1)]
+                piece[where, length - 1], logs[length - 1, where] = v.id[index], self.theta * v.score[index]
+        logs[0, piece[:, 0] == NO_PIECE] = self.theta * v.spelt
         total = np.zeros(n)
-        size = end - start
-        by = np.argsort(-size, kind="stable")
-        active = np.searchsorted(-size[by], -np.arange(1, int(size.max(initial=0)) + 1), side="right")
-        for step, count in enumerate(active.tolist(), 1):
-            c = start[by[:count]] + step - 1
-            reach = min(step, width)
-            a = log.take(c, 0)[:, :reach]
-            near = total[c - 1] if step > 1 else np.zeros(count)
+        for step, (low, high) in enumerate(zip(at[:-1].tolist(), at[1:].tolist()), 1):
+            count, reach = high - low, min(step, width)
+            a = logs[:reach, low:high]
+            near = total[at[step - 2]:at[step - 2] + count] if step > 1 else 0.0
             for length in range(2, min(step - 1, width) + 1):  # sums relative to the last character's keep their precision
-                a[:, length - 1] += total[c - length] - near
+                a[length - 1] += total[at[step - length - 1]:at[step - length - 1] + count] - near
             if step <= width:
-                a[:, step - 1] -= near
-            top = a[:, 0].copy()
-            for length in range(1, reach):
-                np.maximum(top, a[:, length], out=top)
-            a -= top[:, None]
-            e = np.ones((count, width), np.float32)
-            np.exp(a, out=e[:, :reach])
+                a[step - 1] -= near
+            top = a.max(0)
+            a -= top
+            e = np.exp(a)
             for length in range(1, reach):
-                e[:, length] += e[:, length - 1]
-            z = np.log(e[:, reach - 1])
-            total[c] = near + top + z
-            log[c, :reach] = a - z[:, None]
-            e[:, :reach] /= e[:, reach - 1:reach].copy()
-            cum[c] = e
+                e[length] += e[length - 1]
+            z = np.log(e[reach - 1])
+            total[low:high] = near + top + z
+            a -= z
+            e /= e[reach - 1].copy()
+            log[low:high], cum[low:high, reach:] = logs[:, low:high].T, 1
+            cum[low:high, :reach] = e.T
 
 
 def _uniform(key: np.ndarray, stream: int, step) -> np.ndarray:
@@ -233,11 +248,12 @@ class Walk:
 def _walk(lat: Lattices, unit: np.ndarray, occ: np.ndarray, pos: np.ndarray, step: np.ndarray, mask: np.ndarray, key: np.ndarray, sample: int) -> Walk:
     """Draws each occurrence's pieces from position pos down to its start; mask bars lengths at the first step."""
     width = lat.log.shape[1]
-    bit = np.uint32(1) << np.arange(width, dtype=np.uint32)
+    bit = np.uint64(1) << np.arange(width, dtype=np.uint64)
     flat = lat.log.reshape(-1)
-    out, barred, base, first_occ, first_step = [], mask.any(), lat.start[unit].astype(np.int32), occ, step
+    out, barred, first_occ, first_step = [], mask.any(), occ, step
+    base, rank = lat.first.take(unit) - 1, lat.rank.take(unit)
     while len(occ):
-        c = base.take(occ) + pos - 1
+        c = lat.steps.take(base.take(occ) + pos) + rank.take(occ)
         draw = _uniform(key.take(occ), sample, step)
         cum = lat.cum.take(c, 0)
         if barred:  # only a few: the decisions at which paths leave earlier ones
@@ -260,10 +276,10 @@ def _walk(lat: Lattices, unit: np.ndarray, occ: np.ndarray, pos: np.ndarray, ste
         pos, step = pos - length - 1, step + 1
         on = pos > 0
         occ, pos, step, barred = occ[on], pos[on], step[on], False
-        mask = np.zeros(len(occ), np.uint32)
+        mask = np.zeros(len(occ), np.uint64)
     if not out:
         e = np.zeros(0, np.int64)
-        return Walk(e, e, e, e, e, e.astype(float), e.astype(float), e.astype(np.uint32))
+        return Walk(e, e, e, e, e, e.astype(float), e.astype(float), e.astype(np.uint64))
     w = Walk.merge(out)
     # By occurrence and step: an occurrence's steps are consecutive, so places are counted, not sorted.
     count = np.bincount(w.occ, minlength=len(unit))
@@ -298,7 +314,7 @@ def sample_batch(texts: list, keys: np.ndarray, k: int, lat: Lattices, seed: int
     value = _gumbel(_uniform(row_key, 0, 0))
     length = length.astype(np.int32)
     occ = np.arange(len(unit), dtype=np.int32)
-    whole = _walk(lat, unit, occ, length, np.zeros(len(occ), np.int32), np.zeros(len(occ), np.uint32), key, 1)
+    whole = _walk(lat, unit, occ, length, np.zeros(len(occ), np.int32), np.zeros(len(occ), np.uint64), key, 1)
     paths, out, alive = [], [], np.arange(n)
     branch = np.zeros(n, np.int64)  # each text's first new decision
     for number in range(1, k + 1):
@@ -344,7 +360,7 @@ def sample_batch(texts: list, keys: np.ndarray, k: int, lat: Lattices, seed: int
             hit = hit[only]
             branch[mine] = hit - a[mine]
             parts.append(w.take(rows[rows < np.repeat(hit, many)]))
-            again.append((w.occ[hit], w.pos[hit], w.step[hit], w.mask[hit] | (np.uint32(1) << (w.length[hit] - 1).astype(np.uint32))))
+            again.append((w.occ[hit], w.pos[hit], w.step[hit], w.mask[hit] | (np.uint64(1) << (w.length[hit] - 1).astype(np.uint64))))
             e[hit] = -np.inf
         value = best
         b_occ, b_pos, b_step, b_mask = (np.concatenate(x) for x in zip(*again))
@@ -353,7 +369,7 @@ def sample_batch(texts: list, keys: np.ndarray, k: int, lat: Lattices, seed: int
         later = np.flatnonzero(occ > b_of[u_text])
         fresh = _walk(
             lat, unit, np.concatenate((b_occ, later)), np.concatenate((b_pos, length[later])), np.concatenate((b_step, np.zeros(len(later), np.int32))),
-            np.concatenate((b_mask, np.zeros(len(later), np.uint32))), key, number + 1,
+            np.concatenate((b_mask, np.zeros(len(later), np.uint64))), key, number + 1,
         )
         # A path is what it shares with an earlier one, then its own decisions.
         parts = Walk.merge(parts)
@@ -382,7 +398,7 @@ def sample_batch(texts: list, keys: np.ndarray, k: int, lat: Lattices, seed: int
 
 def _ids(lat: Lattices, c: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of decisions, spelt characters as bytes, and how many ids each has."""
-    ids = lat.piece.reshape(-1).take(c.astype(np.int64) * lat.piece.shape[1] + length - 1).astype(np.int32)
+    ids = lat.piece.reshape(-1).take(c.astype(np.int64) * lat.piece.shape[1] + length - 1)
     spelt = np.flatnonzero(ids == NO_PIECE)
     counts = np.ones(len(ids), np.int64)
     if not len(spelt):
@@ -407,9 +423,10 @@ def sample(
     """(id, sample, ids, log_prob, log_inclusion, exact): up to k distinct segmentations of every text.
 
     Samples are numbered from 1 by falling perturbed value. exact says that the
-    ids decode to the text. A null or empty text has one sample without ids, of
+    ids decode to the text; a text that holds U+2581, the model's sign for a blank,
+    decodes to a blank there and isn't exact. A null or empty text has one sample without ids, of
     probability and inclusion 1. Rows with the same id, null included, and the
-    same text get the same samples. cache (characters of lattices kept, 160 bytes
+    same text get the same samples. cache (characters of lattices kept, 200 bytes
     each) and slice_bytes bound a task's memory; they don't change results.
     """
     vocabulary = Vocabulary(model)
@@ -422,6 +439,7 @@ def sample(
             for part in slices(b.column("text"), slice_bytes):
                 piece = b.slice(*part)
                 texts = [t or "" for t in piece.column("text").to_pylist()]
+                raw = [t.encode("utf-8", "surrogatepass") for t in texts]
                 none = np.flatnonzero([not t for t in texts])
                 if len(none):
                     yield batch(piece, none, 1, np.zeros(0, np.int32), np.zeros(len(none) + 1, np.int64), np.zeros(len(none)), np.zeros(len(none)), np.ones(len(none), bool))
@@ -430,7 +448,7 @@ def sample(
                         continue
                     text = vocabulary.decode(ids).tobytes()
                     cuts = np.concatenate(([0], np.cumsum(vocabulary.at[ids + 1] - vocabulary.at[ids])))[ends]
-                    exact = [text[x + 1:y].decode("utf-8", "replace") == texts[i].replace(chr(BLANK), " ") for i, x, y in zip(live.tolist(), cuts[:-1].tolist(), cuts[1:].tolist())]
+                    exact = [text[x + 1:y] == raw[i] for i, x, y in zip(live.tolist(), cuts[:-1].tolist(), cuts[1:].tolist())]
                     yield batch(piece, live, number, ids, ends, logp, score, np.array(exact))
 
     def batch(piece, rows, number, ids, ends, logp, score, exact):
@@ -440,7 +458,7 @@ def sample(
         ]
         return pa.RecordBatch.from_arrays(arrays, names=["_id", "sample", "ids", "log_prob", "log_inclusion", "exact"])
 
-    out = src.mapInArrow(run, f"_id {kind}, sample int, ids array<int>, log_prob double, log_inclusion double, exact boolean")
+    out = src.mapInArrow(tidy(run), f"_id {kind}, sample int, ids array<int>, log_prob double, log_inclusion double, exact boolean")
     return out.withColumnRenamed("_id", id_col)
 
 
@@ -454,4 +472,4 @@ def decode(df: DataFrame, ids_col: str = "ids", to: str = "text", model: str = M
             texts = [None if x is None else vocabulary.decode(np.array(x, np.int64)).tobytes()[1:].decode("utf-8", "replace") for x in lists]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, to])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(to, StringType())]))
+    return df.mapInArrow(tidy(run), StructType([*df.schema.fields, StructField(to, StringType())]))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import joined, range_hash, words_of
+from .common import joined, range_hash, tidy, words_of
 from .html import STOP_WORDS
 
 #: The most labelled rows that are fetched to the driver for fitting.
@@ -204,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, **how) -> Tree
                 )
 
     chosen = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "_id")
-    got = chosen.select("_id", F.col("_y").cast("int").alias("_y"), "text").mapInArrow(stats, "_id long, _y int, x binary")
+    got = chosen.select("_id", F.col("_y").cast("int").alias("_y"), "text").mapInArrow(tidy(stats), "_id long, _y int, x binary")
     got = got.orderBy("_id", "x").limit(4 * rows).toPandas()
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, len(FEATURES))
     return Trees.fit(x, got["_y"].to_numpy(np.float64), **how)
@@ -233,4 +233,4 @@ def score(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
                 s = trees.score(features(piece.column("_scored_text").to_pylist()))
                 yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(s, pa.float64())], names=[*b.schema.names[:-1], "score"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store, hot_join, joined, parallelism, range_hash
+from .common import Store, hot_join, joined, parallelism, range_hash, tidy
 from .quality import _slices as slices
 from .winnow import anchors, first_texts, with_keys
 
@@ -136,7 +136,7 @@ def _pieces(docs: DataFrame, n: int, k: int) -> DataFrame:
                     names=["fp", "d1", "d2", "doc_id", "k1", "pos", "back", "reach", "seg"],
                 )
 
-    return docs.select("doc_id", "k1", "text", "at").mapInArrow(run, "fp long, d1 long, d2 long, doc_id long, k1 long, pos int, back int, reach int, seg binary")
+    return docs.select("doc_id", "k1", "text", "at").mapInArrow(tidy(run), "fp long, d1 long, d2 long, doc_id long, k1 long, pos int, back int, reach int, seg binary")
 
 
 def _bytes(texts):
@@ -162,7 +162,7 @@ def fingerprints(docs: DataFrame, n: int, k: int) -> DataFrame:
                     [pa.array(grams[at].view(np.int64)), piece.column("doc_id").take(take), piece.column("k1").take(take), pa.array((at - starts[who]).astype(np.int32))], names=["fp", "doc_id", "k1", "pos"]
                 )
 
-    return docs.select("doc_id", "k1", "text").mapInArrow(run, "fp long, doc_id long, k1 long, pos int")
+    return docs.select("doc_id", "k1", "text").mapInArrow(tidy(run), "fp long, doc_id long, k1 long, pos int")
 
 
 def _order(n: int, k: int):
@@ -264,7 +264,7 @@ def repeated_spans(docs: DataFrame, n: int = 400, k: int = GRAM) -> tuple[DataFr
     store.free()
     keys = ["fp", "d1", "d2"]
     strings = pieces.where("seg is not null").select(*keys, "back", "seg").repartition(parallelism(docs.sparkSession), "fp").sortWithinPartitions(*keys)
-    found = strings.mapInArrow(_order(n, k), "fp long, d1 long, d2 long, runs array<struct<a:int,b:int>>")
+    found = strings.mapInArrow(tidy(_order(n, k)), "fp long, d1 long, d2 long, runs array<struct<a:int,b:int>>")
     # A string that several places have repeats whole; an ordered one, where its windows have neighbours.
     count = pieces.groupBy(*keys).agg(F.count_distinct("doc_id", "k1", "pos").alias("c"), F.max("reach").alias("reach"), F.max("back").alias("back"))
     whole = F.array(F.struct((-F.col("back")).alias("a"), (F.col("reach") - n).cast("int").alias("b")))
@@ -287,4 +287,4 @@ def dedup(docs: DataFrame, n: int = 400, k: int = GRAM) -> DataFrame:
     rows = keyed.join(spans, ["doc_id", "k1"], "left")
     rows = rows.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), F.coalesce("spans", F.array().cast("array<struct<a:int,b:int>>")).alias("spans"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_cut(n), f"doc_id {kind}, kept binary, n_bytes long, n_removed long, n_spans long")
+    return rows.mapInArrow(tidy(_cut(n)), f"doc_id {kind}, kept binary, n_bytes long, n_removed long, n_spans long")

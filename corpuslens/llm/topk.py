@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Store
+from .common import Store, tidy
 
 BLOCK = 8192
 QUERY_BLOCK = 2048
@@ -148,6 +148,6 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int =
                 pdf = score_cell(_read(*(r["c"][x] for x in names)), _read(*(r["q"][x] for x in names)), k)
                 yield pa.RecordBatch.from_pandas(pdf, preserve_index=False)
 
-    part = both.select("c", "q").mapInArrow(arrow, "query_id long, vec_id long, score long")
+    part = both.select("c", "q").mapInArrow(tidy(arrow), "query_id long, vec_id long, score long")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return part.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot_join
+from .common import hot_join, tidy
 
 #: Fixed values of the format.
 END = "\r\n\r\n"
@@ -105,7 +105,7 @@ def write(pages: DataFrame, resolved: DataFrame, path: str, per_file: int = 1000
     rows = full.join(meta, full["page_id"].eqNullSafe(meta["page_id"]) & (full["sha"] == meta["sha"])).select(
         full["page_id"], full["url"], full["html"], meta["payload_bytes"], base32(full["sha"]).alias("payload_digest"), *[meta[x] for x in fields[5:]]
     )
-    rows.mapInArrow(make, "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    rows.mapInArrow(tidy(make), "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 def parse(data: bytes):
@@ -156,4 +156,4 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def _batch(out):
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(rows, schema)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(tidy(rows), schema)

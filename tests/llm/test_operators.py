@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpuslens.llm import decontaminate, html, jaccard, linededup, lsm, pieces, quality, suffixes, topk, warc
 from corpuslens.llm.components import components
@@ -280,19 +281,26 @@ def test_contained_items(spark):
     assert decontaminate.contained(d, it.limit(0)).count() == 0 and decontaminate.contained(d.limit(0), it).count() == 0
 
 
-@pytest.mark.parametrize("least", [2, 3])
+@pytest.mark.parametrize("least", [1, 2, 3, 7])
 def test_line_runs_match_brute_force(spark, least):
     rng = random.Random(7)
     pool = [f"line {i}" for i in range(12)] + ["", " ".join(["long"] * 50)]
+    runs = [[f"run {n} {j}" for j in range(n)] for n in (2, 3, 7, 40)]
     rows = [(i, "\n".join(rng.choices(pool, k=rng.randint(1, 12))), "", 1, "") for i in range(40)] + [(50, None, "", 1, ""), (51, "", "", 1, ""), (None, "line 1\nline 2", "", 1, "")]
-    got = {r["doc_id"]: r for r in linededup.dedup(frame(spark, rows), least).collect()}
+    for i in range(60, 76):  # runs of 2, 3, 7 and 40 lines amid others, at ends of texts too, and within one text
+        rows.append((i, "\n".join([f"own {i} {x}" for x in range(rng.randint(0, 3))] + runs[i % 4] + [f"end {i}"] * (i % 3) + (runs[i % 4] if i % 5 == 0 else [])), "", 1, ""))
+    rows += [(3, "\n".join(runs[2]), "", 1, ""), (3, "x\ny\nz", "", 1, ""), (7, rows[7][1], "", 1, ""), (7, rows[7][1], "", 1, "")]  # ids and rows that repeat
+    df = frame(spark, rows)
+    out = linededup.dedup(df.withColumn("_runs", F.lit(1)).withColumn("n_runs", F.lit("clash")), least)
+    key = {(r["doc_id"], r["text"]): r["k"] for r in df.select("doc_id", "text", F.xxhash64("text").alias("k")).collect()}
+    lines = {(i, key[i, t]): t.split("\n") for i, t, *_ in rows if i is not None and t is not None}
     first, lone = {}, {}
-    lines = {i: t.split("\n") for i, t, *_ in rows if i is not None and t is not None}
     for i in sorted(lines):
         for p in range(len(lines[i])):
             if p + least <= len(lines[i]):
                 first.setdefault(tuple(lines[i][p:p + least]), (i, p))
             lone.setdefault(lines[i][p], (i, p))
+    want = {}
     for i, ls in lines.items():
         dead = set()
         for p in range(len(ls)):
@@ -301,9 +309,12 @@ def test_line_runs_match_brute_force(spark, least):
                 dead |= set(range(p, p + least))
             if len(ls[p].split()) >= 50 and lone[ls[p]] != (i, p):
                 dead.add(p)
-        assert (got[i]["n_lines"], got[i]["n_deleted"]) == (len(ls), len(dead)), i
-        assert got[i]["text"] == "\n".join(x for p, x in enumerate(ls) if p not in dead)
-    assert got[50]["text"] is None and got[None]["text"] == "line 1\nline 2"
+        want[i] = (len(ls), len(dead), sum(p - 1 not in dead for p in dead), "\n".join(x for p, x in enumerate(ls) if p not in dead))
+    assert out.count() == len(rows)
+    found = sorted((r["doc_id"], r["n_lines"], r["n_deleted"], r["n_runs"], r["text"]) for r in out.where("doc_id is not null and text is not null").collect())
+    assert found == sorted((i, *want[i, key[i, t]]) for i, t, *_ in rows if i is not None and t is not None)
+    rest = {r["doc_id"]: r["text"] for r in out.where("doc_id is null or doc_id = 50").collect()}
+    assert rest == {None: "line 1\nline 2", 50: None}
     assert linededup.dedup(frame(spark, [])).count() == 0
 
 
