@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.llm import decontaminate, jaccard, linededup, pieces, quality
-from corpuslens.llm.common import WORD, Store
+from corpuslens.llm.common import WORD, Store, sized
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents that score lower are rejected.
@@ -34,16 +34,17 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group linked by five-word shingle sets of similarity 0.8 or more.
 
-    Of rows that repeat a doc_id one stays; rows without doc_id all stay.
+    Of rows that repeat a doc_id the least in all columns stays; rows without doc_id all stay.
     """
     store = Store(spark)
     linked = jaccard.linked(docs.select("doc_id", "text"), k=5, pct=80)
-    kept = store.put(linked.where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    count = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    out = docs.join(kept, "doc_id").select(*COLUMNS)
-    if count:
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    gone = store.put(linked.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    rows = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    out = docs.select(*COLUMNS).join(sized(gone, gone.count()), "doc_id", "left_anti")
+    if not rows:
+        return out
+    one = out.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return one.unionByName(out.where("doc_id is null"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,6 +78,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs, before = store.put(stage(spark, docs, sf_dir), name), last
         if before is not None:
             store.drop(before)
-        store.free()
         last = docs
     return docs

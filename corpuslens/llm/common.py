@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
-import time
 import uuid
 
 import numpy as np
@@ -17,6 +15,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 MASK = (1 << 64) - 1
+#: Spark's setting under which a query's shuffle files go when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,8 +54,14 @@ class Store:
         return f"{self.root}/{self.n:03d}_{name}"
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
+        """df, written; the shuffle files of its plan go with the end of the write."""
         at = self.path(name)
-        df.write.option("compression", "zstd").parquet(at)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(at)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         if not self.kept:
             self.kept = self._files(self.root).deleteOnExit(self.spark._jvm.org.apache.hadoop.fs.Path(self.root))
         out = self.spark.read.schema(df.schema).parquet(at)
@@ -68,22 +74,21 @@ class Store:
             at = x if isinstance(x, str) else x._corpuslens_path
             self._files(at).delete(self.spark._jvm.org.apache.hadoop.fs.Path(at), True)
 
-    def free(self) -> None:
-        """Lets Spark remove the shuffle files of plans that are no longer referenced.
-
-        Python's handles of them are let go in the background, and so are the files.
-        """
-        gc.collect()
-        time.sleep(0.3)
-        self.spark._jvm.System.gc()
-        time.sleep(0.3)
-
 
 def parallelism(spark: SparkSession) -> int:
     """Partitions for a shuffle whose count must be given."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+#: Most rows of a side that is broadcast whole; beyond it the join is shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """df, broadcast where its counted rows are few."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def hot_join(left: DataFrame, right: DataFrame, on, count: str, total: int, how: str = "left", share: int = 1000) -> DataFrame:
     """Joins left with right (one row a key) although a key may hold a third of left.
 

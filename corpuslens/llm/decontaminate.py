@@ -15,17 +15,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Store
+from .common import Store, sized
 from .shingles import hashes, texts, words
 
-#: Most rows of a side that is broadcast; beyond it the join is shuffled.
-BROADCAST_ROWS = 500_000
-
-
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def contained(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
     """(doc_id, item_id, n_item, n_common, containment) of pairs with containment >= threshold.
 
@@ -59,20 +51,20 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float =
         return docs.select("doc_id").limit(0).select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in (("item_id", items.schema["item_id"].dataType), ("n_item", "long"), ("n_common", "long"), ("containment", "double"))])
     base = docs.where("doc_id is not null").select("doc_id", "text")
     low = base.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("n"), F.explode(hashes(F.col("w"), k)).alias("h")).where(F.col("h") <= F.lit(top["c"]))
-    hit = low.join(_sized(sketch, n_sketch), "h").where((F.col("h") <= F.col("ceiling")) & (F.greatest(F.col("n"), F.lit(1)) * 100 >= F.col("q") * pct))
+    hit = low.join(sized(sketch, n_sketch), "h").where((F.col("h") <= F.col("ceiling")) & (F.greatest(F.col("n"), F.lit(1)) * 100 >= F.col("q") * pct))
     pairs = hit.groupBy("doc_id", "item_id", "need").agg(F.count_distinct("h").alias("hits")).where("hits >= need").select("doc_id", "item_id")
     pairs = store.put(pairs, "candidates")
     n_pairs = pairs.count()
     wanted = pairs.select("doc_id").distinct()
-    there = base.join(_sized(wanted, n_pairs), "doc_id", "left_semi")
+    there = base.join(sized(wanted, n_pairs), "doc_id", "left_semi")
     there = there.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(texts(F.col("w"), k)).alias("s"))
     n_items = it.count()
     common = (
-        there.join(_sized(it.select("item_id", "s"), n_items), "s").groupBy("doc_id", "item_id").agg(F.count_distinct("s").alias("n_common"))
-        .join(_sized(pairs, n_pairs), ["doc_id", "item_id"], "left_semi")
+        there.join(sized(it.select("item_id", "s"), n_items), "s").groupBy("doc_id", "item_id").agg(F.count_distinct("s").alias("n_common"))
+        .join(sized(pairs, n_pairs), ["doc_id", "item_id"], "left_semi")
     )
     n_item = it.groupBy("item_id").agg(F.count_distinct("s").alias("n_item"))
-    out = common.join(_sized(n_item, n_items), "item_id").where(F.col("n_common") * 100 >= F.col("n_item") * pct)
+    out = common.join(sized(n_item, n_items), "item_id").where(F.col("n_common") * 100 >= F.col("n_item") * pct)
     return out.select("doc_id", "item_id", "n_item", "n_common", F.round(F.col("n_common") / F.col("n_item"), 6).alias("containment"))
 
 
@@ -80,4 +72,4 @@ def clean(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8)
     """docs without the rows whose document contains an item; a null doc_id is kept."""
     store = Store(docs.sparkSession)
     found = store.put(contained(docs.select("doc_id", "text"), items, k, threshold).select("doc_id").distinct(), "contaminated")
-    return docs.join(_sized(found, found.count()), "doc_id", "left_anti")
+    return docs.join(sized(found, found.count()), "doc_id", "left_anti")

@@ -281,12 +281,13 @@ def linked(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
     often = frequent(docs, k)
     rows = store.put(prefixes(docs, k, pct, often), "prefixes")
     alone = store.put(rows.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")), "without_id")
+    repeats = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count() > 0
     version = store.put(rows.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("n", "d1", "d2")).alias("v")).select("doc_id", "v.*"), "versions")
     same = store.put(version.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "nodes")
-    found = rows.join(same.select(F.col("node").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id"])
+    found = rows.join(same.select(F.col("node").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi")
+    found = found.dropDuplicates(["doc_id"]) if repeats else found
     nodes = store.put(found.select(F.col("doc_id").alias("node"), "n", "prefix", "bits"), "prefix_nodes")
     store.drop(rows)
-    store.free()
     # Lists of at least two nodes; a shingle of one prefix alone can link nothing.
     entries = nodes.select("node", "n", F.posexplode("prefix").alias("i", "t"))
     entries = store.put(entries.withColumn("m", F.count("*").over(Window.partitionBy("t"))).where("m > 1").drop("m"), "entries")
@@ -322,7 +323,6 @@ def linked(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
     # the filters at first has none later, as components only grow.
     hopeful = None
     for nearest in (True, False):
-        store.free()
         marked = entries.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         open_ = marked.groupBy("t").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("t")
         open_ = open_ if hopeful is None else open_.join(hopeful, "t", "left_semi")

@@ -50,34 +50,36 @@ def lines_of(docs: DataFrame, long_words: int) -> DataFrame:
     )
 
 
-def _refine(store: Store, df: DataFrame, bucket: Column, name: str) -> DataFrame:
-    """Orders df's suffixes by (rank, s1, s2): the new rank, and the size c of its class.
+def _refine(store: Store, df: DataFrame, bucket: Column, n: int, name: str) -> DataFrame:
+    """Orders df's suffixes by (rank, s1, s2): the new rank, the size c of its class, and whether the suffix is later than another of it.
 
-    bucket must grow with s1 and split a rank into many parts.
+    bucket must grow with s1 and split a rank into many parts; n bounds df's rows.
     """
     keys = ["rank", "s1", "s2"]
-    counts = df.groupBy("rank", bucket.alias("bucket"), "s1", "s2").agg(F.count("*").alias("c"))
+    counts = df.groupBy("rank", bucket.alias("bucket"), "s1", "s2").agg(F.count("*").alias("c"), F.min(F.struct(*KEY, "i")).alias("first"))
     sums = counts.groupBy("rank", "bucket").agg(F.sum("c").alias("n"))
     offset = F.coalesce(F.sum("n").over(Window.partitionBy("rank").orderBy("bucket").rowsBetween(*BEFORE)), F.lit(0))
     inner = F.coalesce(F.sum("c").over(Window.partitionBy("rank", "bucket").orderBy("s1", "s2").rowsBetween(*BEFORE)), F.lit(0))
     told = counts.withColumn("inner", inner).join(sums.select("rank", "bucket", offset.alias("offset")), ["rank", "bucket"])
-    told = store.put(told.select(*keys, "c", (F.col("rank") + F.col("offset") + F.col("inner")).alias("next")), f"{name}_classes")
-    out = hot_join(df, told, keys, "c", df.count(), "inner").drop(*keys).withColumnRenamed("next", "rank")
+    told = store.put(told.select(*keys, "c", F.when(F.col("c") > 1, F.col("first")).alias("first"), (F.col("rank") + F.col("offset") + F.col("inner")).alias("next")), f"{name}_classes")
+    later = F.coalesce(F.struct(*KEY, "i") > F.col("first"), F.lit(False)).alias("later")
+    out = hot_join(df, told, keys, "c", n, "inner").select(*[x for x in df.columns if x not in keys], F.col("next").alias("rank"), "c", later)
     out = store.put(out, name)
     store.drop(told)
     return out
 
 
 def intervals(lines: DataFrame, depth: int, store: Store):
-    """Yields (d, members): the suffixes (doc_id, k1, i, rank, c) that agree in their first d lines with another.
+    """Yields (d, members): the suffixes (doc_id, k1, i, rank, c, later) that agree in their first d lines with another.
 
-    c is the size of the interval of the suffix array, rank the place of its
-    first suffix. d is 1, then `depth` and its doublings. From `depth` on,
-    suffixes whose first `depth` lines are blank or fewer are left out, and runs
-    end before them. A table is gone when the next is asked for.
+    c is the size of the interval of the suffix array, rank the place of its first
+    suffix, and later false for the first in corpus order. d is 1, then `depth`
+    and its doublings. From `depth` on, suffixes whose first `depth` lines are
+    blank or fewer are left out, and runs end before them. A table is gone when
+    the next is asked for.
     """
     n = max(1, lines.count())
-    one = _refine(store, lines.withColumn("rank", F.lit(0).cast("long")), F.shiftright("s1", 52), "rank_1")
+    one = _refine(store, lines.withColumn("rank", F.lit(0).cast("long")), F.shiftright("s1", 52), n, "rank_1")
     yield 1, one
     hollow = one.where("blank").select(*KEY, F.explode(F.sequence(F.col("i") - depth + 1, "i")).alias("i")).groupBy(*KEY, "i").agg(F.count("*").alias("m"))
     hollow = store.put(hollow.where(F.col("m") == depth).drop("m"), "hollow")
@@ -88,7 +90,7 @@ def intervals(lines: DataFrame, depth: int, store: Store):
         follow = now.select(*KEY, (F.col("i") - step).alias("i"), F.col("rank").alias("s1"))
         still = now.where("c > 1").select(*KEY, "i", "rank").join(follow, [*KEY, "i"]).withColumn("s2", F.lit(0).cast("long"))
         still = store.put(still, "open")
-        told = _refine(store, still, bucket, f"rank_{have + step}")
+        told = _refine(store, still, bucket, n, f"rank_{have + step}")
         store.drop(still)
         have += step
         shared = told.where("c > 1")
@@ -96,26 +98,16 @@ def intervals(lines: DataFrame, depth: int, store: Store):
             shared = store.put(shared.join(hollow, [*KEY, "i"], "left_anti"), "shared")
             kept += [shared, hollow]
         if have >= depth:
+            if not shared.limit(1).count():
+                store.drop(told, *kept)
+                return
             yield have, shared
         # A suffix whose rank is its own at a depth stays alone at every greater one.
         # Of documents with open suffixes all ranks are needed, as what follows them.
-        ranks = shared.unionByName(told.where("c = 1")).unionByName(now.where("c = 1"))
+        ranks = shared.drop("later").unionByName(told.where("c = 1").drop("later")).unionByName(now.where("c = 1"))
         following = store.put(ranks.join(shared.select(*KEY).distinct(), KEY, "left_semi"), "ranks")
         store.drop(told, *kept)
         now, kept = following, [following]
-        if have >= depth and not now.where("c > 1").limit(1).count():
-            store.drop(now)
-            return
-
-
-def _later(at: DataFrame, length: int, store: Store) -> DataFrame:
-    """(doc_id, k1, a, b), written: lines a..b of the members of each interval but its first."""
-    at = at.where("c > 1")
-    first = store.put(at.groupBy("rank").agg(F.min(F.struct(*KEY, "i")).alias("first"), F.count("*").alias("m")), "first")
-    out = hot_join(at, first, "rank", "m", at.count(), "inner").where(F.struct(*KEY, "i") > F.col("first"))
-    out = store.put(out.select(*KEY, F.col("i").alias("a"), (F.col("i") + length - 1).alias("b")), f"later_{length}")
-    store.drop(first)
-    return out
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = 2, long_words: int = 50) -> DataFrame:
@@ -134,7 +126,8 @@ def repeated_runs(docs: DataFrame, min_lines: int = 2, long_words: int = 50) ->
         if depth == 1:
             store.drop(lines)
             members = members.where("long") if min_lines > 1 else members.where("long or not blank")
-        spans.append(_later(members.select(*KEY, "i", "rank", "c"), depth, store))
+        found = members.where("later").select(*KEY, F.col("i").alias("a"), (F.col("i") + depth - 1).alias("b"))
+        spans.append(store.put(found, f"later_{depth}"))
     spans = reduce(DataFrame.unionByName, spans)
     # Spans of a document that overlap or touch are one run.
     by = Window.partitionBy(*KEY).orderBy("a", "b")

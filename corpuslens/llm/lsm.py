@@ -206,20 +206,17 @@ def repeated_windows(docs: DataFrame, n: int = 20, batches: int = 4, fan_in: int
         part = part.where(F.col("doc_id") <= high) if high is not None else part
         hits.append(store.put(index.append(fingerprints(part, n)), "hits"))
         index.compact()
-        store.free()
     index.close()
     copies = texts.where("doc_id <> first").select("doc_id", "k1")
     places = reduce(DataFrame.unionByName, hits).join(copies, ["doc_id", "k1"], "left_anti")
     places = store.put(places.groupBy("doc_id", "k1").agg(F.collect_set("pos").alias("at")), "places")
     store.drop(*hits)
-    store.free()
     windows = _windows(keyed.join(places, ["doc_id", "k1"]), n)
     spread = F.when(F.col("again"), F.xxhash64("doc_id", "s")).otherwise(0)
     rank = F.rank().over(Window.partitionBy("w1", "w2", spread).orderBy("doc_id", "k1", "s"))
     gone = windows.withColumn("rank", rank).where("again or rank > 1").groupBy("doc_id", "k1").agg(F.collect_set("s").alias("gone"))
     gone = store.put(texts.select("doc_id", "k1", (F.col("doc_id") > F.col("first")).alias("copy")).distinct().join(gone, ["doc_id", "k1"], "left"), "gone")
     store.drop(places)
-    store.free()
     return keyed, gone
 
 

@@ -258,10 +258,8 @@ def repeated_spans(docs: DataFrame, n: int = 400, k: int = GRAM) -> tuple[DataFr
     places = prints.join(often, "fp", "left_semi").join(later, ["doc_id", "k1"], "left_anti")
     places = store.put(places.groupBy("doc_id", "k1").agg(F.collect_set("pos").alias("at")), "places")
     store.drop(prints)
-    store.free()
     pieces = store.put(_pieces(keyed.join(places, ["doc_id", "k1"]), n, k), "pieces")
     store.drop(places)
-    store.free()
     keys = ["fp", "d1", "d2"]
     strings = pieces.where("seg is not null").select(*keys, "back", "seg").repartition(parallelism(docs.sparkSession), "fp").sortWithinPartitions(*keys)
     found = strings.mapInArrow(tidy(_order(n, k)), "fp long, d1 long, d2 long, runs array<struct<a:int,b:int>>")
@@ -277,7 +275,6 @@ def repeated_spans(docs: DataFrame, n: int = 400, k: int = GRAM) -> tuple[DataFr
     out = texts.select("doc_id", "k1", (F.col("copies") > 1).alias("copy")).distinct().join(spans, ["doc_id", "k1"], "left")
     out = store.put(out, "spans")
     store.drop(pieces, runs)
-    store.free()
     return rows, out
 
 
