@@ -5,9 +5,10 @@ and by hash otherwise; if two sets reach the similarity, their prefixes under
 this order share a shingle. Nodes of equal size whose prefixes agree in all
 shingles that any other node's prefix has form a group, and groups meet in the
 lists of their prefix shingles. Only neighbours in a list or group are compared
-at first; when the links found have been closed to components, the pairs that
-are still apart are filtered by size, position and a parity bitmap, which never
-lose a link, expanded to members and verified on whole sets.
+at first. When the links found have been closed to components, lists that span
+several are searched whole: pairs of groups are filtered by size and position,
+then expanded to members, of which those that are still apart are filtered by a
+parity bitmap and verified on whole sets. No filter loses a link.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Store, hot_join, parallelism, range_hash, tidy, words_of
+from .common import Store, hot_join, parallelism, range_hash, sized, tidy, words_of
 from .components import components
 from .quality import _slices as slices
 
@@ -28,6 +29,8 @@ FREQUENT_MOST = 1 << 20
 #: Shingle hashes under this share of their range are counted; those above come after them in the order.
 COUNTED = 0.4
 STAR = 256
+#: Longer lists are compared in parts.
+LIST = 20_000
 
 
 def shingle_sets(texts: list, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,15 +151,16 @@ def _neighbours(df: DataFrame, key: str, pct: int) -> DataFrame:
 def _apart(lists: DataFrame, pct: int, nearest: bool) -> DataFrame:
     """(t, x, ys): for list members the members of other components that size, position and bitmaps allow.
 
-    With nearest, only each member's pair of least bitmap distance in a list.
-
-    Pairs are tried within the task; a member leaves it with the array of those
-    that pass all filters.
+    A list's members of equal size and shape are a group. Pairs of groups are
+    filtered by size and position first, and only those left are expanded to
+    members, whose components and bitmaps decide. With nearest, only each
+    member's pair of least bitmap distance in a list. Pairs are tried within the
+    task; a member leaves it with the array of those that pass all filters.
     """
 
-    def pairs(t, node, n, i, comp, bits):
-        order = np.lexsort((node, n))
-        node, n, i, comp, bits = node[order], n[order], i[order], comp[order], bits[order]
+    def pairs(t, part, node, n, i, comp, shape, minor, bits):
+        order = np.lexsort((node, shape, n))
+        node, n, i, comp, shape, minor, bits = (x[order] for x in (node, n, i, comp, shape, minor, bits))
         width = np.array([len(x) for x in bits])
         tables, row = {}, np.zeros(len(bits), np.int64)
         for w in np.unique(width).tolist():
@@ -164,35 +168,44 @@ def _apart(lists: DataFrame, pct: int, nearest: bool) -> DataFrame:
             row[own] = np.arange(len(own))
             tables[w] = np.frombuffer(b"".join(bits[own]), np.uint8).reshape(len(own), w)
         folded = {}
-        end = np.searchsorted(n * pct, 100 * n, side="right")  # partners z > j with pct * n[z] <= 100 * n[j]
-        for j in range(len(node) - 1):
-            z = np.arange(j + 1, end[j])
-            z = z[comp[z] != comp[j]]
-            if not len(z):
-                continue
-            need = least_overlap(n[j], n[z], pct)
-            fit = 1 + np.minimum(n[j] - i[j] - 1, n[z] - i[z] - 1) >= need
-            z, need = z[fit], need[fit]
-            mine = tables[int(width[j])][row[j]]
-            keep, far = [], []
-            for w in np.unique(width[z]).tolist():
-                if (w, len(mine)) not in folded:
-                    folded[w, len(mine)] = _fold(tables[w].T, len(mine)).T if w >= len(mine) else None
-                there = width[z] == w
-                table = folded[w, len(mine)]
-                if table is None:  # a larger set never has a smaller bitmap
-                    keep.append(z[there])
-                    far.append(np.zeros(len(keep[-1]), np.int64))
+        head = np.flatnonzero(np.concatenate(([True], (n[1:] != n[:-1]) | (shape[1:] != shape[:-1]))))
+        bound, size, first = np.append(head, len(n)), n[head], np.minimum.reduceat(i, head)
+        end = np.searchsorted(size * pct, 100 * size, side="right")  # groups h >= g with pct * size[h] <= 100 * size[g]
+        for g in range(len(head)):
+            h = np.arange(g, end[g])
+            h = h[1 + np.minimum(size[g] - first[g] - 1, size[h] - first[h] - 1) >= least_overlap(size[g], size[h], pct)]
+            many = bound[h + 1] - bound[h]
+            members = np.repeat(bound[h] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            for j in range(bound[g], bound[g + 1]):
+                z = members[members > j]
+                z = z[comp[z] != comp[j]]
+                if part[0] and minor[j]:
+                    z = z[~minor[z]]
+                if not len(z):
                     continue
-                apart = np.bitwise_count(table[row[z[there]]] ^ mine).sum(1)
-                near = apart <= n[j] + n[z[there]] - 2 * need[there]
-                keep.append(z[there][near])
-                far.append(apart[near])
-            z = np.concatenate(keep) if keep else z
-            if nearest and len(z):
-                z = z[[np.concatenate(far).argmin()]]
-            if len(z):
-                yield t[0], node[j], node[z]
+                need = least_overlap(n[j], n[z], pct)
+                mine = tables[int(width[j])][row[j]]
+                keep, far = [], []
+                for w in np.unique(width[z]).tolist():
+                    if (w, len(mine)) not in folded:
+                        folded[w, len(mine)] = _fold(tables[w].T, len(mine)).T if w >= len(mine) else None
+                    there = width[z] == w
+                    table = folded[w, len(mine)]
+                    if table is None:  # a larger set never has a smaller bitmap
+                        keep.append(z[there])
+                        far.append(np.zeros(len(keep[-1]), np.int64))
+                        continue
+                    apart = np.bitwise_count(table[row[z[there]]] ^ mine).sum(1)
+                    near = apart <= n[j] + n[z[there]] - 2 * need[there]
+                    keep.append(z[there][near])
+                    far.append(apart[near])
+                z = np.concatenate(keep)
+                if nearest and len(z):
+                    z = z[[np.concatenate(far).argmin()]]
+                if len(z):
+                    yield t[0], node[j], node[z]
+
+    names = ("t", "part", "node", "n", "i", "comp", "shape", "minor", "bits")
 
     def run(batches):
         held: list = []
@@ -201,8 +214,8 @@ def _apart(lists: DataFrame, pct: int, nearest: bool) -> DataFrame:
             nonlocal held
             if not held:
                 return
-            cols = [np.concatenate([h[c] for h in held]) for c in range(6)]
-            cut = np.flatnonzero(np.diff(cols[0])) + 1
+            cols = [np.concatenate([h[c] for h in held]) for c in range(len(names))]
+            cut = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)) + 1
             edges = np.concatenate(([0], cut, [len(cols[0])]))
             last = len(edges) - 1 if final else len(edges) - 2
             ts, xs, ys, many = [], [], [], 0
@@ -222,12 +235,32 @@ def _apart(lists: DataFrame, pct: int, nearest: bool) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(ts, pa.int64()), pa.array(xs, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ys)))], names=["t", "x", "ys"])
 
         for b in batches:
-            held.append([b.column(c).to_numpy(zero_copy_only=False) for c in ("t", "node", "n", "i", "comp", "bits")])
+            held.append([b.column(c).to_numpy(zero_copy_only=False) for c in names])
             if sum(len(h[0]) for h in held) > 100_000:
                 yield from flush(False)
         yield from flush(True)
 
-    return lists.select("t", "node", "n", "i", "comp", "bits").mapInArrow(tidy(run), "t long, x long, ys array<long>")
+    return lists.select(*names).mapInArrow(tidy(run), "t long, x long, ys array<long>")
+
+
+def _split(marked: DataFrame, open_: DataFrame, store: Store) -> DataFrame:
+    """The members of open lists, with the part of its list that each goes to, and whether it is in the minority.
+
+    open_: (t, m), lists of m members in several components. Members of one
+    component need no comparison, so in a list of more than LIST members those of
+    its largest component are dealt out over parts, and the others, the
+    minority, go to every part; pairs within the minority are left to part 0.
+    """
+    plain = marked.join(open_.where(F.col("m") <= LIST).select("t"), "t", "left_semi").withColumns({"part": F.lit(0), "minor": F.lit(False)})
+    long = store.put(open_.where(F.col("m") > LIST), "long_lists")
+    if not long.limit(1).count():
+        return plain
+    of = marked.join(long, "t").groupBy("t", "m", "comp").agg(F.count("*").alias("c")).groupBy("t", "m").agg(F.max(F.struct("c", "comp")).alias("top"))
+    of = store.put(of.select("t", F.col("top.comp").alias("top"), F.ceil(F.col("top.c") / LIST).cast("int").alias("parts")), "long_lists")
+    rows = marked.join(sized(of, of.count()), "t").withColumn("minor", F.col("comp") != F.col("top"))
+    own = F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("part", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)))
+    return plain.unionByName(rows.select(*plain.columns))
 
 
 def _pairs(found: DataFrame) -> DataFrame:
@@ -324,9 +357,10 @@ def linked(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
     hopeful = None
     for nearest in (True, False):
         marked = entries.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        open_ = marked.groupBy("t").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("t")
-        open_ = open_ if hopeful is None else open_.join(hopeful, "t", "left_semi")
-        lists = marked.join(open_, "t", "left_semi").join(nodes.select("node", "bits"), "node").repartition(parallelism(spark), "t").sortWithinPartitions("t")
+        open_ = marked.groupBy("t").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("m")).where("a <> b").select("t", "m")
+        open_ = store.put(open_ if hopeful is None else open_.join(hopeful, "t", "left_semi"), "open_lists")
+        lists = _split(marked, open_, store).join(nodes.select("node", "bits"), "node").join(shape.select("node", "shape"), "node")
+        lists = lists.repartition(parallelism(spark), "t", "part").sortWithinPartitions("t", "part")
         found = store.put(_apart(lists, pct, nearest), "found")
         hopeful = found.select("t").distinct()
         rest = store.put(_pairs(found).join(tried, ["x", "y"], "left_anti"), "rest")

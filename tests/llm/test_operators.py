@@ -130,8 +130,8 @@ def jaccard_brute(rows, k, pct):
     return {i: (len(s), root(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("k,pct", [(4, 85), (5, 80)])
-def test_jaccard_components_match_brute_force(spark, monkeypatch, k, pct):
+@pytest.mark.parametrize("k,pct,most", [(4, 85, 20_000), (5, 80, 6)])
+def test_jaccard_components_match_brute_force(spark, monkeypatch, k, pct, most):
     rng = random.Random(4)
     rows = corpus(4, 20)
     base = [f"w{rng.randint(0, 400)}" for _ in range(120)]
@@ -142,6 +142,7 @@ def test_jaccard_components_match_brute_force(spark, monkeypatch, k, pct):
         rows.append((100 + i, " ".join(w).upper() if i % 7 == 0 else " ".join(w), "", 1, ""))
     monkeypatch.setattr(jaccard, "FREQUENT", 5)
     monkeypatch.setattr(jaccard, "STAR", 4)
+    monkeypatch.setattr(jaccard, "LIST", most)  # longer lists are dealt out over parts
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.linked(frame(spark, rows), k, pct).collect() if r["doc_id"] is not None}
     assert got == jaccard_brute(rows, k, pct)
 
