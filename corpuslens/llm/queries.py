@@ -38,7 +38,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each document keeps without 400-byte strings that occur elsewhere."""
     out = suffixes.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeated")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

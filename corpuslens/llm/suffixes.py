@@ -1,15 +1,17 @@
 """Repeated byte strings by column-wise construction of collection suffix orders.
 
-Windows of n bytes are compared where they share an anchor (see winnow). Around
+Windows of m bytes are compared where they share an anchor (see winnow). Around
 an anchor each place gives a string, and the strings of an anchor, aligned at
 it, are a collection. Their order is built column by column from the right: each
 round reads the next column from sequential files and inserts one symbol per
-string in front of its suffix. The symbols, read in the order of the suffixes,
-are that round's block of the collection's Burrows-Wheeler transform; a stable
-sort by symbol gives the new suffix order, and longest common prefixes follow
-from the minima between equal symbols. A suffix whose common prefix with a
-neighbour reaches n starts a repeated window. Memory holds a few numbers per
-string; columns lie in temporary files of the task.
+string in front of its suffix. The symbols are read in the order of the suffixes;
+a stable sort by symbol gives the new suffix order, and longest common prefixes
+follow from the minima between equal symbols. A suffix whose common prefix with
+a neighbour reaches a length starts a repeated window of that length. Only the
+present round's order and common prefixes are kept, a few numbers a string: the
+blocks of earlier rounds are not merged into one transform, because suffixes
+that stand at different distances from an anchor need no comparison. Columns lie
+in unnamed scratch files of the task, which a lost executor's retry writes anew.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from .quality import _slices as slices
 from .winnow import anchors, first_texts, with_keys
 
 GRAM = 128
+#: Repeated strings of this many bytes are reported, although shorter than what is removed: 51 words have 300 or so.
+NEAR = 256
 #: Strings of one collection of collections that a task orders at once, at least.
 CHUNK_BYTES = 24 << 20
 
@@ -57,19 +61,19 @@ class Columns:
         return np.concatenate(out)
 
 
-def repeated_starts(columns: Columns, group: np.ndarray, n: int, last: int) -> np.ndarray:
-    """flags[string, c] for columns c <= last: a window of n symbols at c occurs in another string of the group, at c.
+def repeated_starts(columns: Columns, group: np.ndarray, lengths: tuple, last: int) -> list:
+    """For each length n, flags[string, c] for columns c <= last: a window of n symbols at c occurs in another string of the group, at c.
 
     group numbers the strings' collections in ascending order.
     """
-    m = columns.rows
+    m, most = columns.rows, max(lengths)
     order, lcp = np.arange(m), np.zeros(m + 1, np.int32)
     border = np.ones(m + 1, bool)  # a place in the order where a group begins
     border[1:m] = group[1:] != group[:-1]
-    flags = np.zeros((last + 1, m), bool)
+    flags = [np.zeros((last + 1, m), bool) for _ in lengths]
     base = group.astype(np.int64) << 16
     for c in range(columns.width - 1, -1, -1):
-        symbol = columns.column(c)[order]  # this round's block of the transform
+        symbol = columns.column(c)[order]  # the symbols that stand before this round's suffixes
         key = base + symbol
         same = key[1:] == key[:-1]
         if (same | border[1:m]).all():
@@ -87,18 +91,21 @@ def repeated_starts(columns: Columns, group: np.ndarray, n: int, last: int) -> n
                 low[j] = np.minimum.reduceat(lcp, pair)[::2]
         symbol_there = (key & 0xFFFF) > 0
         fresh = np.zeros(m + 1, np.int32)
-        fresh[1:m] = np.where(joined_to & symbol_there[1:], np.minimum(low + 1, n), 0)
+        fresh[1:m] = np.where(joined_to & symbol_there[1:], np.minimum(low + 1, most), 0)
         lcp = fresh
         if c <= last:
-            flags[c, order] = (lcp[:m] >= n) | (lcp[1:] >= n)
-    return flags.T
+            for n, there in zip(lengths, flags):
+                there[c, order] = (lcp[:m] >= n) | (lcp[1:] >= n)
+    return [x.T for x in flags]
 
 
-def _pieces(docs: DataFrame, n: int, k: int) -> DataFrame:
-    """For each place of an anchor in `at`: (fp, d1, d2, doc_id, k1, pos, back, reach, seg).
+def _pieces(docs: DataFrame, n: int, m: int, k: int) -> DataFrame:
+    """For each place of an anchor in `at`: (fp, d1, d2, doc_id, k1, pos, back, last, reach, seg).
 
-    The windows that select the anchor are bytes [pos - back, pos + reach); seg
-    holds those bytes, once per batch and content, and d1 and d2 identify them.
+    The m-byte windows that select the anchor start at pos - back to pos + last.
+    seg holds the bytes [pos - back, pos + reach) of the n-byte windows that
+    start there, as far as the text goes, once per batch and content; d1 and d2
+    identify them.
     """
 
     def run(batches):
@@ -106,7 +113,7 @@ def _pieces(docs: DataFrame, n: int, k: int) -> DataFrame:
             for part in slices(b.column("text")):
                 piece = b.slice(*part)
                 data, starts, owner = _bytes(piece.column("text").to_pylist())
-                start, best, grams = anchors(data, owner, n, k)
+                start, best, grams = anchors(data, owner, m, k)
                 hit = np.zeros(len(data) + 1, bool)
                 lists = piece.column("at")
                 hit[lists.flatten().to_numpy(zero_copy_only=False) + np.repeat(starts[:-1], np.diff(lists.offsets.to_numpy()))] = True
@@ -114,8 +121,9 @@ def _pieces(docs: DataFrame, n: int, k: int) -> DataFrame:
                 start, best = start[keep], best[keep]
                 head = np.flatnonzero(np.concatenate(([True], best[1:] != best[:-1]))) if len(best) else np.zeros(0, int)
                 tail = np.append(head[1:], len(best)) - 1 if len(best) else head
-                a, z, at = start[head], start[tail] + n, best[head]
+                a, last, at = start[head], start[tail], best[head]
                 who = owner[at]
+                z = np.minimum(last + n, starts[1:][who] - 1)
                 d1, d2 = range_hash(data, a, z, 5), range_hash(data, a, z, 6)
                 d1 = d1 ^ (at - a).astype(np.uint64)
                 fp = grams[at]
@@ -130,13 +138,14 @@ def _pieces(docs: DataFrame, n: int, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(fp.view(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), piece.column("doc_id").take(take), piece.column("k1").take(take),
-                        pa.array((at - starts[who]).astype(np.int32)), pa.array((at - a).astype(np.int32)), pa.array((z - at).astype(np.int32)),
+                        *[pa.array(x.astype(np.int32)) for x in (at - starts[who], at - a, last - at, z - at)],
                         pa.array([raw[p:q] if s else None for p, q, s in zip(a.tolist(), z.tolist(), shown.tolist())], pa.binary()),
                     ],
-                    names=["fp", "d1", "d2", "doc_id", "k1", "pos", "back", "reach", "seg"],
+                    names=["fp", "d1", "d2", "doc_id", "k1", "pos", "back", "last", "reach", "seg"],
                 )
 
-    return docs.select("doc_id", "k1", "text", "at").mapInArrow(tidy(run), "fp long, d1 long, d2 long, doc_id long, k1 long, pos int, back int, reach int, seg binary")
+    schema = "fp long, d1 long, d2 long, doc_id long, k1 long, pos int, back int, last int, reach int, seg binary"
+    return docs.select("doc_id", "k1", "text", "at").mapInArrow(tidy(run), schema)
 
 
 def _bytes(texts):
@@ -165,51 +174,76 @@ def fingerprints(docs: DataFrame, n: int, k: int) -> DataFrame:
     return docs.select("doc_id", "k1", "text").mapInArrow(tidy(run), "fp long, doc_id long, k1 long, pos int")
 
 
-def _order(n: int, k: int):
-    """(fp, d1, d2, runs) of strings sorted by (fp, d1, d2), whole collections at a time."""
-    span = n - k  # the most that a window starts before its anchor
+RUNS = "array<struct<a:int,b:int>>"
+
+
+def _order(n: int, m: int, k: int):
+    """(fp, d1, d2, runs, near) of strings sorted by (fp, d1, d2), whole collections at a time.
+
+    runs are the window starts of repeated n-byte strings, near those of m bytes.
+    """
+    span = m - k  # the most that a window starts before its anchor
     schema = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
-    def flush(fps, keys, segs, backs):
-        if len(segs) < 2:
-            return
-        columns = Columns(span + n)
-        for i in range(0, len(segs), 4096):
-            columns.append(segs[i:i + 4096], span - np.array(backs[i:i + 4096], np.int64))
-        group = np.cumsum(np.concatenate(([0], np.diff(np.array(fps, np.int64)) != 0)))
-        flags = np.zeros((len(segs), span + 3), np.int8)
-        flags[:, 1:span + 2] = repeated_starts(columns, group, n, span)
-        columns.file.close()
-        edge = np.diff(flags, axis=1)
+    def lists(flags):
+        """For each string its runs of flagged columns, as places relative to the anchor."""
+        framed = np.zeros((len(flags), span + 3), np.int8)
+        framed[:, 1:span + 2] = flags
+        edge = np.diff(framed, axis=1)
         row, a = np.nonzero(edge == 1)
         _, b = np.nonzero(edge == -1)
-        rows, at = np.unique(row, return_index=True)
-        if not len(rows):
-            return
-        offsets = np.append(at, len(row)).astype(np.int32)
-        runs = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array((a - span).astype(np.int32)), pa.array((b - 1 - span).astype(np.int32))], names=["a", "b"]))
-        chosen = [keys[i] for i in rows]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in chosen], pa.int64()) for i in range(3)] + [runs.cast(schema)], names=["fp", "d1", "d2", "runs"])
+        offsets = np.searchsorted(row, np.arange(len(flags) + 1)).astype(np.int32)
+        pairs = pa.StructArray.from_arrays([pa.array((a - span).astype(np.int32)), pa.array((b - 1 - span).astype(np.int32))], names=["a", "b"])
+        return pa.ListArray.from_arrays(pa.array(offsets), pairs).cast(schema)
+
+    def flush(columns, keys):
+        keys = np.concatenate(keys, 1)
+        if columns.rows > 1:
+            group = np.cumsum(np.concatenate(([0], np.diff(keys[0]) != 0)))
+            runs, near = repeated_starts(columns, group, (n, m), span)
+            rows = np.flatnonzero(near.any(1))
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[rows]) for x in keys), lists(runs[rows]), lists(near[rows])], names=["fp", "d1", "d2", "runs", "near"])
+        columns.file.close()
 
     def run(batches):
-        fps, keys, segs, backs, size, last = [], [], [], [], 0, None
+        columns, keys, size, last = Columns(span + n), [], 0, None
         for b in batches:
-            for fp, d1, d2, back, seg in zip(*(b.column(x).to_pylist() for x in ("fp", "d1", "d2", "back", "seg"))):
-                if (fp, d1, d2) == last:
-                    continue
-                if size > CHUNK_BYTES and fp != last[0]:
-                    yield from flush(fps, keys, segs, backs)
-                    fps, keys, segs, backs, size = [], [], [], [], 0
-                last = (fp, d1, d2)
-                fps.append(fp), keys.append(last), segs.append(seg), backs.append(back)
-                size += len(seg) + 200
-        yield from flush(fps, keys, segs, backs)
+            now = np.stack([b.column(x).to_numpy(zero_copy_only=False) for x in ("fp", "d1", "d2")])
+            before = np.concatenate((now[:, :1] if last is None else last, now[:, :-1]), 1) if len(b) else now
+            new = (now != before).any(0)
+            new[:1] |= last is None
+            cut = np.flatnonzero(now[0] != before[0])  # collections begin
+            segs, backs = b.column("seg"), span - b.column("back").to_numpy(zero_copy_only=False).astype(np.int64)
+            for lo, hi in zip(np.concatenate(([0], cut)).tolist(), np.concatenate((cut, [len(b)])).tolist()):
+                if size > CHUNK_BYTES and lo in cut:
+                    yield from flush(columns, keys)
+                    columns, keys, size = Columns(span + n), [], 0
+                rows = lo + np.flatnonzero(new[lo:hi])
+                if len(rows):
+                    columns.append(segs.take(pa.array(rows)).to_pylist(), backs[rows])
+                    keys.append(now[:, rows])
+                    size += len(rows) * 2 * columns.width
+            last = now[:, -1:] if len(b) else last
+        if keys:
+            yield from flush(columns, keys)
 
     return run
 
 
-def _cut(min_bytes: int):
-    """Drops from each text the bytes that spans cover, or all bytes of a copy of at least min_bytes."""
+def _covered(piece, name: str, starts: np.ndarray, size: int) -> np.ndarray:
+    """Which of a batch's bytes the spans of a column cover."""
+    lists = piece.column(name)
+    base = np.repeat(starts[:-1], np.diff(lists.offsets.to_numpy()))
+    pair = lists.flatten()
+    cover = np.zeros(size + 1, np.int32)
+    np.add.at(cover, pair.field("a").to_numpy(zero_copy_only=False) + base, 1)
+    np.add.at(cover, pair.field("b").to_numpy(zero_copy_only=False) + base, -1)
+    return np.cumsum(cover)[:size] > 0
+
+
+def _cut(n: int, m: int):
+    """Drops from each text the bytes that spans cover, or all bytes of a copy of at least n; counts those that near covers."""
 
     def run(batches):
         for b in batches:
@@ -217,71 +251,78 @@ def _cut(min_bytes: int):
                 piece = b.slice(*part)
                 data, starts, _ = _bytes(piece.column("text").to_pylist())
                 size = np.diff(starts) - 1
-                lists = piece.column("spans")
-                base = np.repeat(starts[:-1], np.diff(lists.offsets.to_numpy()))
-                pair = lists.flatten()
-                cover = np.zeros(len(data) + 1, np.int32)
-                np.add.at(cover, pair.field("a").to_numpy(zero_copy_only=False) + base, 1)
-                np.add.at(cover, pair.field("b").to_numpy(zero_copy_only=False) + base, -1)
-                dead = np.cumsum(cover)[: len(data)] > 0
-                dead |= np.repeat(piece.column("copy").to_numpy(zero_copy_only=False) & (size >= min_bytes), size + 1)
-                dead[starts[1:] - 1] = False
+                copy = piece.column("copy").to_numpy(zero_copy_only=False)
+                count = lambda x: (lambda c: c[starts[1:]] - c[starts[:-1]])(np.concatenate(([0], np.cumsum(x))))
+                marked = []
+                for name, least in (("spans", n), ("near", m)):
+                    there = _covered(piece, name, starts, len(data)) | np.repeat(copy & (size >= least), size + 1)
+                    there[starts[1:] - 1] = False
+                    marked.append(there)
+                dead, near = marked
                 runs = np.bincount(np.searchsorted(starts, np.flatnonzero(dead & ~np.concatenate(([False], dead[:-1]))), side="right") - 1, minlength=len(size))
-                gone = np.concatenate(([0], np.cumsum(dead)))
-                gone = gone[starts[1:]] - gone[starts[:-1]]
-                raw, keep = data.tobytes(), ~dead
+                gone, keep = count(dead), ~dead
                 keep[starts[1:] - 1] = False
                 kept = data[keep].tobytes()
                 offsets = np.concatenate(([0], np.cumsum(size - gone)))
                 column = pa.array([kept[x:y] for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), column, pa.array(size), pa.array(gone.astype(np.int64)), pa.array(runs.astype(np.int64))], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"]
+                    [piece.column("doc_id"), column, *[pa.array(x.astype(np.int64)) for x in (size, gone, runs, count(near))]], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "n_repeated"]
                 )
 
     return run
 
 
-def repeated_spans(docs: DataFrame, n: int = 400, k: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """The texts with their keys, and (doc_id, k1, copy, spans array<struct<a,b>>): bytes [a, b) covered by n-byte strings that occur elsewhere too.
+def repeated_spans(docs: DataFrame, n: int = 400, m: int = NEAR, k: int = GRAM) -> tuple[DataFrame, DataFrame]:
+    """The texts with their keys, and (doc_id, k1, copy, spans, near) of those with any: bytes [a, b) covered by n-byte and by m-byte strings that occur elsewhere too.
 
-    copy marks texts that several rows have: all their bytes repeat if there are
-    n of them. Rows without doc_id match nothing and are left out. Rows that
-    repeat a doc_id are documents of their own.
+    k <= m <= n. copy marks texts that several rows have: all their bytes repeat
+    if there are enough of them. Rows without doc_id match nothing and are left
+    out. Rows that repeat a doc_id are documents of their own.
     """
     store = Store(docs.sparkSession)
     texts, repeats = first_texts(store, docs)
     texts, rows = texts.where("doc_id is not null"), with_keys(docs, repeats)
     keyed = rows.where("doc_id is not null")
-    prints = store.put(fingerprints(keyed, n, k), "prints")
-    often = prints.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp")
+    prints = store.put(fingerprints(keyed, m, k), "prints")
+    often = store.put(prints.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1"), "often")
     later = texts.where("doc_id <> first").select("doc_id", "k1")
-    places = prints.join(often, "fp", "left_semi").join(later, ["doc_id", "k1"], "left_anti")
+    places = hot_join(prints, often, "fp", "c", max(1, prints.count()), "left_semi").join(later, ["doc_id", "k1"], "left_anti")
     places = store.put(places.groupBy("doc_id", "k1").agg(F.collect_set("pos").alias("at")), "places")
-    store.drop(prints)
-    pieces = store.put(_pieces(keyed.join(places, ["doc_id", "k1"]), n, k), "pieces")
+    store.drop(prints, often)
+    pieces = store.put(_pieces(keyed.join(places, ["doc_id", "k1"]), n, m, k), "pieces")
     store.drop(places)
     keys = ["fp", "d1", "d2"]
     strings = pieces.where("seg is not null").select(*keys, "back", "seg").repartition(parallelism(docs.sparkSession), "fp").sortWithinPartitions(*keys)
-    found = strings.mapInArrow(tidy(_order(n, k)), "fp long, d1 long, d2 long, runs array<struct<a:int,b:int>>")
+    found = strings.mapInArrow(tidy(_order(n, m, k)), f"fp long, d1 long, d2 long, runs {RUNS}, near {RUNS}")
     # A string that several places have repeats whole; an ordered one, where its windows have neighbours.
-    count = pieces.groupBy(*keys).agg(F.count_distinct("doc_id", "k1", "pos").alias("c"), F.max("reach").alias("reach"), F.max("back").alias("back"))
-    whole = F.array(F.struct((-F.col("back")).alias("a"), (F.col("reach") - n).cast("int").alias("b")))
-    runs = count.join(found, keys, "left").select(*keys, "c", F.when(F.col("c") > 1, whole).otherwise(F.col("runs")).alias("runs")).where("runs is not null")
+    count = pieces.groupBy(*keys).agg(F.count_distinct("doc_id", "k1", "pos").alias("c"), *[F.max(x).alias(x) for x in ("reach", "back", "last")])
+    whole = lambda end: F.when(end >= -F.col("back"), F.array(F.struct((-F.col("back")).alias("a"), end.cast("int").alias("b")))).otherwise(F.array().cast(RUNS))
+    runs = count.join(found, keys, "left").select(
+        *keys, "c", F.when(F.col("c") > 1, whole(F.col("reach") - n)).otherwise(F.col("runs")).alias("runs"), F.when(F.col("c") > 1, whole(F.col("last"))).otherwise(F.col("near")).alias("near")
+    ).where("near is not null")
     runs = store.put(runs, "runs")
     spots = pieces.select(*keys, "doc_id", "k1", "pos")
     spans = hot_join(spots, runs, keys, "c", max(1, spots.count()), "inner")
-    spans = spans.select("doc_id", "k1", F.explode(F.transform("runs", lambda r: F.struct((F.col("pos") + r["a"]).alias("a"), (F.col("pos") + r["b"] + n).alias("b")))).alias("span"))
-    spans = spans.groupBy("doc_id", "k1").agg(F.collect_set("span").alias("spans"))
-    out = texts.select("doc_id", "k1", (F.col("copies") > 1).alias("copy")).distinct().join(spans, ["doc_id", "k1"], "left")
-    out = store.put(out, "spans")
+    at = lambda name, size: F.transform(name, lambda r: F.struct((F.col("pos") + r["a"]).alias("a"), (F.col("pos") + r["b"] + size).alias("b")))
+    spans = spans.select("doc_id", "k1", at("runs", n).alias("spans"), at("near", m).alias("near"))
+    spans = spans.groupBy("doc_id", "k1").agg(*[F.array_distinct(F.flatten(F.collect_list(x))).alias(x) for x in ("spans", "near")])
+    copies = texts.where("copies > 1").select("doc_id", "k1", F.lit(True).alias("copy")).distinct()
+    out = store.put(copies.join(spans, ["doc_id", "k1"], "full"), "spans")
     store.drop(pieces, runs)
     return rows, out
 
 
-def dedup(docs: DataFrame, n: int = 400, k: int = GRAM) -> DataFrame:
-    """(doc_id, kept binary, n_bytes, n_removed, n_spans) of every row; a null text has no bytes."""
-    keyed, spans = repeated_spans(docs, n, k)
+def dedup(docs: DataFrame, n: int = 400, m: int | None = None, k: int = GRAM) -> DataFrame:
+    """(doc_id, kept binary, n_bytes, n_removed, n_spans, n_repeated) of every row; a null text has no bytes.
+
+    Bytes covered by n-byte strings that also start elsewhere go. n_repeated
+    counts those that repeated strings of m bytes cover, which are reported and,
+    below n, stay: passages of over 50 words are often shorter than 400 bytes.
+    """
+    m = min(NEAR, n) if m is None else m
+    keyed, spans = repeated_spans(docs, n, m, k)
     rows = keyed.join(spans, ["doc_id", "k1"], "left")
-    rows = rows.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), F.coalesce("spans", F.array().cast("array<struct<a:int,b:int>>")).alias("spans"))
+    none = F.array().cast(RUNS)
+    rows = rows.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), F.coalesce("spans", none).alias("spans"), F.coalesce("near", none).alias("near"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(tidy(_cut(n)), f"doc_id {kind}, kept binary, n_bytes long, n_removed long, n_spans long")
+    return rows.mapInArrow(tidy(_cut(n, m)), f"doc_id {kind}, kept binary, n_bytes long, n_removed long, n_spans long, n_repeated long")

@@ -80,22 +80,32 @@ def test_repeated_ids_with_different_texts(spark):
     assert sorted(r["n_removed"] for r in out) == [400, 401]
 
 
-@pytest.mark.parametrize("n,k", [(400, 128), (60, 16), (30, 30)])
-def test_suffix_orders_match_brute_force(spark, n, k):
+@pytest.mark.parametrize("n,m,k", [(400, 256, 128), (60, 40, 16), (30, 30, 30)])
+def test_suffix_orders_match_brute_force(spark, n, m, k):
     rows = corpus(3)
-    got = {r["doc_id"]: r for r in suffixes.dedup(frame(spark, [r for r in rows if r[0] != 3]), n, k).collect() if r["doc_id"] is not None}
-    texts = {i: (t or "").encode() for i, t in by_id(rows).items() if i != 3}
-    count = collections.Counter(b[p:p + n] for b in texts.values() for p in range(len(b) - n + 1))
-    for i, b in texts.items():
-        cover = np.zeros(len(b) + 1, int)
-        for p in range(len(b) - n + 1):
-            if count[b[p:p + n]] > 1:
-                cover[p] += 1
-                cover[p + n] -= 1
-        dead = np.cumsum(cover)[: len(b)] > 0
-        kept = bytes(x for x, d in zip(b, dead) if not d)
-        spans = int((dead & ~np.concatenate(([False], dead[:-1]))).sum()) if len(b) else 0
-        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], bytes(got[i]["kept"])) == (len(b), int(dead.sum()), spans, kept), i
+    again = rows[5][1] + " and more " + rows[6][1]
+    rows += [(3, again, "", 1, ""), (8, again[3:], "", 1, "")]  # ids that repeat are documents of their own
+    rng = random.Random(9)
+    short = ["".join(rng.choices("uvwxyz", k=size)) for size in (50, 300)]
+    rows += [(200 + i, f"{i} own {short[i % 2]} text {i}", "", 1, "") for i in range(4)]  # long enough to be reported only
+    got = collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["n_repeated"], bytes(r["kept"])) for r in suffixes.dedup(frame(spark, rows), n, m, k).collect() if r["doc_id"] is not None)
+    texts = [(i, (t or "").encode()) for i, t, *_ in rows if i is not None]
+    want = collections.Counter()
+    dead = {}
+    for size in (n, m):
+        count = collections.Counter(b[p:p + size] for _, b in texts for p in range(len(b) - size + 1))
+        for x, (_, b) in enumerate(texts):
+            cover = np.zeros(len(b) + 1, int)
+            for p in range(len(b) - size + 1):
+                if count[b[p:p + size]] > 1:
+                    cover[p] += 1
+                    cover[p + size] -= 1
+            dead[size, x] = np.cumsum(cover)[: len(b)] > 0
+    for x, (i, b) in enumerate(texts):
+        d = dead[n, x]
+        spans = int((d & ~np.concatenate(([False], d[:-1]))).sum()) if len(b) else 0
+        want[i, len(b), int(d.sum()), spans, int(dead[m, x].sum()), bytes(y for y, gone in zip(b, d) if not gone)] += 1
+    assert got == want and any(x[2] < x[4] for x in want) == (m < n)
     assert suffixes.dedup(frame(spark, [])).count() == 0
 
 
@@ -103,7 +113,7 @@ def test_column_order_finds_common_windows():
     columns = suffixes.Columns(12)
     strings = [b"abcdefghijkl", b"xbcdefghijkl", b"abcdefghijkz", b"bcdefgh", b"abcdefghijkl"]
     columns.append(strings, np.array([0, 0, 0, 1, 0]))
-    flags = suffixes.repeated_starts(columns, np.array([0, 0, 0, 0, 1]), 6, 6)
+    [flags] = suffixes.repeated_starts(columns, np.array([0, 0, 0, 0, 1]), (6,), 6)
     assert flags.tolist() == [[True] * 7, [False] + [True] * 6, [True] * 6 + [False], [False, True, True, False, False, False, False], [False] * 7]
 
 
