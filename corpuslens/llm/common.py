@@ -106,6 +106,16 @@ def hot_join(left: DataFrame, right: DataFrame, on, count: str, total: int, how:
     return a.unionByName(b)
 
 
+def salted_join(left: DataFrame, right: DataFrame, on, count: str, total: int, spread, how: str = "left_semi", share: int = 1000) -> DataFrame:
+    """As hot_join, in one pass: rows of large keys are dealt out by `spread`, a hash of the row, and right's row of such a key is repeated."""
+    keys = [on] if isinstance(on, str) else list(on)
+    n, large = parallelism(left.sparkSession), F.col(count) > max(1, total // share)
+    a = left.join(F.broadcast(right.where(large).select(*keys, F.lit(True).alias("_hot"))), keys, "left")
+    a = a.withColumn("_salt", F.when(F.col("_hot"), F.pmod(spread, F.lit(n)).cast("int")).otherwise(0)).drop("_hot")
+    b = right.withColumn("_salt", F.explode(F.when(large, F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))))
+    return a.join(b, [*keys, "_salt"], how).drop("_salt")
+
+
 def tidy(run):
     """run, a function of batches, giving freed memory back to the system at its end.
 

@@ -23,15 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store, hot_join, joined, parallelism, range_hash, tidy
+from .common import Store, hot_join, joined, parallelism, range_hash, salted_join, tidy
 from .quality import _slices as slices
 from .winnow import anchors, first_texts, with_keys
 
 GRAM = 128
 #: Repeated strings of this many bytes are reported, although shorter than what is removed: 51 words have 300 or so.
 NEAR = 256
-#: Strings of one collection of collections that a task orders at once, at least.
-CHUNK_BYTES = 24 << 20
+#: Bytes of columns that a task orders at once; a collection is never parted.
+CHUNK_BYTES = 48 << 20
 
 
 class Columns:
@@ -207,24 +207,30 @@ def _order(n: int, m: int, k: int):
         columns.file.close()
 
     def run(batches):
-        columns, keys, size, last = Columns(span + n), [], 0, None
+        columns, keys, last = Columns(span + n), [], None
         for b in batches:
             now = np.stack([b.column(x).to_numpy(zero_copy_only=False) for x in ("fp", "d1", "d2")])
-            before = np.concatenate((now[:, :1] if last is None else last, now[:, :-1]), 1) if len(b) else now
+            if not len(b):
+                continue
+            before = np.concatenate((now[:, :1] if last is None else last, now[:, :-1]), 1)
             new = (now != before).any(0)
-            new[:1] |= last is None
-            cut = np.flatnonzero(now[0] != before[0])  # collections begin
-            segs, backs = b.column("seg"), span - b.column("back").to_numpy(zero_copy_only=False).astype(np.int64)
-            for lo, hi in zip(np.concatenate(([0], cut)).tolist(), np.concatenate((cut, [len(b)])).tolist()):
-                if size > CHUNK_BYTES and lo in cut:
-                    yield from flush(columns, keys)
-                    columns, keys, size = Columns(span + n), [], 0
-                rows = lo + np.flatnonzero(new[lo:hi])
+            new[0] |= last is None
+            known = np.concatenate(([0], np.cumsum(new)))
+            begins = np.flatnonzero(now[0] != before[0])  # of collections
+            segs, lefts = b.column("seg"), span - b.column("back").to_numpy(zero_copy_only=False).astype(np.int64)
+            at = 0
+            while at < len(b):
+                full = begins[(begins >= at) & ((columns.rows + known[begins] - known[at]) * 2 * columns.width > CHUNK_BYTES)]
+                to = int(full[0]) if len(full) else len(b)
+                rows = at + np.flatnonzero(new[at:to])
                 if len(rows):
-                    columns.append(segs.take(pa.array(rows)).to_pylist(), backs[rows])
+                    columns.append(segs.take(pa.array(rows)).to_pylist(), lefts[rows])
                     keys.append(now[:, rows])
-                    size += len(rows) * 2 * columns.width
-            last = now[:, -1:] if len(b) else last
+                if len(full):
+                    yield from flush(columns, keys)
+                    columns, keys = Columns(span + n), []
+                at = to
+            last = now[:, -1:]
         if keys:
             yield from flush(columns, keys)
 
@@ -286,7 +292,7 @@ def repeated_spans(docs: DataFrame, n: int = 400, m: int = NEAR, k: int = GRAM)
     prints = store.put(fingerprints(keyed, m, k), "prints")
     often = store.put(prints.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1"), "often")
     later = texts.where("doc_id <> first").select("doc_id", "k1")
-    places = hot_join(prints, often, "fp", "c", max(1, prints.count()), "left_semi").join(later, ["doc_id", "k1"], "left_anti")
+    places = salted_join(prints, often, "fp", "c", prints.count(), F.xxhash64("doc_id", "pos")).join(later, ["doc_id", "k1"], "left_anti")
     places = store.put(places.groupBy("doc_id", "k1").agg(F.collect_set("pos").alias("at")), "places")
     store.drop(prints, often)
     pieces = store.put(_pieces(keyed.join(places, ["doc_id", "k1"]), n, m, k), "pieces")
@@ -303,9 +309,9 @@ def repeated_spans(docs: DataFrame, n: int = 400, m: int = NEAR, k: int = GRAM)
     runs = store.put(runs, "runs")
     spots = pieces.select(*keys, "doc_id", "k1", "pos")
     spans = hot_join(spots, runs, keys, "c", max(1, spots.count()), "inner")
-    at = lambda name, size: F.transform(name, lambda r: F.struct((F.col("pos") + r["a"]).alias("a"), (F.col("pos") + r["b"] + size).alias("b")))
-    spans = spans.select("doc_id", "k1", at("runs", n).alias("spans"), at("near", m).alias("near"))
-    spans = spans.groupBy("doc_id", "k1").agg(*[F.array_distinct(F.flatten(F.collect_list(x))).alias(x) for x in ("spans", "near")])
+    at = lambda name, size, near: F.transform(name, lambda r: F.struct(F.lit(near).alias("near"), F.struct((F.col("pos") + r["a"]).alias("a"), (F.col("pos") + r["b"] + size).alias("b")).alias("at")))
+    spans = spans.select("doc_id", "k1", F.explode(F.concat(at("runs", n, False), at("near", m, True))).alias("x"))
+    spans = spans.groupBy("doc_id", "k1").agg(F.collect_set(F.when(~F.col("x.near"), F.col("x.at"))).alias("spans"), F.collect_set(F.when(F.col("x.near"), F.col("x.at"))).alias("near"))
     copies = texts.where("copies > 1").select("doc_id", "k1", F.lit(True).alias("copy")).distinct()
     out = store.put(copies.join(spans, ["doc_id", "k1"], "full"), "spans")
     store.drop(pieces, runs)

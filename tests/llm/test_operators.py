@@ -86,7 +86,7 @@ def test_suffix_orders_match_brute_force(spark, n, m, k):
     again = rows[5][1] + " and more " + rows[6][1]
     rows += [(3, again, "", 1, ""), (8, again[3:], "", 1, "")]  # ids that repeat are documents of their own
     rng = random.Random(9)
-    short = ["".join(rng.choices("uvwxyz", k=size)) for size in (50, 300)]
+    short = ["".join(rng.choices("uvwxyz", k=size)) for size in (42, 300)]
     rows += [(200 + i, f"{i} own {short[i % 2]} text {i}", "", 1, "") for i in range(4)]  # long enough to be reported only
     got = collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["n_repeated"], bytes(r["kept"])) for r in suffixes.dedup(frame(spark, rows), n, m, k).collect() if r["doc_id"] is not None)
     texts = [(i, (t or "").encode()) for i, t, *_ in rows if i is not None]
