@@ -1,4 +1,4 @@
 """Registered queries; importing the package fills the registry."""
 
-from . import corpus, inference, relational  # noqa: F401
+from . import corpus, inference, records, relational, resampling  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
