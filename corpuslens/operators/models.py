@@ -7,14 +7,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .nulls import hashed
+from .nulls import hashed, ranked
 
 
 def split(units: DataFrame, unit: Column, label: str, seed: int, share: float = 0.2) -> DataFrame:
     """Adds held_out: the first `share` of each label's units in hash order."""
-    order = Window.partitionBy(label).orderBy(hashed(seed, unit), unit)
-    n = F.count("*").over(Window.partitionBy(label))
-    return units.withColumn("held_out", F.row_number().over(order) <= F.floor(n * share))
+    # Ids alone are ranked, by ranges of their hash.
+    ids = units.select(unit.alias("_u"), F.col(label).alias("_l"), hashed(seed, unit).alias("_h"))
+    n = ids.groupBy("_l").agg(F.count("*").alias("_n"))
+    held = ranked(ids, ["_l"], F.substring("_h", 1, 3), ["_h", "_u"]).join(F.broadcast(n), "_l").where(F.col("_k") <= F.floor(F.col("_n") * share))  # one row a label
+    held = held.select("_u", F.col("_l").alias("_l2"), F.lit(True).alias("_held")).distinct()
+    return units.join(held, unit.eqNullSafe(F.col("_u")) & F.col(label).eqNullSafe(F.col("_l2")), "left").withColumn("held_out", F.coalesce("_held", F.lit(False))).drop("_u", "_l2", "_held")
 
 
 def fold_of(unit: Column, seed: int, folds: int = 5) -> Column:
@@ -88,12 +91,13 @@ def calibration(df: DataFrame, confidence: str, correct: Column, edges: tuple =
     return out.withColumn("calibrated", F.when(F.col("n") >= least, F.col("accuracy")).otherwise(F.col("mean_confidence")))
 
 
-def ppmi(pairs: DataFrame) -> DataFrame:
-    """(a, b, c, ppmi) of co-occurring pairs (a, b) with positive association."""
-    cells = pairs.groupBy("a", "b").agg(F.count("*").alias("c"))
+def ppmi(pairs: DataFrame, least: int = 1) -> DataFrame:
+    """(a, b, c, ppmi) of pairs (a, b), counted or with counts c, that meet at least `least` times, with positive association."""
+    cells = pairs if "c" in pairs.columns else pairs.groupBy("a", "b").agg(F.count("*").alias("c"))
     a, b = cells.groupBy("a").agg(F.sum("c").alias("ra")), cells.groupBy("b").agg(F.sum("c").alias("rb"))
     n = cells.agg(F.sum("c").alias("n"))
-    out = cells.join(a, "a").join(b, "b").crossJoin(F.broadcast(n))  # one row
+    kept = cells.where(F.col("c") >= least)  # margins count all cells, but only these meet them
+    out = kept.join(a, "a").join(b, "b").crossJoin(F.broadcast(n))  # one row
     return out.select("a", "b", "c", F.ln(F.col("c") * F.col("n") / F.col("ra") / F.col("rb")).alias("ppmi")).where("ppmi > 0")
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
 def hashed(*parts) -> Column:
@@ -30,13 +31,38 @@ def repeated(units: DataFrame, r: int) -> DataFrame:
     return units.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(r)).cast("array<bigint>")))
 
 
+def ranked(df: DataFrame, group: list, bucket: Column, order: list, name: str = "_k") -> DataFrame:
+    """Adds each row's number, from 1, in its group under an order.
+
+    bucket must grow with the order. Rows are numbered within buckets, and the
+    buckets' counts give the offsets, so a group of all rows is many tasks.
+    """
+    out = df.withColumn("_b", bucket)
+    sizes = out.groupBy(*group, "_b").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    out = out.join(sizes.select(*group, "_b", offset), [*group, "_b"])
+    return out.withColumn(name, F.col("_before") + F.row_number().over(Window.partitionBy(*group, "_b").orderBy(*order))).drop("_b", "_before")
+
+
+def bucket_of(df: DataFrame, unit: Column) -> Column:
+    """A number or prefix that grows with unit: 4096 equal ranges of numbers, three letters of text."""
+    kind = df.select(unit.alias("u")).schema["u"].dataType
+    if not isinstance(kind, NumericType):
+        return F.left(unit.cast("string"), F.lit(3))
+    low, high = df.agg(F.min(unit), F.max(unit)).first()
+    return F.floor((unit - F.lit(low or 0)) * 4096 / F.lit(float((high or 0) - (low or 0)) + 1))
+
+
 def permute(units: DataFrame, r: int, seed: int, value: str, unit: Column, strata: tuple = ()) -> DataFrame:
-    """Units times replicates, `value` permuted among the units of a stratum in each replicate."""
-    base = repeated(units, r)
-    group = ["rep", *strata]
-    a = base.withColumn("_k", F.row_number().over(Window.partitionBy(*group).orderBy(unit)))
-    b = base.withColumn("_k", F.row_number().over(Window.partitionBy(*group).orderBy(hashed(seed, F.col("rep"), unit), unit))).select(*group, "_k", F.col(value).alias("_v"))
-    return a.join(b, [*group, "_k"]).drop("_k", value).withColumnRenamed("_v", value)
+    """Units times replicates, `value` permuted among the units of a stratum in each replicate.
+
+    A unit's number by id is found once and serves all replicates.
+    """
+    a = repeated(ranked(units, list(strata), bucket_of(units, unit), [unit]), r)
+    b = repeated(units, r).withColumn("_h", hashed(seed, F.col("rep"), unit))
+    b = ranked(b, ["rep", *strata], F.substring("_h", 1, 3), ["_h", unit]).select("rep", *strata, "_k", F.col(value).alias("_v"))
+    return a.join(b, ["rep", *strata, "_k"]).drop("_k", value).withColumnRenamed("_v", value)
 
 
 def permute_within(toks: DataFrame, r: int, seed: int, record: str, place: str) -> DataFrame:
@@ -78,14 +104,15 @@ def cyclic_shifts(rows: DataFrame, order: str, value: str, by: str) -> DataFrame
 
 def draws(pool: DataFrame, need: DataFrame, r: int, seed: int, item: str, cls: str) -> DataFrame:
     """(rep, item): in each replicate as many items of each class as need(cls, k) says, without replacement."""
-    base = repeated(pool, r)
-    order = Window.partitionBy("rep", cls).orderBy(hashed(seed, F.col("rep"), F.col(item)), item)
-    return base.withColumn("_k", F.row_number().over(order)).join(F.broadcast(need), cls).where("_k <= k").select("rep", item)
+    base = repeated(pool, r).withColumn("_h", hashed(seed, F.col("rep"), F.col(item)))
+    base = ranked(base, ["rep", cls], F.substring("_h", 1, 3), ["_h", item])
+    return base.join(F.broadcast(need), cls).where("_k <= k").select("rep", item)  # one row a class
 
 
 def bootstrap(clusters: DataFrame, r: int, seed: int, cluster: str) -> DataFrame:
     """(rep, cluster, times): clusters drawn with replacement, as many as there are."""
-    numbered = clusters.select(cluster).distinct().withColumn("_k", F.row_number().over(Window.orderBy(cluster)) - 1)
+    distinct = clusters.select(cluster).distinct()
+    numbered = ranked(distinct, [], bucket_of(distinct, F.col(cluster)), [cluster]).withColumn("_k", (F.col("_k") - 1).cast("int"))
     n = numbered.count()
     slots = repeated(numbered.select(F.col("_k").alias("slot")), r)
     drawn = slots.withColumn("_k", F.floor(uniform(seed, F.col("rep"), F.col("slot")) * n).cast("int"))

@@ -43,9 +43,14 @@ def adjacent(df: DataFrame, by: str, order: list, value: str) -> DataFrame:
     return df.select(by, F.col(value).alias("a"), F.lead(value).over(w).alias("b")).where("b is not null")
 
 
-def window_pairs(toks: DataFrame, record: str, reach: int = 2) -> DataFrame:
-    """(record, a, b): ordered pairs of different places at most `reach` apart, by shifts rather than a join."""
-    w = Window.partitionBy(record).orderBy("i")
-    ahead = F.array(*[F.lead("w", k).over(w) for k in range(1, reach + 1)])
-    out = toks.select(record, F.col("w").alias("a"), ahead.alias("bs")).select(record, "a", F.explode(F.array_compact("bs")).alias("b"))
-    return out.unionByName(out.select(record, F.col("b").alias("a"), F.col("a").alias("b")))
+def window_counts(records: DataFrame, ws: str, reach: int = 2) -> DataFrame:
+    """(a, b, c): how often a and b stand at different places at most `reach` apart, either way.
+
+    Pairs are zipped from slices of a record's array, without a sort of tokens,
+    and counted one way before they are turned.
+    """
+    w = F.col(ws)
+    near = [F.arrays_zip(F.slice(w, F.lit(1), F.greatest(F.size(w) - k, F.lit(0))).alias("a"), F.slice(w, F.lit(k + 1), F.greatest(F.size(w) - k, F.lit(0))).alias("b")) for k in range(1, reach + 1)]
+    half = records.where(F.size(w) > 1).select(F.explode(F.concat(*near)).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("c"))
+    both = half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "c"))
+    return both.groupBy("a", "b").agg(F.sum("c").alias("c"))

@@ -384,8 +384,8 @@ def cooc_pmi_window2(spark, sf):
     """Positive association of words at most two places apart, of at least 20 meetings."""
     from ..operators import models
 
-    pairs = sequences.window_pairs(_tok(spark, sf), "doc_id", 2)
-    return models.ppmi(pairs).where("c >= 20").select("a", "b", "c", F.round("ppmi", 6).alias("ppmi"))
+    ws = load(spark, sf, "documents").select(text.words(F.col("text")).alias("ws"))
+    return models.ppmi(sequences.window_counts(ws, "ws", 2), 20).select("a", "b", "c", F.round("ppmi", 6).alias("ppmi"))
 
 
 @query(f"""WITH {TOK}, w AS (SELECT doc_id, w, rank() OVER (PARTITION BY doc_id ORDER BY i) AS k, percent_rank() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM tok)

@@ -531,8 +531,11 @@ def loso_kde_auc(spark, sf):
     d = q.crossJoin(F.broadcast(t)).join(c, ["user_id", "y", "b"], "left").groupBy("user_id", "x", "y").agg(F.sum((F.col("t") - F.coalesce("c", F.lit(0))) * F.exp(-0.5 * z * z)).alias("d"))
     s = d.groupBy("user_id", "x").agg(F.round(F.max(F.when(F.col("y"), F.col("d"))) / F.max(F.when(~F.col("y"), F.col("d"))), 9).alias("s"))
     p = c.withColumnRenamed("b", "x").join(s, ["user_id", "x"]).groupBy("s").agg(F.sum(F.when(F.col("y"), F.col("c")).otherwise(0)).alias("pos"), F.sum(F.when(~F.col("y"), F.col("c")).otherwise(0)).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a distinct score
-    g = p.select("pos", "neg", below.alias("below"))
+    # Negatives below a score: within a bucket of scores, and in the buckets before.
+    p = p.where("s is not null").withColumn("b", F.floor(F.log2(F.greatest("s", F.lit(1e-300))) * 64))
+    before = lambda by: F.coalesce(F.sum("neg").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = p.groupBy("b").agg(F.sum("neg").alias("neg")).select("b", before(Window.orderBy("b")).alias("base"))
+    g = p.join(sums, "b").select("pos", "neg", (F.col("base") + before(Window.partitionBy("b").orderBy("s"))).alias("below"))
     return g.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.round(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg")), 6).alias("auc"))
 
 

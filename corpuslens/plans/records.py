@@ -408,3 +408,75 @@ def folded_classes(spark, sf):
     small = l.groupBy("cls").agg(F.sum("c").alias("t")).select("cls", (F.col("t") < 2000).alias("rare"))
     f = l.join(small, "cls").groupBy(F.when(F.col("rare"), "OTHER").otherwise(F.col("cls")).alias("cls"), "source").agg(F.sum("c").alias("c"))
     return f.groupBy("cls").agg(F.count("*").alias("n_sources"), F.sum("c").alias("n"))
+
+
+@query(f"""WITH {TYPES}, a AS (SELECT w, freq, {_sql_replace("w", text.ASCII_PAIRS).replace("'''", "''''")} AS a FROM types) SELECT a AS ascii, count(*) AS n_forms, CAST(sum(freq) AS BIGINT) AS n FROM a GROUP BY a HAVING sum(freq) >= 100""")
+def ascii_forms(spark, sf):
+    """Forms by their ASCII transliteration."""
+    v = tokens.vocabulary(tokens.tokens(load(spark, sf, "documents")))
+    return v.groupBy(text.to_ascii(F.col("w")).alias("ascii")).agg(F.count("*").alias("n_forms"), F.sum("freq").alias("n")).where("n >= 100")
+
+
+_STEM_SQL = ", ".join(f"CASE WHEN w LIKE '%{e}' AND len(w) >= {len(e) + 3} THEN left(w, len(w) - {len(e)}) END" for e in text.CASE_ENDINGS)
+
+
+@query(f"""WITH {TYPES}, s AS (SELECT w, len(list_distinct([w, {_STEM_SQL}])) AS n FROM types) SELECT n AS n_stems, count(*) AS n_words, min(w) AS first FROM s GROUP BY n""")
+def stem_counts(spark, sf):
+    """How many stems the case endings leave of each word."""
+    v = tokens.vocabulary(tokens.tokens(load(spark, sf, "documents"))).select("w", F.size(text.all_stems(F.col("w"))).alias("n_stems"))
+    return v.groupBy("n_stems").agg(F.count("*").alias("n_words"), F.min("w").alias("first"))
+
+
+@query(f"""WITH {TYPES}, f AS (SELECT w, freq, translate(lower(w), 'cqśšσςê', 'kksssse') AS m FROM types) SELECT m AS minimal, count(*) AS n_strict, CAST(sum(freq) AS BIGINT) AS freq FROM f GROUP BY m HAVING count(*) > 1""")
+def folded_words(spark, sf):
+    """Words that differ as read but not when letters of one sound are merged."""
+    v = tokens.vocabulary(tokens.tokens(load(spark, sf, "documents"))).select(text.fold(F.col("w")).alias("strict"), text.fold(F.col("w"), "minimal").alias("minimal"), "freq")
+    s = v.groupBy("minimal", "strict").agg(F.sum("freq").alias("freq"))
+    return s.groupBy("minimal").agg(F.count("*").alias("n_strict"), F.sum("freq").alias("freq")).where("n_strict > 1")
+
+
+@query(f"""WITH {TOK}, c AS (SELECT lang, CASE {" ".join(f"WHEN w = '{w}' THEN 'OP:{g}'" for w, g in OPERATORS.items())} WHEN w LIKE '%al' AND len(w) > 4 OR w LIKE '%as' AND len(w) > 4 OR w LIKE '%us' AND len(w) > 4 THEN 'GEN?' ELSE 'X' END AS slot, CASE WHEN i = 0 THEN 'init' WHEN i = n - 1 THEN 'fin' ELSE 'mid' END AS place FROM tok)
+SELECT lang, slot, place, count(*) AS n FROM c GROUP BY ALL""")
+def token_slots(spark, sf):
+    """Slot classes of tokens by place."""
+    t = tokens.tokens(load(spark, sf, "documents"), "lang")
+    return t.groupBy("lang", text.slot_class(F.col("w"), F.lit("W"), OPERATORS).alias("slot"), text.slot_of(F.col("i"), F.col("n")).alias("place")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH p AS (SELECT p_partkey % 4 AS m, p_size % 7 + 1 AS a, greatest(p_size % 7 + 1 - p_partkey % 3, 1) AS b, p_partkey % 2 = 0 AS two FROM part)
+SELECT CASE m WHEN 1 THEN a * 100 WHEN 2 THEN (a - 1) * 100 + 25 WHEN 3 THEN a * 100 - 25 ELSE a * 100 END AS y_from,
+CASE WHEN two THEN (b - 1) * 100 + 1 ELSE CASE m WHEN 1 THEN a * 100 - 24 WHEN 2 THEN (a - 1) * 100 + 1 WHEN 3 THEN (a - 1) * 100 + 26 ELSE (a - 1) * 100 + 1 END END AS y_to, count(*) AS n FROM p GROUP BY ALL""")
+def century_spans(spark, sf):
+    """Latin century phrases as years."""
+    roman = F.array(*map(F.lit, ("I", "II", "III", "IV", "V", "VI", "VII")))
+    k, a = F.col("p_partkey"), F.col("p_size") % 7 + 1
+    b = F.greatest(a - k % 3, F.lit(1)).cast("int")
+    mod = F.element_at(F.array(F.lit(""), F.lit("ineunti "), F.lit("exeunti "), F.lit("medio ")), (k % 4 + 1).cast("int"))
+    phrase = F.concat(mod, F.element_at(roman, a), F.when(k % 2 == 0, F.concat(F.lit(" - "), F.element_at(roman, b))).otherwise(""), F.lit(" saec. a. Chr."))
+    y = load(spark, sf, "part").select(text.century_years(phrase).alias("y"))
+    return y.groupBy(F.col("y.y_from").cast("long").alias("y_from"), F.col("y.y_to").cast("long").alias("y_to")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT CASE p_partkey % 6 WHEN 0 THEN 'NAME-M' WHEN 1 THEN 'NAME-F' WHEN 2 THEN 'THEO' WHEN 3 THEN 'KIN' WHEN 4 THEN 'VERB' ELSE 'OTHER' END AS cls, count(*) AS n FROM part GROUP BY ALL""")
+def gloss_classes(spark, sf):
+    """Classes of glosses by patterns in order."""
+    k, name = F.col("p_partkey") % 6, F.col("p_type")
+    g = F.when(k == 0, F.concat(F.lit("mr-"), name, F.lit(" and mrs-x the god"))).when(k == 1, F.concat(F.lit("ms-x and mr-"), name)).when(k == 2, F.concat(F.lit("a deity or son of "), name)).when(k == 3, F.concat(F.lit("son of one who gave "), name))
+    return load(spark, sf, "part").groupBy(text.gloss_class(g.when(k == 4, F.concat(name, F.lit(" was here"))).otherwise(F.lit("a thing"))).alias("cls")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT s_suppkey, upper(regexp_replace(s_name, '[^A-Za-z]', '-', 'g')) || ' [---] AB ś' AS clean FROM supplier""")
+def cleaned_ocr_lines(spark, sf):
+    """OCR lines in the conventions of marked text."""
+    line = F.concat(F.lit("{latin} "), "s_name", F.lit("~ab  ( T)"))
+    return load(spark, sf, "supplier").select("s_suppkey", records.pre_clean(line, "•[]<>() -").alias("clean"))
+
+
+@query("""SELECT event_type || ' z ' || event_type AS line, count(*) AS n FROM events GROUP BY ALL""")
+def glued_remnants(spark, sf):
+    """One-letter remnants of torn words joined where the join is a known form."""
+    kinds = ("click", "error", "purchase", "signup", "view", "login", "logout", "search")
+    known = F.create_map(*[x for w in kinds for x in (F.lit(w), F.lit(True))])
+    e = F.col("event_type")
+    parts = F.array(F.left(e, F.length(e) - 1), F.right(e, F.lit(1)), F.lit("z"), e)
+    return load(spark, sf, "events").groupBy(F.array_join(records.glue(parts, known), " ").alias("line")).agg(F.count("*").alias("n"))
