@@ -254,10 +254,99 @@ def test_html_open_blocks_take_the_nearest_label():
     assert html.main_text(page).split("\n") == ["Head", "First.", long.strip(), "Last."]
 
 
+P = "<p>It was the best of times and it was the worst of times, and this is what the people of the town had to say of it for all the years that they were in it.</p>"
+
+
+def test_html_names_are_one_sign_among_others():
+    page = f"""<article>{P}<section class="related-work"><p>Work like this is in the papers of the field and it was not easy to do for us.</p></section><p class="search">To search is to look.</p>
+<h2 id="share-prices">Share prices</h2>{P}<div id="alert-systems">Alert systems are in use.</div><div class="share"><a href=1>Share</a></div><div class="comment-list"><p>I was there and it was not as you say it was, and they know it.</p></div></article>"""
+    text = html.main_text(page)
+    assert all(x in text for x in ("Work like this", "To search is", "Share prices", "Alert systems are"))
+    assert "Share\n" not in text + "\n" and "I was there" not in text
+    page = f'<nav><a href="/">Home</a></nav><article class="teaser"><p>Teaser</p></article><div class="post">{P * 3}</div><div class="sidebar-left">{P}</div><footer>x</footer>'
+    assert html.main_text(page).split("\n") == [P[3:-4]] * 3
+    assert [html.name_kind(x, True) for x in ("share-prices", "cookie_banner", "nav-main-2", "x", "Comment", "header")] == [html.PLAIN, html.PROSE, html.SIGN, html.PLAIN, html.PROSE, html.PLAIN]
+
+
+def test_html_time_is_linear():
+    import time
+
+    for make in (lambda n: '<a "x ' * n, lambda n: '<a "x ' * n + ">", lambda n: "<div>" * n + "x" + "</p>" * n, lambda n: "<p><article>" + "<div>" * n + "</p>" * n, lambda n: "<![CDATA[" * n + "<!--" * n):
+        html.main_text(make(100))
+        began = time.process_time()
+        html.main_text(make(20_000))
+        assert time.process_time() - began < 3
+    assert html.main_text("<p>" + "the word " * 200_000 + "</p>").count("word") == 200_000
+
+
+def label_brute(found):
+    """The rules of the module, one by one and with whole searches."""
+    def text_label(b):
+        if b.linked / len(b.text) > 0.33:
+            return False
+        if len(b.text) < 70:
+            return False if b.linked else None
+        if b.stops >= 0.32 or (b.stops >= 0.30 and len(b.text) > 200):
+            return True
+        return None if b.stops >= 0.30 or len(b.text) > 600 else False
+
+    free = [not b.inside and b.kind != html.PROSE for b in found]
+    own = [text_label(b) if f else None for b, f in zip(found, free)]
+    size = {w: sum(len(b.text) for b, x in zip(found, own) if x and (b.article > 0) == w) for w in (True, False)}
+    marked = any(f and b.article for b, f in zip(found, free)) and size[True] >= size[False]
+    first, counts = [], []
+    for b, f, x in zip(found, free, own):
+        if not f:
+            label = False
+        elif marked and not b.article:
+            label = None if x and b.kind == html.PLAIN and not b.linked and len(b.text) > 600 else False
+        elif b.article:
+            linky = b.linked / len(b.text) > 0.33
+            if b.kind:
+                label = False if linky or len(b.text) < 70 or b.linked / len(b.text) > 0.2 or b.stops < 0.30 else (True if x else None)
+            else:
+                label = False if linky and len(b.text) >= 70 else (True if x else None)
+        else:
+            label = False if b.kind else x
+        first.append(label)
+        counts.append(label is not None and f and not b.kind and (bool(b.article) or not marked))
+    out = []
+    for i, b in enumerate(found):
+        if first[i] is not None:
+            out.append(first[i])
+            continue
+        here = marked and b.article > 0
+        near = [j for j in range(len(found)) if first[j] is not None and (not here or (counts[j] and found[j].article == b.article))]
+        left, right = max((j for j in near if j < i), default=None), min((j for j in near if j > i), default=None)
+        if left is None or right is None:
+            out.append(here if left is None and right is None else first[left if right is None else right])
+        elif b.heading or right - i < i - left:
+            out.append(first[right])
+        elif i - left < right - i:
+            out.append(first[left])
+        else:
+            out.append((first[left] or first[right]) if here else (first[left] and first[right]))
+    return out
+
+
+def test_html_labels_match_the_rules_one_by_one():
+    rng = random.Random(5)
+    words = ["the", "and", "was", "of", "house", "river", "table", "green"]
+    for _ in range(400):
+        found, article = [], 0
+        for _ in range(rng.randint(1, 12)):
+            article = rng.choice((article, article, 0, article + 1))
+            text = " ".join(rng.choices(words, (rng.choice((1, 2, 4)),) * 4 + (3,) * 4, k=rng.choice((1, 5, 12, 20, 60, 200))))
+            found.append(html.Block(text, rng.choice((0, 0, 0, len(text) // 4, len(text))), rng.random() < 0.1, rng.choice((0, 0, 0, 0, 1, 2)), article, rng.random() < 0.2))
+        html.decide(found)
+        assert [b.label for b in found] == label_brute(found)
+
+
 def test_html_operator(spark):
-    df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (None, "u", "")], "page_id long, url string, html string")
-    rows = {r["page_id"]: r for r in html.extract(df).collect()}
-    assert rows[1]["n_chars"] == len(rows[1]["text"]) and rows[2]["text"] == "" and rows[None]["n_chars"] == 0
+    df = spark.createDataFrame([(1, "u", PAGE, 7), (2, None, None, 8), (None, "u", "", 9), (1, "u", PAGE, 7)], "page_id long, url string, html string, text int")
+    got = html.extract(df, keep=("url", "text", "html")).collect()
+    rows = {r["page_id"]: r for r in got}
+    assert rows[1]["n_chars"] == len(rows[1]["text"]) and rows[2]["text"] == "" and rows[None]["n_chars"] == 0 and len(got) == 4 and rows[1]["html"] == PAGE
     assert html.extract(df.limit(0)).count() == 0
 
 
