@@ -50,6 +50,10 @@ class Store:
         return self.spark._jvm.org.apache.hadoop.fs.Path(at).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def path(self, name: str) -> str:
+        if not self.kept:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            self._files(self.root).mkdirs(at)
+            self.kept = self._files(self.root).deleteOnExit(at)
         self.n += 1
         return f"{self.root}/{self.n:03d}_{name}"
 
@@ -62,8 +66,6 @@ class Store:
             df.write.option("compression", "zstd").parquet(at)
         finally:
             self.spark.conf.set(CLEANUP, before)
-        if not self.kept:
-            self.kept = self._files(self.root).deleteOnExit(self.spark._jvm.org.apache.hadoop.fs.Path(self.root))
         out = self.spark.read.schema(df.schema).parquet(at)
         out._corpuslens_path = at
         return out

@@ -1,16 +1,17 @@
 """Substring dedup with a log-structured fingerprint index.
 
-Documents arrive in batches by doc_id. A batch's winnowed window fingerprints
-are written as an immutable run, sorted and bucketed by fingerprint, and
-merge-joined with the runs of history without moving either. Runs of a level are
-compacted into one of the next when there are `fan_in` of them. Matched
-fingerprints, of the batch and of history, are verified: around them all windows
-are compared by hashes of all their words, and the earliest of equal windows stays.
+Documents arrive in batches. A batch's winnowed window fingerprints are written
+as an immutable run, sorted and bucketed by fingerprint, and merge-joined with
+the runs of history without moving either. Runs of a level are compacted into
+one of the next when there are `fan_in` of them. Matched fingerprints, of the
+batch and of history, are verified: around them all windows are compared by
+hashes of all their words, and the earliest of equal windows stays. An index with
+a path outlives its session: it is opened again and fed the next batch.
 """
 
 from __future__ import annotations
 
-import hashlib
+import json
 import uuid
 from functools import reduce
 
@@ -27,24 +28,44 @@ GRAM = 8
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (fp, doc_id, k1, pos), each bucketed by fp."""
+    """Sorted immutable runs of (fp, doc_id, k1, pos), each bucketed by fp.
 
-    def __init__(self, spark: SparkSession, fan_in: int = 3, buckets: int | None = None):
+    With a path, in a folder that the driver and all executors share, runs stay
+    there and save() lists them in a manifest, from which the same path opens the
+    index again, in any session. Keys then always have k1. Without a path the
+    runs go with close().
+    """
+
+    def __init__(self, spark: SparkSession, fan_in: int = 3, buckets: int | None = None, path: str | None = None):
         self.spark, self.fan_in, self.buckets = spark, fan_in, buckets or parallelism(spark)
-        self.store, self.runs = Store(spark), []  # (level, table)
+        self.store, self.path, self.runs, self.old = Store(spark), path, [], []  # (level, table); files that compaction left
+        if path and self._exists(f"{path}/manifest"):
+            text = spark.read.text(f"{path}/manifest", wholetext=True).first()["value"]
+            kept = json.loads(text)
+            self.buckets = kept["buckets"]
+            for level, at in kept["runs"]:
+                name = f"corpuslens_run_{uuid.uuid4().hex}"
+                spark.sql(f"create table {name} (fp bigint, doc_id bigint, k1 bigint, pos int) using parquet clustered by (fp) sorted by (fp) into {self.buckets} buckets location '{path}/{at}'")
+                self.runs.append((level, name))
+
+    def _exists(self, at: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     def _write(self, df: DataFrame) -> str:
         name = f"corpuslens_run_{uuid.uuid4().hex}"
+        at = f"{self.path}/{name}" if self.path else self.store.path("run")
         (df.repartition(self.buckets, "fp").sortWithinPartitions("fp").write.bucketBy(self.buckets, "fp").sortBy("fp")
-         .option("path", self.store.path("run")).option("compression", "zstd").saveAsTable(name))
+         .option("path", at).option("compression", "zstd").saveAsTable(name))
         return name
 
     def append(self, batch: DataFrame) -> DataFrame:
         """Adds a batch as a run; returns (doc_id, k1, pos) of all places whose fingerprint now repeats because of it."""
         new = self._write(batch)
         now = self.spark.table(new)
-        by = Window.partitionBy("fp")
-        found = [now.withColumn("n", F.count("*").over(by)).where("n > 1").drop("n")]
+        # Fingerprints are counted, not windowed: runs are bucketed, so counts and joins move nothing.
+        twice = now.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+        found = [now.join(twice, "fp", "left_semi")]
         mine = now.select("fp").distinct()
         for _, old in self.runs:
             run = self.spark.table(old)
@@ -53,24 +74,40 @@ class FingerprintIndex:
         return reduce(DataFrame.unionByName, found).select("doc_id", "k1", "pos")
 
     def compact(self) -> None:
-        """Merges levels that are full; the old runs go."""
+        """Merges levels that are full; the old runs go, those of a saved index when the manifest no longer names them."""
         level = 0
         while any(x[0] >= level for x in self.runs):
             full = [x for x in self.runs if x[0] == level]
             if len(full) >= self.fan_in:
                 merged = self._write(reduce(DataFrame.unionByName, [self.spark.table(t) for _, t in full]))
                 self.runs = [x for x in self.runs if x[0] != level] + [(level + 1, merged)]
-                self._drop([t for _, t in full])
+                self._drop([t for _, t in full], files=not self.path)
             level += 1
 
-    def _drop(self, tables) -> None:
+    def _place(self, table: str) -> str:
+        return self.spark.sql(f"describe formatted {table}").where("col_name = 'Location'").first()["data_type"]
+
+    def _drop(self, tables, files: bool) -> None:
         for t in tables:
-            at = self.spark.sql(f"describe formatted {t}").where("col_name = 'Location'").first()["data_type"]
+            at = self._place(t)
             self.spark.sql(f"drop table {t}")
-            self.store.drop(at)
+            self.store.drop(at) if files else self.old.append(at)
+
+    def save(self) -> None:
+        """Writes the manifest beside the runs and puts it in the old one's place; then files that it doesn't name go."""
+        runs = [(level, self._place(t).rstrip("/").rsplit("/", 1)[1]) for level, t in self.runs]
+        new = f"{self.path}/manifest-{uuid.uuid4().hex}"
+        self.spark.createDataFrame([(json.dumps({"buckets": self.buckets, "runs": runs}),)], "value string").coalesce(1).write.text(new)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        files = path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        files.delete(path(f"{self.path}/manifest"), True)
+        files.rename(path(new), path(f"{self.path}/manifest"))
+        self.store.drop(*self.old)
+        self.old = []
 
     def close(self) -> None:
-        self._drop([t for _, t in self.runs])
+        """Lets the runs' tables go; their files too, unless the index has a path."""
+        self._drop([t for _, t in self.runs], files=not self.path)
         self.runs = []
 
 
@@ -184,48 +221,58 @@ def _cut(n: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, n: int = 20, batches: int = 4, fan_in: int = 3) -> tuple[DataFrame, DataFrame]:
+def repeated_windows(docs: DataFrame, n: int = 20, batches: int = 4, fan_in: int = 3, index: FingerprintIndex | None = None, history: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The texts with their keys, and (doc_id, k1, copy, gone): for each text the starts of the n-word windows that also start earlier.
 
-    Earlier means a smaller doc_id, or the same document and a smaller start.
-    copy marks documents whose whole text has a smaller doc_id too; their windows
-    are not listed. Rows that share a doc_id but not their text count as
-    documents of their own, ordered by text hash; rows without doc_id match
-    nothing and are left out.
+    Earlier means in history (the documents whose fingerprints index holds), or
+    at a smaller doc_id, or in the same document at a smaller start. copy marks
+    documents whose whole text has a smaller doc_id too; their windows are not
+    listed. Rows that share a doc_id but not their text count as documents of
+    their own, ordered by text hash; rows without doc_id match nothing and are
+    left out.
     """
     spark = docs.sparkSession
     store = Store(spark)
-    texts, repeats = first_texts(store, docs)
+    texts, repeats = first_texts(store, docs, index is not None)
     texts, keyed = texts.where("doc_id is not null"), with_keys(docs, repeats)
-    cuts = texts.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000).alias("c")).first()["c"] or []
+    cuts = texts.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000).alias("c")).first()["c"] or [] if batches > 1 else []
     lows = [None, *sorted(set(cuts))]
-    index, hits = FingerprintIndex(spark, fan_in), []
-    for low, high in zip(lows, [*lows[1:], None]):
-        part = keyed.where("doc_id is not null")
-        part = part.where(F.col("doc_id") > low) if low is not None else part
-        part = part.where(F.col("doc_id") <= high) if high is not None else part
-        hits.append(store.put(index.append(fingerprints(part, n)), "hits"))
-        index.compact()
-    index.close()
+    own, hits = index is None, []
+    index = index or FingerprintIndex(spark, fan_in)
+    try:
+        for low, high in zip(lows, [*lows[1:], None]):
+            part = keyed.where("doc_id is not null")
+            part = part.where(F.col("doc_id") > low) if low is not None else part
+            part = part.where(F.col("doc_id") <= high) if high is not None else part
+            hits.append(store.put(index.append(fingerprints(part, n)), "hits"))
+            index.compact()
+    finally:
+        if own:
+            index.close()
     copies = texts.where("doc_id <> first").select("doc_id", "k1")
     places = reduce(DataFrame.unionByName, hits).join(copies, ["doc_id", "k1"], "left_anti")
     places = store.put(places.groupBy("doc_id", "k1").agg(F.collect_set("pos").alias("at")), "places")
     store.drop(*hits)
-    windows = _windows(keyed.join(places, ["doc_id", "k1"]), n)
+    windows = _windows(keyed.join(places, ["doc_id", "k1"]), n).withColumn("new", F.lit(True))
+    if history is not None:
+        windows = windows.unionByName(_windows(with_keys(history, True).where("doc_id is not null").join(places, ["doc_id", "k1"]), n).withColumn("new", F.lit(False)))
     spread = F.when(F.col("again"), F.xxhash64("doc_id", "s")).otherwise(0)
-    rank = F.rank().over(Window.partitionBy("w1", "w2", spread).orderBy("doc_id", "k1", "s"))
-    gone = windows.withColumn("rank", rank).where("again or rank > 1").groupBy("doc_id", "k1").agg(F.collect_set("s").alias("gone"))
-    gone = store.put(texts.select("doc_id", "k1", (F.col("doc_id") > F.col("first")).alias("copy")).distinct().join(gone, ["doc_id", "k1"], "left"), "gone")
+    rank = F.rank().over(Window.partitionBy("w1", "w2", spread).orderBy("new", "doc_id", "k1", "s"))
+    gone = windows.withColumn("rank", rank).where("new and (again or rank > 1)").groupBy("doc_id", "k1").agg(F.collect_set("s").alias("gone"))
+    gone = store.put(texts.select("doc_id", "k1", (F.col("doc_id") > F.col("first")).alias("copy")).distinct().join(gone, ["doc_id", "k1"], "left").where("copy or gone is not null"), "gone")
     store.drop(places)
     return keyed, gone
 
 
-def dedup(docs: DataFrame, n: int = 20, batches: int = 4) -> DataFrame:
+def dedup(docs: DataFrame, n: int = 20, batches: int = 4, index: FingerprintIndex | None = None, history: DataFrame | None = None) -> DataFrame:
     """(doc_id, text, n_words, n_removed) of every row: words covered by repeated n-word windows go.
 
-    Kept words are joined by one space. A null text has no words.
+    Kept words are joined by one space. A null text has no words. With an index
+    the documents are a new batch: history are the documents that it holds, of
+    which only those with a matched fingerprint are looked at again; afterwards
+    the index holds the batch too.
     """
-    keyed, gone = repeated_windows(docs, n, batches)
+    keyed, gone = repeated_windows(docs, n, batches, index=index, history=history)
     rows = keyed.join(gone, ["doc_id", "k1"], "left")
     rows = rows.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -2,9 +2,12 @@
 
 Headers (id, digest, length) are made where the payloads lie, and only headers
 are shuffled by digest: the record with the largest id of each digest is the
-response, the others are revisits that refer to it. Archives are written by
-Spark's text writer, one record a row with the record separator of the format
-as the line end, so they reach any store and a lost task is simply written again.
+response, the others are revisits that refer to it. The revisits are broadcast
+to the payloads where a count shows that they are few; else the payloads move to
+meet them. Archives are written by Spark's text writer, one record a row with
+the record separator of the format as the line end, so they reach any store and
+a lost task is simply written again. That writer makes a file one gzip member,
+not a member a record.
 """
 
 from __future__ import annotations
@@ -12,14 +15,15 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hot_join, tidy
+from .common import hot_join, sized, tidy
 
 #: Fixed values of the format.
 END = "\r\n\r\n"
@@ -64,24 +68,24 @@ def resolve(heads: DataFrame, min_bytes: int = 0) -> DataFrame:
     )
 
 
-def _name(page_id) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, str(page_id))}>"
+def _name(page_id, sha, copy=0) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}:{sha}:{copy}')}>"
 
 
 def _clean(value) -> str:
     return re.sub(r"[\r\n]", " ", value or "")
 
 
-def record(page_id, url, html, size, sha, kind, refers_to, refers_url) -> str:
+def record(page_id, url, html, size, sha, kind, refers_to, refers_url, copy=0) -> str:
     """One record without the separator that follows it."""
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}{END}"
     block += (html or "") if kind == "response" else ""
     head = [
-        VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: {_name(page_id)}", f"WARC-Target-URI: {_clean(url)}",
+        VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: {_name(page_id, sha, copy)}", f"WARC-Target-URI: {_clean(url)}",
         "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{sha}", f"X-Page-Id: {'' if page_id is None else page_id}",
     ]
     if kind == "revisit":
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_name(refers_to)}", f"WARC-Refers-To-Target-URI: {_clean(refers_url)}", f"X-Refers-To-Page-Id: {refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_name(refers_to, sha)}", f"WARC-Refers-To-Target-URI: {_clean(refers_url)}", f"X-Refers-To-Page-Id: {refers_to}"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block.encode())}"]
     return "\r\n".join(head) + END + block
 
@@ -90,37 +94,45 @@ def write(pages: DataFrame, resolved: DataFrame, path: str, per_file: int = 1000
     """Writes archives with fresh headers, gzip-compressed; payloads only in responses.
 
     Rows meet their resolution by page_id and digest, so every row gets a record
-    even where ids repeat or are null.
+    even where ids repeat or are null. Record ids come from page_id, digest and
+    the number of the row among those equal in both.
     """
-    fields = ["page_id", "url", "html", "payload_bytes", "payload_digest", "record_type", "refers_to", "refers_url"]
+    fields = ["page_id", "url", "html", "payload_bytes", "payload_digest", "record_type", "refers_to", "refers_url", "copy"]
 
     def make(batches):
         for b in batches:
             rows = zip(*(b.column(x).to_pylist() for x in fields))
             yield pa.RecordBatch.from_arrays([pa.array([record(*r) for r in rows], pa.string())], names=["value"])
 
-    full = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    full = full.withColumn("sha", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
-    meta = resolved.dropDuplicates(["page_id", "sha"]).drop("url")
-    rows = full.join(meta, full["page_id"].eqNullSafe(meta["page_id"]) & (full["sha"] == meta["sha"])).select(
-        full["page_id"], full["url"], full["html"], meta["payload_bytes"], base32(full["sha"]).alias("payload_digest"), *[meta[x] for x in fields[5:]]
-    )
+    html = F.col("html").cast("string")
+    full = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
+    payload = F.coalesce("html", F.lit(""))
+    full = full.withColumn("sha", F.sha1(payload.cast("binary"))).withColumn("payload_bytes", F.octet_length(payload).cast("long"))
+    same = ["page_id", "sha"]
+    repeats = resolved.groupBy(*same).agg(F.count("*").alias("c")).where("c > 1").limit(1).count()
+    full = full.withColumn("copy", F.row_number().over(Window.partitionBy(*same).orderBy("url")) - 1 if repeats else F.lit(0))
+    again = resolved.where("record_type = 'revisit'").select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), "record_type", "refers_to", "refers_url").dropDuplicates(["_id", "_sha"])
+    rows = full.join(sized(again, again.count()), full["page_id"].eqNullSafe(F.col("_id")) & (full["sha"] == F.col("_sha")), "left")
+    rows = rows.select("page_id", "url", "html", "payload_bytes", base32(F.col("sha")).alias("payload_digest"), F.coalesce("record_type", F.lit("response")).alias("record_type"), "refers_to", "refers_url", "copy")
     rows.mapInArrow(tidy(make), "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
-def parse(data: bytes):
-    """(headers, http headers, payload) of each record of an archive, by Content-Length."""
-    at = 0
-    while at < len(data):
-        cut = data.index(b"\r\n\r\n", at)
-        head = dict(x.split(": ", 1) for x in data[at:cut].decode().split("\r\n")[1:] if ": " in x)
+def parse(stream):
+    """(headers, http headers, payload) of each record of an archive, by Content-Length; one record is held at a time."""
+    while first := stream.readline():
+        head = {}
+        while (line := stream.readline()) != b"\r\n":
+            if not line:
+                raise ValueError("a record breaks off")
+            key, sep, value = line.decode().rstrip("\r\n").partition(": ")
+            if sep:
+                head[key] = value
         size = int(head["Content-Length"])
-        block = data[cut + 4:cut + 4 + size]
-        if len(block) != size or data[cut + 4 + size:cut + 8 + size] != b"\r\n\r\n":
+        block = stream.read(size)
+        if not first.startswith(b"WARC/") or len(block) != size or stream.read(4) != b"\r\n\r\n":
             raise ValueError("a record's length is wrong")
         top, _, payload = block.partition(b"\r\n\r\n")
         yield head, dict(x.split(": ", 1) for x in top.decode().split("\r\n")[1:] if ": " in x), payload
-        at = cut + 8 + size
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -136,7 +148,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for raw in b.column("content").to_pylist():
                 out = []
-                for head, http, payload in parse(gzip.decompress(raw)):
+                for head, http, payload in parse(gzip.GzipFile(fileobj=io.BytesIO(raw))):
                     sha, kind = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"]
                     size, html = int(http["Content-Length"]), None
                     if kind == "response":
@@ -145,7 +157,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         html = payload.decode()
                     number = lambda x: int(x) if x.strip() else None
                     out.append((number(head["X-Page-Id"]), head["WARC-Target-URI"], size, sha, kind, number(head.get("X-Refers-To-Page-Id", "")), html))
-                    if len(out) == 500:
+                    if len(out) == 200:
                         yield _batch(out)
                         out = []
                 yield _batch(out)

@@ -37,11 +37,11 @@ def text_key() -> tuple:
     return F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), F.reverse(text)).alias("k2")
 
 
-def first_texts(store: Store, docs: DataFrame) -> tuple[DataFrame, bool]:
+def first_texts(store: Store, docs: DataFrame, always: bool = False) -> tuple[DataFrame, bool]:
     """(doc_id, k1, k2, first, copies), written: which rows hold the first copy of their text; and whether ids repeat.
 
     Where no doc_id has two texts, (doc_id, k1) needs no k1: it is 0, which spares
-    eight bytes in every row that carries it.
+    eight bytes in every row that carries it, unless keys must always have it.
 
     first is the smallest doc_id with the text, copies the number of rows that
     have it. Rows without doc_id stand alone (first null, copies 1).
@@ -50,7 +50,7 @@ def first_texts(store: Store, docs: DataFrame) -> tuple[DataFrame, bool]:
     groups = store.put(keys.where("doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1"), "text_copies")
     out = hot_join(keys, groups, ["k1", "k2"], "copies", max(1, keys.count()))
     own = F.col("doc_id").isNotNull()
-    repeats = keys.where(own).groupBy("doc_id").agg(F.count_distinct("k1", "k2").alias("n")).where("n > 1").limit(1).count() > 0
+    repeats = always or keys.where(own).groupBy("doc_id").agg(F.count_distinct("k1", "k2").alias("n")).where("n > 1").limit(1).count() > 0
     out = out.select(
         "doc_id", "k1", "k2", F.when(own, F.coalesce("first", "doc_id")).alias("first"), F.when(own, F.coalesce("copies", F.lit(1))).otherwise(1).alias("copies")
     ).dropDuplicates(["doc_id", "k1", "k2"])

@@ -2,7 +2,9 @@
 
 import base64
 import collections
+import gzip
 import hashlib
+import io
 import random
 import re
 
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.llm import decontaminate, html, jaccard, linededup, lsm, pieces, quality, suffixes, topk, warc
 from corpuslens.llm.components import components
-from corpuslens.llm.common import Store, hot_join
+from corpuslens.llm.common import Store, hot_join, range_hash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, rank string, copies int, score string"
@@ -72,6 +74,23 @@ def test_lsm_index_compacts_and_gives_the_same_for_any_batches(spark):
     assert runs[0] == runs[1]
 
 
+def test_lsm_index_is_opened_again_for_the_next_batch(spark, tmp_path):
+    rows = [r for r in corpus(2) if r[0] is not None]
+    whole = {(r["doc_id"], r["n_removed"], r["text"]) for r in lsm.dedup(frame(spark, rows)).collect()}
+    ids = sorted({r[0] for r in rows})
+    cuts = [ids[0], ids[len(ids) // 3], ids[2 * len(ids) // 3], ids[-1] + 1]
+    got, path = set(), f"file://{tmp_path}/index"
+    before = len(spark.catalog.listTables())
+    for k in range(3):  # each batch by an index opened anew
+        index = lsm.FingerprintIndex(spark, fan_in=2, path=path)
+        batch, past = frame(spark, [r for r in rows if cuts[k] <= r[0] < cuts[k + 1]]), frame(spark, [r for r in rows if r[0] < cuts[k]])
+        got |= {(r["doc_id"], r["n_removed"], r["text"]) for r in lsm.dedup(batch, batches=1, index=index, history=past).collect()}
+        assert len(index.runs) <= 2
+        index.save()
+        index.close()
+    assert got == whole and len(spark.catalog.listTables()) == before
+
+
 def test_repeated_ids_with_different_texts(spark):
     t = " ".join(map(str, range(40)))
     rows = [(1, t, "", 1, ""), (1, t + " more", "", 1, ""), (2, "none of this", "", 1, "")]
@@ -214,6 +233,8 @@ def test_warc_round_trip(spark, tmp_path):
     assert by[None][0]["refers_to"] == 2
     assert {r["html"] for r in by[5]} == {"y", rows[4][2]} and by[6][0]["payload_bytes"] == 200_000
     assert [r["record_type"] for r in by[7]] == ["response"] * 2
+    names = [h["WARC-Record-ID"] for f in spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(at).collect() for h, _, _ in warc.parse(gzip.GzipFile(fileobj=io.BytesIO(f["content"])))]
+    assert len(names) == len(set(names)) == len(rows)
     assert all(r["payload_digest"] == base64.b32encode(hashlib.sha1(r["html"].encode()).digest()).decode() for r in back if r["record_type"] == "response")
     none = pages.limit(0)
     warc.write(none, warc.resolve(warc.headers(none)), at + "2")
@@ -434,6 +455,34 @@ def test_quality_learns_and_scores_everything(spark):
     assert quality.score(docs.limit(0), trees).count() == 0
 
 
+def test_trees_match_exhaustive_splits_and_recursive_walks():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 4)).astype(np.float32)
+    x[:, 3] = np.round(x[:, 3])  # ties
+    y = ((x[:, 0] > 0.2) ^ (x[:, 3] > 0)).astype(float)
+    t = quality.Trees.fit(x, y, trees=3, depth=3, bins=400, l2=2.0, least=1.0)
+    p = y.mean()
+    g, h = np.full(300, p) - y, np.full(300, p * (1 - p))
+    best = max(
+        (g[m].sum() ** 2 / (h[m].sum() + 2) + g[~m].sum() ** 2 / (h[~m].sum() + 2) - g.sum() ** 2 / (h.sum() + 2), j, e)
+        for j in range(4) for e in np.unique(x[:, j])[:-1] if min(h[m := x[:, j] <= e].sum(), h[~m].sum()) >= 1
+    )
+    left = x[:, t.feature[0, 1]] <= t.threshold[0, 1]
+    assert t.feature[0, 1] == best[1] and (left == (x[:, best[1]] <= best[2])).all()
+
+    def walk(row):
+        total = t.base
+        for k in range(3):
+            node = 1
+            while node < 8:
+                node = 2 * node + int(row[t.feature[k, node]] > t.threshold[k, node])
+            total += float(t.value[k, node - 8])
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(t.score(x), [walk(r) for r in x])
+    assert ((t.score(x) >= 0.5) == y).mean() > 0.9
+
+
 def test_features_of_a_text_do_not_depend_on_the_batch():
     texts = [t for _, t, *_ in corpus(9) if t is not None]
     whole = quality.features(texts)
@@ -462,6 +511,60 @@ def test_samples_follow_the_lattice_without_replacement(lattices):
     assert abs(total / n - np.exp(known[a])) < 0.03  # inverse-inclusion estimates are unbiased
 
 
+@pytest.mark.parametrize("text", ["on", "the on", "ab", "een"])
+def test_samples_match_all_segmentations(lattices, text):
+    """Distinct samples, exact probabilities and inclusion scores against the list of all segmentations."""
+    v = lattices.vocabulary
+    scores = {}
+    for i, key in enumerate(v.key.tolist()):
+        scores[key] = (int(v.id[i]), float(v.score[i]))
+    chars = np.array([pieces.BLANK if c == " " else ord(c) for c in " " + text], np.uint32)
+    edges = {}
+    for a in range(len(chars)):
+        for b in range(a + 1, len(chars) + 1):
+            if b == a + 1 or pieces.BLANK not in chars[a + 1:b]:
+                key = int(range_hash(chars, np.array([a]), np.array([b]))[0])
+                if key in scores:
+                    edges[a, b] = scores[key]
+                elif b == a + 1:
+                    edges[a, b] = (None, v.spelt)
+    paths = []
+
+    def walk(at, ids, total):
+        if at == len(chars):
+            paths.append((tuple(ids), total))
+        for b in range(at + 1, len(chars) + 1):
+            if (at, b) in edges:
+                i, x = edges[at, b]
+                walk(b, [*ids, *([i] if i is not None else [int(v.byte_ids[y]) for y in chr(chars[at]).encode()])], total + lattices.theta * x)
+
+    walk(0, [], 0.0)
+    z = np.logaddexp.reduce([x for _, x in paths])
+    p = {}
+    for ids, x in paths:
+        p[ids] = p.get(ids, 0.0) + np.exp(x - z)
+    k, rounds = min(3, len(p)), 4000
+    out = pieces.sample_batch([text] * rounds, np.arange(rounds), k, lattices, 5)
+    drawn = []
+    for live, ids, ends, logp, score in out:
+        cut = [tuple(ids[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])]
+        assert len(live) == rounds and all(x in p for x in cut)
+        assert np.allclose(logp, [np.log(p[x]) for x in cut], atol=2e-3)
+        drawn.append(cut)
+    assert all(len(set(x)) == k for x in zip(*drawn))
+    first, pairs = collections.Counter(drawn[0]), collections.Counter(zip(*drawn[:2])) if k > 1 else {}
+    for x in p:  # the first by probability, the second by what is left without it
+        assert abs(first[x] / rounds - p[x]) < 4 * np.sqrt(p[x] / rounds) + 2e-3
+        for y in p if k > 1 else ():
+            if x != y:
+                q = p[x] * p[y] / (1 - p[x])
+                assert abs(pairs[x, y] / rounds - q) < 4 * np.sqrt(q / rounds) + 2e-3
+    # Horvitz-Thompson: weights p / inclusion add up to 1 on average.
+    if k < len(p):
+        total = sum(np.exp(logp - score) for _, _, _, logp, score in out)
+        assert abs(total.mean() - 1) < 5 * total.std() / np.sqrt(rounds) + 1e-3
+
+
 def test_sampling_operator(spark):
     texts = [None, "", " ", "  two  blanks ", "tab\tand\nline", "☃ 漢字 é", "a", "x" * 3000, "The end.\nThe end."]
     rows = [(i, t, "", 1, "") for i, t in enumerate(texts)] + [(4, texts[4], "", 1, ""), (None, "null id", "", 1, "")]
