@@ -20,13 +20,21 @@ LEAST_QUALITY = 0.5
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject; trees are learnt outside the held-out part."""
+    """Documents that the quality classifier doesn't reject; trees are learnt outside the held-out part.
+
+    Null and empty texts are scored like others, repeated rows each; without
+    labels every score is 0.5 and all stay. An empty table stays empty.
+    """
     trees = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, trees).where(F.col("score") >= LEAST_QUALITY).select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of repeated line runs; those left without a word go."""
+    """Documents without later copies of repeated line runs; those left without a word go.
+
+    Null texts and rows without doc_id stay as they are. Rows that repeat a doc_id
+    are documents of their own, rows equal in text too keep the same.
+    """
     out = linededup.dedup(docs.select(*COLUMNS)).where(F.col("n_deleted").isNull() | (F.col("n_deleted") == 0) | F.rlike("text", F.lit(WORD)))
     return out.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
@@ -48,12 +56,19 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item.
+
+    Null and empty texts contain none and stay, as do rows without doc_id; of a
+    doc_id that repeats all rows go if their texts together contain an item.
+    """
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two distinct sampled segmentations of each document: doc_id, sample, ids, log_prob, log_inclusion, exact."""
+    """Two distinct sampled segmentations of each document: doc_id, sample, ids, log_prob, log_inclusion, exact.
+
+    A null or empty text has one, without ids; repeated rows have the same ones.
+    """
     # The executors' heaps are grown by the stages before; small slices leave them room.
     return pieces.sample(docs, k=2, cache=400_000, slice_bytes=1 << 19)
 

@@ -27,6 +27,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from .common import mix, powers, range_hash, tidy
 from .quality import _slices as slices
 
+#: The model where neither a parameter nor the session's corpuslens.tokenizer.model names one.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = 0x2581
 SLICE = 1 << 20
@@ -418,7 +419,7 @@ def _ids(lat: Lattices, c: np.ndarray, length: np.ndarray) -> tuple[np.ndarray,
 
 
 def sample(
-    docs: DataFrame, k: int = 2, theta: float = 1e-3, seed: int = 1, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE, slice_bytes: int = SLICE
+    docs: DataFrame, k: int = 2, theta: float = 1e-3, seed: int = 1, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE, slice_bytes: int = SLICE
 ) -> DataFrame:
     """(id, sample, ids, log_prob, log_inclusion, exact): up to k distinct segmentations of every text.
 
@@ -429,7 +430,7 @@ def sample(
     same text get the same samples. cache (characters of lattices kept, 200 bytes
     each) and slice_bytes bound a task's memory; they don't change results.
     """
-    vocabulary = Vocabulary(model)
+    vocabulary = Vocabulary(model or docs.sparkSession.conf.get("corpuslens.tokenizer.model", MODEL))
     src = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col).cast("string")).alias("_key"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["_id"].dataType.simpleString()
 
@@ -462,9 +463,9 @@ def sample(
     return out.withColumnRenamed("_id", id_col)
 
 
-def decode(df: DataFrame, ids_col: str = "ids", to: str = "text", model: str = MODEL) -> DataFrame:
+def decode(df: DataFrame, ids_col: str = "ids", to: str = "text", model: str | None = None) -> DataFrame:
     """df with the text that each row's ids stand for; null ids give a null text."""
-    vocabulary = Vocabulary(model)
+    vocabulary = Vocabulary(model or df.sparkSession.conf.get("corpuslens.tokenizer.model", MODEL))
 
     def run(batches):
         for b in batches:

@@ -598,3 +598,29 @@ def test_pipeline_on_a_small_folder(spark, tmp_path):
     ids = {r["doc_id"] for r in got}
     assert {i for i in range(120) if i % 4} - ids == set() and not ids & {i for i in range(120) if i % 4 == 0}
     assert 200 not in ids and 201 not in ids and None in ids and all(r["exact"] for r in got)
+
+
+def test_stages_take_repeats_nulls_and_clashing_columns(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(11)
+    words = ["the", "house", "stands", "by", "a", "river", "and", "old", "trees", "grow", "near", "it", "while", "boats", "pass"]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    lines = "\n".join(text(30) for _ in range(4))
+    rows = [(1, lines), (1, text(60)), (2, lines), (2, lines), (3, None), (4, ""), (None, lines), (5, text(90))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "clash", 1, 0.5) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, n_deleted string, component_id int, score double")
+    spark.createDataFrame([(i, 1, 0) for i in range(1, 6)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, text(40)), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        kept = collections.Counter(r["doc_id"] for r in out.collect())
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        if name != "sentencepiece":
+            assert tuple(out.columns) == corpus_pipeline.COLUMNS
+        if name == "near_duplicates":  # 1 and 2 share a text; of 1's rows one stays
+            assert kept == {1: 1, 3: 1, 4: 1, None: 1, 5: 1}
+        elif name == "line_dedup":  # both rows of 2 repeat what 1 has
+            assert kept == {1: 2, 3: 1, 4: 1, None: 1, 5: 1}
+        elif name in ("quality", "decontamination"):
+            assert kept == {1: 2, 2: 2, 3: 1, 4: 1, None: 1, 5: 1}
+        else:
+            assert kept == {1: 4, 2: 4, 3: 1, 4: 1, None: 2, 5: 2}
