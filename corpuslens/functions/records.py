@@ -234,3 +234,16 @@ def soft_jaccard(a: Column, b: Column, same) -> Column:
     # Words of a beyond their first matches count as unmatched; b counts once each.
     size = F.size(a) + F.size(F.array_distinct(b))
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(hit / (size - hit))
+
+
+def greedy(a: Column, b: Column, same) -> Column:
+    """struct<rest, left, hit>: a's words, in order, each take b's first free word that is the same(x, y); what stays on either side, and the matches."""
+
+    def step(state, w):
+        at = F.coalesce(F.array_position(F.transform(state["rest"], lambda v: same(w, v)), True), F.lit(0)).cast("int")
+        rest = F.concat(F.slice(state["rest"], F.lit(1), F.greatest(at - 1, F.lit(0))), F.slice(state["rest"], at + 1, F.size(state["rest"])))
+        return F.struct(
+            F.when(at > 0, rest).otherwise(state["rest"]).alias("rest"), F.when(at > 0, state["left"]).otherwise(F.concat(state["left"], F.array(w))).alias("left"), (state["hit"] + (at > 0).cast("int")).alias("hit")
+        )
+
+    return F.aggregate(a, F.struct(b.alias("rest"), F.array().cast("array<string>").alias("left"), F.lit(0).alias("hit")), step)

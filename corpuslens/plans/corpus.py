@@ -105,7 +105,7 @@ def bigram_top(spark, sf):
 @query("""WITH e AS (SELECT user_id, event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events)
 SELECT a, b, count(*) AS n, count(DISTINCT user_id) AS n_users FROM e WHERE b IS NOT NULL AND a <> b GROUP BY ALL""")
 def filiation_pairs(spark, sf):
-    """Changes from one event type to another, and how many users show each."""
+    """Changes from one event type to another, and how many users show each (W4; filiation_patterns counts A33)."""
     p = sequences.adjacent(load(spark, sf, "events"), "user_id", ["ts", "event_id"], "event_type").where("a <> b")
     per = p.groupBy("a", "b", "user_id").agg(F.count("*").alias("c"))
     return per.groupBy("a", "b").agg(F.sum("c").alias("n"), F.count("*").alias("n_users"))
@@ -204,7 +204,7 @@ def stem_top_region(spark, sf):
 @query(f"""WITH t AS (SELECT conv_id, turn, role, {WORDS} AS ws FROM conversations), s AS (SELECT role, 'slot1' AS slot, ws[1] AS w FROM t WHERE len(ws) >= 2 UNION ALL SELECT role, 'slot2', ws[2] FROM t WHERE len(ws) >= 2)
 SELECT role, slot, count(*) AS n, count(DISTINCT w) AS n_types, round(count(DISTINCT w) / count(*), 6) AS ttr FROM s GROUP BY ALL""")
 def slot_ttr_by_genre(spark, sf):
-    """Type-token ratio of the first and second word by role."""
+    """Type-token ratio of the first and second word by role (A17; the classes are those of the table)."""
     t = load(spark, sf, "conversations").select("role", text.words(F.col("text")).alias("ws")).where(F.size("ws") >= 2)
     s = t.select("role", F.explode(F.array(F.struct(F.lit("slot1").alias("slot"), F.get("ws", F.lit(0)).alias("w")), F.struct(F.lit("slot2").alias("slot"), F.get("ws", F.lit(1)).alias("w")))).alias("x"))
     out = association.type_token_ratio(s.select("role", "x.slot", "x.w"), "w", "role", "slot")
@@ -409,7 +409,7 @@ def shared_vocabulary(spark, sf):
 @query("""WITH d AS (SELECT regexp_extract_all(html, '<a href="([^"]*)">', 1) AS a, regexp_extract(html, 'charset="?([a-zA-Z0-9-]+)', 1) AS charset, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang, page_id FROM pages)
 SELECT page_id, lang, charset, CAST(len(a) AS INTEGER) AS n_links, array_to_string(a, ' ') AS targets FROM d""")
 def html_table_extract(spark, sf):
-    """Fields and repeated cells taken from markup by patterns."""
+    """Fields and link targets taken from markup by patterns (S18; table_rows reads tables, xml_scan files)."""
     p = load(spark, sf, "pages")
     a = F.regexp_extract_all("html", F.lit('<a href="([^"]*)">'), 1)
     return p.select("page_id", F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang"), F.regexp_extract("html", 'charset="?([a-zA-Z0-9-]+)', 1).alias("charset"), F.size(a).alias("n_links"), F.array_join(a, " ").alias("targets"))
@@ -417,7 +417,7 @@ def html_table_extract(spark, sf):
 
 @query("""SELECT event_id, key, value FROM (SELECT event_id, unnest(json_keys(props)) AS key, props FROM events) q, LATERAL (SELECT json_extract_string(props, '$."' || key || '"') AS value)""")
 def template_params(spark, sf):
-    """Key-value properties as rows."""
+    """Key-value properties as rows (S6; template_lines reads templates)."""
     m = load(spark, sf, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")))
     return m
 

@@ -480,3 +480,14 @@ def glued_remnants(spark, sf):
     e = F.col("event_type")
     parts = F.array(F.left(e, F.length(e) - 1), F.right(e, F.lit(1)), F.lit("z"), e)
     return load(spark, sf, "events").groupBy(F.array_join(records.glue(parts, known), " ").alias("line")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {TOK}, p AS (SELECT source, w, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM tok)
+SELECT source, b AS kin, count(*) AS n, count(DISTINCT w) AS n_forms FROM p WHERE b IN ('the', 'de', 'la', 'der') AND regexp_matches(w, '(al|as|us|s)$') AND len(w) >= 5 GROUP BY ALL""")
+def filiation_patterns(spark, sf):
+    """A genitive-like word before one of the kin words, here frequent articles (A33): pairs from a record's array."""
+    ws = load(spark, sf, "documents").select("source", text.words(F.col("text")).alias("ws")).where(F.size("ws") > 1)
+    pairs = F.arrays_zip(F.slice("ws", F.lit(1), F.size("ws") - 1).alias("w"), F.slice("ws", F.lit(2), F.size("ws") - 1).alias("b"))
+    p = ws.select("source", F.explode(pairs).alias("p")).select("source", "p.w", "p.b").where(F.col("b").isin("the", "de", "la", "der") & F.rlike("w", F.lit("(al|as|us|s)$")) & (F.length("w") >= 5))
+    per = p.groupBy("source", "b", "w").agg(F.count("*").alias("c"))
+    return per.groupBy("source", F.col("b").alias("kin")).agg(F.sum("c").alias("n"), F.count("*").alias("n_forms"))

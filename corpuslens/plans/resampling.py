@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import records, stats, text
-from ..operators import models, nulls, tokens
+from ..operators import graphs, matching, models, nulls, tokens
 from ..sources.tables import load
+from .inference import _cut
 from .records import ENDINGS, _CUT
-from .registry import REC, TOK, TYPES, query
+from .registry import TOK, TYPES, WORDS, query
 
 R, SEED = 20, 42
 _REPS = f"(SELECT unnest(range(1, {R + 1})) AS rep)"
@@ -370,3 +371,30 @@ def soft_alignment(spark, sf):
     by = Window.partitionBy("conv_id").orderBy("turn")
     t = t.withColumn("before", F.lag("ws").over(by)).where("before is not null")
     return t.select("conv_id", "turn", F.round(records.soft_jaccard(F.slice("ws", 1, 30), F.slice("before", 1, 30), text.soft_equal), 6).alias("j"))
+
+
+@query()
+def witness_words(spark, sf):
+    """Words of two witnesses, here neighbouring turns, reconciled: exact, soft, then two edits, one to one (J16); tested on known rows."""
+    by = Window.partitionBy("conv_id").orderBy("turn")
+    t = load(spark, sf, "conversations").select("conv_id", "turn", text.words(F.col("text")).alias("a")).withColumn("b", F.lag("a").over(by)).where("b is not null")
+    return matching.reconcile_lists(t, "a", "b").drop("a", "b")
+
+
+@query(f"""WITH RECURSIVE b AS (SELECT item_id, {WORDS} AS ws FROM benchmark), t AS (SELECT item_id * 1000 + i AS id, item_id * 1000 + i // 6 AS line, ws[i + 1] AS w FROM (SELECT item_id, ws, unnest(range(len(ws))) AS i FROM b)),
+a AS (SELECT id, line, row_number() OVER (ORDER BY id) AS k FROM t), z AS (SELECT rep, w, row_number() OVER (PARTITION BY rep ORDER BY {_md5("rep", "id")}, id) AS k FROM t, (SELECT unnest(range(1, 6)) AS rep)),
+v AS (SELECT DISTINCT 0 AS rep, line, w FROM t UNION ALL SELECT DISTINCT rep, line, w FROM a JOIN z USING (k)), n AS (SELECT rep, line, count(*) AS n FROM v GROUP BY ALL),
+c AS (SELECT x.rep, x.line AS a, y.line AS b, count(*) AS c FROM v x JOIN v y ON x.rep = y.rep AND x.w = y.w AND x.line <> y.line GROUP BY ALL), e AS (SELECT c.rep, a, b FROM c JOIN n p ON p.rep = c.rep AND p.line = a JOIN n q ON q.rep = c.rep AND q.line = b WHERE c.c >= 0.5 * (p.n + q.n - c.c)),
+r(rep, id, root) AS (SELECT rep, line, line FROM n UNION SELECT e.rep, e.b, r.root FROM r JOIN e ON e.rep = r.rep AND e.a = r.id), f AS (SELECT rep, id, min(root) AS comp FROM r GROUP BY ALL), m AS (SELECT rep, max(c) AS stat FROM (SELECT rep, comp, count(*) AS c FROM f GROUP BY ALL) GROUP BY rep)
+SELECT o.stat, round((count(*) FILTER (s.stat >= o.stat) + 1) / 6, 6) AS p FROM m o, m s WHERE o.rep = 0 AND s.rep > 0 GROUP BY o.stat""")
+def line_reshuffle(spark, sf, r=5):
+    """The largest family of similar lines, against words dealt anew over lines of the same lengths (N20, G1 in each replicate)."""
+    b = load(spark, sf, "benchmark").select("item_id", F.posexplode(text.words(F.col("text"))).alias("i", "w"))
+    t = b.select((F.col("item_id") * 1000 + F.col("i")).alias("id"), (F.col("item_id") * 1000 + F.floor(F.col("i") / 6)).alias("line"), "w")
+    v = nulls.permute(t, r, SEED, "w", F.col("id")).select("rep", "line", "w").unionByName(t.select(F.lit(0).cast("long").alias("rep"), "line", "w"))
+    # Replicates are kept apart by their number in the keys of lines and words.
+    sets = v.select((F.col("rep") * 10**12 + F.col("line")).alias("k"), F.concat_ws(":", F.col("rep").cast("string"), "w").alias("x")).distinct()
+    comp = graphs.components(matching.jaccard_pairs(sets, "k", "x", 0.5).select("a", "b"), _cut(spark))
+    size = comp.groupBy("comp").agg(F.count("*").alias("c")).groupBy(F.floor(F.col("comp") / 10**12).alias("rep")).agg(F.max("c").alias("c"))
+    m = spark.range(r + 1).select(F.col("id").alias("rep")).join(size, "rep", "left").select("rep", F.coalesce("c", F.lit(1)).cast("long").alias("stat"))
+    return _tail(m.where("rep = 0"), m.where("rep > 0"), r=r)
