@@ -26,9 +26,12 @@ SELECT lang, source, CAST(n AS BIGINT) AS n_records, CAST(t AS BIGINT) AS n_toke
 UNION ALL SELECT lang, 'all', (SELECT count(*) FROM documents x WHERE x.lang = d.lang), CAST(t AS BIGINT), CAST(ty AS BIGINT), CAST(h AS BIGINT) FROM d""")
 def corpus_census(spark, sf):
     """Records, tokens, types and hapaxes per language and source, with a row for each whole language (A1-A3)."""
-    docs, tok = load(spark, sf, "documents"), _tok(spark, sf)
-    per = tokens.census(tok, "lang", "source").join(docs.groupBy("lang", "source").agg(F.count("*").alias("n_records")), ["lang", "source"])
-    whole = tokens.census(tok, "lang").join(docs.groupBy("lang").agg(F.count("*").alias("n_records")), "lang").withColumn("source", F.lit("all"))
+    # Texts are tokenised once: both levels come from the counts by language, source and word.
+    docs, c = load(spark, sf, "documents"), _tok(spark, sf).groupBy("lang", "source", "w").agg(F.count("*").alias("c"))
+    census = lambda df, *by: df.groupBy(*by).agg(F.sum("c").alias("n_tokens"), F.count("*").alias("n_types"), F.sum((F.col("c") == 1).cast("long")).alias("n_hapax"))
+    n = docs.groupBy("lang", "source").agg(F.count("*").alias("n_records"))
+    per = census(c, "lang", "source").join(n, ["lang", "source"])
+    whole = census(c.groupBy("lang", "w").agg(F.sum("c").alias("c")), "lang").join(n.groupBy("lang").agg(F.sum("n_records").alias("n_records")), "lang").withColumn("source", F.lit("all"))
     return per.unionByName(whole).select("lang", "source", "n_records", "n_tokens", "n_types", "n_hapax")
 
 
