@@ -306,20 +306,27 @@ def linked(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
     k-word shingles (A-Z lower-cased; with fewer words the whole sequence is one
     shingle). n_links counts links found on the way to the components, a
     spanning part of all. Documents without words link with nothing. Rows that
-    repeat a doc_id are one document, its set the largest of theirs; rows
-    without doc_id have a null component.
+    repeat a doc_id are one document, which links where any of its sets does, and
+    have a row for each different set; rows without doc_id have a null component.
     """
     spark = docs.sparkSession
     store = Store(spark)
     often = frequent(docs, k)
     rows = store.put(prefixes(docs, k, pct, often), "prefixes")
     alone = store.put(rows.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")), "without_id")
-    repeats = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count() > 0
-    version = store.put(rows.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("n", "d1", "d2")).alias("v")).select("doc_id", "v.*"), "versions")
-    same = store.put(version.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "nodes")
-    found = rows.join(same.select(F.col("node").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi")
-    found = found.dropDuplicates(["doc_id"]) if repeats else found
-    nodes = store.put(found.select(F.col("doc_id").alias("node"), "n", "prefix", "bits"), "prefix_nodes")
+    version = store.put(rows.where("doc_id is not null").select("doc_id", "n", "d1", "d2").distinct(), "versions")
+    several = version.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count() > 0
+    repeats = several or version.count() < rows.where("doc_id is not null").count()
+    same = version.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
+    # A set's node is its smallest doc_id, or, where a doc_id may have several sets, a hash of the set.
+    same = store.put(same.withColumn("node", F.col("d1") if several else F.col("low")), "nodes")
+    twins = None
+    if several:
+        lead = version.where("n > 0").groupBy("doc_id").agg(F.min("d1").alias("x"), F.max("d1").alias("m")).where("x < m").drop("m")
+        twins = store.put(version.where("n > 0").select("doc_id", F.col("d1").alias("y")).join(lead, "doc_id").where("x < y").select("x", "y").distinct(), "twins")
+    found = rows.join(same.select(F.col("low").alias("doc_id"), "d1", "d2", "node"), ["doc_id", "d1", "d2"])
+    found = found.dropDuplicates(["node"]) if repeats else found
+    nodes = store.put(found.select("node", "n", "prefix", "bits"), "prefix_nodes")
     store.drop(rows)
     # Lists of at least two nodes; a shingle of one prefix alone can link nothing.
     entries = nodes.select("node", "n", F.posexplode("prefix").alias("i", "t"))
@@ -335,7 +342,7 @@ def linked(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
 
     def sets(pairs):
         wanted = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
-        wanted = store.put(wanted.join(same.select("node", "d1"), "node"), "wanted")
+        wanted = store.put(wanted.join(same.select("node", "low", "d1"), "node"), "wanted")
         few = wanted.count() <= 200_000
         ids = F.broadcast(wanted) if few else wanted
 
@@ -346,11 +353,12 @@ def linked(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
             raw = pa.array([runs[x:y].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("node"), raw], names=["node", "set"]).filter(keep)
 
-        text = docs.select(F.col("doc_id").alias("node"), "text").join(ids, "node")
+        text = docs.select(F.col("doc_id").alias("low"), "text").join(ids, "low")
         return store.put(_scan(text, make, "node long, set binary", "node", "d1").dropDuplicates(["node"]), "sets")
 
     links = _verified(first, side, sets, pct, store)
-    tried, comp = first, components(links, store)
+    close = lambda links: components(links if twins is None else links.unionByName(twins), store)
+    tried, comp = first, close(links)
     # Lists whose members lie in several components: first the nearest pairs, which join
     # what is dense, then all that are still apart. A list without any pair that passes
     # the filters at first has none later, as components only grow.
@@ -366,10 +374,12 @@ def linked(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
         rest = store.put(_pairs(found).join(tried, ["x", "y"], "left_anti"), "rest")
         links = store.put(links.unionByName(_verified(rest, side, sets, pct, store)), "all_links")
         tried = store.put(tried.unionByName(rest), "tried")
-        comp = components(links, store)
+        comp = close(links)
     n_links = links.select(F.col("x").alias("node")).unionByName(links.select(F.col("y").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    of = same.join(comp, "node", "left").join(n_links, "node", "left").select("d1", "d2", "n", "copies", F.coalesce("comp", "node").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    of = same.join(comp, "node", "left").join(n_links, "node", "left").select("d1", "d2", "n", "copies", "low", F.coalesce("comp", "node").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     of = store.put(of, "set_components")
+    if several:  # from hashes of sets to the smallest doc_id
+        of = store.put(of.join(of.groupBy("comp").agg(F.min("low").alias("least")), "comp").drop("comp").withColumnRenamed("least", "comp"), "set_components")
     out = hot_join(version, of, ["d1", "d2", "n"], "copies", max(1, version.count()))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"), (F.coalesce("n_links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"))
     return out.unionByName(alone.withColumn("n_links", F.lit(0).cast("long")))

@@ -180,6 +180,12 @@ def test_jaccard_empty_table(spark):
     assert jaccard.linked(frame(spark, [])).count() == 0
 
 
+def test_a_document_links_by_any_of_its_sets(spark):
+    rows = [(1, "a b c d e f"), (1, "x y z"), (2, "x y z"), (3, "A b c d e f"), (4, "p q r s t"), (4, "p q r s t"), (5, ""), (6, "p q r s t"), (None, "x y z")]
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in jaccard.linked(frame(spark, [(i, t, "", 1, "") for i, t in rows])).collect())
+    assert got == [(0, 1, 0), (1, 1, 1), (1, 3, 1), (2, 1, 1), (3, 3, 1), (4, 2, 4), (5, 0, 5), (6, 2, 4)]
+
+
 def test_bitmaps_never_rule_out_a_link():
     rng = np.random.default_rng(5)
     for n in (3, 70, 300):
