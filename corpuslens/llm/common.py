@@ -17,6 +17,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 MASK = (1 << 64) - 1
 #: Spark's setting under which a query's shuffle files go when the query ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of an Arrow batch, at most, while a table is written: long texts must not add up in a worker.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,12 +62,16 @@ class Store:
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """df, written; the shuffle files of its plan go with the end of the write."""
         at = self.path(name)
-        before = self.spark.conf.get(CLEANUP, "false")
-        self.spark.conf.set(CLEANUP, "true")
+        conf = self.spark.conf
+        before = {CLEANUP: conf.get(CLEANUP, "false"), BATCH: conf.get(BATCH, "10000")}
+        rows = int(before[BATCH])
+        conf.set(CLEANUP, "true")
+        conf.set(BATCH, str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS))
         try:
             df.write.option("compression", "zstd").parquet(at)
         finally:
-            self.spark.conf.set(CLEANUP, before)
+            for key, value in before.items():
+                conf.set(key, value)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._corpuslens_path = at
         return out

@@ -223,7 +223,7 @@ def _apart(lists: DataFrame, pct: int, nearest: bool) -> DataFrame:
                 for t, x, y in pairs(*(c[a:b] for c in cols)):
                     ts.append(t), xs.append(x), ys.append(y)
                     many += len(y)
-                    if many > 500_000:
+                    if many > 100_000:
                         yield batch_of(ts, xs, ys)
                         ts, xs, ys, many = [], [], [], 0
             held = [] if final else [[c[edges[last]:] for c in cols]]
@@ -236,7 +236,7 @@ def _apart(lists: DataFrame, pct: int, nearest: bool) -> DataFrame:
 
         for b in batches:
             held.append([b.column(c).to_numpy(zero_copy_only=False) for c in names])
-            if sum(len(h[0]) for h in held) > 100_000:
+            if sum(len(h[0]) for h in held) > 30_000:
                 yield from flush(False)
         yield from flush(True)
 
