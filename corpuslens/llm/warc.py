@@ -4,10 +4,9 @@ Headers (id, digest, length) are made where the payloads lie, and only headers
 are shuffled by digest: the record with the largest id of each digest is the
 response, the others are revisits that refer to it. The revisits are broadcast
 to the payloads where a count shows that they are few; else the payloads move to
-meet them. Archives are written by Spark's text writer, one record a row with
-the record separator of the format as the line end, so they reach any store and
-a lost task is simply written again. That writer makes a file one gzip member,
-not a member a record.
+meet them. Each record is a gzip member of its own, as the format advises, so a
+reader can begin at any record. Archives are written by Spark's text writer, one
+member a row, so they reach any store and a lost task is simply written again.
 """
 
 from __future__ import annotations
@@ -90,8 +89,19 @@ def record(page_id, url, html, size, sha, kind, refers_to, refers_url, copy=0) -
     return "\r\n".join(head) + END + block
 
 
+def member(text: str) -> bytes:
+    """A record with its separator as gzip members whose last byte, a zero, is left to the writer's line end.
+
+    A member ends with the high byte of its length, which is zero under 16 MB; a
+    longer record is followed by an empty member, which readers pass over.
+    """
+    pack = lambda raw: gzip.compress(raw, 6, mtime=0)
+    out = pack((text + END).encode())
+    return (out if out[-1] == 0 else out + pack(b""))[:-1]
+
+
 def write(pages: DataFrame, resolved: DataFrame, path: str, per_file: int = 1000) -> None:
-    """Writes archives with fresh headers, gzip-compressed; payloads only in responses.
+    """Writes archives with fresh headers, a gzip member a record; payloads only in responses.
 
     Rows meet their resolution by page_id and digest, so every row gets a record
     even where ids repeat or are null. Record ids come from page_id, digest and
@@ -102,7 +112,7 @@ def write(pages: DataFrame, resolved: DataFrame, path: str, per_file: int = 1000
     def make(batches):
         for b in batches:
             rows = zip(*(b.column(x).to_pylist() for x in fields))
-            yield pa.RecordBatch.from_arrays([pa.array([record(*r) for r in rows], pa.string())], names=["value"])
+            yield pa.RecordBatch.from_arrays([pa.array([member(record(*r)) for r in rows], pa.binary())], names=["value"])
 
     html = F.col("html").cast("string")
     full = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
@@ -114,7 +124,9 @@ def write(pages: DataFrame, resolved: DataFrame, path: str, per_file: int = 1000
     again = resolved.where("record_type = 'revisit'").select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), "record_type", "refers_to", "refers_url").dropDuplicates(["_id", "_sha"])
     rows = full.join(sized(again, again.count()), full["page_id"].eqNullSafe(F.col("_id")) & (full["sha"] == F.col("_sha")), "left")
     rows = rows.select("page_id", "url", "html", "payload_bytes", base32(F.col("sha")).alias("payload_digest"), F.coalesce("record_type", F.lit("response")).alias("record_type"), "refers_to", "refers_url", "copy")
-    rows.mapInArrow(tidy(make), "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    members = rows.mapInArrow(tidy(make), "value binary").select(F.col("value").cast("string").alias("value"))
+    # The cast keeps the bytes as they are, and so does the writer.
+    members.write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", per_file).text(path)
 
 
 def parse(stream):
@@ -168,4 +180,4 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def _batch(out):
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(tidy(rows), schema)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(tidy(rows), schema)

@@ -7,6 +7,7 @@ import hashlib
 import io
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -239,14 +240,30 @@ def test_warc_round_trip(spark, tmp_path):
     assert by[None][0]["refers_to"] == 2
     assert {r["html"] for r in by[5]} == {"y", rows[4][2]} and by[6][0]["payload_bytes"] == 200_000
     assert [r["record_type"] for r in by[7]] == ["response"] * 2
-    names = [h["WARC-Record-ID"] for f in spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(at).collect() for h, _, _ in warc.parse(gzip.GzipFile(fileobj=io.BytesIO(f["content"])))]
+    files = [f["content"] for f in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(at).collect()]
+    names = [h["WARC-Record-ID"] for f in files for h, _, _ in warc.parse(gzip.GzipFile(fileobj=io.BytesIO(f)))]
     assert len(names) == len(set(names)) == len(rows)
+    # Each record is a member of its own.
+    for raw in files:
+        while raw:
+            one = zlib.decompressobj(31)
+            assert len(list(warc.parse(io.BytesIO(one.decompress(raw))))) == 1 and one.eof
+            raw = one.unused_data
     assert all(r["payload_digest"] == base64.b32encode(hashlib.sha1(r["html"].encode()).digest()).decode() for r in back if r["record_type"] == "response")
     none = pages.limit(0)
     warc.write(none, warc.resolve(warc.headers(none)), at + "2")
     assert warc.read(spark, at + "2").count() == 0
 
 
+def test_warc_member_of_a_long_record_ends_with_a_zero(spark, tmp_path):
+    html = "long " * ((1 << 24) // 5 + 9)
+    out = warc.member(html) + b"\0"
+    assert gzip.decompress(out) == (html + warc.END).encode()
+    pages = spark.createDataFrame([(1, "u", html), (2, "u", "short")], "page_id long, url string, html string").coalesce(1)
+    warc.write(pages, warc.resolve(warc.headers(pages)), str(tmp_path / "w"))
+    assert {r["page_id"]: r["html"] for r in warc.read(spark, str(tmp_path / "w")).collect()} == {1: html, 2: "short"}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p><p>no";</script></head><body><header><p>Site name</p></header><nav><ul><li><a href="/">Home</a></ul></nav>
 <article><h1>Head &amp; line</h1><p><b>First   par<br>broken <p>Second &lt;b&gt; &eacute;<aside>side</aside><div class="ad">buy</div><form><p>mail</p></form><section class="comments"><p>nice!</p></section></article>
 <div id="cookie-notice">We use cookies</div><footer>&copy; me</footer></body></html>"""
