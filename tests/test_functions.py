@@ -1,6 +1,7 @@
 """Miniature fixtures with known answers."""
 
 import math
+import random
 
 import pandas as pd
 import pytest
@@ -192,7 +193,7 @@ def test_families_of_all_records_equal_brute_force(spark):
             root[y] = x
             linked |= {a, b}
     assert any(len(r["ws"]) > 40 for r in docs if r["doc_id"] in linked)
-    assert {(r["id"], r["comp"]) for r in inference.jaccard_families_all(spark, sf).collect()} == {(d, find(d)) for d in linked}
+    assert {(r["id"], r["comp"]) for r in inference.jaccard_families(spark, sf).collect()} == {(d, find(d)) for d in linked}
 
 
 @pytest.mark.parametrize("threshold", [0.08, 0.5, 0.8])
@@ -206,14 +207,14 @@ def test_jaccard_pairs_equal_brute_force(spark, threshold):
     assert {(r["a"], r["b"]) for r in matching.jaccard_pairs(df, "k", "w", threshold).collect()} == want
 
 
-def test_fuzzy_probe_all_finds_rare_words(spark):
+def test_fuzzy_probe_finds_rare_words(spark):
     from corpuslens.plans import inference
 
     sf = "/root/testdata/sf0.001"
     types = tokens.vocabulary(tokens.tokens(spark.read.parquet(f"{sf}/documents.parquet"))).select(F.col("w").alias("form"), "freq")
     probes = spark.read.parquet(f"{sf}/part.parquet").select(F.explode(text.words(F.col("p_name"))).alias("probe")).where(F.length("probe") >= 3).distinct()
     near = probes.crossJoin(types).where(text.similarity(F.col("probe"), F.col("form")) >= 0.7 - 1e-12).collect()
-    assert {(r["probe"], r["form"]) for r in inference.fuzzy_probe_all(spark, sf).collect()} == {(r["probe"], r["form"]) for r in near}
+    assert {(r["probe"], r["form"]) for r in inference.fuzzy_probe(spark, sf).collect()} == {(r["probe"], r["form"]) for r in near}
     assert any(r["freq"] < 20 for r in near)
 
 
@@ -249,3 +250,32 @@ def test_label_propagation_runs_all_rounds(spark, monkeypatch):
     monkeypatch.setattr(inference.graphs, "propagate", spy)
     inference.label_propagation(spark, "/root/testdata/sf0.001")
     assert seen == {"rounds": 30}
+
+
+def test_ratcliff_containment(spark):
+    for a, b, want in (("abcd", "bcde", 0.75), ("bc", "abcd", 1.0), ("", "x", 0.0), ("xy", "ab", 0.0)):
+        assert abs(one(spark, text.ratcliff_contained(F.col("a"), F.col("b")), a=a, b=b) - want) < 1e-12
+
+
+def test_greedy_variants_match_brute_force(spark):
+    from corpuslens.operators import graphs, matching
+
+    rng = random.Random(3)
+    base = [[rng.choice("abcdefgh") for _ in range(n)] for n in (5, 5, 10, 10, 1)]
+    rows = []
+    for i in range(60):
+        ws = list(rng.choice(base))
+        for _ in range(rng.choice((0, 0, 1, 2))):
+            ws[rng.randrange(len(ws))] = rng.choice("abxyz")
+        rows.append((i, rng.choice("st"), ws))
+    d = spark.createDataFrame(rows, "id long, g string, ws array<string>")
+    cut = lambda df: df.checkpoint()
+    got = {r["id"]: r["canon"] for r in graphs.first_wins(matching.agreeing(d, "id", "g", "ws", 8, 10, cut), cut).collect()}
+    canon, want = [], {}
+    for i, g, ws in rows:
+        near = [j for j, h, vs in canon if h == g and len(vs) == len(ws) and sum(x == y for x, y in zip(vs, ws)) * 10 >= 8 * len(ws)]
+        if near:
+            want[i] = near[0]
+        else:
+            canon.append((i, g, ws))
+    assert got == want
