@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, jaccard, linededup, lsm, pieces, quality, suffixes, topk, warc
+from . import decontaminate, html, jaccard, linededup, lsm, merkle, packing, pieces, quality, suffixes, topk, warc, whitening
 from .common import Store
 
 
@@ -148,8 +148,56 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (quality.split_of(F.col("doc_id")) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's leaf, proof and roots; a fifth of the leaves is recomputed from lower-cased texts and folded."""
+    docs = _table(spark, sf_dir, "documents")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, merkle.leaf_of(*map(F.col, ("doc_id", "source", "lang", "n_chars")), lower))
+    out = merkle.manifest(docs, also={"tampered": tampered})
+    out = out.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("path")))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+OP11_SQL = """
+WITH RECURSIVE crc(i, c, k) AS (SELECT CAST(range AS UBIGINT), CAST(range AS UBIGINT), 0 FROM range(256)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, k + 1 FROM crc WHERE k < 8),
+byte AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM crc WHERE k = 8),
+d AS (SELECT *, row_number() OVER () AS id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, doc_id::VARCHAR AS x FROM documents),
+sums(id, x, i, c) AS (SELECT id, x, 0, 4294967295::UBIGINT FROM d UNION ALL
+  SELECT id, x, i + 1, xor(t[CAST(xor(c, ascii(x[i + 1])::UBIGINT) & 255 AS BIGINT) + 1], c >> 8) FROM sums, byte WHERE i < len(x)),
+hit AS (SELECT id FROM sums WHERE i = len(x) AND xor(c, 4294967295::UBIGINT) % 5 = 0),
+h AS (SELECT id, doc_id, coalesce('s' || source, '') AS g, {head} AS head, coalesce(strlen(text) || ':' || text, '-') AS text, coalesce(strlen(low) || ':' || low, '-') AS low FROM d),
+l AS (SELECT h.id, doc_id, g, sha256(head || text) AS leaf, sha256(head || CASE WHEN hit.id IS NULL THEN text ELSE low END) AS bad FROM h LEFT JOIN hit ON h.id = hit.id),
+n AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, id) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM l),
+up(g, lvl, pos, n, h) AS (SELECT g, 0, pos, n, leaf FROM n UNION ALL SELECT g, lvl + 1, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY g, lvl, pos // 16, n),
+sub AS (SELECT g, lvl AS height, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+top(lvl, pos, n, h) AS (SELECT 0, pos, n, subroot FROM sub UNION ALL SELECT lvl + 1, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY lvl, pos // 16, n),
+a AS (SELECT n.id, lvl, up.pos AS p, up.pos = n.pos // (16 ** lvl)::BIGINT AS own, h FROM n JOIN up ON up.g = n.g AND up.n > 1 AND up.pos // 16 = n.pos // (16 ** (lvl + 1))::BIGINT
+  UNION ALL SELECT n.id, height + top.lvl, top.pos, top.pos = sub.pos // (16 ** top.lvl)::BIGINT, h FROM n JOIN sub ON sub.g = n.g JOIN top ON top.n > 1 AND top.pos // 16 = sub.pos // (16 ** (top.lvl + 1))::BIGINT),
+steps AS (SELECT id, lvl, string_agg(h, '' ORDER BY p) FILTER (NOT own) AS rest, coalesce(string_agg(h, '' ORDER BY p) FILTER (p < o), '') AS l, coalesce(string_agg(h, '' ORDER BY p) FILTER (p > o), '') AS r
+  FROM (SELECT *, max(p) FILTER (own) OVER (PARTITION BY id, lvl) AS o FROM a) GROUP BY id, lvl),
+f(id, lvl, h) AS (SELECT id, 0, bad FROM n UNION ALL SELECT f.id, f.lvl + 1, sha256(l || h || r) FROM f JOIN steps s ON s.id = f.id AND s.lvl = f.lvl),
+e AS (SELECT id, max_by(h, lvl) AS folded FROM f GROUP BY id), p AS (SELECT id, string_agg(rest, '' ORDER BY lvl) AS rest FROM steps GROUP BY id),
+root AS (SELECT h AS root FROM top WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(rest, '')) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM n JOIN sub ON sub.g = n.g JOIN e ON e.id = n.id LEFT JOIN p ON p.id = n.id, root
+""".replace("{head}", " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars")))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the 32 first principal components, scaled to unit variance."""
+    out = whitening.whiten(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", components=32, scale=64, shift=1_000_000)
+    # An exact deviation is a decimal; where a long can't hold it, it is null here.
+    return out.select("vec_id", "component", "n", F.col("deviation").try_cast("long").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens in pieces, packed into sequences of 1024."""
+    return packing.pack(_table(spark, sf_dir, "documents"), packing.tokenizer_of(spark))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece, "op2_exact_topk": op2_exact_topk, "op3_suffix_dedup": op3_suffix_dedup, "op4_substring_dedup": op4_substring_dedup, "op5_warc": op5_warc, "op6_html": op6_html, "op7_jaccard_join": op7_jaccard_join, "op8_decontaminate": op8_decontaminate,
-    "op9_line_dedup": op9_line_dedup, "op10_quality": op10_quality,
+    "op9_line_dedup": op9_line_dedup, "op10_quality": op10_quality, "op11_merkle": op11_merkle, "op12_whitening": op12_whitening, "op13_packing": op13_packing,
 }
-SQL = {"op2_exact_topk": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op5_warc": OP5_SQL, "op7_jaccard_join": OP7_SQL, "op8_decontaminate": OP8_SQL, "op9_line_dedup": OP9_SQL}
+SQL = {"op2_exact_topk": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op5_warc": OP5_SQL, "op7_jaccard_join": OP7_SQL, "op8_decontaminate": OP8_SQL, "op9_line_dedup": OP9_SQL, "op11_merkle": OP11_SQL}
