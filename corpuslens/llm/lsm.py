@@ -31,16 +31,21 @@ class FingerprintIndex:
     """Sorted immutable runs of (fp, doc_id, k1, pos), each bucketed by fp.
 
     With a path, in a folder that the driver and all executors share, runs stay
-    there and save() lists them in a manifest, from which the same path opens the
-    index again, in any session. Keys then always have k1. Without a path the
+    there and save() lists them in a numbered manifest, from the last of which the
+    same path opens the index again, in any session; runs without any manifest are
+    an error, not an empty index. Keys then always have k1. Without a path the
     runs go with close().
     """
 
     def __init__(self, spark: SparkSession, fan_in: int = 3, buckets: int | None = None, path: str | None = None):
         self.spark, self.fan_in, self.buckets = spark, fan_in, buckets or parallelism(spark)
         self.store, self.path, self.runs, self.old = Store(spark), path, [], []  # (level, table); files that compaction left
-        if path and self._exists(f"{path}/manifest"):
-            text = spark.read.text(f"{path}/manifest", wholetext=True).first()["value"]
+        names = self._names() if path else []
+        manifests = [x for x in names if MANIFEST.fullmatch(x)]
+        if not manifests and any(x.startswith("corpuslens_run_") for x in names):
+            raise ValueError(f"{path} has runs but no manifest: it was never saved, or lost its manifest")
+        if manifests:
+            text = spark.read.text(f"{path}/{max(manifests)}", wholetext=True).first()["value"]
             kept = json.loads(text)
             self.buckets = kept["buckets"]
             for level, at in kept["runs"]:
@@ -48,9 +53,13 @@ class FingerprintIndex:
                 spark.sql(f"create table {name} (fp bigint, doc_id bigint, k1 bigint, pos int) using parquet clustered by (fp) sorted by (fp) into {self.buckets} buckets location '{path}/{at}'")
                 self.runs.append((level, name))
 
-    def _exists(self, at: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+    def _files(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
+
+    def _names(self) -> list:
+        files, path = self._files()
+        return [x.getPath().getName() for x in files.listStatus(path(self.path))] if files.exists(path(self.path)) else []
 
     def _write(self, df: DataFrame) -> str:
         name = f"corpuslens_run_{uuid.uuid4().hex}"
@@ -94,15 +103,20 @@ class FingerprintIndex:
             self.store.drop(at) if files else self.old.append(at)
 
     def save(self) -> None:
-        """Writes the manifest beside the runs and puts it in the old one's place; then files that it doesn't name go."""
+        """Writes the next manifest beside the runs, under another name until it is whole; then older ones, and files that it doesn't name, go.
+
+        At any moment the last manifest names whole runs, so a crash loses what was
+        not saved and nothing else.
+        """
         runs = [(level, self._place(t).rstrip("/").rsplit("/", 1)[1]) for level, t in self.runs]
-        new = f"{self.path}/manifest-{uuid.uuid4().hex}"
-        self.spark.createDataFrame([(json.dumps({"buckets": self.buckets, "runs": runs}),)], "value string").coalesce(1).write.text(new)
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        files = path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        files.delete(path(f"{self.path}/manifest"), True)
-        files.rename(path(new), path(f"{self.path}/manifest"))
-        self.store.drop(*self.old)
+        files, path = self._files()
+        before = sorted(x for x in self._names() if MANIFEST.fullmatch(x))
+        new = f"manifest-{int(before[-1][9:]) + 1 if before else 1:012d}"
+        draft = f"{self.path}/_draft-{uuid.uuid4().hex}"
+        self.spark.createDataFrame([(json.dumps({"buckets": self.buckets, "runs": runs}),)], "value string").coalesce(1).write.text(draft)
+        if not files.rename(path(draft), path(f"{self.path}/{new}")):
+            raise OSError(f"{draft} could not be renamed to {new}")
+        self.store.drop(*[f"{self.path}/{x}" for x in before], *self.old)
         self.old = []
 
     def close(self) -> None:

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 
 import numpy as np
@@ -23,52 +22,162 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Store, parallelism, tidy
+from .quality import _slices as slices
 
 CAPACITY, END = 1024, 2
 #: Rows of a range partition of a round, if the session's partitions suffice.
 SWEEP_ROWS = 20_000
-#: Spelt units that a worker keeps, and the longest of them.
-KEPT_UNITS, KEPT_LENGTH = 300_000, 64
-#: A blank after anything but white space begins a unit: no token of a byte-level model with blank-led words spans it.
-CUT = re.compile("(?<=[^\\s᠎]) ")
+#: Spelt units that a worker keeps, and the longest of them, in bytes.
+KEPT_UNITS, KEPT_LENGTH = 1_000_000, 64
+#: Bytes of text encoded at once.
+SLICE = 1 << 23
+#: Units spelt in one call, a line feed between them.
+JOINED = 1000
+
+#: What a byte is, one bit each.
+VISIBLE, SPACE, WORD, SIGN, UPPER, LEAD, C3, NO_LETTER = (1 << i for i in range(8))
+
+
+def _kinds() -> np.ndarray:
+    """The bits of all bytes: a visible ASCII sign, white space, a letter or digit, a sign that ends a run of these (an apostrophe may begin a contraction), a byte over 7F, the lead of a two-byte letter, C3, and what follows C3 in the two signs that are no letters."""
+    out = np.zeros(256, np.uint8)
+    out[33:127] |= VISIBLE
+    out[[9, 10, 13, 32]] |= SPACE
+    out[[c for c in range(128) if chr(c).isalnum()]] |= WORD
+    out[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'\\^`"]] |= SIGN
+    out[128:] |= UPPER
+    out[0xC3:0xE0] |= LEAD
+    out[0xC3] |= C3
+    out[[0x97, 0xB7]] |= NO_LETTER
+    return out
+
+
+_KINDS = _kinds()
+
+
+def unit_starts(data: np.ndarray) -> np.ndarray:
+    """Where a byte-level model with blank-led words begins a token whatever else the text holds.
+
+    A token that is not white space has at most one blank, in front. So tokens end
+    before white space that follows anything else; after a lone line feed between
+    signs that are none; and between letters or digits and a sign. The byte before
+    is an ASCII sign or ends a two-byte letter (of a lead from C3 up), which no
+    white space does.
+    """
+    kind = _KINDS[data]
+    before, before2 = np.zeros_like(kind), np.zeros_like(kind)
+    before[1:], before2[2:] = kind[:-1], kind[:-2]
+    latin = ((before & UPPER) != 0) & ((before2 & LEAD) != 0)
+    out = ((kind & SPACE) != 0) & (((before & VISIBLE) != 0) | latin)
+    feed = out[:-1] & (data[:-1] == 10) & ((kind[1:] & VISIBLE) != 0)
+    letter = ((before & WORD) != 0) | (latin & ((before2 & C3) != 0) & ((before & NO_LETTER) == 0))
+    out |= ((kind & SIGN) != 0) & letter
+    out[1:] |= feed
+    return out
 
 
 class Encoder:
-    """Token ids of whole texts, as little-endian 32-bit words.
+    """Token ids of whole texts, as little-endian 32-bit words, from a tokenizers file.
 
-    Where the model's words begin with their blank, a text's ids are those of its
-    blank-led units in a row, so a unit is encoded once and kept; other models
-    encode whole texts.
+    Where the model is byte-level and its words begin with their blank, a text's
+    ids are those of its units in a row; equal units are spelt once and kept. Texts
+    of other models, and texts that hold an added token's name, are spelt whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model, self.first, self.later = Tokenizer.from_file(path), {}, {}
+        self.model = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             known = json.load(f)
         split = known.get("pre_tokenizer") or {}
         self.cuts = not known.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
-
-    def _spelt(self, texts: list) -> list:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch(texts, add_special_tokens=False)]
+        if self.cuts:  # bytes of each id: a sign of a token's name is a byte, added tokens are themselves
+            added = {x["id"]: len(x["content"].encode()) for x in known.get("added_tokens", [])}
+            self.added = [x["content"] for x in known.get("added_tokens", [])]
+            names = self.model.get_vocab(with_added_tokens=True)
+            self.size = np.zeros(max(names.values()) + 1, np.int64)
+            for name, i in names.items():
+                self.size[i] = added.get(i, len(name))
+            self.cuts = len(self._alone(["\n"])[0]) == 1
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.at, self.many, self.ids, self.uses = {}, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _shrink(self) -> None:
+        """Keeps the units that came more than once, if they are few enough."""
+        kept = [(u, p) for u, p in self.known.items() if self.uses[p] > 1]
+        at, many, ids = self.at, self.many, self.ids
+        self._forget()
+        if 2 * len(kept) < KEPT_UNITS and kept:
+            old = np.array([p for _, p in kept])
+            self.known = {u: i for i, (u, _) in enumerate(kept)}
+            self.many, self.uses = many[old], np.ones(len(old), np.int64)
+            self.at = np.cumsum(self.many) - self.many
+            self.ids = ids[np.repeat(at[old] - self.at, self.many) + np.arange(self.many.sum())]
+
+    def _alone(self, texts: list) -> list:
+        return [np.array(e.ids, np.uint32) for e in self.model.encode_batch(texts, add_special_tokens=False)]
+
+    def _spelt(self, units: list) -> list:
+        """The ids of each unit (bytes): lines of units are spelt together and cut where the units end."""
+        plain = lambda u: 32 < u[-1] < 127 and (32 < u[0] < 127 or (u[0] == 32 and len(u) > 1 and 32 < u[1] < 127))
+        out: list = [None] * len(units)
+        lined = [i for i, u in enumerate(units) if plain(u)]
+        lines = [lined[k:k + JOINED] for k in range(0, len(lined), JOINED)]
+        for line, ids in zip(lines, self._alone([b"\n".join([units[i] for i in line]).decode() for line in lines])):
+            ends = np.cumsum(self.size[ids])
+            wanted = np.cumsum([len(units[i]) + 1 for i in line])
+            last = np.searchsorted(ends, wanted - 1)  # the token that ends with the unit; then comes the line feed's
+            if (ends[last] != wanted - 1).any() or (ends[last[:-1] + 1] != wanted[:-1]).any():
+                continue
+            first = np.concatenate(([0], last[:-1] + 2))
+            for i, lo, hi in zip(line, first.tolist(), (last + 1).tolist()):
+                out[i] = ids[lo:hi]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self._alone([units[i].decode() for i in rest])):
+            out[i] = ids
+        return out
 
     def __call__(self, texts: list) -> list:
-        if not self.cuts:
-            return self._spelt(texts)
-        if len(self.first) + len(self.later) > KEPT_UNITS:
-            self.first, self.later = {}, {}
-        units = [CUT.split(t) for t in texts]
-        for kept, blank, seen in ((self.first, "", {u[0] for u in units}), (self.later, " ", {w for u in units for w in u[1:]})):
-            new = list(seen - kept.keys())
-            kept.update(zip(new, self._spelt([blank + w for w in new])))
-        out = [self.first[u[0]] + b"".join(map(self.later.__getitem__, u[1:])) for u in units]
-        for kept in (self.first, self.later):
-            for w in [w for w in kept if len(w) > KEPT_LENGTH]:
-                del kept[w]
+        whole = [i for i, t in enumerate(texts) if not self.cuts or any(x in t for x in self.added)]
+        out = self._by_units([t if i not in whole else "" for i, t in enumerate(texts)] if whole else texts) if self.cuts else [b""] * len(texts)
+        for i, ids in zip(whole, self._alone([texts[i] for i in whole]) if whole else []):
+            out[i] = ids.astype("<u4").tobytes()
         return out
 
+    def _by_units(self, texts: list) -> list:
+        raw = [t.encode() for t in texts]
+        ends = np.cumsum([len(r) for r in raw])
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        starts = unit_starts(data)
+        starts[ends[ends < len(data)]] = True
+        if len(data):
+            starts[0] = True
+        edges = np.append(np.flatnonzero(starts), len(data)).astype(np.int64)
+        units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+        names = units.dictionary.to_pylist()
+        place = np.array([self.known.get(u, -1) for u in names], np.int64)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            spelt = self._spelt([names[i] for i in new.tolist()])
+            place[new] = len(self.at) + np.arange(len(new))
+            self.known.update((names[i], p) for i, p in zip(new.tolist(), place[new].tolist()) if len(names[i]) <= KEPT_LENGTH)
+            many = np.array([len(x) for x in spelt], np.int64)
+            self.at = np.concatenate((self.at, len(self.ids) + np.cumsum(many) - many))
+            self.many, self.ids, self.uses = np.concatenate((self.many, many)), np.concatenate((self.ids, *spelt)), np.concatenate((self.uses, np.zeros(len(new), np.int64)))
+        self.uses[place] += 1
+        unit = place[units.indices.to_numpy()]
+        many = self.many[unit]
+        upto = np.concatenate(([0], np.cumsum(many)))
+        code = self.ids[np.repeat(self.at[unit] - upto[:-1], many) + np.arange(upto[-1])].astype("<u4")
+        cut = upto[np.searchsorted(edges, np.concatenate(([0], ends)))]
+        if len(self.at) > KEPT_UNITS:
+            self._shrink()
+        return [code[lo:hi].tobytes() for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist())]
+
 
 _encoders: dict = {}
 
@@ -86,8 +195,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     def arrow(batches):
         encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for at, size in slices(batch.column("text"), SLICE):
+                part = batch.slice(at, size)
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
                 for i, code in enumerate(encoder([t or "" for t in part.column("text").to_pylist()])):
                     code += last

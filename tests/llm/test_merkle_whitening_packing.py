@@ -210,15 +210,18 @@ def test_packing_keeps_every_token(spark):
     assert packing.pack(df.limit(0), path).collect() == []
 
 
-def test_units_spell_as_whole_texts_do(spark, tmp_path):
+@pytest.mark.parametrize("kept", [packing.KEPT_UNITS, 60])
+def test_units_spell_as_whole_texts_do(spark, tmp_path, monkeypatch, kept):
+    monkeypatch.setattr(packing, "KEPT_UNITS", kept)
     path = packing.tokenizer_of(spark)
     encoder = packing.Encoder(path)
     assert encoder.cuts
     rng = random.Random(5)
     signs = [*"abc'sté ,.\n\t\r   0189ßЖ中$", " ", " ", "　", "\x85", "\x1c", "᠎", "﻿", "😀", "<|endoftext|>", " <|endoftext|> ", "'ll", " 's", "\n ", "  "]
-    for _ in range(3000):
-        t = "".join(rng.choices(signs, k=rng.randint(0, 40)))
-        assert encoder([t]) == encoder._spelt([t])
+    batches = [["".join(rng.choices(signs, k=rng.randint(0, 40))) for _ in range(rng.randint(0, 9))] for _ in range(800)]
+    batches += [["".join(rng.choices("ab é.,\n", k=rng.randint(0, 60))) for _ in range(40)] for _ in range(40)]
+    for texts in batches:
+        assert encoder(texts) == [x.astype("<u4").tobytes() for x in encoder._alone(texts)]
     with open(path, encoding="utf-8") as f:
         other = json.load(f)
     other["pre_tokenizer"]["add_prefix_space"] = True
