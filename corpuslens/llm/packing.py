@@ -150,12 +150,13 @@ class Encoder:
 
     def _by_units(self, texts: list) -> list:
         raw = [t.encode() for t in texts]
+        if not any(raw):
+            return [b""] * len(texts)
         ends = np.cumsum([len(r) for r in raw])
         data = np.frombuffer(b"".join(raw), np.uint8)
         starts = unit_starts(data)
         starts[ends[ends < len(data)]] = True
-        if len(data):
-            starts[0] = True
+        starts[0] = True
         edges = np.append(np.flatnonzero(starts), len(data)).astype(np.int64)
         units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
         names = units.dictionary.to_pylist()
