@@ -5,7 +5,9 @@ in furniture, and any other by its own length, link density and stop-word
 density; short blocks, and those whose signs disagree, stay open. A name of
 furniture in a class or id is one sign among these within an article. The second
 pass gives an open block the label of the nearest block that was decided by its
-text, within the same article if it lies in one. Time is linear in the page.
+text, within the same article if it lies in one. On a page without an article
+stop words count relative to the page's own blocks, so that its language and its
+length set the measure. Time is linear in the page.
 """
 
 from __future__ import annotations
@@ -35,12 +37,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Words of class, id and role values that name furniture which may be prose.
 PROSE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertisements advertising comment comments commentlist consent cookie cookies disclaimer disqus dialog gdpr modal newsletter "
-    "notice notices popup popups promo promoted promotion promotions replies reply respond sponsor sponsored sponsors subscribe subscription signup alert".split()
+    "notice notices popup popups promo promoted promotion promotions recommended related replies reply respond sidebar sidebars sponsor sponsored sponsors subscribe subscription signup alert".split()
 )
 #: Words that name other furniture.
 NAMES = frozenset(
-    "banner banners breadcrumb breadcrumbs copyright footer masthead menu menus nav navbar navigation navigator pagination pager recommended related search share sharing "
-    "sidebar sidebars social toolbar topbar widget widgets complementary contentinfo toc login tags author bio byline".split()
+    "banner banners breadcrumb breadcrumbs copyright footer masthead menu menus nav navbar navigation navigator pagination pager search share sharing "
+    "social toolbar topbar widget widgets complementary contentinfo toc login tags author bio byline".split()
 )
 #: Words that may stand beside such a word in one name; with any other word beside it, it names no furniture.
 NEUTRAL = frozenset(
@@ -112,12 +114,12 @@ def _marks(tag: str, attrs: str, in_article: bool) -> tuple[bool, int]:
 class Block:
     """A block of text: its linked characters, whether it lies in furniture, the kind of name around it, its article's number (0 for none)."""
 
-    __slots__ = ("text", "linked", "inside", "kind", "article", "heading", "label", "stops")
+    __slots__ = ("text", "linked", "inside", "kind", "article", "heading", "label", "stops", "words")
 
     def __init__(self, text, linked, inside, kind, article, heading):
         self.text, self.linked, self.inside, self.kind, self.article, self.heading, self.label = text, linked, inside, kind, article, heading, None
         words = [w.strip(".,;:!?\"'()").lower() for w in text.split()]
-        self.stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+        self.words, self.stops = len(words), sum(w in STOP_WORDS for w in words) / max(1, len(words))
 
 
 class _Reader:
@@ -249,12 +251,24 @@ def by_text(b: Block) -> bool | None:
     return None if size > 3 * LONG else False
 
 
+def by_page(b: Block, density: float) -> bool | None:
+    """The label that a block's length and links, and its stop words beside the page's, give where no article is marked, or None."""
+    size = len(b.text)
+    if b.linked > LINKS * size:
+        return False
+    if size < SHORT:
+        return False if b.linked else None
+    return True if b.stops >= density / 2 else None
+
+
 def decide(found: list) -> None:
     """Labels every block True (main text) or False, in two passes."""
     plain = [None if b.inside or b.kind == PROSE else by_text(b) for b in found]
     # Articles count as the place of the main text if most of the text that is so by itself stands in them.
     good = lambda inside: sum(len(b.text) for b, x in zip(found, plain) if not b.inside and b.kind != PROSE and (b.article > 0) == inside and x)
     marked = good(True) >= good(False) and any(b.article and not b.inside and b.kind != PROSE for b in found)
+    free = [b for b in found if not b.inside and not b.kind and b.linked <= LINKS * len(b.text)]
+    density = sum(b.stops * b.words for b in free) / max(1, sum(b.words for b in free))
     textual = [False] * len(found)  # decided by its text, not by where it stands
     for i, (b, x) in enumerate(zip(found, plain)):
         size = len(b.text)
@@ -268,18 +282,24 @@ def decide(found: list) -> None:
             b.label = False if against and (b.kind or size >= SHORT) else True if x else None
             textual[i] = b.label is not None and not b.kind
         else:
-            b.label = False if b.kind else x
+            b.label = False if b.kind else by_page(b, density)
             textual[i] = b.label is not None and not b.kind
     _inherit(found, textual, marked)
 
 
 def _inherit(found: list, textual: list, marked: bool) -> None:
-    """Gives open blocks the label of the nearest decided one; in an article, of the nearest in it that its text decided, else main text."""
+    """Gives open blocks the label of the nearest decided one.
+
+    In an article that is the nearest in it that its text decided; where the main
+    text stands outside articles, the nearest that its text decided: furniture says
+    nothing of its neighbours. Without any, an open block is main text if it stands
+    where the main text does.
+    """
     labels = [b.label for b in found]
     n = len(found)
     for inside in (True, False):
         before, last, seen = [None] * n, None, {}
-        usable = lambda i: labels[i] is not None and (textual[i] if inside else True)
+        usable = lambda i: labels[i] is not None and (textual[i] if inside or not marked else True)
         for i, b in enumerate(found):
             if inside:
                 before[i] = seen.get(b.article)
@@ -299,11 +319,11 @@ def _inherit(found: list, textual: list, marked: bool) -> None:
                 after[i] = last
                 last = i if usable(i) else last
         for i, b in enumerate(found):
-            if labels[i] is not None or (b.article > 0 and marked) != inside:
+            if labels[i] is not None or (b.article > 0) != inside:
                 continue
             left, right = before[i], after[i]
             if left is None and right is None:
-                b.label = inside
+                b.label = inside == marked
             elif left is None or right is None:
                 b.label = labels[right if left is None else left]
             elif b.heading or right - i < i - left:
