@@ -301,7 +301,7 @@ def _sweep(unplaced: DataFrame, gaps: DataFrame, high: int, parts: int) -> DataF
             (MATCHED, ids[hit], size[hit], ids[own[hit]], zero(hit), zero(hit)),
             (OPEN_PIECE, ids[out], size[out], zero(out), np.arange(len(out)), zero(out)),
             (OPEN_GAP, zero(rest), zero(rest), ids[rest], np.cumsum(left[rest]) - left[rest], left[rest]),
-            (SUMMARY, *(np.array([x], np.int64) for x in (0, 0, 0, len(out), left.sum()))),
+            (SUMMARY, *(np.array([x], np.int64) for x in (0, 0, len(hit), len(out), left.sum()))),
         )
         for kind, *values in columns:
             n = len(values[0])
@@ -338,25 +338,16 @@ def placed(items: DataFrame, capacity: int, store: Store) -> DataFrame:
         if not band:
             continue
         rest = items.where((F.col("length") > low) & (F.col("length") <= high)).select("uid", "length")
-        bottom, top, n, total = band[0][0], band[-1][0], sum(k for _, k in band), sum(x * k for x, k in band)
+        bottom, top, n = band[0][0], band[-1][0], sum(k for _, k in band)
         while n:
-            if most < bottom:
-                each = capacity // top
-                more = -(-n // each) if capacity // bottom == each else -(-total // capacity)
-                gaps = gaps.unionByName(spark.range(fresh, fresh + more).select((-1 - F.col("id")).alias("seq"), F.lit(capacity).cast("long").alias("gap")))
-                fresh, opened, most = fresh + more, opened + more, capacity
             parts = max(1, min(parallelism(spark), -(-(n + opened) // SWEEP_ROWS)))
             sweep = store.put(_sweep(rest, gaps.where(F.col("gap") >= bottom), top, parts), "sweep")
             hit = sweep.where(F.col("kind") == MATCHED).select(F.col("id").alias("uid"), "length", "seq")
             done.append(hit)
             # One row a partition.
-            counts = [(r["part"], r["at"], r["n"]) for r in sweep.where(F.col("kind") == SUMMARY).collect()]
-            pairs, lows = across(counts)
+            counts = sorted((r["part"], r["at"], r["n"], r["seq"]) for r in sweep.where(F.col("kind") == SUMMARY).collect())
+            pairs, lows = across([c[:3] for c in counts])
             out = sweep.where(F.col("kind") == OPEN_PIECE).select("part", F.col("id").alias("uid"), "length", "at")
-            matched = {}
-            for p, _, to, _, _ in pairs:
-                matched[p] = to
-            left = sum(c[1] for c in counts) - sum(matched.values())
             if pairs:
                 # Two rows a partition at most.
                 a = F.broadcast(spark.createDataFrame(pairs, "part int, a long, b long, of int, top long"))
@@ -367,16 +358,38 @@ def placed(items: DataFrame, capacity: int, store: Store) -> DataFrame:
                 crossed = store.put(takers.join(free, ["of", "slot"]).select("uid", "length", "seq"), "crossed")
                 done.append(crossed)
                 hit = hit.unionByName(crossed)
-            seen = Observation()
-            update = gaps.unionByName(hit.select("seq", (-F.col("length")).alias("gap"))).groupBy("seq").agg(F.sum("gap").alias("gap")).where(F.col("gap") >= least)
-            gaps, before = store.put(update.observe(seen, F.max("gap").alias("most")), "gaps"), gaps
-            if hasattr(before, "_corpuslens_path"):
-                store.drop(before)
-            most, n = seen.get["most"] or 0, left
+            matched = sum(c[3] for c in counts) + sum(to - at for _, at, to, _, _ in pairs)
+            if matched:
+                seen = Observation()
+                update = gaps.unionByName(hit.select("seq", (-F.col("length")).alias("gap"))).groupBy("seq").agg(F.sum("gap").alias("gap")).where(F.col("gap") >= least)
+                gaps, before = store.put(update.observe(seen, F.max("gap").alias("most")), "gaps"), gaps
+                if hasattr(before, "_corpuslens_path"):
+                    store.drop(before)
+                most = seen.get["most"] or 0
+            n -= matched
+            if not n:
+                break
+            # What is left of a partition are its last pieces; numbered over the partitions they are in falling size.
+            upto = {p: to for p, _, to, _, _ in pairs}
+            known, base = [], 0
+            for p, pieces_, _, _ in counts:
+                known.append((p, upto.get(p, 0), base))
+                base += pieces_ - upto.get(p, 0)
+            rest = out.join(F.broadcast(spark.createDataFrame(known, "part int, upto long, base long")), "part").where("at >= upto").select("uid", "length", (F.col("base") + F.col("at") - F.col("upto")).alias("rank"))
+            bottom, top, total = rest.agg(F.min("length"), F.max("length"), F.sum("length")).first()
+            if matched and most >= bottom:
+                continue
+            # No gap holds any of them: new sequences, with as many pieces each as fit whatever their sizes.
+            each = capacity // top
+            more = -(-n // each) if capacity // bottom == each else -(-total // capacity)
+            first = rest.where(F.col("rank") < more * each).select("uid", "length", (-1 - fresh - F.floor(F.col("rank") / each)).alias("seq"))
+            done.append(first)
+            gaps = gaps.unionByName(first.groupBy("seq").agg((F.lit(capacity) - F.sum("length")).alias("gap")).where(F.col("gap") >= least))
+            rest = rest.where(F.col("rank") >= more * each)
+            n -= min(n, more * each)
+            fresh, opened, most = fresh + more, opened + more, max(most, capacity - bottom)
             if n:
-                known = F.broadcast(spark.createDataFrame(sorted(matched.items()), "part int, upto long"))
-                rest = out.join(known, "part", "left").where("upto is null or at >= upto").select("uid", "length")
-                bottom, top, total = rest.agg(F.min("length"), F.max("length"), F.sum("length")).first()
+                bottom, top = rest.agg(F.min("length"), F.max("length")).first()
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
