@@ -39,12 +39,35 @@ def ln_choose(n: Column, k: Column) -> Column:
 
 
 def hypergeometric_upper(x: Column, total: Column, marked: Column, drawn: Column) -> Column:
-    """P(at least x marked among `drawn` of `total`, `marked` of which are marked)."""
-    top = F.least(marked, drawn)
-    low = F.greatest(x, marked + drawn - total, F.lit(0).cast("long"))
+    """P(at least x marked among `drawn` of `total`, `marked` of which are marked).
+
+    From x on terms follow by their ratio, away from the mean: upwards if x lies
+    over it, else downwards from x - 1, of which the sum is taken from one. Forty
+    deviations on nothing is left that a double could hold.
+    """
+    d = lambda c: c.cast("double")
+    total, marked, drawn = d(total), d(marked), d(drawn)
+    low, top = F.greatest(marked + drawn - total, F.lit(0.0)), F.least(marked, drawn)
+    mean = drawn * marked / total
+    reach = 40 * F.sqrt(mean * (1 - marked / total)) + 50
     mass = lambda k: F.exp(ln_choose(marked, k) + ln_choose(total - marked, drawn - k) - ln_choose(total, drawn))
-    tail = F.aggregate(F.sequence(low.cast("long"), top.cast("long")), F.lit(0.0), lambda s, k: s + mass(k))
-    return F.when(low > top, 0.0).otherwise(F.least(tail, F.lit(1.0)))
+    up = lambda k: (marked - k) * (drawn - k) / ((k + 1) * (total - marked - drawn + k + 1))  # noqa: E731  the next term over this
+
+    def tail(first: Column, steps: Column, ratio) -> Column:
+        start = F.struct(mass(first).alias("term"), mass(first).alias("sum"), first.alias("k"))
+        by = F.sequence(F.lit(1).cast("long"), F.greatest(steps, F.lit(1.0)).cast("long"))
+
+        def step(s, i):
+            term = F.when(i <= steps, s["term"] * ratio(s["k"])).otherwise(0.0)
+            return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"), (s["k"] + F.when(F.lit(ratio is up), 1.0).otherwise(-1.0)).alias("k"))
+
+        return F.aggregate(by, start, step, lambda s: s["sum"])
+
+    down = lambda k: 1 / up(k - 1)
+    x = d(x)
+    over = tail(x, F.least(top, F.floor(x + reach)) - x, up)
+    under = tail(x - 1, x - 1 - F.greatest(low, F.ceil(x - 1 - reach)), down)
+    return F.when(x > top, 0.0).when(x <= low, 1.0).when(x >= mean, F.least(over, F.lit(1.0))).otherwise(F.greatest(1 - under, F.lit(0.0)))
 
 
 def binomial_upper(x: Column, n: Column, p: float = 0.5) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -12,47 +16,208 @@ from .morphology import splits
 from .nulls import repeated
 
 
-def mdl_suffixes(types: DataFrame, stem: int = 3, longest: int = 4) -> DataFrame:
-    """(step, suffix, gain_bits, n_types): endings added greedily while they shorten lexicon and text.
+class _Words:
+    """The types of one bucket, in order, with how many letters each gives to its ending: all types that can share a stem are here."""
+
+    def __init__(self, pdf: pd.DataFrame, code: dict):
+        pdf = pdf.sort_values("w", kind="stable")
+        self.w, self.f, self.cut = pdf["w"].tolist(), pdf["f"].tolist(), pdf["cut"].tolist()
+        self.code, self.stem, self.longest = code, code["stem"], code["longest"]
+        self.count()
+
+    def count(self) -> None:
+        """Tokens and types a stem, tokens an ending."""
+        self.tokens, self.types, self.ends = Counter(), Counter(), Counter()
+        for w, f, k in zip(self.w, self.f, self.cut):
+            st = w[: len(w) - k]
+            self.tokens[st] += f
+            self.types[st] += 1
+            self.ends[w[len(w) - k:]] += f
+
+    def cost(self, st: str, end: str, stems: float, ends: float, mass: dict) -> float:
+        return stems - math.log2(self.tokens.get(st, 0) + 1) + ends - math.log2(mass.get(end, 0) + 1)
+
+    def letters(self, st: str) -> float:
+        return (len(st) + 1) * self.code["bits"]
+
+    def switches(self, estimates: dict):
+        """(ending, index, old stem, new stem) of types that a candidate ending would win, at frozen code lengths.
+
+        estimates has each candidate's tokens. Types that share an old stem are
+        taken in order, as the last to leave it frees its letters.
+        """
+        n, ends = self.code["n"], self.code["ends"]
+        stems, old_ends, new_ends = math.log2(n + self.code["stems"]), math.log2(n + len(ends)), math.log2(n + len(ends) + 1)
+        gone = Counter()
+        for i, (w, f, k) in enumerate(zip(self.w, self.f, self.cut)):
+            st = w[: len(w) - k]
+            old = self.cost(st, w[len(w) - k:], stems, old_ends, ends)
+            for j in range(1, min(self.longest, len(w) - self.stem) + 1):
+                c = w[-j:]
+                if c not in estimates:
+                    continue
+                to = w[:-j]
+                d = f * (self.cost(to, c, stems, new_ends, estimates) - old)
+                if not self.types.get(to):
+                    d += self.letters(to)
+                if self.types[st] - gone[c, st] == 1:
+                    d -= self.letters(st)
+                if d < -1e-12:
+                    gone[c, st] += 1
+                    yield c, i, st, to
+
+    def add(self, c: str, estimate: float) -> None:
+        for _, i, _, _ in list(self.switches({c: estimate})):
+            self.cut[i] = len(c)
+        self.count()
+
+    def assign(self, stem_count: int, ends: dict) -> None:
+        """One round: every type in order takes its cheapest analysis, at code lengths frozen at the round's start; only the stems' numbers of types follow."""
+        n = self.code["n"]
+        stems, of = math.log2(n + stem_count), math.log2(n + len(ends))
+        live = Counter(self.types)
+        for i, (w, f, k) in enumerate(zip(self.w, self.f, self.cut)):
+            now, best = w[: len(w) - k], None
+            for j in range(min(self.longest, len(w) - self.stem) + 1 if len(w) > self.stem else 1):
+                if j and w[-j:] not in ends:
+                    continue
+                st = w[: len(w) - j]
+                bits = f * self.cost(st, w[len(w) - j:], stems, of, ends)
+                if st != now:
+                    bits += self.letters(st) * (live[st] == 0) - self.letters(now) * (live[now] == 1)
+                if best is None or bits < best[0] - 1e-12:
+                    best = (bits, j, st)
+            if best[1] != k:
+                live[now] -= 1
+                live[best[2]] += 1
+                self.cut[i] = best[1]
+        self.count()
+
+    def replay(self, c: str, estimate: float, rounds: list) -> None:
+        self.add(c, estimate)
+        for stem_count, ends in rounds:
+            self.assign(stem_count, ends)
+
+
+_GAINS = "c string, end string, f long, stems long, letters long, before double, after double"
+
 
-    A type costs its letters and an end mark unless it is split into a stem that
-    is a type and an added ending; a token of an ending costs the negative log of
-    the ending's share of its candidates. Types once split stay split. Types with
-    the same candidate endings are one row of the driver's table, which so grows
-    with the distinct endings; a step takes the rows of the best ending out.
+def _gains(words: _Words, estimates: dict) -> pd.DataFrame:
+    """What each candidate's switches change in this bucket: a row for the stems (end null) and one for each ending that loses tokens."""
+    lost, moved, users = Counter(), Counter(), Counter()
+    for c, i, st, to in words.switches(estimates):
+        f = words.f[i]
+        lost[c, words.w[i][len(st):]] += f
+        moved[c, st] -= f
+        moved[c, to] += f
+        users[c, st] -= 1
+        users[c, to] += 1
+    rows = [(c, end, f, 0, 0, 0.0, 0.0) for (c, end), f in lost.items()]
+    term = lambda x: x * math.log2(x + 1)
+    for (c, st), d in moved.items():
+        was, had = words.tokens.get(st, 0), words.types.get(st, 0)
+        change = 1 if not had and users[c, st] > 0 else -1 if had and had + users[c, st] == 0 else 0
+        rows.append((c, None, 0, change, change * (len(st) + 1), term(was), term(was + d)))
+    out = pd.DataFrame(rows, columns=["c", "end", "f", "stems", "letters", "before", "after"])
+    return out.groupby(["c", "end"], dropna=False, as_index=False, sort=False).sum() if len(out) else out
+
+
+def mdl_suffixes(types: DataFrame, cut: Callable, stem: int = 3, longest: int = 4, least: int = 15, most: int = 60) -> DataFrame:
+    """(step, suffix, accepted, approx_bits, gain_bits, n_tokens, total_bits): endings added greedily while they shorten lexicon and text.
+
+    A type is a stem and an ending of the list, or a stem alone. The description is
+    the letters of the endings and of the stems in use, with an end mark each, and
+    every token's two code lengths by add-one shares. A step scores all candidates
+    (endings of `least` types or more) at frozen code lengths, in two passes, the
+    second with the tokens that the first let switch; gives the best candidate its
+    types; lets all types choose anew in three rounds, each in the types' order;
+    and keeps the ending if the exact length fell by gain_bits, else takes the step
+    back and bars it. It ends without a candidate that gains, or at `most` endings.
+
+    A stem of a type is a prefix of at least `stem` letters, so types are dealt into
+    buckets by their first letters, and a bucket is scored and assigned whole in a
+    task; types that begin alike are one task, as a round is sequential among them.
+    The driver holds the endings and their counts. types: (w, freq), each w once;
+    null words take no part. cut() ends lineage.
     """
     spark = types.sparkSession
-    letters = types.select(F.explode(F.filter(F.split("w", ""), lambda c: c != "")).alias("c")).distinct().count()
-    bits = float(np.log2(letters + 1))
-    total = float(types.agg(F.sum("freq")).first()[0] or 0)
-    known = types.select(F.col("w").alias("stem"))
-    cut = splits(types, longest, stem).join(known, "stem", "left_semi").join(types, "w")
-    per = cut.groupBy("w").agg(F.sort_array(F.collect_list("suffix")).alias("ends"), F.first("freq").alias("freq"))
-    rows = [(r["ends"], r["n"], r["f"]) for r in per.groupBy("ends").agg(F.count("*").alias("n"), F.sum("freq").alias("f")).collect()]
-    names = sorted({x for ends, _, _ in rows for x in ends})
-    place = {x: i for i, x in enumerate(names)}
-    size, n, f = np.array([len(x) for x in names]), np.zeros(len(names)), np.zeros(len(names))
-    having: list = [[] for _ in names]
-    for k, (ends, count, tokens) in enumerate(rows):
-        for x in ends:
-            having[place[x]].append(k)
-            n[place[x]] += count
-            f[place[x]] += tokens
-    chosen: list = []
-    done = np.zeros(len(rows), bool)
-    while names:
-        gain = np.where(n > 0, n * size * bits - (size + 1) * bits - n * np.log2(total / np.maximum(f, 1)), -np.inf)
-        best = int(gain.argmax())  # ties to the smaller ending
-        if gain[best] <= 1e-6:
+    words = types.where("w is not null").select("w", F.col("freq").cast("long").alias("f"), F.lit(0).alias("cut"))
+    letters = words.select(F.explode(F.filter(F.split("w", ""), lambda c: c != "")).alias("c")).distinct().count()
+    n, many = words.agg(F.coalesce(F.sum("f"), F.lit(0)), F.count("*")).first()
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-many // 100_000))
+    state = cut(words.withColumn("k", F.pmod(F.xxhash64(F.left("w", F.lit(stem))), F.lit(buckets)).cast("int")))
+    bits = math.log2(letters + 1)
+    pool = splits(words, longest, stem).join(words, "w").groupBy("suffix").agg(F.count("*").alias("n"), F.sum("f").alias("f")).where(F.col("n") >= least)
+    pool = {r["suffix"]: r["f"] for r in pool.collect()}  # one row an ending
+    code = {"n": n, "bits": bits, "stem": stem, "longest": longest, "stems": many, "ends": {"": n}}
+
+    def per_bucket(run, schema, **more):
+        known = dict(code, **more)
+        return state.groupBy("k").applyInPandas(lambda pdf: run(_Words(pdf, known)), schema)
+
+    def totals(replay) -> tuple[int, dict, float]:
+        """Stems in use, endings' tokens and the description's length after replay, from sums over the buckets."""
+
+        def run(x):
+            if replay:
+                x.replay(*replay)
+            rows = [(None, len(x.tokens), float(sum(len(s) + 1 for s in x.tokens)), float(sum(c * math.log2(c + 1) for c in x.tokens.values())))]
+            return pd.DataFrame(rows + [(end, c, 0.0, 0.0) for end, c in x.ends.items()], columns=["end", "c", "letters", "term"])
+
+        got = per_bucket(run, "end string, c long, letters double, term double").groupBy("end").agg(F.sum("c").alias("c"), F.sum("letters").alias("letters"), F.sum("term").alias("term")).collect()
+        found = {r["end"]: r["c"] for r in got if r["end"] is not None}
+        names = [*code["ends"], replay[0]] if replay else list(code["ends"])
+        ends, one = {e: found.get(e, 0) for e in names}, next(r for r in got if r["end"] is None)
+        length = bits * (sum(len(e) + 1 for e in ends) + one["letters"]) + n * math.log2(n + one["c"]) - one["term"] + n * math.log2(n + len(ends)) - sum(c * math.log2(c + 1) for c in ends.values())
+        return one["c"], ends, length
+
+    def best_of(estimates) -> tuple | None:
+        stems, ends = code["stems"], code["ends"]
+        v, term = len(ends), lambda c, of: -c * math.log2((c + 1) / (n + of)) if c > 0 else 0.0
+        raise_ = sum(term(c, v + 1) - term(c, v) for c in ends.values())
+        known = F.create_map(*[x for e, c in ends.items() for x in (F.lit(e), F.lit(c))])
+        entropy = lambda c: F.when(c > 0, -c * F.log2((c + 1) / F.lit(float(n + v + 1)))).otherwise(0.0)
+        rows = per_bucket(lambda x: _gains(x, estimates), _GAINS).groupBy("c", "end").agg(*[F.sum(x).alias(x) for x in ("f", "stems", "letters", "before", "after")])
+        was = F.element_at(known, F.col("end"))
+        rows = rows.withColumn("ends", F.when(F.col("end").isNotNull(), entropy(was - F.col("f")) - entropy(was)).otherwise(0.0))
+        per = rows.groupBy("c").agg(*[F.sum(x).alias(x) for x in ("f", "stems", "letters", "before", "after", "ends")])
+        wide, now = F.log2((F.col("stems") + (n + stems)).cast("double")), math.log2(n + stems)
+        data = F.col("ends") + raise_ + entropy(F.col("f")) + F.col("before") - F.col("after") + F.lit(float(n)) * (wide - now)
+        gain = -(data + (F.length("c") + 1 + F.col("letters")) * bits)
+        top = per.select("c", "f", gain.alias("gain")).where("gain > 1e-9").orderBy(F.desc(F.round("gain", 8)), "c").first()
+        return top and (top["c"], top["f"], top["gain"])
+
+    steps, barred = [], set()
+    code["stems"], code["ends"], length = totals(None) if many else (0, {"": 0}, 0.0)
+    while many and sum(s[2] for s in steps) < most:
+        open_ = {c: f for c, f in pool.items() if c not in code["ends"] and c not in barred}
+        if not open_:
             break
-        chosen.append((len(chosen) + 1, names[best], round(float(gain[best]), 6), int(n[best])))
-        for k in having[best]:
-            if not done[k]:
-                done[k] = True
-                for x in rows[k][0]:
-                    n[place[x]] -= rows[k][1]
-                    f[place[x]] -= rows[k][2]
-    return spark.createDataFrame(chosen, "step int, suffix string, gain_bits double, n_types long")
+        first = per_bucket(lambda x: pd.DataFrame([(c, x.f[i]) for c, i, _, _ in x.switches(open_)], columns=["c", "f"]), "c string, f long").groupBy("c").agg(F.sum("f").alias("f"))
+        won = {r["c"]: r["f"] for r in first.collect()}  # one row an ending
+        refined = {c: won.get(c, 0) for c in open_}
+        best = best_of(refined)
+        if not best:
+            break
+        c, estimate, rounds = best[0], refined[best[0]], []
+        counted = totals((c, estimate, rounds))
+        for _ in range(3):
+            rounds.append(counted[:2])
+            counted = totals((c, estimate, rounds))
+        gain = length - counted[2]
+        kept = gain > 1e-6
+        steps.append((len(steps) + 1, c, kept, best[2], gain, counted[1][c], length - gain if kept else length))
+        if not kept:
+            barred.add(c)
+            continue
+
+        def moved(x, replay=(c, estimate, rounds)):
+            x.replay(*replay)
+            return pd.DataFrame({"w": x.w, "f": x.f, "cut": x.cut})
+
+        state = cut(per_bucket(moved, "w string, f long, cut int").withColumn("k", F.pmod(F.xxhash64(F.left("w", F.lit(stem))), F.lit(buckets)).cast("int")))
+        code["stems"], code["ends"], length = counted
+    return spark.createDataFrame(steps, "step int, suffix string, accepted boolean, approx_bits double, gain_bits double, n_tokens long, total_bits double")
 
 
 def markov_sequences(histories: DataFrame, bigrams: pd.DataFrame, r: int, seed: int) -> DataFrame:

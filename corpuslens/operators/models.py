@@ -91,14 +91,12 @@ def calibration(df: DataFrame, confidence: str, correct: Column, edges: tuple =
     return out.withColumn("calibrated", F.when(F.col("n") >= least, F.col("accuracy")).otherwise(F.col("mean_confidence")))
 
 
-def ppmi(pairs: DataFrame, least: int = 1) -> DataFrame:
-    """(a, b, c, ppmi) of pairs (a, b), counted or with counts c, that meet at least `least` times, with positive association."""
-    cells = pairs if "c" in pairs.columns else pairs.groupBy("a", "b").agg(F.count("*").alias("c"))
-    a, b = cells.groupBy("a").agg(F.sum("c").alias("ra")), cells.groupBy("b").agg(F.sum("c").alias("rb"))
-    n = cells.agg(F.sum("c").alias("n"))
-    kept = cells.where(F.col("c") >= least)  # margins count all cells, but only these meet them
-    out = kept.join(a, "a").join(b, "b").crossJoin(F.broadcast(n))  # one row
-    return out.select("a", "b", "c", F.ln(F.col("c") * F.col("n") / F.col("ra") / F.col("rb")).alias("ppmi")).where("ppmi > 0")
+def ppmi(cells: DataFrame, margins: DataFrame) -> DataFrame:
+    """(a, b, c, ppmi) of counted cells (a, b, c) with positive association; margins (w, r) are those of all cells, seen or not."""
+    n = margins.agg(F.sum("r").alias("n"))
+    of = lambda x: margins.select(F.col("w").alias(x), F.col("r").alias(f"r{x}"))
+    out = cells.join(of("a"), "a").join(of("b"), "b").crossJoin(F.broadcast(n))  # one row
+    return out.select("a", "b", "c", F.ln(F.col("c") * F.col("n").cast("double") / F.col("ra") / F.col("rb")).alias("ppmi")).where("ppmi > 0")
 
 
 def unit_vectors(df: DataFrame, unit: str, vec: str, *keep: str) -> DataFrame:

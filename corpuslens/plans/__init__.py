@@ -1,4 +1,4 @@
 """Registered queries; importing the package fills the registry."""
 
-from . import corpus, inference, records, relational, resampling, variants  # noqa: F401
+from . import corpus, inference, reading, records, relational, resampling, validation, variants  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

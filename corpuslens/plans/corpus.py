@@ -378,17 +378,16 @@ def interpolate(spark, sf):
     return out.select("event_id", F.round("level", 4).alias("level"))
 
 
-@query(f"""WITH {TOK}, s AS (SELECT w AS a, lead(w, 1) OVER d AS b1, lead(w, 2) OVER d AS b2 FROM tok WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
-h AS (SELECT a, b1 AS b FROM s WHERE b1 IS NOT NULL UNION ALL SELECT a, b2 FROM s WHERE b2 IS NOT NULL), p AS (SELECT a, b FROM h UNION ALL SELECT b, a FROM h),
-c AS (SELECT a, b, count(*) AS c FROM p GROUP BY ALL), r AS (SELECT a, sum(c) AS ra FROM c GROUP BY a), n AS (SELECT sum(c) AS n FROM c),
-v AS (SELECT c.a, c.b, c, ln(c * n::DOUBLE / r.ra / s.ra) AS x FROM c JOIN r USING (a) JOIN r s ON s.a = c.b, n WHERE c >= 20)
+@query(f"""WITH {REC}, z AS (SELECT unnest(list_concat(list_zip(ws[1:len(ws) - 1], ws[2:len(ws)]), list_zip(ws[1:len(ws) - 2], ws[3:len(ws)]))) AS p FROM rec WHERE len(ws) > 1),
+h AS (SELECT least(p[1], p[2]) AS a, greatest(p[1], p[2]) AS b, count(*) AS c FROM z GROUP BY ALL), k AS (SELECT a, b, CASE WHEN a = b THEN 2 * c ELSE c END AS c FROM h), c AS (SELECT a, b, c FROM k WHERE c >= 20 UNION SELECT b, a, c FROM k WHERE c >= 20),
+m AS (SELECT w, sum(k) AS r FROM (SELECT unnest(ws) AS w, unnest(list_transform(range(len(ws)), lambda i: least(i, 2) + least(len(ws) - 1 - i, 2))) AS k FROM rec) GROUP BY w), v AS (SELECT c.*, ln(c * (SELECT sum(r) FROM m)::DOUBLE / x.r / y.r) AS x FROM c JOIN m x ON x.w = a JOIN m y ON y.w = b)
 SELECT a, b, c, round(x, 6) AS ppmi FROM v WHERE x > 0""")
 def cooc_pmi_window2(spark, sf):
     """Positive association of words at most two places apart, of at least 20 meetings."""
     from ..operators import models
 
     ws = load(spark, sf, "documents").select(text.words(F.col("text")).alias("ws"))
-    return models.ppmi(sequences.window_counts(ws, "ws", 2), 20).select("a", "b", "c", F.round("ppmi", 6).alias("ppmi"))
+    return models.ppmi(*sequences.window_cells(ws, "ws", 2, 20)).select("a", "b", "c", F.round("ppmi", 6).alias("ppmi"))
 
 
 @query(f"""WITH {TOK}, w AS (SELECT doc_id, w, rank() OVER (PARTITION BY doc_id ORDER BY i) AS k, percent_rank() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM tok)

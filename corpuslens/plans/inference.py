@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import stats, text
 from ..operators import association, graphs, induction, matching, models, nulls, sequences, tokens
 from ..sources.tables import load
-from .registry import REC, TOK, TYPES, WORDS, query
+from .registry import REC, TOK, TYPES, WORDS, ascii_letters, query
 
 #: Replicates of a null model; the least p is 1 / (R + 1).
 R, SEED = 200, 42
@@ -37,11 +37,13 @@ SELECT event_type, stat, round(p, 6) AS p, round(((SELECT count(*) FROM m WHERE
 def perm_within_record(spark, sf, r=R):
     """Which event types open a user's history more often than order alone explains."""
     e = load(spark, sf, "events").withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).select("user_id", "event_type", "event_id", "place")
-    base = nulls.repeated(e, r)
-    order = Window.partitionBy("rep", "user_id").orderBy(nulls.hashed(SEED, F.col("rep"), F.col("user_id"), F.col("event_id")), "event_id")
-    sim = base.withColumn("place", F.row_number().over(order) - 1)
-    stat = F.sum((F.col("place") == 0).cast("long")).alias("stat")
-    out = nulls.min_p(e.groupBy("event_type").agg(stat), sim.groupBy("rep", "event_type").agg(stat), "event_type", r)
+    # Only the first of a permuted history counts: the least hash, found before the shuffle.
+    least = F.min(F.struct(nulls.hashed(SEED, F.col("rep"), F.col("user_id"), F.col("event_id")).alias("h"), "event_id", "event_type"))
+    first = nulls.repeated(e.select("user_id", "event_id", "event_type"), r).groupBy("rep", "user_id").agg(least.alias("x"))
+    won = first.groupBy("rep", F.col("x.event_type").alias("event_type")).agg(F.count("*").alias("stat"))
+    grid = nulls.repeated(e.select("event_type").distinct(), r)  # a few types
+    sim = grid.join(won, ["rep", "event_type"], "left").na.fill(0, ["stat"])
+    out = nulls.min_p(e.groupBy("event_type").agg(F.sum((F.col("place") == 0).cast("long")).alias("stat")), sim, "event_type", r)
     return out.select("event_type", "stat", F.round("p", 6).alias("p"), F.round("p_adj", 6).alias("p_adj"))
 
 
@@ -363,8 +365,9 @@ def jaccard_families(spark, sf):
     return graphs.components(matching.jaccard_pairs(sets, "doc_id", "w", 0.5).select("a", "b").unionByName(copies), cut)
 
 
-@query(f"""WITH {TYPES}, p AS (SELECT DISTINCT unnest({WORDS.replace("text", "p_name")}) AS probe FROM part), f AS (SELECT w AS form FROM types)
-SELECT probe, form, round(1 - levenshtein(probe, form) / greatest(len(probe), len(form)), 6) AS sim FROM p, f WHERE abs(len(probe) - len(form)) <= 2 AND len(probe) >= 3 AND 1 - levenshtein(probe, form) / greatest(len(probe), len(form)) >= 0.7 - 1e-12""")
+@query(f"""WITH {TYPES}, p AS (SELECT DISTINCT unnest({WORDS.replace("text", "p_name")}) AS probe FROM part), f AS (SELECT w AS form FROM types),
+d AS (SELECT probe, form, 1 - levenshtein({ascii_letters("probe")}, {ascii_letters("form")}) / greatest(len(probe), len(form)) AS sim FROM p, f WHERE len(probe) >= 3 AND len(form) BETWEEN 0.7 * len(probe) - 1e-9 AND len(probe) / 0.7 + 1e-9)
+SELECT probe, form, round(sim, 6) AS sim FROM d WHERE sim >= 0.7 - 1e-12""")
 def fuzzy_probe(spark, sf):
     """Words close to words of part names."""
     types = tokens.vocabulary(tokens.tokens(load(spark, sf, "documents")))
@@ -498,8 +501,9 @@ def markov_null(spark, sf):
 
 @query()
 def mdl_suffixes(spark, sf):
-    """Endings chosen by description length."""
-    return induction.mdl_suffixes(tokens.vocabulary(tokens.tokens(load(spark, sf, "documents"))))
+    """Endings chosen by description length, refused ones too (M15); tested against a plain version."""
+    out = induction.mdl_suffixes(tokens.vocabulary(tokens.tokens(load(spark, sf, "documents"))), _cut(spark))
+    return out.withColumns({c: F.round(c, 3) for c in ("approx_bits", "gain_bits", "total_bits")})
 
 
 @query("""WITH e AS (SELECT user_id, event_type = 'purchase' AS y, percent_rank() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events), b AS (SELECT user_id, y, CAST(floor(r * 50) AS BIGINT) AS b FROM e),
@@ -527,7 +531,9 @@ def loso_kde_auc(spark, sf):
     return g.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.round(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg")), 6).alias("auc"))
 
 
-@query()
+@query(f"""WITH {TYPES}, v AS (SELECT rep, count(*) FILTER (substr(w, 1 + CAST(floor(CAST('0x' || substr(md5(concat_ws(':', '42', rep::VARCHAR, w)), 1, 12) AS BIGINT) / 281474976710656.0 * len(w)) AS INTEGER), 1) IN ('a', 'e', 'i', 'o', 'u')) AS stat
+FROM types, (SELECT unnest(range(1, {R + 1})) AS rep) GROUP BY rep), o AS (SELECT count(*) FILTER (right(w, 1) IN ('a', 'e', 'i', 'o', 'u')) AS stat FROM types)
+SELECT o.stat, round((count(*) FILTER (v.stat >= o.stat) + 1) / ({R} + 1), 6) AS p FROM o, v GROUP BY o.stat""")
 def letter_scramble_r200(spark, sf, r=R):
     """The same test with R replicates: the last letter of a random order is any letter alike, so one draw a word and replicate serves."""
     types = tokens.vocabulary(tokens.tokens(load(spark, sf, "documents"))).select("w")

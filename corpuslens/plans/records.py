@@ -101,7 +101,7 @@ def page_regions(spark, sf):
 
 def _sql_replace(x: str, pairs: tuple) -> str:
     for a, b in pairs:
-        x = f"replace({x}, '{a}', '{b}')"
+        x = "replace({}, '{}', '{}')".format(x, a.replace("'", "''"), b)
     return x
 
 

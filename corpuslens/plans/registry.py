@@ -25,3 +25,8 @@ TOK = f"{REC}, tok AS (SELECT doc_id, lang, source, len(ws) AS n, unnest(ws) AS
 TYPES = f"{TOK}, types AS (SELECT w, count(*) AS freq FROM tok GROUP BY w)"
 #: ln k! for k up to m, by prefix sums.
 LF = "lf AS (SELECT k, sum(CASE WHEN k > 0 THEN ln(k) ELSE 0 END) OVER (ORDER BY k) AS f FROM (SELECT unnest(range({m})) AS k))"
+
+
+def ascii_letters(x: str) -> str:
+    """SQL that gives each accented small letter of Latin scripts one sign that words don't have: the twin's levenshtein counts bytes."""
+    return f"translate({x}, 'ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ', '0123456789ABCDEFGHIJKLMNOPQRSTUVW')"

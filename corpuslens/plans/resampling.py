@@ -10,10 +10,17 @@ from ..operators import graphs, matching, models, nulls, tokens
 from ..sources.tables import load
 from .inference import _cut
 from .records import ENDINGS, _CUT
-from .registry import TOK, TYPES, WORDS, query
+from .registry import TOK, TYPES, WORDS, ascii_letters, query
 
-R, SEED = 20, 42
-_REPS = f"(SELECT unnest(range(1, {R + 1})) AS rep)"
+#: Replicates of a null model; the least p is 1 / (R + 1).
+R, SEED = 200, 42
+#: Replicates that refit a classifier to all words, and repeated splits of them.
+R_FIT, R_SPLIT = 20, 100
+def _reps(r: int) -> str:
+    return f"(SELECT unnest(range(1, {r + 1})) AS rep)"
+
+
+_REPS = _reps(R)
 
 
 def _md5(*parts: str) -> str:
@@ -24,8 +31,8 @@ def _uniform(*parts: str) -> str:
     return f"(CAST('0x' || substr({_md5(*parts)}, 1, 12) AS BIGINT) / 281474976710656.0)"
 
 
-def _p(side: str) -> str:
-    return f"round((count(*) FILTER (s.stat {side}) + 1) / ({R} + 1), 6)"
+def _p(side: str, r: int = R) -> str:
+    return f"round((count(*) FILTER (s.stat {side}) + 1) / ({r} + 1), 6)"
 
 
 def _tail(observed, simulated, low: bool = False, r: int = R):
@@ -78,8 +85,8 @@ def stratified_overlap(spark, sf, r=R):
     count = lambda c: F.sum(c.cast("long"))
     a, b = F.col("a") == 1, F.col("q") == 0
     n = u.groupBy("source").agg(count(b).alias("nb"), count(a).alias("na"), F.count("*").alias("c"))
-    order = Window.partitionBy("rep", "source").orderBy(nulls.hashed(SEED, F.col("rep"), F.col("doc_id")), "doc_id")
-    drawn = nulls.repeated(u, r).withColumn("r", F.row_number().over(order)).join(n, "source")
+    drawn = nulls.repeated(u, r).withColumn("h", nulls.hashed(SEED, F.col("rep"), F.col("doc_id")))
+    drawn = nulls.ranked(drawn, ["rep", "source"], F.substring("h", 1, 3), ["h", "doc_id"], "r").join(n, "source")
     s = drawn.groupBy("rep").agg(count(a & (F.col("r") <= F.col("nb"))).alias("stat"))
     expected = n.agg(F.round(F.sum(F.col("na") * F.col("nb") / F.col("c")), 6).alias("expected"))
     return _tail(u.agg(count(a & b).alias("stat")), s, low=True, r=r).crossJoin(expected).select("stat", "expected", "p")  # one row each
@@ -120,8 +127,8 @@ def node_labels(spark, sf, r=R):
 _GROUP = "CASE WHEN w IN ('view', 'click') THEN 'A' ELSE 'B' END"
 
 
-@query(f"""WITH i AS (SELECT DISTINCT user_id AS b, CAST(ts AS DATE) AS art, event_type AS w FROM events), k AS (SELECT b, art, w, row_number() OVER (ORDER BY b, art, w) AS id FROM i),
-z AS (SELECT rep, w, row_number() OVER (PARTITION BY rep ORDER BY {_md5("rep", "id")}, id) AS id FROM k, {_REPS}), v AS (SELECT 0 AS rep, b, art, w FROM i UNION ALL SELECT DISTINCT rep, b, art, z.w FROM k JOIN z USING (id)),
+@query(f"""WITH i AS (SELECT DISTINCT user_id AS b, CAST(ts AS DATE) AS art, event_type AS w FROM events), k AS (SELECT b, art, w, concat_ws('/', b::VARCHAR, art::VARCHAR, w) AS id FROM i), a AS (SELECT *, row_number() OVER (ORDER BY id) AS k FROM k),
+z AS (SELECT rep, w, row_number() OVER (PARTITION BY rep ORDER BY {_md5("rep", "id")}, id) AS k FROM k, {_REPS}), v AS (SELECT 0 AS rep, b, art, w FROM i UNION ALL SELECT DISTINCT rep, b, art, z.w FROM a JOIN z USING (k)),
 g AS (SELECT *, {_GROUP} AS grp FROM v), t AS (SELECT x.rep, count(*) AS tot, count(*) FILTER (x.grp = y.grp) AS same FROM g x JOIN g y ON x.rep = y.rep AND x.b = y.b AND x.art < y.art AND x.w <> y.w GROUP BY x.rep), s AS (SELECT rep, same / tot AS stat FROM t WHERE rep > 0)
 SELECT o.tot AS n_pairs, o.same AS n_same, {_p(">= o.same / o.tot - 1e-12")} AS p FROM t o, s WHERE o.rep = 0 GROUP BY ALL""")
 def incidence_null(spark, sf, r=R):
@@ -131,7 +138,7 @@ def incidence_null(spark, sf, r=R):
     from sums of squares of a bucket's counts, so no pair is ever a row.
     """
     i = load(spark, sf, "events").select(F.col("user_id").alias("b"), F.to_date("ts").alias("art"), F.col("event_type").alias("w")).distinct()
-    k = i.withColumn("id", F.row_number().over(Window.orderBy("b", "art", "w")))
+    k = i.withColumn("id", F.concat_ws("/", F.col("b").cast("string"), F.col("art").cast("string"), "w"))
     v = nulls.permute(k, r, SEED, "w", F.col("id")).select("rep", "b", "art", "w").distinct().unionByName(i.withColumn("rep", F.lit(0).cast("long")).select("rep", "b", "art", "w"))
     v = v.withColumn("grp", F.when(F.col("w").isin("view", "click"), "A").otherwise("B"))
 
@@ -261,10 +268,10 @@ def _refit(wf, worlds, r):
     return _tail(q.where("rep = 0"), q.where("rep > 0"), r=r).crossJoin(q.where("rep = 0").select("n")).select("n", "stat", "p")  # one row each
 
 
-@query(f"""WITH {_WORDS}, {_TEST}, pa AS (SELECT f, row_number() OVER (ORDER BY w) AS k FROM tr), pb AS (SELECT r.rep, label, row_number() OVER (PARTITION BY r.rep ORDER BY {_md5("r.rep", "w")}, w) AS k FROM tr, {_REPS} r),
+@query(f"""WITH {_WORDS}, {_TEST}, pa AS (SELECT f, row_number() OVER (ORDER BY w) AS k FROM tr), pb AS (SELECT r.rep, label, row_number() OVER (PARTITION BY r.rep ORDER BY {_md5("r.rep", "w")}, w) AS k FROM tr, {_reps(R_FIT)} r),
 v AS (SELECT 0 AS rep, label, f FROM tr UNION ALL SELECT pb.rep, label, f FROM pa JOIN pb USING (k)), {_weights("v")}, {_ACC}
-SELECT o.n, o.stat, {_p(">= o.stat")} AS p FROM q o, s WHERE o.rep = 0 GROUP BY ALL""")
-def refit_labels(spark, sf, r=R):
+SELECT o.n, o.stat, {_p(">= o.stat", R_FIT)} AS p FROM q o, s WHERE o.rep = 0 GROUP BY ALL""")
+def refit_labels(spark, sf, r=R_FIT):
     """Held-out hits against classifiers refitted to permuted training labels."""
     wf = _typed(spark, sf)
     train = wf.where(~_held(F.col("w")))
@@ -273,10 +280,10 @@ def refit_labels(spark, sf, r=R):
 
 
 @query(f"""WITH {_WORDS}, {_TEST}, b AS (SELECT fam, count(*) AS size, first(label ORDER BY label) AS x FROM (SELECT fam, label, w FROM tr) GROUP BY fam), z AS (SELECT fam, size, list(label ORDER BY w) AS v FROM tr JOIN (SELECT fam, count(*) AS size FROM tr GROUP BY fam) USING (fam) GROUP BY ALL),
-pa AS (SELECT fam, size, row_number() OVER (PARTITION BY size ORDER BY fam) AS k FROM z), pb AS (SELECT rep, size, v, row_number() OVER (PARTITION BY rep, size ORDER BY {_md5("rep", "fam")}, fam) AS k FROM z, {_REPS}),
+pa AS (SELECT fam, size, row_number() OVER (PARTITION BY size ORDER BY fam) AS k FROM z), pb AS (SELECT rep, size, v, row_number() OVER (PARTITION BY rep, size ORDER BY {_md5("rep", "fam")}, fam) AS k FROM z, {_reps(R_FIT)}),
 t AS (SELECT fam, f, row_number() OVER (PARTITION BY fam ORDER BY w) AS j FROM tr), v AS (SELECT 0 AS rep, label, f FROM tr UNION ALL SELECT pb.rep, pb.v[t.j] AS label, t.f FROM t JOIN pa USING (fam) JOIN pb ON pb.k = pa.k AND pb.size = pa.size), {_weights("v")}, {_ACC}
-SELECT o.n, o.stat, {_p(">= o.stat")} AS p FROM q o, s WHERE o.rep = 0 GROUP BY ALL""")
-def refit_blocks(spark, sf, r=R):
+SELECT o.n, o.stat, {_p(">= o.stat", R_FIT)} AS p FROM q o, s WHERE o.rep = 0 GROUP BY ALL""")
+def refit_blocks(spark, sf, r=R_FIT):
     """The same with label vectors exchanged among families of equal size."""
     wf = _typed(spark, sf)
     train = wf.where(~_held(F.col("w")))
@@ -288,23 +295,22 @@ def refit_blocks(spark, sf, r=R):
     return _refit(wf, worlds, r)
 
 
-_SPLIT = f"""tr AS (SELECT r.rep, label, f FROM wf, {_REPS} r WHERE substr({_md5("r.rep", "w")}, 1, 1) >= '4'),
-ho AS (SELECT r.rep, label, f, row_number() OVER (PARTITION BY r.rep, label ORDER BY {_md5("r.rep", "w")}, w) - 1 AS k, count(*) OVER (PARTITION BY r.rep, label) AS m FROM wf, {_REPS} r WHERE substr({_md5("r.rep", "w")}, 1, 1) < '4')"""
+_SPLIT = f"""tr AS (SELECT r.rep, label, f FROM wf, {_reps(R_SPLIT)} r WHERE substr({_md5("r.rep", "w")}, 1, 1) >= '4'),
+ho AS (SELECT r.rep, label, f, row_number() OVER (PARTITION BY r.rep, label ORDER BY {_md5("r.rep", "w")}, w) - 1 AS k, count(*) OVER (PARTITION BY r.rep, label) AS m FROM wf, {_reps(R_SPLIT)} r WHERE substr({_md5("r.rep", "w")}, 1, 1) < '4')"""
 
 
-@query(f"""WITH {_WORDS}, {_SPLIT}, {_weights("tr")}, sl AS (SELECT DISTINCT rep, label, m FROM ho), dr AS (SELECT rep, label, bag, CAST(floor({_uniform("rep", "label", "bag", "slot")} * m) AS BIGINT) AS k FROM sl, (SELECT unnest(range(5)) AS bag), (SELECT unnest(range(10)) AS slot)),
+@query(f"""WITH {_WORDS}, {_SPLIT}, {_weights("tr")}, sl AS (SELECT DISTINCT rep, label, m FROM ho), dr AS (SELECT rep, label, bag, CAST(floor({_uniform("rep", "label", "bag", "slot")} * m) AS BIGINT) AS k FROM sl, (SELECT unnest(range(20)) AS bag), (SELECT unnest(range(10)) AS slot)),
 bg AS (SELECT dr.rep, dr.label AS truth, bag, ho.f FROM dr JOIN ho USING (rep, label, k)), sc AS (SELECT bg.rep, truth, bag, nw.label, round(sum(lw), 9) AS a FROM bg JOIN nw ON nw.rep = bg.rep AND nw.f = bg.f GROUP BY ALL),
 u AS (SELECT rep, truth, bag, first(label ORDER BY a DESC, label) AS g FROM sc GROUP BY ALL)
 SELECT truth, g AS guess, count(*) AS n_bags FROM u GROUP BY ALL""")
-def bag_splits(spark, sf, r=R, bags=5, size=10):
+def bag_splits(spark, sf, r=R_SPLIT, bags=20, size=10):
     """Bags of held-out words, drawn with replacement, attributed to a language over repeated type-disjoint splits."""
     wf = nulls.repeated(_typed(spark, sf), r)
     h = nulls.hashed(SEED, F.col("rep"), F.col("w"))
     wf = wf.withColumn("h", h).withColumn("held", F.substring("h", 1, 1) < "4")
     nw = _fit(wf.where("not held"))
-    by = Window.partitionBy("rep", "label")
-    ho = wf.where("held").select("rep", F.col("label").alias("truth"), "label", "f", (F.row_number().over(by.orderBy("h", "w")) - 1).cast("long").alias("k"), F.count("*").over(by).alias("m")).drop("label")
-    sl = ho.groupBy("rep", "truth").agg(F.max("m").alias("m"))
+    ho = nulls.ranked(wf.where("held"), ["rep", "label"], F.substring("h", 1, 3), ["h", "w"], "k").select("rep", F.col("label").alias("truth"), "f", (F.col("k") - 1).alias("k"))
+    sl = ho.groupBy("rep", "truth").agg(F.count("*").alias("m"))
     cells = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(bags - 1)), lambda b: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda s: F.struct(b.alias("bag"), s.alias("slot"))))))
     dr = sl.select("rep", "truth", "m", cells.alias("c")).select("rep", "truth", "c.bag", F.floor(nulls.uniform(SEED, F.col("rep"), F.col("truth"), F.col("c.bag"), F.col("c.slot")) * F.col("m")).alias("k"))
     bg = dr.join(ho.select("rep", "truth", "k", "f"), ["rep", "truth", "k"])
@@ -336,12 +342,12 @@ def candidate_queue(spark, sf):
     return top.where("not known").join(F.broadcast(cal), "bin", "left").select("w", "label", F.round("margin", 6).alias("margin"), "calibrated")  # four bins
 
 
-@query(f"""WITH {TOK}, v AS (SELECT lang, left(w, 3) AS concept, w FROM tok WHERE len(w) >= 4 GROUP BY ALL HAVING count(*) >= 30),
-b AS (SELECT x.concept, x.lang AS a, y.lang AS b, max(1 - levenshtein(x.w, y.w) / greatest(len(x.w), len(y.w))) AS best FROM v x JOIN v y ON x.concept = y.concept AND x.lang < y.lang GROUP BY ALL)
+@query(f"""WITH {TOK}, v AS (SELECT lang, left(w, 3) AS concept, w FROM tok WHERE len(w) >= 4 GROUP BY ALL),
+b AS (SELECT x.concept, x.lang AS a, y.lang AS b, max(1 - levenshtein({ascii_letters("x.w")}, {ascii_letters("y.w")}) / greatest(len(x.w), len(y.w))) AS best FROM v x JOIN v y ON x.concept = y.concept AND x.lang < y.lang GROUP BY ALL)
 SELECT concept, count(*) AS n_pairs, count(*) FILTER (best >= 0.7) AS score FROM b GROUP BY concept""")
 def convergence(spark, sf):
     """For each concept (here words' first three letters) the pairs of languages whose best forms are at least 0.7 alike."""
-    v = tokens.tokens(load(spark, sf, "documents"), "lang").where(F.length("w") >= 4).groupBy("lang", "w").agg(F.count("*").alias("c")).where("c >= 30").select("lang", F.left("w", F.lit(3)).alias("concept"), "w")
+    v = tokens.tokens(load(spark, sf, "documents"), "lang").where(F.length("w") >= 4).select("lang", F.left("w", F.lit(3)).alias("concept"), "w").distinct()
     other = v.select(F.col("lang").alias("b"), "concept", F.col("w").alias("u"))
     best = v.join(other, "concept").where("lang < b").groupBy("concept", "lang", "b").agg(F.max(text.similarity(F.col("w"), F.col("u"))).alias("best"))
     return best.groupBy("concept").agg(F.count("*").alias("n_pairs"), F.sum((F.col("best") >= 0.7).cast("long")).alias("score"))
@@ -370,7 +376,7 @@ def soft_alignment(spark, sf):
     t = load(spark, sf, "conversations").select("conv_id", "turn", text.words(F.col("text")).alias("ws"))
     by = Window.partitionBy("conv_id").orderBy("turn")
     t = t.withColumn("before", F.lag("ws").over(by)).where("before is not null")
-    return t.select("conv_id", "turn", F.round(records.soft_jaccard(F.slice("ws", 1, 30), F.slice("before", 1, 30), text.soft_equal), 6).alias("j"))
+    return t.select("conv_id", "turn", F.round(records.soft_jaccard(F.col("ws"), F.col("before"), text.soft_equal), 6).alias("j"))
 
 
 @query()
@@ -381,7 +387,7 @@ def witness_words(spark, sf):
     return matching.reconcile_lists(t, "a", "b").drop("a", "b")
 
 
-@query(f"""WITH RECURSIVE b AS (SELECT item_id, {WORDS} AS ws FROM benchmark), t AS (SELECT item_id * 1000 + i AS id, item_id * 1000 + i // 6 AS line, ws[i + 1] AS w FROM (SELECT item_id, ws, unnest(range(len(ws))) AS i FROM b)),
+@query(f"""WITH RECURSIVE b AS (SELECT item_id, {WORDS} AS ws FROM benchmark), t AS (SELECT item_id * 1000000 + i AS id, item_id * 1000000 + i // 6 AS line, ws[i + 1] AS w FROM (SELECT item_id, ws, unnest(range(len(ws))) AS i FROM b)),
 a AS (SELECT id, line, row_number() OVER (ORDER BY id) AS k FROM t), z AS (SELECT rep, w, row_number() OVER (PARTITION BY rep ORDER BY {_md5("rep", "id")}, id) AS k FROM t, (SELECT unnest(range(1, 6)) AS rep)),
 v AS (SELECT DISTINCT 0 AS rep, line, w FROM t UNION ALL SELECT DISTINCT rep, line, w FROM a JOIN z USING (k)), n AS (SELECT rep, line, count(*) AS n FROM v GROUP BY ALL),
 c AS (SELECT x.rep, x.line AS a, y.line AS b, count(*) AS c FROM v x JOIN v y ON x.rep = y.rep AND x.w = y.w AND x.line <> y.line GROUP BY ALL), e AS (SELECT c.rep, a, b FROM c JOIN n p ON p.rep = c.rep AND p.line = a JOIN n q ON q.rep = c.rep AND q.line = b WHERE c.c >= 0.5 * (p.n + q.n - c.c)),
@@ -390,11 +396,11 @@ SELECT o.stat, round((count(*) FILTER (s.stat >= o.stat) + 1) / 6, 6) AS p FROM
 def line_reshuffle(spark, sf, r=5):
     """The largest family of similar lines, against words dealt anew over lines of the same lengths (N20, G1 in each replicate)."""
     b = load(spark, sf, "benchmark").select("item_id", F.posexplode(text.words(F.col("text"))).alias("i", "w"))
-    t = b.select((F.col("item_id") * 1000 + F.col("i")).alias("id"), (F.col("item_id") * 1000 + F.floor(F.col("i") / 6)).alias("line"), "w")
+    t = b.select((F.col("item_id") * 1_000_000 + F.col("i")).alias("id"), (F.col("item_id") * 1_000_000 + F.floor(F.col("i") / 6)).alias("line"), "w")
     v = nulls.permute(t, r, SEED, "w", F.col("id")).select("rep", "line", "w").unionByName(t.select(F.lit(0).cast("long").alias("rep"), "line", "w"))
     # Replicates are kept apart by their number in the keys of lines and words.
-    sets = v.select((F.col("rep") * 10**12 + F.col("line")).alias("k"), F.concat_ws(":", F.col("rep").cast("string"), "w").alias("x")).distinct()
+    sets = v.select((F.col("rep") * 10**15 + F.col("line")).alias("k"), F.concat_ws(":", F.col("rep").cast("string"), "w").alias("x")).distinct()
     comp = graphs.components(matching.jaccard_pairs(sets, "k", "x", 0.5).select("a", "b"), _cut(spark))
-    size = comp.groupBy("comp").agg(F.count("*").alias("c")).groupBy(F.floor(F.col("comp") / 10**12).alias("rep")).agg(F.max("c").alias("c"))
+    size = comp.groupBy("comp").agg(F.count("*").alias("c")).groupBy(F.floor(F.col("comp") / 10**15).alias("rep")).agg(F.max("c").alias("c"))
     m = spark.range(r + 1).select(F.col("id").alias("rep")).join(size, "rep", "left").select("rep", F.coalesce("c", F.lit(1)).cast("long").alias("stat"))
     return _tail(m.where("rep = 0"), m.where("rep > 0"), r=r)

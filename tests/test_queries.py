@@ -37,3 +37,12 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 20
+
+
+def test_import_needs_no_session():
+    """The entry is imported before a session is made."""
+    import subprocess
+    import sys
+
+    at = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], cwd=at, check=True, timeout=120)
