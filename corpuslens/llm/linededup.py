@@ -14,7 +14,9 @@ Suffixes of equal rank at a depth are an interval of the suffix array whose
 common prefixes reach that depth. Each member but the first in corpus order is a
 later copy of that many lines. A repeated run of any length is the union of the
 members' prefixes at their greatest depths, so these, merged, are the maximal
-runs, and they are deleted. DataFrame functions only.
+runs, and they are deleted. Which lines go is settled at the first depth; the
+greater ones tell how long a copy is and where it stands first. DataFrame
+functions only.
 """
 
 from __future__ import annotations
@@ -51,7 +53,7 @@ def lines_of(docs: DataFrame, long_words: int) -> DataFrame:
 
 
 def _refine(store: Store, df: DataFrame, bucket: Column, n: int, name: str) -> DataFrame:
-    """Orders df's suffixes by (rank, s1, s2): the new rank, the size c of its class, and whether the suffix is later than another of it.
+    """Orders df's suffixes by (rank, s1, s2): the new rank, the size c of its class, the first of it in corpus order if c > 1, and whether the suffix is later than that.
 
     bucket must grow with s1 and split a rank into many parts; n bounds df's rows.
     """
@@ -63,17 +65,17 @@ def _refine(store: Store, df: DataFrame, bucket: Column, n: int, name: str) -> D
     told = counts.withColumn("inner", inner).join(sums.select("rank", "bucket", offset.alias("offset")), ["rank", "bucket"])
     told = store.put(told.select(*keys, "c", F.when(F.col("c") > 1, F.col("first")).alias("first"), (F.col("rank") + F.col("offset") + F.col("inner")).alias("next")), f"{name}_classes")
     later = F.coalesce(F.struct(*KEY, "i") > F.col("first"), F.lit(False)).alias("later")
-    out = hot_join(df, told, keys, "c", n, "inner").select(*[x for x in df.columns if x not in keys], F.col("next").alias("rank"), "c", later)
+    out = hot_join(df, told, keys, "c", n, "inner").select(*[x for x in df.columns if x not in keys], F.col("next").alias("rank"), "c", "first", later)
     out = store.put(out, name)
     store.drop(told)
     return out
 
 
 def intervals(lines: DataFrame, depth: int, store: Store):
-    """Yields (d, members): the suffixes (doc_id, k1, i, rank, c, later) that agree in their first d lines with another.
+    """Yields (d, members): the suffixes (doc_id, k1, i, rank, c, first, later) that agree in their first d lines with another.
 
     c is the size of the interval of the suffix array, rank the place of its first
-    suffix, and later false for the first in corpus order. d is 1, then `depth`
+    suffix, first the member that is first in corpus order, and later false for it. d is 1, then `depth`
     and its doublings. From `depth` on, suffixes whose first `depth` lines are
     blank or fewer are left out, and runs end before them. A table is gone when
     the next is asked for.
@@ -104,14 +106,18 @@ def intervals(lines: DataFrame, depth: int, store: Store):
             yield have, shared
         # A suffix whose rank is its own at a depth stays alone at every greater one.
         # Of documents with open suffixes all ranks are needed, as what follows them.
-        ranks = shared.drop("later").unionByName(told.where("c = 1").drop("later")).unionByName(now.where("c = 1"))
+        ranks = shared.drop("first", "later").unionByName(told.where("c = 1").drop("first", "later")).unionByName(now.where("c = 1"))
         following = store.put(ranks.join(shared.select(*KEY).distinct(), KEY, "left_semi"), "ranks")
         store.drop(told, *kept)
         now, kept = following, [following]
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = 2, long_words: int = 50) -> DataFrame:
-    """(doc_id, k1, runs): the maximal runs of lines to delete, array<struct<a,b>>, ordered.
+    """(doc_id, k1, runs, copy): the maximal runs of lines to delete, array<struct<a,b>>, ordered, and the longest copy among them.
+
+    copy is struct<lines, at, first_doc_id, first_line>: of the places that agree
+    with an earlier one at the greatest depth (min_lines and its doublings; 1 for a
+    long line alone) the first, and the first place in the corpus that it agrees with.
 
     docs: doc_id, k1, text. A line is deleted if it lies in a run of min_lines lines
     that also starts earlier (smaller doc_id, or the same document and an earlier
@@ -126,30 +132,34 @@ def repeated_runs(docs: DataFrame, min_lines: int = 2, long_words: int = 50) ->
         if depth == 1:
             store.drop(lines)
             members = members.where("long") if min_lines > 1 else members.where("long or not blank")
-        found = members.where("later").select(*KEY, F.col("i").alias("a"), (F.col("i") + depth - 1).alias("b"))
+        copy = F.struct(F.lit(depth).alias("lines"), (-F.col("i")).alias("back"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.i").alias("first_line"))
+        found = members.where("later").select(*KEY, F.col("i").alias("a"), (F.col("i") + depth - 1).alias("b"), copy.alias("copy"))
         spans.append(store.put(found, f"later_{depth}"))
     spans = reduce(DataFrame.unionByName, spans)
     # Spans of a document that overlap or touch are one run.
     by = Window.partitionBy(*KEY).orderBy("a", "b")
     reach = F.max("b").over(by.rowsBetween(*BEFORE))
     spans = spans.withColumn("new", F.when(F.col("a") <= reach + 1, 0).otherwise(1)).withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = spans.groupBy(*KEY, "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-    return runs.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("runs"))
+    runs = spans.groupBy(*KEY, "run").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.max("copy").alias("copy"))
+    runs = runs.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("runs"), F.max("copy").alias("copy"))
+    return runs.withColumn("copy", F.struct("copy.lines", (-F.col("copy.back")).alias("at"), "copy.first_doc_id", "copy.first_line"))
 
 
 def dedup(docs: DataFrame, min_lines: int = 2, long_words: int = 50) -> DataFrame:
-    """docs with text without later copies, and n_lines, n_deleted, n_runs in place of columns so named.
+    """docs with text without later copies, and n_lines, n_deleted, n_runs, copy in place of columns so named.
+
+    copy is that of repeated_runs(), null where nothing goes.
 
     A null text has 0 lines and stays null; an empty one has one empty line.
     Rows without doc_id stay as they are. Rows that repeat a doc_id with another
     text are documents of their own, in the order of their texts' hashes; rows
     equal in both are one document, and each keeps what it keeps.
     """
-    docs = docs.drop("n_lines", "n_deleted", "n_runs", "_runs", "_k1")
+    docs = docs.drop("n_lines", "n_deleted", "n_runs", "copy", "_runs", "_k1", "_copy")
     store = Store(docs.sparkSession)
     rows, repeats = _keyed(docs.select("doc_id", "text"))
     runs = repeated_runs(rows.dropDuplicates(KEY) if repeats else rows, min_lines, long_words)
-    runs = store.put(runs.select("doc_id", F.col("k1").alias("_k1"), F.col("runs").alias("_runs")), "runs")
+    runs = store.put(runs.select("doc_id", F.col("k1").alias("_k1"), F.col("runs").alias("_runs"), F.col("copy").alias("_copy")), "runs")
     few = runs.count() <= BROADCAST_ROWS and (runs.agg(F.sum(F.size("_runs"))).first()[0] or 0) <= 4 * BROADCAST_ROWS
     lines = F.split(F.col("text").cast("string"), "\n")
     gone = lambda x, i: F.exists("_runs", lambda r: (r["a"] <= i) & (i <= r["b"]))
@@ -161,4 +171,5 @@ def dedup(docs: DataFrame, min_lines: int = 2, long_words: int = 50) -> DataFram
         *[F.when(F.col("_runs").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns],
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.coalesce(n_deleted, F.lit(0)).cast("long").alias("n_deleted"), F.when(F.col("_runs").isNull(), 0).otherwise(F.size("_runs")).cast("long").alias("n_runs"),
+        F.col("_copy").alias("copy"),
     )

@@ -28,7 +28,7 @@ CAPACITY, END = 1024, 2
 #: Rows of a range partition of a round, if the session's partitions suffice.
 SWEEP_ROWS = 20_000
 #: Spelt units that a worker keeps, and the longest of them, in bytes.
-KEPT_UNITS, KEPT_LENGTH = 1_000_000, 64
+KEPT_UNITS, KEPT_LENGTH = 500_000, 64
 #: Bytes of text encoded at once.
 SLICE = 1 << 23
 #: Units spelt in one call, a line feed between them.
@@ -183,6 +183,13 @@ class Encoder:
 _encoders: dict = {}
 
 
+def _encoder(path: str) -> Encoder:
+    """The worker's encoder of a file, kept from task to task: this function is imported there, not sent."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): documents as token ids and `end`, in pieces of at most `capacity`.
 
@@ -194,7 +201,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     last = int(end).to_bytes(4, "little")
 
     def arrow(batches):
-        encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer))
+        encoder = _encoder(tokenizer)
         for batch in batches:
             for at, size in slices(batch.column("text"), SLICE):
                 part = batch.slice(at, size)

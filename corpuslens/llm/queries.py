@@ -118,11 +118,12 @@ SELECT doc_id, item_id, n_item, n_common, round(n_common / n_item, 6) AS contain
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each document keeps when later copies of repeated line runs go."""
     out = linededup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_deleted", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    copy = [F.col(f"copy.{x}").cast("long").alias(name) for x, name in (("lines", "copy_lines"), ("at", "copy_at"), ("first_doc_id", "copy_doc_id"), ("first_line", "copy_line"))]
+    return out.select("doc_id", "n_lines", "n_deleted", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), *copy)
 
 
 OP9_SQL = r"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE doc_id IS NOT NULL),
+WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE doc_id IS NOT NULL),
 p AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS line2, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS i2 FROM l),
 w AS (SELECT doc_id, i, min(struct_pack(d := doc_id, i := i)) OVER (PARTITION BY line, line2) AS first FROM p
       WHERE i2 IS NOT NULL AND (regexp_matches(line, '[^ 	-
@@ -130,13 +131,19 @@ w AS (SELECT doc_id, i, min(struct_pack(d := doc_id, i := i)) OVER (PARTITION BY
 ]'))),
 g AS (SELECT doc_id, i, min(struct_pack(d := doc_id, i := i)) OVER (PARTITION BY line) AS first FROM l WHERE len(regexp_extract_all(line, '[^ 	-
 ]+')) >= 50),
+cl(m, doc_id, i, first) AS (SELECT CAST(2 AS BIGINT), doc_id, CAST(i AS BIGINT), first FROM w
+      UNION ALL SELECT 2 * m, doc_id, i, min(struct_pack(d := doc_id, i := i)) OVER (PARTITION BY first, nxt)
+      FROM (SELECT *, first_value(first) OVER (PARTITION BY doc_id ORDER BY i RANGE BETWEEN m FOLLOWING AND m FOLLOWING) AS nxt FROM cl) WHERE nxt IS NOT NULL),
+cp AS (SELECT doc_id, m, i, first FROM cl WHERE struct_pack(d := doc_id, i := i) > first UNION ALL SELECT doc_id, 1, i, first FROM g WHERE struct_pack(d := doc_id, i := i) > first),
+lc AS (SELECT * FROM cp QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY m DESC, i) = 1),
 gone AS (SELECT doc_id, i FROM w WHERE struct_pack(d := doc_id, i := i) > first UNION SELECT doc_id, i + 1 FROM w WHERE struct_pack(d := doc_id, i := i) > first
          UNION SELECT doc_id, i FROM g WHERE struct_pack(d := doc_id, i := i) > first),
 f AS (SELECT l.*, gone.i IS NOT NULL AS dead FROM l LEFT JOIN gone USING (doc_id, i)),
 r AS (SELECT *, dead AND NOT coalesce(lag(dead) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM f)
 SELECT doc_id, count(*) AS n_lines, CAST(sum(dead::INT) AS BIGINT) AS n_deleted, CAST(sum(opens::INT) AS BIGINT) AS n_runs,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dead), '')) AS kept_sha256
-FROM r GROUP BY doc_id
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY r.i) FILTER (NOT dead), '')) AS kept_sha256,
+       any_value(lc.m) AS copy_lines, any_value(lc.i) AS copy_at, any_value(lc.first.d) AS copy_doc_id, any_value(lc.first.i) AS copy_line
+FROM r LEFT JOIN lc USING (doc_id) GROUP BY doc_id
 """
 
 

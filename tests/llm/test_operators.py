@@ -463,7 +463,7 @@ def test_line_runs_match_brute_force(spark, least):
         rows.append((i, "\n".join([f"own {i} {x}" for x in range(rng.randint(0, 3))] + runs[i % 4] + [f"end {i}"] * (i % 3) + (runs[i % 4] if i % 5 == 0 else [])), "", 1, ""))
     rows += [(3, "\n".join(runs[2]), "", 1, ""), (3, "x\ny\nz", "", 1, ""), (7, rows[7][1], "", 1, ""), (7, rows[7][1], "", 1, "")]  # ids and rows that repeat
     df = frame(spark, rows)
-    out = linededup.dedup(df.withColumn("_runs", F.lit(1)).withColumn("n_runs", F.lit("clash")), least)
+    out = linededup.dedup(df.withColumn("_runs", F.lit(1)).withColumn("n_runs", F.lit("clash")).withColumn("copy", F.lit(0)), least)
     key = {(r["doc_id"], r["text"]): r["k"] for r in df.select("doc_id", "text", F.xxhash64("text").alias("k")).collect()}
     lines = {(i, key[i, t]): t.split("\n") for i, t, *_ in rows if i is not None and t is not None}
     first, lone = {}, {}
@@ -472,6 +472,22 @@ def test_line_runs_match_brute_force(spark, least):
             if p + least <= len(lines[i]):
                 first.setdefault(tuple(lines[i][p:p + least]), (i, p))
             lone.setdefault(lines[i][p], (i, p))
+    places, m = {}, least
+    while any(len(ls) >= m for ls in lines.values()):  # depths: the least run and its doublings, of parts that are not blank
+        for i in sorted(lines):
+            for p in range(len(lines[i]) - m + 1):
+                if all(any(lines[i][q:q + least]) for q in range(p, p + m, least)):
+                    places.setdefault((m, tuple(lines[i][p:p + m])), []).append((i, p))
+        m *= 2
+    copies = {}
+    for (m, _), at in places.items():
+        for i, p in at[1:]:
+            copies.setdefault(i, []).append((-m, p, *at[0][0][:1], at[0][1]))
+    for line, at in lone.items():
+        for i, ls in lines.items():
+            for p, x in enumerate(ls):
+                if least > 1 and x == line and len(x.split()) >= 50 and (i, p) != at:
+                    copies.setdefault(i, []).append((-1, p, at[0][0], at[1]))
     want = {}
     for i, ls in lines.items():
         dead = set()
@@ -485,6 +501,8 @@ def test_line_runs_match_brute_force(spark, least):
     assert out.count() == len(rows)
     found = sorted((r["doc_id"], r["n_lines"], r["n_deleted"], r["n_runs"], r["text"]) for r in out.where("doc_id is not null and text is not null").collect())
     assert found == sorted((i, *want[i, key[i, t]]) for i, t, *_ in rows if i is not None and t is not None)
+    told = {(r["doc_id"], r["n_lines"], r["text"], (-r["copy"]["lines"], r["copy"]["at"], r["copy"]["first_doc_id"], r["copy"]["first_line"])) for r in out.where("copy is not null").collect()}
+    assert told == {(i[0], want[i][0], want[i][3], min(c)) for i, c in copies.items()} and any(t[3][0] < -8 for t in told)
     rest = {r["doc_id"]: r["text"] for r in out.where("doc_id is null or doc_id = 50").collect()}
     assert rest == {None: "line 1\nline 2", 50: None}
     assert linededup.dedup(frame(spark, [])).count() == 0
