@@ -70,6 +70,11 @@ def hypergeometric_upper(x: Column, total: Column, marked: Column, drawn: Column
     return F.when(x > top, 0.0).when(x <= low, 1.0).when(x >= mean, F.least(over, F.lit(1.0))).otherwise(F.greatest(1 - under, F.lit(0.0)))
 
 
+def hypergeometric_lower(x: Column, total: Column, marked: Column, drawn: Column) -> Column:
+    """P(at most x marked): the upper tail of the unmarked."""
+    return hypergeometric_upper(drawn - x, total, total - marked, drawn)
+
+
 def binomial_upper(x: Column, n: Column, p: float = 0.5) -> Column:
     """P(at least x of n) at success probability p."""
     mass = lambda k: F.exp(ln_choose(n, k) + k * math.log(p) + (n - k) * math.log(1 - p))

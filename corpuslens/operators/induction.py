@@ -9,6 +9,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,38 +35,43 @@ class _Words:
             self.types[st] += 1
             self.ends[w[len(w) - k:]] += f
 
-    def cost(self, st: str, end: str, stems: float, ends: float, mass: dict) -> float:
-        return stems - math.log2(self.tokens.get(st, 0) + 1) + ends - math.log2(mass.get(end, 0) + 1)
-
-    def letters(self, st: str) -> float:
-        return (len(st) + 1) * self.code["bits"]
-
     def switches(self, estimates: dict):
         """(ending, index, old stem, new stem) of types that a candidate ending would win, at frozen code lengths.
 
         estimates has each candidate's tokens. Types that share an old stem are
         taken in order, as the last to leave it frees its letters.
         """
-        n, ends = self.code["n"], self.code["ends"]
-        stems, old_ends, new_ends = math.log2(n + self.code["stems"]), math.log2(n + len(ends)), math.log2(n + len(ends) + 1)
-        gone = Counter()
+        n, ends, bits = self.code["n"], self.code["ends"], self.code["bits"]
+        log, tokens, types = math.log2, self.tokens, self.types
+        stems, of, gone = log(n + self.code["stems"]), log(n + len(ends)), Counter()
+        own = {e: of - log(c + 1) for e, c in ends.items()}
+        new = {c: log(n + len(ends) + 1) - log(f + 1) for c, f in estimates.items()}
         for i, (w, f, k) in enumerate(zip(self.w, self.f, self.cut)):
-            st = w[: len(w) - k]
-            old = self.cost(st, w[len(w) - k:], stems, old_ends, ends)
-            for j in range(1, min(self.longest, len(w) - self.stem) + 1):
+            size = len(w)
+            st = w[: size - k]
+            old = stems - log(tokens[st] + 1) + own[w[size - k:]]
+            for j in range(1, min(self.longest, size - self.stem) + 1):
                 c = w[-j:]
-                if c not in estimates:
+                price = new.get(c)
+                if price is None:
                     continue
                 to = w[:-j]
-                d = f * (self.cost(to, c, stems, new_ends, estimates) - old)
-                if not self.types.get(to):
-                    d += self.letters(to)
-                if self.types[st] - gone[c, st] == 1:
-                    d -= self.letters(st)
+                d = f * (stems - log(tokens.get(to, 0) + 1) + price - old)
+                if to not in types:
+                    d += (size - j + 1) * bits
+                if types[st] - gone[c, st] == 1:
+                    d -= (size - k + 1) * bits
                 if d < -1e-12:
                     gone[c, st] += 1
                     yield c, i, st, to
 
+    def won(self, estimates: dict) -> pd.DataFrame:
+        """(c, f): the tokens that each candidate would win."""
+        out = Counter()
+        for c, i, _, _ in self.switches(estimates):
+            out[c] += self.f[i]
+        return pd.DataFrame(list(out.items()), columns=["c", "f"])
+
     def add(self, c: str, estimate: float) -> None:
         for _, i, _, _ in list(self.switches({c: estimate})):
             self.cut[i] = len(c)
@@ -73,20 +79,22 @@ class _Words:
 
     def assign(self, stem_count: int, ends: dict) -> None:
         """One round: every type in order takes its cheapest analysis, at code lengths frozen at the round's start; only the stems' numbers of types follow."""
-        n = self.code["n"]
-        stems, of = math.log2(n + stem_count), math.log2(n + len(ends))
-        live = Counter(self.types)
+        n, bits, log, tokens = self.code["n"], self.code["bits"], math.log2, self.tokens
+        stems, of, live = log(n + stem_count), log(n + len(ends)), Counter(self.types)
+        price = {e: of - log(c + 1) for e, c in ends.items()}
         for i, (w, f, k) in enumerate(zip(self.w, self.f, self.cut)):
-            now, best = w[: len(w) - k], None
-            for j in range(min(self.longest, len(w) - self.stem) + 1 if len(w) > self.stem else 1):
-                if j and w[-j:] not in ends:
+            size, best = len(w), None
+            now = w[: size - k]
+            for j in range(max(0, min(self.longest, size - self.stem)) + 1):
+                end = price.get(w[size - j:])
+                if end is None:
                     continue
-                st = w[: len(w) - j]
-                bits = f * self.cost(st, w[len(w) - j:], stems, of, ends)
-                if st != now:
-                    bits += self.letters(st) * (live[st] == 0) - self.letters(now) * (live[now] == 1)
-                if best is None or bits < best[0] - 1e-12:
-                    best = (bits, j, st)
+                st = w[: size - j]
+                d = f * (stems - log(tokens.get(st, 0) + 1) + end)
+                if j != k:
+                    d += (size - j + 1) * bits * (live[st] == 0) - (size - k + 1) * bits * (live[now] == 1)
+                if best is None or d < best[0] - 1e-12:
+                    best = (d, j, st)
             if best[1] != k:
                 live[now] -= 1
                 live[best[2]] += 1
@@ -135,34 +143,45 @@ def mdl_suffixes(types: DataFrame, cut: Callable, stem: int = 3, longest: int =
     back and bars it. It ends without a candidate that gains, or at `most` endings.
 
     A stem of a type is a prefix of at least `stem` letters, so types are dealt into
-    buckets by their first letters, and a bucket is scored and assigned whole in a
-    task; types that begin alike are one task, as a round is sequential among them.
-    The driver holds the endings and their counts. types: (w, freq), each w once;
+    partitions by their first letters, and a partition is scored and assigned whole
+    in a task, without a shuffle after the first; types that begin alike are one
+    task, as a round is sequential among them. A step is five jobs of sums. The
+    driver holds the endings and their counts. types: (w, freq), each w once;
     null words take no part. cut() ends lineage.
     """
     spark = types.sparkSession
     words = types.where("w is not null").select("w", F.col("freq").cast("long").alias("f"), F.lit(0).alias("cut"))
     letters = words.select(F.explode(F.filter(F.split("w", ""), lambda c: c != "")).alias("c")).distinct().count()
     n, many = words.agg(F.coalesce(F.sum("f"), F.lit(0)), F.count("*")).first()
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-many // 100_000))
-    state = cut(words.withColumn("k", F.pmod(F.xxhash64(F.left("w", F.lit(stem))), F.lit(buckets)).cast("int")))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-many // 100_000))
+    # A partition is a bucket for good: all that follows is narrow.
+    state = cut(words.repartition(parts, F.left("w", F.lit(stem))))
     bits = math.log2(letters + 1)
     pool = splits(words, longest, stem).join(words, "w").groupBy("suffix").agg(F.count("*").alias("n"), F.sum("f").alias("f")).where(F.col("n") >= least)
     pool = {r["suffix"]: r["f"] for r in pool.collect()}  # one row an ending
     code = {"n": n, "bits": bits, "stem": stem, "longest": longest, "stems": many, "ends": {"": n}}
 
-    def per_bucket(run, schema, **more):
-        known = dict(code, **more)
-        return state.groupBy("k").applyInPandas(lambda pdf: run(_Words(pdf, known)), schema)
+    def per_bucket(run, schema):
+        known = dict(code)
 
-    def totals(replay) -> tuple[int, dict, float]:
+        def bucket(frames):
+            whole = [x for x in frames if len(x)]
+            if whole:
+                yield run(_Words(pd.concat(whole, ignore_index=True), known))
+
+        return state.mapInPandas(bucket, schema)
+
+    def counts(x: _Words) -> pd.DataFrame:
+        rows = [(None, len(x.tokens), float(sum(len(s) + 1 for s in x.tokens)), float(sum(c * math.log2(c + 1) for c in x.tokens.values())))]
+        return pd.DataFrame(rows + [(end, c, 0.0, 0.0) for end, c in x.ends.items()], columns=["end", "c", "letters", "term"])
+
+    def totals(replay=None) -> tuple[int, dict, float]:
         """Stems in use, endings' tokens and the description's length after replay, from sums over the buckets."""
 
         def run(x):
             if replay:
                 x.replay(*replay)
-            rows = [(None, len(x.tokens), float(sum(len(s) + 1 for s in x.tokens)), float(sum(c * math.log2(c + 1) for c in x.tokens.values())))]
-            return pd.DataFrame(rows + [(end, c, 0.0, 0.0) for end, c in x.ends.items()], columns=["end", "c", "letters", "term"])
+            return counts(x)
 
         got = per_bucket(run, "end string, c long, letters double, term double").groupBy("end").agg(F.sum("c").alias("c"), F.sum("letters").alias("letters"), F.sum("term").alias("term")).collect()
         found = {r["end"]: r["c"] for r in got if r["end"] is not None}
@@ -172,6 +191,7 @@ def mdl_suffixes(types: DataFrame, cut: Callable, stem: int = 3, longest: int =
         return one["c"], ends, length
 
     def best_of(estimates) -> tuple | None:
+        """The ending of the greatest gain: its name, tokens and gain, and the stems and endings' tokens once its types are its own."""
         stems, ends = code["stems"], code["ends"]
         v, term = len(ends), lambda c, of: -c * math.log2((c + 1) / (n + of)) if c > 0 else 0.0
         raise_ = sum(term(c, v + 1) - term(c, v) for c in ends.values())
@@ -180,33 +200,39 @@ def mdl_suffixes(types: DataFrame, cut: Callable, stem: int = 3, longest: int =
         rows = per_bucket(lambda x: _gains(x, estimates), _GAINS).groupBy("c", "end").agg(*[F.sum(x).alias(x) for x in ("f", "stems", "letters", "before", "after")])
         was = F.element_at(known, F.col("end"))
         rows = rows.withColumn("ends", F.when(F.col("end").isNotNull(), entropy(was - F.col("f")) - entropy(was)).otherwise(0.0))
-        per = rows.groupBy("c").agg(*[F.sum(x).alias(x) for x in ("f", "stems", "letters", "before", "after", "ends")])
+        lost = F.collect_list(F.when(F.col("end").isNotNull(), F.struct("end", "f"))).alias("lost")  # the endings in use at most
+        per = rows.groupBy("c").agg(*[F.sum(x).alias(x) for x in ("f", "stems", "letters", "before", "after", "ends")], lost)
         wide, now = F.log2((F.col("stems") + (n + stems)).cast("double")), math.log2(n + stems)
         data = F.col("ends") + raise_ + entropy(F.col("f")) + F.col("before") - F.col("after") + F.lit(float(n)) * (wide - now)
         gain = -(data + (F.length("c") + 1 + F.col("letters")) * bits)
-        top = per.select("c", "f", gain.alias("gain")).where("gain > 1e-9").orderBy(F.desc(F.round("gain", 8)), "c").first()
-        return top and (top["c"], top["f"], top["gain"])
-
-    steps, barred = [], set()
-    code["stems"], code["ends"], length = totals(None) if many else (0, {"": 0}, 0.0)
+        top = per.select("c", "f", "stems", "lost", gain.alias("gain")).where("gain > 1e-9").orderBy(F.desc(F.round("gain", 8)), "c").first()
+        if not top:
+            return None
+        left = dict(ends, **{top["c"]: top["f"]})
+        for x in top["lost"]:
+            left[x["end"]] -= x["f"]
+        return top["c"], top["gain"], (stems + top["stems"], left)
+
+    steps, barred, held = [], set(), []
+    code["stems"], code["ends"], length = totals() if many else (0, {"": 0}, 0.0)
     while many and sum(s[2] for s in steps) < most:
         open_ = {c: f for c, f in pool.items() if c not in code["ends"] and c not in barred}
         if not open_:
             break
-        first = per_bucket(lambda x: pd.DataFrame([(c, x.f[i]) for c, i, _, _ in x.switches(open_)], columns=["c", "f"]), "c string, f long").groupBy("c").agg(F.sum("f").alias("f"))
+        first = per_bucket(lambda x: x.won(open_), "c string, f long").groupBy("c").agg(F.sum("f").alias("f"))
         won = {r["c"]: r["f"] for r in first.collect()}  # one row an ending
         refined = {c: won.get(c, 0) for c in open_}
         best = best_of(refined)
         if not best:
             break
-        c, estimate, rounds = best[0], refined[best[0]], []
-        counted = totals((c, estimate, rounds))
+        c, approx, counted = best
+        estimate, rounds = refined[c], []
         for _ in range(3):
             rounds.append(counted[:2])
             counted = totals((c, estimate, rounds))
         gain = length - counted[2]
         kept = gain > 1e-6
-        steps.append((len(steps) + 1, c, kept, best[2], gain, counted[1][c], length - gain if kept else length))
+        steps.append((len(steps) + 1, c, kept, approx, gain, counted[1][c], length - gain if kept else length))
         if not kept:
             barred.add(c)
             continue
@@ -215,7 +241,12 @@ def mdl_suffixes(types: DataFrame, cut: Callable, stem: int = 3, longest: int =
             x.replay(*replay)
             return pd.DataFrame({"w": x.w, "f": x.f, "cut": x.cut})
 
-        state = cut(per_bucket(moved, "w string, f long, cut int").withColumn("k", F.pmod(F.xxhash64(F.left("w", F.lit(stem))), F.lit(buckets)).cast("int")))
+        state = per_bucket(moved, "w string, f long, cut int")
+        # Lineage grows by a step each time; a lost part is replayed from the last checkpoint.
+        state = cut(state) if sum(s[2] for s in steps) % 5 == 0 else state.persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(state)
+        if len(held) > 2:  # the one before is read once more, to make this one
+            held.pop(0).unpersist()
         code["stems"], code["ends"], length = counted
     return spark.createDataFrame(steps, "step int, suffix string, accepted boolean, approx_bits double, gain_bits double, n_tokens long, total_bits double")
 

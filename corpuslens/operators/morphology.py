@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import hypergeometric_upper
+from ..functions.stats import hypergeometric_lower, hypergeometric_upper
 from ..functions.text import suffixes
 
 
@@ -16,19 +16,19 @@ def splits(types: DataFrame, most: int = 3, stem: int = 3) -> DataFrame:
 
 
 def suffix_screen(types: DataFrame, most: int = 3, stem: int = 3, least: int = 20) -> DataFrame:
-    """(suffix, n, support, expected, p): does stripping the suffix leave known words more often than stripping as many letters does?
+    """(suffix, n, support, expected, p, p_low): does stripping the suffix leave known words more often, or less, than stripping as many letters does?
 
     n words end in the suffix; support of these have a stem that is a word too.
     Drawn from all words of the vocabulary that can lose as many letters, the
-    count would be hypergeometric; p is its upper tail.
+    count would be hypergeometric; p is its upper tail, p_low its lower one.
     """
     known = types.select(F.col("w").alias("stem")).withColumn("known", F.lit(1))
     cut = splits(types, most, stem).join(known, "stem", "left").withColumn("k", F.length("suffix"))
     per = cut.groupBy("k", "suffix").agg(F.count("*").alias("n"), F.count("known").alias("support"))
     whole = per.groupBy("k").agg(F.sum("n").alias("total"), F.sum("support").alias("marked"))
     out = per.where(F.col("n") >= least).join(F.broadcast(whole), "k")
-    p = hypergeometric_upper(F.col("support"), F.col("total"), F.col("marked"), F.col("n"))
-    return out.select("suffix", "n", "support", (F.col("n") * F.col("marked") / F.col("total")).alias("expected"), p.alias("p"))
+    law = [F.col(c) for c in ("support", "total", "marked", "n")]
+    return out.select("suffix", "n", "support", (F.col("n") * F.col("marked") / F.col("total")).alias("expected"), hypergeometric_upper(*law).alias("p"), hypergeometric_lower(*law).alias("p_low"))
 
 
 def longest_suffix(types: DataFrame, endings: DataFrame, stem: int = 3) -> DataFrame:

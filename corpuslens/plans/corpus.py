@@ -131,6 +131,13 @@ def suffix_screen(spark, sf):
     return morphology.suffix_screen(types).select("suffix", "n", "support", F.round("expected", 6).alias("expected"), F.round("p", 6).alias("p"))
 
 
+@query(_SUFFIX_SQL.replace("range(greatest(support, marked + n - total, 0), least(marked, n) + 1)", "range(greatest(marked + n - total, 0), support + 1)"))
+def suffix_avoidance(spark, sf):
+    """Endings whose removal leaves known words less often than chance: the exact lower tail."""
+    types = tokens.vocabulary(_tok(spark, sf))
+    return morphology.suffix_screen(types).select("suffix", "n", "support", F.round("expected", 6).alias("expected"), F.round("p_low", 6).alias("p"))
+
+
 _LONGEST = f"""{TYPES}, e AS (SELECT unnest({list(ENDINGS)}) AS suffix), hit AS (SELECT w, suffix, left(w, len(w) - len(suffix)) AS stem, row_number() OVER (PARTITION BY w ORDER BY len(suffix) DESC) AS r
 FROM types JOIN e ON suffix(w, suffix) WHERE len(w) - len(suffix) >= 3), asg AS (SELECT w, suffix, stem FROM hit WHERE r = 1)""".replace("suffix(w, suffix)", "ends_with(w, suffix)")
 
@@ -286,7 +293,7 @@ def leiden_tokens(spark, sf):
 
     The marks come from the events' properties, which hold braces and quotes.
     """
-    e = load(spark, sf, "events").select("event_type", F.explode(text.parse(F.col("props"))).alias("t"))
+    e = load(spark, sf, "events").select("event_type", F.explode(text.parse(text.nfc(F.col("props")))).alias("t"))
     return e.select("event_type", "t.kind", F.array_join("t.flags", "+").alias("flags")).groupBy("event_type", "kind", "flags").agg(F.count("*").alias("n"))
 
 

@@ -101,7 +101,7 @@ def page_regions(spark, sf):
 
 def _sql_replace(x: str, pairs: tuple) -> str:
     for a, b in pairs:
-        x = "replace({}, '{}', '{}')".format(x, a.replace("'", "''"), b)
+        x = f"replace({x}, '{a}', '{b}')"
     return x
 
 
@@ -113,10 +113,10 @@ def norm_collisions(spark, sf):
     return v.groupBy("norm").agg(F.count("*").alias("n_forms"), F.min("w").alias("first"), F.sum("freq").alias("freq")).where("n_forms > 1")
 
 
-@query(f"""WITH {TYPES} SELECT w, regexp_replace({_sql_replace("lower(trim(w))", records.INDEX_PAIRS)}, '[^a-z]', '', 'g') AS norm, {_sql_replace("w", (("th", "ϑ"), ("ch", "χ"), ("ph", "φ")))} AS printed FROM types WHERE freq >= 50""")
+@query(f"""WITH {TYPES} SELECT w, regexp_replace({_sql_replace("lower(trim(w))", records.INDEX_PAIRS)}, '[^a-z]', '', 'g') AS norm, {_sql_replace("w", (("th", "ϑ"), ("ch", "χ"), ("ph", "φ")))} AS printed FROM types""")
 def index_forms(spark, sf):
-    """Frequent words as an index compares and an edition prints them."""
-    v = tokens.vocabulary(tokens.tokens(load(spark, sf, "documents"))).where("freq >= 50")
+    """Words as an index compares and an edition prints them."""
+    v = tokens.vocabulary(tokens.tokens(load(spark, sf, "documents")))
     return v.select("w", records.norm_word(F.col("w")).alias("norm"), records.to_theta(F.col("w")).alias("printed"))
 
 
@@ -392,10 +392,10 @@ def column_offsets(spark, sf):
 
 
 @query(f"""WITH {TOK}, t AS (SELECT w, regexp_replace(w, '[^\\p{{L}}]+', '', 'g') AS squashed, regexp_replace(replace(replace(replace(replace(replace(w, 'a', ''), 'e', ''), 'i', ''), 'o', ''), 'u', ''), '$', '') AS bare, count(*) AS freq FROM tok GROUP BY w)
-SELECT a.bare AS skeleton, count(*) AS n_pairs, min(a.w) AS first FROM t a JOIN t b ON a.bare = b.bare AND a.w < b.w WHERE a.freq >= 50 AND b.freq >= 50 GROUP BY a.bare""")
+SELECT a.bare AS skeleton, count(*) AS n_pairs, min(a.w) AS first FROM t a JOIN t b ON a.bare = b.bare AND a.w < b.w GROUP BY a.bare""")
 def soft_pairs(spark, sf):
-    """Frequent words that are equal without vowels (F10, F19): pairs are counted from the size of a skeleton's set."""
-    v = tokens.vocabulary(tokens.tokens(load(spark, sf, "documents"))).where("freq >= 50").select(text.letters_only(F.col("w")).alias("w"))
+    """Words that are equal without vowels (F10, F19): pairs are counted from the size of a skeleton's set."""
+    v = tokens.vocabulary(tokens.tokens(load(spark, sf, "documents"))).select(text.letters_only(F.col("w")).alias("w"))
     g = v.groupBy(F.translate("w", "aeiou", "").alias("skeleton")).agg(F.count("*").alias("c"), F.min("w").alias("first")).where("c > 1")
     return g.select("skeleton", F.expr("c * (c - 1) div 2").alias("n_pairs"), "first")
 

@@ -65,12 +65,30 @@ o AS (SELECT event_type, count(*) FILTER (i = 0) AS stat FROM x GROUP BY 1), s A
 SELECT o.event_type, o.stat, {_p(">= o.stat")} AS p FROM o JOIN s USING (event_type) GROUP BY ALL""")
 def uniform_positions(spark, sf, r=R):
     """Initial places of event types against a uniform place in each day's row."""
+    observed, s = _initial_places(spark, sf, r)
+    return nulls.add_one(observed, s, ["event_type"], r=r).withColumn("p", F.round("p", 6))
+
+
+def _initial_places(spark, sf, r):
+    """(event_type, stat) as observed and (rep, event_type, stat) with a uniform place of each event in its day's row."""
     by = Window.partitionBy("user_id", "day").orderBy("ts", "event_id")
     e = load(spark, sf, "events").withColumn("day", F.to_date("ts"))
     x = e.select("event_id", "event_type", (F.row_number().over(by) - 1).alias("i"), F.count("*").over(Window.partitionBy("user_id", "day")).alias("n")).where("n >= 2")
     count = lambda c: F.sum(c.cast("long")).alias("stat")
     s = nulls.repeated(x, r).groupBy("rep", "event_type").agg(count(nulls.uniform(SEED, F.col("rep"), F.col("event_id")) < 1 / F.col("n")))
-    return nulls.add_one(x.groupBy("event_type").agg(count(F.col("i") == 0)), s, ["event_type"], r=r).withColumn("p", F.round("p", 6))
+    return x.groupBy("event_type").agg(count(F.col("i") == 0)), s
+
+
+@query(f"""WITH x AS (SELECT event_id, event_type, count(*) OVER (PARTITION BY user_id, CAST(ts AS DATE)) AS n, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) - 1 AS i FROM events), o AS (SELECT event_type, count(*) FILTER (i = 0) AS stat FROM x WHERE n >= 2 GROUP BY 1),
+s AS (SELECT rep, event_type, count(*) FILTER ({_uniform("rep", "event_id")} < 1.0 / n) AS stat FROM x, {_REPS} WHERE n >= 2 GROUP BY ALL)
+SELECT o.event_type, o.stat, round(avg(s.stat), 6) AS mean, round(stddev_samp(s.stat), 6) AS sd, round((o.stat - avg(s.stat)) / nullif(stddev_samp(s.stat), 0), 6) AS z, round(quantile_cont(s.stat, 0.025), 6) AS low, round(quantile_cont(s.stat, 0.975), 6) AS high FROM o JOIN s USING (event_type) GROUP BY o.event_type, o.stat""")
+def null_summary(spark, sf, r=R):
+    """Mean, deviation, z and outer quantiles of a null model beside what is observed."""
+    observed, s = _initial_places(spark, sf, r)
+    of = lambda q: F.round(F.percentile("sim", F.lit(q)), 6)
+    both = s.withColumnRenamed("stat", "sim").join(observed, "event_type")
+    z = (F.col("stat") - F.avg("sim")) / F.nullif(F.stddev_samp("sim"), F.lit(0.0))
+    return both.groupBy("event_type", "stat").agg(F.round(F.avg("sim"), 6).alias("mean"), F.round(F.stddev_samp("sim"), 6).alias("sd"), F.round(z, 6).alias("z"), of(0.025).alias("low"), of(0.975).alias("high"))
 
 
 _UNITS = "SELECT doc_id, source, max(toxic) AS a, min(quality) AS q FROM labels JOIN documents USING (doc_id) GROUP BY ALL"

@@ -270,3 +270,22 @@ def test_greedy_variants_match_brute_force(spark):
         else:
             canon.append((i, g, ws))
     assert got == want
+
+
+def test_contained_items_of_any_length(spark):
+    docs = spark.createDataFrame([(1, "One two three four five six"), (2, "two three"), (3, ""), (4, None), (5, "six five four three two one")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "two three"), (2, "three"), (3, "two three four five six"), (4, "one two three four five six"), (5, ""), (6, None), (7, "five seven")], "item_id long, text string")
+    got = {(r["item_id"], r["doc_id"]) for r in matching.contained(docs, items).collect()}
+    assert got == {(1, 1), (1, 2), (2, 1), (2, 2), (2, 5), (3, 1), (4, 1)}
+    assert matching.contained(docs, items.limit(0)).collect() == []
+
+
+def test_hypergeometric_tail_over_its_whole_range(spark):
+    rows = [(x, total, marked, drawn) for total, marked, drawn in ((40, 12, 9), (50, 25, 30), (3000, 900, 1500), (100000, 40000, 30000)) for x in {0, 1, 5, 9, drawn * marked // total, drawn * marked // total + 3, min(marked, drawn), min(marked, drawn) + 1}]
+    df = spark.createDataFrame(rows, "x long, total long, marked long, drawn long")
+    got = df.select("x", "total", "marked", "drawn", stats.hypergeometric_upper(F.col("x"), F.col("total"), F.col("marked"), F.col("drawn")).alias("p")).collect()
+    for r in got:
+        low, top = max(r["x"], r["marked"] + r["drawn"] - r["total"], 0), min(r["marked"], r["drawn"])
+        c = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+        want = math.fsum(math.exp(c(r["marked"], k) + c(r["total"] - r["marked"], r["drawn"] - k) - c(r["total"], r["drawn"])) for k in range(low, top + 1))
+        assert abs(r["p"] - min(want, 1.0)) < 1e-7, r
