@@ -12,6 +12,7 @@ a path outlives its session: it is opened again and fed the next batch.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from functools import reduce
 
@@ -25,6 +26,8 @@ from .quality import _slices as slices
 from .winnow import anchors, first_texts, with_keys
 
 GRAM = 8
+#: Names of manifests; the last one in order holds.
+MANIFEST = re.compile(r"manifest-\d{12}")
 
 
 class FingerprintIndex:

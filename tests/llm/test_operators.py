@@ -92,6 +92,27 @@ def test_lsm_index_is_opened_again_for_the_next_batch(spark, tmp_path):
     assert got == whole and len(spark.catalog.listTables()) == before
 
 
+def test_lsm_index_survives_a_crash_while_saving(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/index"
+    index = lsm.FingerprintIndex(spark, fan_in=2, path=path)
+    index.append(lsm.fingerprints(frame(spark, [(1, " ".join(map(str, range(60))), "", 1, "")]).withColumn("k1", F.lit(0).cast("long")), 20))
+    with pytest.raises(ValueError, match="no manifest"):  # runs that were never saved are not an empty index
+        lsm.FingerprintIndex(spark, path=path)
+    index.save()
+    index.append(lsm.fingerprints(frame(spark, [(2, " ".join(map(str, range(90, 150))), "", 1, "")]).withColumn("k1", F.lit(0).cast("long")), 20))
+
+    def crash(*tables):
+        raise RuntimeError("killed")
+
+    monkeypatch.setattr(index.store, "drop", crash)
+    with pytest.raises(RuntimeError):  # after the new manifest stands, before the old one goes
+        index.save()
+    assert len(lsm.FingerprintIndex(spark, path=path).runs) == 2
+    last = sorted(x for x in index._names() if lsm.MANIFEST.fullmatch(x))[-1]
+    (tmp_path / "index" / last).rename(tmp_path / "index" / "_draft-x")  # as if the crash came before the rename
+    assert len(lsm.FingerprintIndex(spark, path=path).runs) == 1
+
+
 def test_repeated_ids_with_different_texts(spark):
     t = " ".join(map(str, range(40)))
     rows = [(1, t, "", 1, ""), (1, t + " more", "", 1, ""), (2, "none of this", "", 1, "")]
