@@ -1,5 +1,6 @@
 """Miniature fixtures with known answers."""
 
+import hashlib
 import math
 import random
 
@@ -112,6 +113,25 @@ def test_permutations_keep_margins_and_p_values_their_range(spark):
     assert all(0.1 <= r["p"] <= r["p_adj"] <= 1 for r in p)
 
 
+def test_shuffled_values_are_few_runs_and_follow_the_hashes(spark, monkeypatch):
+    """Ranks of replicates need a row a run, not one of 4096 buckets, and units meet values by md5 order."""
+    rows = [(i * 7, f"g{i % 2}", None if i % 11 == 0 else f"v{i % 5}", i) for i in range(200)]
+    units = spark.createDataFrame(rows, "id int, g string, v string, other int")
+    assert nulls.shuffled(units, 5, 42, "v", F.col("id")).count() == 5
+    monkeypatch.setattr(nulls, "RUN", 8)
+    monkeypatch.setattr(nulls, "CHUNK", 16)
+    for strata in ((), ("g",)):
+        assert nulls.shuffled(units, 5, 42, "v", F.col("id"), strata).count() <= 5 * 256
+        got = {(r["rep"], r["id"]): (r["v"], r["other"]) for r in nulls.permute(units, 5, 42, "v", F.col("id"), strata).collect()}
+        want = {}
+        for rep in range(1, 6):
+            for g in ("g0", "g1") if strata else (None,):
+                mine = [x for x in rows if g in (None, x[1])]
+                drawn = sorted(mine, key=lambda x: hashlib.md5(f"42:{rep}:{x[0]}".encode()).hexdigest())
+                want |= {(rep, x[0]): (y[2], x[3]) for x, y in zip(mine, drawn)}
+        assert got == want
+
+
 def test_partition_count_does_not_change_results(spark):
     df = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} w{i % 3}") for i in range(50)], "doc_id long, text string")
     runs = []
