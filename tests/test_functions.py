@@ -132,6 +132,36 @@ def test_shuffled_values_are_few_runs_and_follow_the_hashes(spark, monkeypatch):
         assert got == want
 
 
+def test_openings_are_the_least_hashes_over_batches(spark):
+    rows = [(None if i % 7 == 0 else i % 3, i, None if i % 13 == 0 else f"t{i % 4}") for i in range(120)]
+    df = spark.createDataFrame(rows, "u long, e long, t string")
+    want = {}
+    for rep in range(1, 13):
+        for g in (None, 0, 1, 2):
+            mine = [x for x in rows if x[0] == g]
+            t = min(mine, key=lambda x: hashlib.md5(":".join(str(y) for y in (42, rep, x[0], x[1]) if y is not None).encode()).hexdigest())[2]
+            want[rep, t] = want.get((rep, t), 0) + 1
+    for size in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        out = nulls.openings(df, 12, 42, "u", "e", "t")
+        assert {(r["rep"], r["t"]): r["stat"] for r in out.collect()} == want
+    # The replicates are not multiplied with the rows in front of a shuffle or sort.
+    assert "Generate" not in out._jdf.queryExecution().toString()
+
+
+def test_md5_of_many_texts():
+    import numpy as np
+
+    from corpuslens.functions import hashes
+
+    texts = np.array([("x" * i).encode() for i in range(49)])
+    for prefix in (b"42:7:", b"42:17:"):
+        want = [hashlib.md5(prefix + t).hexdigest() for t in texts.tolist()]
+        for high, low in (hashes.md5(hashes.blocks(texts, len(prefix)), prefix), hashes.md5_one_by_one(texts, prefix)):
+            assert [f"{int(a):016x}{int(b):016x}" for a, b in zip(high, low)] == want
+    assert hashes.blocks(np.array([b"x" * 50]), 6) is None
+
+
 def test_partition_count_does_not_change_results(spark):
     df = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} w{i % 3}") for i in range(50)], "doc_id long, text string")
     runs = []
