@@ -118,6 +118,7 @@ def test_shuffled_values_are_few_runs_and_follow_the_hashes(spark, monkeypatch):
     rows = [(i * 7, f"g{i % 2}", None if i % 11 == 0 else f"v{i % 5}", i) for i in range(200)]
     units = spark.createDataFrame(rows, "id int, g string, v string, other int")
     assert nulls.shuffled(units, 5, 42, "v", F.col("id")).count() == 5
+    assert nulls.shuffled(units, 5, 42, "v", F.col("id"), ("g",)).count() == 10
     monkeypatch.setattr(nulls, "RUN", 8)
     monkeypatch.setattr(nulls, "CHUNK", 16)
     for strata in ((), ("g",)):
