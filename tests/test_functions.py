@@ -368,3 +368,13 @@ def test_hypergeometric_tail_over_its_whole_range(spark):
         c = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
         want = math.fsum(math.exp(c(r["marked"], k) + c(r["total"] - r["marked"], r["drawn"] - k) - c(r["total"], r["drawn"])) for k in range(low, top + 1))
         assert abs(r["p"] - min(want, 1.0)) < 1e-7, r
+
+
+def test_parities_never_differ_in_more_places_than_the_sets(spark):
+    rng = random.Random(5)
+    sets = {i: set(rng.sample(range(4000), rng.choice((0, 3, 60, 900)))) for i in range(40)}
+    df = spark.createDataFrame([(i, [str(w) for w in ws]) for i, ws in sets.items()], "k long, x array<string>")
+    bits = {r["k"]: r["bits"] for r in matching.parities(df, "k", "x", 32).collect()}
+    far = lambda a, b: sum(((p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(bits[a], bits[b]))
+    assert all(far(a, b) <= len(sets[a] ^ sets[b]) and (far(a, b) - len(sets[a] ^ sets[b])) % 2 == 0 for a in sets for b in sets)
+    assert any(far(a, b) > 50 for a in sets for b in sets)
