@@ -119,3 +119,36 @@ def cosine_to(vectors: DataFrame, centres: DataFrame, unit: str, label: str) ->
     wide = centres.groupBy(label).agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "x"))), lambda s: s["x"]).alias("u"))
     both = vectors.select(unit, "v").crossJoin(F.broadcast(wide))  # a few labels
     return both.select(unit, label, F.aggregate(F.zip_with("v", "u", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x).alias("score"))
+
+
+def left_out(bins: int, width: float):
+    """A mapInArrow function: kernel densities of places 0..bins that leave a group's own cases out.
+
+    A row has the group's counts and those of all groups (the same in every row),
+    as lists of (y, b, c), y 0 or 1. Of each place where the group has cases come
+    its counts and both classes' densities, null for a class without any case.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        z = np.subtract.outer(np.arange(bins + 1), np.arange(bins + 1)) / width
+        kernel = np.exp(-0.5 * z * z)
+
+        def table(lists, n):
+            out, cells = np.zeros((n, 2, bins + 1)), lists.flatten()
+            y, b, c = (cells.field(i).to_numpy() for i in range(3))
+            out[np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy())), y, b] = c
+            return out
+
+        for batch in batches:
+            for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+                own, all_ = table(part.column(0), part.num_rows), table(part.column(1).slice(0, 1), 1)
+                seen = all_[0].sum(axis=1) > 0
+                d = (all_ - own) @ kernel
+                at = np.nonzero(own.sum(axis=1))
+                side = lambda y: pa.array(d[:, y][at], mask=np.full(len(at[0]), not seen[y]))
+                yield pa.RecordBatch.from_arrays([*[pa.array(own[:, y][at].astype(np.int64)) for y in (1, 0)], side(1), side(0)], names=["pos", "neg", "d1", "d0"])
+
+    return run

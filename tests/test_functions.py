@@ -378,3 +378,14 @@ def test_parities_never_differ_in_more_places_than_the_sets(spark):
     far = lambda a, b: sum(((p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(bits[a], bits[b]))
     assert all(far(a, b) <= len(sets[a] ^ sets[b]) and (far(a, b) - len(sets[a] ^ sets[b])) % 2 == 0 for a in sets for b in sets)
     assert any(far(a, b) > 50 for a in sets for b in sets)
+
+
+def test_left_out_densities_take_one_row_a_group(spark):
+    counts = {(u, y, b): (u + 1) * (b + 2 * y + 1) % 5 for u in range(30) for y in (0, 1) for b in range(6)}
+    rows = [(u, [(y, b, counts[u, y, b]) for y in (0, 1) for b in range(6) if counts[u, y, b]]) for u in range(30)]
+    every = [(y, b, sum(counts[u, y, b] for u in range(30))) for y in (0, 1) for b in range(6)]
+    cell = "array<struct<y: int, b: int, c: bigint>>"
+    df = spark.createDataFrame([(own, every) for _, own in rows], f"own {cell}, all {cell}")
+    got = sorted((r["pos"], r["neg"], round(r["d1"], 9), round(r["d0"], 9)) for r in df.mapInArrow(models.left_out(5, 2.0), "pos long, neg long, d1 double, d0 double").collect())
+    d = lambda u, y, x: sum((t - counts[u, y, b]) * math.exp(-0.5 * ((x - b) / 2.0) ** 2) for z, b, t in every if z == y)
+    assert got == sorted((counts[u, 1, x], counts[u, 0, x], round(d(u, 1, x), 9), round(d(u, 0, x), 9)) for u in range(30) for x in range(6) if counts[u, 0, x] + counts[u, 1, x])
