@@ -389,3 +389,17 @@ def test_left_out_densities_take_one_row_a_group(spark):
     got = sorted((r["pos"], r["neg"], round(r["d1"], 9), round(r["d0"], 9)) for r in df.mapInArrow(models.left_out(5, 2.0), "pos long, neg long, d1 double, d0 double").collect())
     d = lambda u, y, x: sum((t - counts[u, y, b]) * math.exp(-0.5 * ((x - b) / 2.0) ** 2) for z, b, t in every if z == y)
     assert got == sorted((counts[u, 1, x], counts[u, 0, x], round(d(u, 1, x), 9), round(d(u, 0, x), 9)) for u in range(30) for x in range(6) if counts[u, 0, x] + counts[u, 1, x])
+
+
+@pytest.mark.parametrize("blocks", [1, 5, None])
+def test_nearest_vectors_equal_brute_force_among_copies_and_blocks_meet_once(spark, blocks):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(30, 4)), np.tile(rng.normal(size=(1, 4)), (12, 1))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    s = np.round(x @ x.T, 12)
+    want = {(i, j) for i in range(42) for j in sorted((j for j in range(42) if j != i and s[i, j] > 0), key=lambda j: (-s[i, j], j))[:3]}
+    got = graphs.knn(spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "u long, v array<double>"), "u", 3, blocks)
+    assert {(r["src"], r["dst"]) for r in got.collect()} == want
+    assert "CoGroup" not in got._jdf.queryExecution().executedPlan().toString()
