@@ -403,3 +403,18 @@ def test_nearest_vectors_equal_brute_force_among_copies_and_blocks_meet_once(spa
     got = graphs.knn(spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "u long, v array<double>"), "u", 3, blocks)
     assert {(r["src"], r["dst"]) for r in got.collect()} == want
     assert "CoGroup" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_restoration_tiers_count_equal_contexts_once(spark, tmp_path):
+    from datetime import datetime
+
+    from corpuslens.plans import variants
+
+    history = ["view", "click", "purchase", "view"]
+    rows = [(u * 10 + i, datetime(2024, 1, 1, 0, i), u, w) for u in range(64) for i, w in enumerate(history)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    out = variants.restoration_tiers(spark, str(tmp_path))
+    held = sum(hashlib.md5(f"42:{u}".encode()).hexdigest()[0] < "4" for u in range(64))
+    assert {r["stratum"]: (r["n"], r["by_exact"], r["top1"]) for r in out.collect()} == {"all": (4 * held,) * 3, "operators": (held,) * 3, "open": (3 * held,) * 3}
+    # Tiers are joined by context, not by event.
+    assert "HashAggregate(keys=[held" in out._jdf.queryExecution().executedPlan().toString()
