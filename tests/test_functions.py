@@ -418,3 +418,10 @@ def test_restoration_tiers_count_equal_contexts_once(spark, tmp_path):
     assert {r["stratum"]: (r["n"], r["by_exact"], r["top1"]) for r in out.collect()} == {"all": (4 * held,) * 3, "operators": (held,) * 3, "open": (3 * held,) * 3}
     # Tiers are joined by context, not by event.
     assert "HashAggregate(keys=[held" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_permuted_values_are_not_broadcast(spark):
+    units = spark.range(300).select("id", (F.col("id") % 3).alias("size"), (F.col("id") % 7).alias("v"))
+    out = nulls.permute(units, 20, 42, "v", F.col("id"), ("size",))
+    assert "SortMergeJoin [size" in out._jdf.queryExecution().executedPlan().toString()
+    assert out.groupBy("rep", "size").agg(F.sum("v").alias("s")).select("size", "s").distinct().count() == 3
