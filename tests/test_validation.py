@@ -179,6 +179,19 @@ def test_boxes_in_reading_order(spark):
     }
 
 
+def test_pages_are_read_a_row_each(spark):
+    """Ties, nulls and pages without boxes; a page is sent once, as a row, and its reading sends nothing."""
+    box = "struct<x:double,right:double,y:double,word:string>"
+    tied = [(10.0, 20.0, 100.0, "b"), (10.0, 20.0, 100.0, "a"), (5.0, 9.0, 102.0, None), (5.0, 9.0, 101.0, "z"), (1.0, 2.0, None, "lost"), (5.0, 9.0, 106.0, "next"), (None, None, 113.0, "x")]
+    df = spark.createDataFrame([(1, tied), (2, []), (3, None), (4, [(0.0, 9.0, 10.0, None)])], f"page int, boxes array<{box}>")
+    got = decoding.read_pages(df, ["page"], 90, 6, 50, 20)
+    assert sorted((r["page"], r["col"], r["role"], r["line"], r["text"], r["n"]) for r in got.collect()) == [(1, 1, "text", 1, "z next a b", 5), (1, 1, "text", 2, "x", 1), (4, 0, "header", 1, "", 1)]
+    flat = df.select("page", F.explode("boxes").alias("b")).select("page", "b.*")
+    again = decoding.reading_order(flat, ["page"], "x", "right", "y", "word", 90, 6, 50, 20)
+    assert again._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got.collect()))
+
+
 def plain_offsets(anchors, columns):
     """Of one book: columns in order as (col, lines), anchors as (col, line, pos)."""
     known = {}
