@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import soft_keys
+
 #: Letters of the second script's transliteration.
 SCRIPT_PAIRS = (("þ", "th"), ("χ", "ch"), ("φ", "ph"), ("ś", "s"), ("š", "s"), ("θ", "th"), ("ϑ", "th"))
 #: Letters of the printed index.
@@ -221,21 +224,63 @@ def healed(rows: Column, ahead: int = 300, back: int = 50) -> Column:
     return F.aggregate(rows, start, step, lambda s: s["out"])
 
 
+def first_free(a: list, b: list, keys) -> list:
+    """For each of a's words, in order, the place of b's first free word that shares a key with it, else None."""
+    places, free, out = {}, [True] * len(b), []
+    for j in range(len(b) - 1, -1, -1):
+        for k in keys(b[j]):
+            places.setdefault(k, []).append(j)
+    for w in a:
+        best = None
+        for k in keys(w):
+            at = places.get(k)
+            while at and not free[at[-1]]:
+                at.pop()
+            if at and (best is None or at[-1] < best):
+                best = at[-1]
+        if best is not None:
+            free[best] = False
+        out.append(best)
+    return out
+
+
 def soft_jaccard(a: Column, b: Column, same) -> Column:
-    """Greedy matching of a's words, in order, to b's first free word that is the same(x, y); matches over all words less matches."""
+    """Greedy matching of a's words, in order, to b's first free word that is the same(x, y); matches over all words less matches.
 
-    def step(state, w):
-        at = F.array_position(F.transform(state["rest"], lambda v: same(w, v)), True).cast("int")
-        rest = F.concat(F.slice(state["rest"], F.lit(1), at - 1), F.slice(state["rest"], at + 1, F.size(state["rest"])))
-        return F.struct(F.when(at > 0, rest).otherwise(state["rest"]).alias("rest"), (state["hit"] + (at > 0).cast("int")).alias("hit"))
+    same has keys(word): words are the same if they share one, so free words are found by key.
+    """
+    keys = same.keys
 
-    start = F.struct(F.array_sort(F.array_distinct(b)).alias("rest"), F.lit(0).alias("hit"))
-    hit = F.aggregate(a, start, step, lambda s: s["hit"])
+    @F.pandas_udf("int")
+    def hits(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else sum(j is not None for j in first_free(x.tolist(), y.tolist(), keys)) for x, y in zip(xs, ys)], dtype="Int32")
+
+    free = F.sort_array(F.array_distinct(b))
+    hit = hits(a, free)
     # Words of a beyond their first matches count as unmatched; b counts once each.
-    size = F.size(a) + F.size(F.array_distinct(b))
+    size = F.size(a) + F.size(free)
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(hit / (size - hit))
 
 
+def paired(a: Column, b: Column) -> Column:
+    """struct<n_exact, n_soft, left, right>: two word lists matched one to one, by equal words, then by soft equal ones; what stays on either side."""
+
+    @F.pandas_udf("struct<n_exact:int,n_soft:int,left:array<string>,right:array<string>>")
+    def run(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, y in zip(xs, ys):
+            left, right, counts = list(x), list(y), []
+            for keys in (lambda w: (w,), soft_keys):
+                at = first_free(left, right, keys)
+                taken = {j for j in at if j is not None}
+                left, right = [w for w, j in zip(left, at) if j is None], [w for j, w in enumerate(right) if j not in taken]
+                counts.append(len(taken))
+            rows.append((*counts, left, right))
+        return pd.DataFrame(rows, columns=["n_exact", "n_soft", "left", "right"])
+
+    return run(a, b)
+
+
 def greedy(a: Column, b: Column, same) -> Column:
     """struct<rest, left, hit>: a's words, in order, each take b's first free word that is the same(x, y); what stays on either side, and the matches."""
 

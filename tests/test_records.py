@@ -1,5 +1,7 @@
 """Record functions and file sources on known rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +105,21 @@ def test_witnesses_are_reconciled(spark):
     df = spark.createDataFrame(rows, "a array<string>, b array<string>")
     got = [tuple(r) for r in matching.reconcile_lists(df, "a", "b").select("n_exact", "n_soft", "n_edit", "n_left", "n_right").collect()]
     assert got == [(2, 1, 1, 2, 1), (0, 0, 0, 0, 1), (0, 0, 0, 1, 0)]
+
+
+def test_words_are_found_by_key_not_in_pairs(spark):
+    """Long turns: free words are found by their keys, in time that grows with the words, and as by comparing all."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abeikt") for _ in range(rng.randint(1, 7)))
+    rows = [([word() for _ in range(n)], [word() for _ in range(m)]) for n, m in ((400, 300), (50, 400), (1, 1), (0, 3))]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    soft = df.select(records.soft_jaccard(F.col("a"), F.col("b"), text.soft_equal).alias("x"))
+    assert [r["x"] for r in soft.collect()] == pytest.approx([soft_brute(a, b) for a, b in rows])
+    left, right, counts = F.col("a"), F.col("b"), []
+    for same in (lambda x, y: x == y, text.soft_equal):
+        m = records.greedy(left, right, same)
+        left, right, counts = m["left"], m["rest"], [*counts, m["hit"]]
+    want = df.select(F.struct(*counts, left, right)).collect()
+    got = df.select(records.paired(F.col("a"), F.col("b"))).collect()
+    assert [tuple(r[0]) for r in got] == [tuple(r[0]) for r in want]
+    assert "lambdafunction" not in soft._jdf.queryExecution().optimizedPlan().toString()
