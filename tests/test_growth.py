@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from corpuslens.operators import tokens
+from corpuslens.plans import reading
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
@@ -29,3 +30,16 @@ def test_words_are_counted_once_for_a_classifier(spark, name):
     """What is learnt and scored comes from kept counts, not from the documents read again for each use."""
     read = plan(entry.queries()[name](spark, SF)).count("regexp_replace(lower(text")
     assert read <= (name == "candidate_queue")  # the benchmark's own words
+
+
+@needs_tables
+def test_a_damaged_word_is_hashed_once(spark):
+    words = reading._lines(spark, SF)
+    assert plan(words).count("regexp_replace") == 1
+    assert plan(reading._damaged(words)).count("md5(") == 1
+
+
+@needs_tables
+def test_only_misread_words_are_counted(spark):
+    """Words without a digit are not asked for, so they are neither counted nor decided: the counts are kept, texts read again for the vocabulary alone."""
+    assert plan(entry.queries()["decoded_tokens"](spark, SF)).count("regexp_replace(lower(text") == 1
