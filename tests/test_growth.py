@@ -43,3 +43,21 @@ def test_a_damaged_word_is_hashed_once(spark):
 def test_only_misread_words_are_counted(spark):
     """Words without a digit are not asked for, so they are neither counted nor decided: the counts are kept, texts read again for the vocabulary alone."""
     assert plan(entry.queries()["decoded_tokens"](spark, SF)).count("regexp_replace(lower(text") == 1
+
+
+def test_suffix_search_reads_its_types_once(spark):
+    """The types are kept before they are counted, coded and dealt out; every later pass is over numbers."""
+    from corpuslens.operators import induction
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    stems = ("kam", "tor", "lisu", "pera", "nomi")
+    rows = [(st + e, 3) for st in stems for e in ("", "s", "na")]
+    types = spark.createDataFrame(rows, "w string, freq long").mapInArrow(seen, "w string, freq long")
+    assert induction.mdl_suffixes(types, lambda df: df.checkpoint(), least=2, most=1).count() == 1
+    assert read.value == len(rows)
