@@ -119,9 +119,10 @@ p AS (SELECT ctx, w, min(user_id) AS lo, max(user_id) AS hi FROM c GROUP BY ALL)
 SELECT x.w AS a, y.w AS b, count(*) AS n_contexts FROM p x JOIN p y ON x.ctx = y.ctx AND x.w < y.w AND NOT (x.lo = y.lo AND x.hi = y.hi AND x.lo = x.hi) GROUP BY ALL""")
 def skeleton_pairs(spark, sf):
     """Minimal pairs whose contexts agree up to a class of symbols."""
-    d = load(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("d")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("x"))
+    e = load(spark, sf, "events")
+    d = e.groupBy("user_id", F.to_date("ts").alias("d")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("x"))
     s = d.select("user_id", F.transform("x", lambda z: z["event_type"]).alias("ws")).where(F.size("ws").between(3, 8))
-    return matching.minimal_pairs(s, "ws", "user_id", F.transform("ws", lambda x: F.when(x.isin("view", "click"), "look").otherwise(x)))
+    return matching.minimal_pairs(s, "ws", "user_id", F.transform("ws", lambda x: F.when(x.isin("view", "click"), "look").otherwise(x)), parts=e.rdd.getNumPartitions())
 
 
 @query(f"""WITH {REC}, g AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN 'empty' WHEN len(ws) > 1 THEN 'multi' WHEN len(ws[1]) >= 12 THEN 'long-unseg' ELSE 'single' END AS seg,

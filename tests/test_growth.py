@@ -61,3 +61,10 @@ def test_suffix_search_reads_its_types_once(spark):
     types = spark.createDataFrame(rows, "w string, freq long").mapInArrow(seen, "w string, freq long")
     assert induction.mdl_suffixes(types, lambda df: df.checkpoint(), least=2, most=1).count() == 1
     assert read.value == len(rows)
+
+
+@needs_tables
+def test_contexts_are_made_once(spark):
+    """Sentences are split once, and a context's rows are shuffled once before pairs are counted; no context's rows are joined with themselves."""
+    found = plan(entry.queries()["cross_region_pairs"](spark, SF))
+    assert found.count("regexp_replace(lower(") == 1 and "Join" not in found
