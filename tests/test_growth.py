@@ -68,3 +68,10 @@ def test_contexts_are_made_once(spark):
     """Sentences are split once, and a context's rows are shuffled once before pairs are counted; no context's rows are joined with themselves."""
     found = plan(entry.queries()["cross_region_pairs"](spark, SF))
     assert found.count("regexp_replace(lower(") == 1 and "Join" not in found
+
+
+@needs_tables
+def test_nearest_words_read_the_texts_once(spark):
+    """The vocabulary is kept before the searches, and the first search before the second: no text is left to read."""
+    found = plan(entry.queries()["nearest_words"](spark, SF))
+    assert "regexp_replace(lower(" not in found and found.count("levenshtein") <= 4
