@@ -75,3 +75,18 @@ def test_nearest_words_read_the_texts_once(spark):
     """The vocabulary is kept before the searches, and the first search before the second: no text is left to read."""
     found = plan(entry.queries()["nearest_words"](spark, SF))
     assert "regexp_replace(lower(" not in found and found.count("levenshtein") <= 4
+
+
+@needs_tables
+def test_artefacts_are_counted_without_their_records(spark, tmp_path):
+    """A word's row a source, not a row a record, is what meets; texts are split once. Copies, repeated ids and null sources count as in the SQL."""
+    import duckdb
+
+    rows = [(i, "en", f"src{i % 3}", f"alpha alpha number{i % 2} " * 60) for i in range(1, 5)] + [(9, "en", None, "alpha beta " * 200), (10, "en", "src1", None), (11, "en", "src1", "beta " * 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["clean_word_stats"](spark, str(tmp_path))
+    assert "regexp_replace(lower(" not in plan(got)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(entry.oracle_sql()["clean_word_stats"]).fetchall())
