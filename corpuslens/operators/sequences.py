@@ -87,17 +87,21 @@ def promoted(anchors: DataFrame, rows: DataFrame, columns: DataFrame, book: str,
     rows: (book, key, col, line, a, b). A row is promoted if offset + line lies in
     a..b and no anchor or earlier promotion has that place; of rows for one place
     the least key is. Promoted rows are anchors of the next round, which estimates
-    all offsets anew, until a round promotes none. cut() ends lineage.
+    all offsets anew, until a round promotes none. Books are apart, and one without
+    a promotion has none in later rounds either, so a round sees only the books of
+    the last one's. cut() ends lineage.
     """
-    have, left, out, n = cut(anchors.select(book, "col", "line", "pos")), cut(rows), None, 0
+    have, left, columns, out, n = cut(anchors.select(book, "col", "line", "pos")), cut(rows), cut(columns), None, 0
     while True:
         n += 1
         told = left.join(offsets(have, columns, book), [book, "col"]).withColumn("pos", F.col("offset") + F.col("line")).where("pos between a and b")
-        told = told.join(have.select(book, "pos").distinct(), [book, "pos"], "left_anti")
+        told = told.join(have.select(book, "pos"), [book, "pos"], "left_anti")
         one = told.groupBy(book, "pos").agg(F.min(F.struct("key", "col", "line", "filled")).alias("x"))
         new = cut(one.select(book, "x.key", "x.col", "x.line", "pos", "x.filled", F.lit(n).alias("round")))
         out = new if out is None else out.unionByName(new)
         if not new.limit(1).count():
             return out.select(book, "key", "col", "pos", "filled", "round")
-        have = cut(have.unionByName(new.select(book, "col", "line", "pos")))
-        left = cut(left.join(new.select(book, "key"), [book, "key"], "left_anti"))
+        still = cut(new.select(book).distinct())
+        have = cut(have.join(still, book, "left_semi").unionByName(new.select(book, "col", "line", "pos")))
+        left = cut(left.join(still, book, "left_semi").join(new.select(book, "key"), [book, "key"], "left_anti"))
+        columns = cut(columns.join(still, book, "left_semi"))

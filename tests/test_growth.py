@@ -90,3 +90,29 @@ def test_artefacts_are_counted_without_their_records(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert sorted(map(tuple, got.collect())) == sorted(con.execute(entry.oracle_sql()["clean_word_stats"]).fetchall())
+
+
+def test_settled_books_are_not_read_again(spark):
+    """A book without a promotion is done: the columns are read once, and later rounds see only books that the last one changed."""
+    from corpuslens.operators import sequences
+
+    read, sizes = spark.sparkContext.accumulator(0), []
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    def cut(df):
+        out = df.checkpoint()
+        if out.columns == ["book", "col", "lines"]:
+            sizes.append(out.count())
+        return out
+
+    # Book 1 places a row by its first column, and that row the next column's; book 2 has nothing to place.
+    anchors = spark.createDataFrame([(1, 1, 1, 1), (2, 1, 1, 1)], "book int, col int, line int, pos long")
+    rows = spark.createDataFrame([(1, 7, 1, 2, 1, 3), (1, 8, 2, 1, 3, 5)], "book int, key long, col int, line int, a long, b long")
+    columns = spark.createDataFrame([(1, 1, 2), (1, 2, 2), (2, 1, 2)], "book int, col int, lines int").mapInArrow(seen, "book int, col int, lines int")
+    got = sequences.promoted(anchors, rows, columns, "book", cut).select("book", "key", "pos").collect()
+    assert sorted(map(tuple, got)) == [(1, 7, 2), (1, 8, 3)]
+    assert read.value == 3 and sizes[0] == 3 and set(sizes[1:]) == {2}
