@@ -156,3 +156,26 @@ def test_incidences_without_day_user_or_operator_make_no_pairs(spark, tmp_path):
     con.execute("set timezone = 'UTC'")
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert sorted(map(tuple, got.collect())) == sorted(con.execute(entry.oracle_sql()["incidence_null"]).fetchall())
+
+
+def test_sentences_of_all_lengths_have_contexts(spark, tmp_path):
+    """Two words and many are compared as in the SQL; one alone has no context. A long sentence's contexts are not written out."""
+    import duckdb
+
+    long = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300))
+    texts = [("a", f"red dog. {long} end. one two three"), ("b", f"blue dog\n{long} stop. one four three."), ("c", f"{long.replace('wcb', 'other')} end. red cat. alone"), (None, "green dog. single"), ("a", ""), ("b", None)]
+    docs = spark.createDataFrame([(i, t, "en", s, 1) for i, (s, t) in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["cross_region_pairs"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(entry.oracle_sql()["cross_region_pairs"]).fetchall()) == [("blue", "red", 1), ("cat", "dog", 1), ("end", "stop", 1), ("four", "two", 1), ("other", "wcb", 1)]
+
+
+def test_words_that_are_null_fill_no_place(spark):
+    """The others of a sequence are compared without them, but its length and the place count all."""
+    from corpuslens.operators import matching
+
+    rows = [(1, ["a", None, "b", "x"]), (2, [None, "a", "b", "y"]), (3, ["a", "b", "z"]), (4, [None, "b", "a", "w"])]
+    df = spark.createDataFrame(rows, "u int, ws array<string>")
+    assert [tuple(r) for r in matching.minimal_pairs(df, "ws", "u").collect()] == [("x", "y", 1)]
