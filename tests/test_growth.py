@@ -190,3 +190,41 @@ def test_blocks_are_exchanged_in_as_many_worlds_as_other_nulls_have(spark):
     assert inspect.signature(entry.queries()["refit_blocks"]).parameters["r"].default == resampling.R == 200
     sql = entry.oracle_sql()["refit_blocks"]
     assert f"range(1, {resampling.R + 1})" in sql and f"({resampling.R} + 1)" in sql
+
+
+def test_only_words_of_records_in_a_pair_are_sent(spark):
+    """Records that share no piece with another are dropped as hashes; pairs are those of all comparisons, copies and null groups included."""
+    import random
+
+    from corpuslens.operators import matching
+
+    draw = random.Random(5)
+    base = [[draw.choice("abcdefgh") + str(i) for i in range(n)] for n in (3, 6, 10, 10, 15, 20)]
+    rows = [(i, "x" if i % 3 else "y", [w if draw.random() < 0.93 else "z" for w in base[i % 6]]) for i in range(60)]
+    rows += [(100 + i, "x", [f"own{i}x{j}" for j in range(12)]) for i in range(40)] + [(200, None, base[3]), (201, None, base[3])] + [(300, "x", rows[1][2])]
+    sent = []
+
+    def cut(df):
+        out = df.checkpoint()
+        if out.columns == ["u", "ws"]:
+            sent.append(out.count())
+        return out
+
+    got = {tuple(r) for r in matching.agreeing(spark.createDataFrame(rows, "id int, s string, ws array<string>"), "id", "s", "ws", 8, 10, cut).collect()}
+    near = lambda x, y: len(x) == len(y) and sum(p == q for p, q in zip(x, y)) * 10 >= len(x) * 8
+    some = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] and a[1] == b[1] and near(a[2], b[2])}
+    # Of copies the later ones are paired with the first, and with what that is paired with.
+    assert got <= some and {(min(b for a, b in [(x, x)] + [p[::-1] for p in some if p[1] == x]), x) for _, x in some} <= {(min(b for a, b in [(x, x)] + [p[::-1] for p in got if p[1] == x]), x) for _, x in got}
+    assert sent and 0 < sum(sent) <= 61
+
+
+def test_a_node_is_not_a_row_a_replicate(spark):
+    """A unit's permuted labels come from packed runs; no replicate's units are rows of a plan."""
+    from pyspark.sql import functions as F
+
+    from corpuslens.operators import nulls
+
+    units = spark.createDataFrame([(i, None if i % 7 == 0 else f"b{i % 5}") for i in range(50)], "id long, lab string")
+    got = nulls.vectors(units, 6, 42, "lab", F.col("id"))
+    assert "explode" not in plan(got)
+    assert {len(x["vec"]) for x in got.collect()} == {7}
