@@ -228,3 +228,10 @@ def test_a_node_is_not_a_row_a_replicate(spark):
     got = nulls.vectors(units, 6, 42, "lab", F.col("id"))
     assert "explode" not in plan(got)
     assert {len(x["vec"]) for x in got.collect()} == {7}
+
+
+@needs_tables
+def test_only_misread_words_meet_their_readings(spark):
+    """Words without a digit pass by the join with the decided tokens, and words before no remnant that with the good pairs."""
+    found = plan(entry.queries()["decoded_lines"](spark, SF))
+    assert found.count("Union") >= 5  # the decided tokens and the marked pairs are put together from two parts each, where they are read
